@@ -12,7 +12,7 @@ from tickloom.sources.tables import table
 
 
 def calendar(spark: SparkSession) -> DataFrame:
-    return cal.sessions(spark)
+    return cal.pinned(spark)
 
 
 def event_bars(spark: SparkSession, folder: str, seconds: int = 1_800) -> DataFrame:
@@ -30,26 +30,25 @@ def event_bar_events(spark: SparkSession, folder: str, resolution: str = "30m",
 def supplier_days(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars of lineitem: instrument = supplier, price = extended price, volume = quantity."""
     lines = table(spark, folder, "lineitem")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return (
+    return B.day_bars(
         lines.select(
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("instrument_id"),
             F.col("l_shipdate").alias("starts_at"),
             price("l_extendedprice").alias("px"),
             F.col("l_quantity"),
-            order.alias("k"),
-        )
-        .groupBy("instrument_id", "starts_at")
-        .agg(
-            F.min_by("px", "k").alias("open"),
-            F.max("px").alias("high"),
-            F.min("px").alias("low"),
-            F.max_by("px", "k").alias("close"),
-            F.sum("l_quantity").cast("long").alias("volume"),
-        )
+            line_rank().alias("k"),
+        ),
+        ["instrument_id", "starts_at"],
     )
 
 
+def line_rank():
+    """Order of lines inside a day as one decimal, so the aggregate keeps its hash path."""
+    wide = "decimal(38,0)"
+    first = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast(wide)
+    return (first * F.lit(10**11).cast("decimal(12,0)")).cast(wide) + F.col("l_partkey").cast("decimal(19,0)")
+
+
 FILL_ORDER = ["occurred_at", "order_id", "line_no", "part_id", "gross_amount"]
 FILL_KEYS = ["run_id", "instrument_id"]
 

@@ -12,24 +12,35 @@ from tickloom.operators import calendar as cal
 from tickloom.operators.scan import prefix_scan, Running, with_position
 
 
+def tick_rank(ts: str, tiebreak: str) -> Column:
+    """Order of ticks as one decimal: fixed-width aggregation buffers keep ``min_by``/``max_by`` on the hash path."""
+    micros = F.unix_micros(ts).cast("decimal(18,0)")
+    return (micros * F.lit("10000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(tiebreak).cast("decimal(19,0)")
+
+
+def _ohlcv(rows: DataFrame, keys: Sequence[str], rank: str, px: str, qty: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.min_by(px, rank).alias("open"),
+        F.max(px).alias("high"),
+        F.min(px).alias("low"),
+        F.max_by(px, rank).alias("close"),
+        F.sum(qty).cast("long").alias("volume"),
+    )
+
+
 def ticks_to_bars(
     ticks: DataFrame, keys: Sequence[str], ts: str, px: Column, qty: Column, seconds: int, tiebreak: str
 ) -> DataFrame:
     """OHLCV bars of fixed width. Map-side aggregation keeps the shuffle at one row per (key, bar) and task."""
     width = F.lit(seconds * 1_000_000)
     start = F.timestamp_micros(F.floor(F.unix_micros(ts) / width) * width)
-    order = F.struct(F.col(ts), F.col(tiebreak))
-    return (
-        ticks.select(*keys, start.alias("bar_start_at"), order.alias("_o"), px.alias("_p"), qty.alias("_q"))
-        .groupBy(*keys, "bar_start_at")
-        .agg(
-            F.min_by("_p", "_o").alias("open"),
-            F.max("_p").alias("high"),
-            F.min("_p").alias("low"),
-            F.max_by("_p", "_o").alias("close"),
-            F.sum("_q").cast("long").alias("volume"),
-        )
-    )
+    rows = ticks.select(*keys, start.alias("bar_start_at"), tick_rank(ts, tiebreak).alias("_k"), px.alias("_p"), qty.alias("_q"))
+    return _ohlcv(rows, [*keys, "bar_start_at"], "_k", "_p", "_q")
+
+
+def day_bars(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bars of already labelled ticks (columns ``k`` order, ``px``, ``l_quantity``)."""
+    return _ohlcv(rows, keys, "k", "px", "l_quantity")
 
 
 def session_bars(ticks: DataFrame, keys: Sequence[str], ts: str, px: Column, qty: Column, seconds: int, tiebreak: str, calendar: DataFrame) -> DataFrame:
@@ -51,20 +62,14 @@ def daily_bars(ticks: DataFrame, keys: Sequence[str], ts: str, px: Column, qty:
             F.col("session_date").alias("session_date_et"), F.col("opens_at").alias("_o"), F.col("closes_at").alias("_c")
         )
     )
-    order = F.struct(F.col(ts), F.col(tiebreak))
-    return (
+    rows = (
         ticks.join(days, cal.et_date(ts) == F.col("session_date_et"))
         .filter((F.col(ts) >= F.col("_o")) & (F.col(ts) < F.col("_c")))
-        .select(*keys, "session_date_et", F.col("_o").alias("bar_start_at"), order.alias("_k"), px.alias("_p"), qty.alias("_q"))
-        .groupBy(*keys, "session_date_et", "bar_start_at")
-        .agg(
-            F.min_by("_p", "_k").alias("open"),
-            F.max("_p").alias("high"),
-            F.min("_p").alias("low"),
-            F.max_by("_p", "_k").alias("close"),
-            F.sum("_q").cast("long").alias("volume"),
+        .select(
+            *keys, "session_date_et", F.col("_o").alias("bar_start_at"), tick_rank(ts, tiebreak).alias("_k"), px.alias("_p"), qty.alias("_q")
         )
     )
+    return _ohlcv(rows, [*keys, "session_date_et", "bar_start_at"], "_k", "_p", "_q")
 
 
 def bar_events(bars: DataFrame, calendar: DataFrame, resolution: str, lag_seconds: int = 0) -> DataFrame:

@@ -100,6 +100,8 @@ def _one_calendar() -> Column:
 
 def session_index(calendar: DataFrame) -> DataFrame:
     """Open sessions with 1-based index, neighbours and first/last-of-period properties."""
+    if "session_index" in calendar.columns:
+        return trading_sessions(calendar)
     w = Window.partitionBy(_one_calendar()).orderBy("session_date")
     day = F.col("session_date")
     open_days = trading_sessions(calendar)
@@ -143,31 +145,54 @@ def session_status(df: DataFrame, ts: str, calendar: DataFrame, out: str = "sess
     return df.join(days, et_date(ts) == F.col("_d"), "left").withColumn(out, status).drop("_d", "_o", "_c")
 
 
+def indexed(calendar: DataFrame) -> DataFrame:
+    """All dates with the index columns of ``session_index``; closed dates carry only the following session."""
+    w = Window.partitionBy(_one_calendar()).orderBy("session_date").rowsBetween(1, Window.unboundedFollowing)
+    opened = F.when(F.col("opens_at").isNotNull(), F.struct("session_date", "opens_at", "closes_at"))
+    following = calendar.withColumn("_f", F.first(opened, ignorenulls=True).over(w))
+    index = session_index(calendar).select("session_date", "session_index", "week_first", "month_first", "month_last")
+    return following.join(index, "session_date", "left").select(
+        *calendar.columns,
+        "session_index",
+        F.col("_f.session_date").alias("next_session_date"),
+        F.col("_f.opens_at").alias("next_opens_at"),
+        F.col("_f.closes_at").alias("next_closes_at"),
+        "week_first",
+        "month_first",
+        "month_last",
+    )
+
+
+def pinned(spark: SparkSession) -> DataFrame:
+    """The whole indexed calendar as a local relation, built once per session.
+
+    Its size is fixed by the coverage (4 018 dates), so holding it on the driver and broadcasting it is safe.
+    """
+    held = getattr(spark, "_tickloom_calendar", None)
+    if held is None:
+        frame = indexed(sessions(spark))
+        held = spark.createDataFrame(frame.toArrow()).withColumn("session_type", F.col("session_type"))
+        spark._tickloom_calendar = held
+    return held
+
+
 def next_session(df: DataFrame, ts: str, calendar: DataFrame) -> DataFrame:
     """The first session opening strictly after ``ts``.
 
     Per date the answer is one of two sessions: the date's own one while it has not opened, else the following one. Both
-    are precomputed per calendar date, which turns the range search into one broadcast equi-join.
+    are columns of the calendar row, which turns the range search into one broadcast equi-join.
     """
-    w = Window.partitionBy(_one_calendar()).orderBy("session_date").rowsBetween(1, Window.unboundedFollowing)
-    days = calendar.select(
-        F.col("session_date").alias("_d"),
-        F.col("opens_at").alias("_own"),
-        F.struct("session_date", "opens_at", "closes_at").alias("_self"),
-        F.first(F.when(F.col("opens_at").isNotNull(), F.struct("session_date", "opens_at", "closes_at")), ignorenulls=True)
-        .over(w)
-        .alias("_following"),
+    full = calendar if "session_index" in calendar.columns else indexed(calendar)
+    days = full.select(
+        F.col("session_date").alias("_d"), F.col("opens_at").alias("_o"), F.col("closes_at").alias("_c"),
+        F.col("next_session_date").alias("_nd"), F.col("next_opens_at").alias("_no"), F.col("next_closes_at").alias("_nc"),
     )
-    picked = F.when(F.col(ts) < F.col("_own"), F.col("_self")).otherwise(F.col("_following"))
-    return (
-        df.join(F.broadcast(days), et_date(ts) == F.col("_d"), "left")
-        .withColumn("_p", picked)
-        .select(
-            *df.columns,
-            F.col("_p.session_date").alias("next_session_date"),
-            F.col("_p.opens_at").alias("next_opens_at"),
-            F.col("_p.closes_at").alias("next_closes_at"),
-        )
+    early = F.col(ts) < F.col("_o")
+    return df.join(F.broadcast(days), et_date(ts) == F.col("_d"), "left").select(
+        *df.columns,
+        F.when(early, F.col("_d")).otherwise(F.col("_nd")).alias("next_session_date"),
+        F.when(early, F.col("_o")).otherwise(F.col("_no")).alias("next_opens_at"),
+        F.when(early, F.col("_c")).otherwise(F.col("_nc")).alias("next_closes_at"),
     )
 
 

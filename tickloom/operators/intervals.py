@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.scan import Running, prefix_scan
+from tickloom.session import cut_lineage
 
 
 def clip(iv: DataFrame, lower: Column, upper: Column) -> DataFrame:
@@ -19,64 +20,69 @@ def clip(iv: DataFrame, lower: Column, upper: Column) -> DataFrame:
     )
 
 
+def _openers(iv: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+    """Rows that start after everything before them ended, with that earlier end (``reach``, NULL for the first)."""
+    label = F.date_trunc(bucket, F.col("starts_at"))
+    rows = iv.select(*keys, "starts_at", "ends_at")
+    reached = prefix_scan(rows, keys, ["starts_at", "ends_at"], label, {"reach": Running("max", F.col("ends_at"), exclusive=True)})
+    return reached.filter(F.col("reach").isNull() | (F.col("starts_at") > F.col("reach"))).select(*keys, "starts_at", "reach")
+
+
 def coalesce_intervals(iv: DataFrame, keys: Sequence[str], bucket: str = "month") -> DataFrame:
     """Merge overlapping and touching intervals.
 
-    A row opens a new island when it starts after everything before it ended: running maximum of the ends, then a running
-    count of islands, then one aggregate. All three are keyed by (keys, time bucket) or by (keys, island).
+    A row opens an island when it starts after the running maximum of the ends before it. That maximum is where the
+    previous island ended, so an island's end is read from the next opener, or is the key's last end.
     """
+    opened = cut_lineage(_openers(iv, keys, bucket))
     label = F.date_trunc(bucket, F.col("starts_at"))
-    rows = iv.select(*keys, "starts_at", "ends_at")
-    reached = prefix_scan(rows, keys, ["starts_at", "ends_at"], label, {"_reach": Running("max", F.col("ends_at"), exclusive=True)})
-    opens = F.when(F.col("_reach").isNull() | (F.col("starts_at") > F.col("_reach")), F.col("starts_at"))
-    # The island is named by its start: a running maximum of opening starts.
-    named = prefix_scan(
-        reached.withColumn("_opens", opens), keys, ["starts_at", "ends_at"], label, {"_island": Running("max", F.col("_opens"))}
-    )
-    return (
-        named.groupBy(*keys, "_island")
-        .agg(F.max("ends_at").alias("ends_at"))
-        .select(*keys, F.col("_island").alias("starts_at"), "ends_at")
-    )
+    paired = prefix_scan(opened, keys, ["starts_at"], label, {"_end": Running("prev", F.col("reach"))}, reverse=True)
+    last = iv.groupBy(*keys).agg(F.max("ends_at").alias("_last"))
+    return paired.join(last, list(keys)).select(*keys, "starts_at", F.coalesce("_end", "_last").alias("ends_at"))
 
 
 def gaps(target: DataFrame, iv: DataFrame, keys: Sequence[str], bucket: str = "month") -> DataFrame:
-    """Parts of each target interval (one per key) that ``iv`` does not cover."""
+    """Parts of each target interval (one per key) that ``iv`` does not cover.
+
+    Inner gaps lie between the running end and each opener; head and tail come from one aggregate per key.
+    """
     bounds = target.select(*keys, F.col("starts_at").alias("_ts"), F.col("ends_at").alias("_te"))
     clipped = clip(iv.join(bounds, list(keys)), F.col("_ts"), F.col("_te"))
-    merged = coalesce_intervals(clipped, keys, bucket)
-    nexts = prefix_scan(
-        merged, keys, ["starts_at"], F.date_trunc(bucket, F.col("starts_at")), {"_next": Running("prev", F.col("starts_at"))}, reverse=True
-    )
-    inner = nexts.join(bounds, list(keys)).select(
-        *keys, F.col("ends_at").alias("starts_at"), F.coalesce("_next", "_te").alias("ends_at")
+    inner = _openers(clipped, keys, bucket).filter(F.col("reach").isNotNull()).select(
+        *keys, F.col("reach").alias("starts_at"), F.col("starts_at").alias("ends_at")
     )
-    firsts = merged.groupBy(*keys).agg(F.min("starts_at").alias("_first"))
-    head = bounds.join(firsts, list(keys), "left").select(
-        *keys, F.col("_ts").alias("starts_at"), F.coalesce("_first", "_te").alias("ends_at")
+    span = clipped.groupBy(*keys).agg(F.min("starts_at").alias("_first"), F.max("ends_at").alias("_last"))
+    ends = bounds.join(span, list(keys), "left").withColumn(
+        "_edge",
+        F.array(
+            F.struct(F.col("_ts").alias("starts_at"), F.coalesce("_first", "_te").alias("ends_at")),
+            F.struct(F.col("_last").alias("starts_at"), F.col("_te").alias("ends_at")),
+        ),
     )
-    return inner.unionByName(head).filter("starts_at < ends_at")
+    outer = ends.select(*keys, F.explode("_edge").alias("_e")).select(*keys, "_e.starts_at", "_e.ends_at")
+    return inner.unionByName(outer).filter("starts_at < ends_at")
 
 
 def common(iv: DataFrame, group: Sequence[str], member: str, sizes: DataFrame, bucket: str = "month") -> DataFrame:
     """Intervals present in all members of a group (``sizes`` holds the member count per group as ``n``).
 
-    Sweep over +1/-1 boundaries with a running depth; the member's own intervals are merged first so depth counts members.
+    Each member's own intervals are merged first, so the running depth over the +1/-1 boundaries counts members.
     """
     merged = coalesce_intervals(iv, [*group, member], bucket)
-    edges = merged.select(*group, F.col("starts_at").alias("at"), F.lit(1).alias("step")).unionByName(
-        merged.select(*group, F.col("ends_at").alias("at"), F.lit(-1).alias("step"))
+    edge = F.explode(
+        F.array(
+            F.struct(F.col("starts_at").alias("at"), F.lit(1).alias("step")), F.struct(F.col("ends_at").alias("at"), F.lit(-1).alias("step"))
+        )
     )
-    points = edges.groupBy(*group, "at").agg(F.sum("step").alias("step"))
+    points = merged.select(*group, edge.alias("_e")).groupBy(*group, F.col("_e.at").alias("at")).agg(F.sum("_e.step").alias("step"))
+    points = cut_lineage(points)
     label = F.date_trunc(bucket, F.col("at"))
-    depth = prefix_scan(points, group, ["at"], label, {"depth": Running("sum", F.col("step"))})
-    ends = prefix_scan(depth, group, ["at"], label, {"ends_at": Running("prev", F.col("at"))}, reverse=True)
-    full = (
-        ends.join(sizes, list(group))
-        .filter((F.col("depth") == F.col("n")) & F.col("ends_at").isNotNull())
-        .select(*group, F.col("at").alias("starts_at"), "ends_at")
+    swept = prefix_scan(points, group, ["at"], label, {"depth": Running("sum", F.col("step")), "_from": Running("prev", F.col("at"))})
+    return (
+        swept.join(sizes, list(group))
+        .filter(F.col("_from").isNotNull() & (F.col("depth") - F.col("step") == F.col("n")))
+        .select(*group, F.col("_from").alias("starts_at"), F.col("at").alias("ends_at"))
     )
-    return coalesce_intervals(full, group, bucket)
 
 
 def coverage(objects: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -52,7 +52,7 @@ def asof(
     merged = a.unionByName(b)
     label = F.date_trunc(bucket, F.col("_t")) if bucket else None
     scanned = prefix_scan(
-        merged.withColumn("_seen", F.col("_right")), keys, ["_t", "_side", "_tie"], label, {"_hit": Running("last", F.col("_seen"))}, reverse=forward
+        merged, keys, ["_t", "_side", "_tie"], label, {"_hit": Running("last", F.col("_right"))}, reverse=forward
     ).filter(F.col("_left").isNotNull())
     hit = F.col("_hit")
     if tolerance_seconds is not None:
