@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import format_money
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -29,3 +31,8 @@ def num(value: Column | str, places: int = 6) -> Column:
     """Comparable output number: double rounded to fixed places."""
     column = F.col(value) if isinstance(value, str) else value
     return F.round(column.cast("double"), places)
+
+
+def money(value: Column | str) -> Column:
+    """Comparable output amount: exact text with 8 places."""
+    return format_money(value)

@@ -74,6 +74,10 @@ def num(expr: str, places: int = 6) -> str:
     return f"round(CAST({expr} AS DOUBLE), {places})"
 
 
+def money(expr: str) -> str:
+    return f"CAST(CAST({expr} AS DECIMAL(24,8)) AS VARCHAR)"
+
+
 def dec(expr: str) -> str:
     return f"CAST({expr} AS DECIMAL(18,8))"
 

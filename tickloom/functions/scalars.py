@@ -55,6 +55,33 @@ def floor_to_quantum(value: Column | str, quantum: Column) -> Column:
     return F.greatest(raw, raw * F.lit(0)).try_cast(PRICE)
 
 
+def units(value: Column) -> Column:
+    """A value with at most 8 places as a whole number of 1e-8 units."""
+    return (value.cast(PRICE) * F.lit(100_000_000).cast("decimal(9,0)")).cast("decimal(18,0)")
+
+
+def from_units(value: Column) -> Column:
+    return (value.cast("decimal(20,0)") / F.lit(100_000_000).cast("decimal(9,0)")).cast(PRICE)
+
+
+def floor_ratio(numerator: Column, denominator: Column) -> Column:
+    """numerator / denominator rounded down to 8 places, in whole-number arithmetic."""
+    top = units(numerator) * F.lit(100_000_000).cast("decimal(9,0)")
+    return from_units(F.call_function("div", top, units(denominator)))
+
+
+def prorate(amount: Column, part: Column, whole: Column) -> Column:
+    """amount * part / whole, rounded HALF_EVEN to 8 places exactly.
+
+    Decimal division would first round to 9 places here and a second rounding would turn those into false ties.
+    """
+    top, bottom = units(amount) * units(part), units(whole)
+    quotient = F.call_function("div", top, bottom)
+    twice = (top % bottom) * F.lit(2).cast("decimal(1,0)")
+    up = (twice > bottom) | ((twice == bottom) & (quotient % 2 == 1))
+    return from_units(quotient + F.when(up, 1).otherwise(0))
+
+
 def format_money(value: Column | str) -> Column:
     """Fixed text with 8 places (the canonical form used inside digests)."""
     return _c(value).cast(MONEY).cast("string")

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 
@@ -78,10 +79,14 @@ def _carry(run: Running, total: Column, spec: WindowSpec) -> Column:
     return F.last(total, ignorenulls=True).over(frame)
 
 
-def _combine(run: Running, local: Column, carry: Column) -> Column:
+def _combine(run: Running, local: Column, carry: Column, dtype: T.DataType) -> Column:
     if run.kind == "count":
         return local + F.coalesce(carry, F.lit(0))
     if run.kind == "sum":
+        if isinstance(dtype, T.DecimalType):
+            # Adding two 38-digit decimals gives up scale; 37 digits keep it exact.
+            exact = T.DecimalType(min(dtype.precision, 37), dtype.scale)
+            local, carry = local.cast(exact), carry.cast(exact)
         return F.when(local.isNull(), carry).when(carry.isNull(), local).otherwise(local + carry)
     if run.kind == "max":
         return F.greatest(local, carry)
@@ -124,10 +129,11 @@ def prefix_scan(
     over_buckets = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc() if reverse else F.col(BUCKET).asc())
     carries = totals.select(*group, *[_carry(outs[n], F.col(f"_t_{n}"), over_buckets).alias(f"_c_{n}") for n in names])
 
+    types = {f.name: f.dataType for f in local.schema.fields}
     joined = local.join(carries, group, "left")
     return joined.select(
         *[c for c in df.columns if c not in outs],
-        *[_combine(outs[n], F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in names],
+        *[_combine(outs[n], F.col(f"_l_{n}"), F.col(f"_c_{n}"), types[f"_l_{n}"]).alias(n) for n in names],
     )
 
 
