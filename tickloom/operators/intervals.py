@@ -96,7 +96,7 @@ def common_coverage(scopes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def evaluation_window(runs: DataFrame) -> DataFrame:
     """Start plus the longest warm-up up to the end; an empty window is UNAVAILABLE."""
-    start = F.timestamp_micros(F.unix_micros("period_start") + F.col("warmup_seconds") * F.lit(1_000_000))
+    start = F.timestamp_micros(F.unix_micros("period_start") + F.col("warmup_seconds").cast("long") * F.lit(1_000_000))
     return runs.withColumn("evaluation_from", start).withColumn(
         "window_status", F.when(F.col("evaluation_from") < F.col("period_end"), "OK").otherwise("UNAVAILABLE")
     )

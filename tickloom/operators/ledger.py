@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import prorate
-from tickloom.operators.scan import Running, prefix_scan
+from tickloom.operators.scan import Running, prefix_scan, running_sum_and_floor
 from tickloom.session import cut_lineage
 
 PX = "decimal(18,8)"
@@ -30,17 +30,13 @@ def seed_positions(fills: DataFrame, seeds: DataFrame) -> DataFrame:
 def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
     """Cap each sell by the held quantity and add ``executed``, ``held_before``, ``held_after``.
 
-    held = max(held + q, 0) has the closed form S - min(0, running minimum of S) with S the running signed quantity: two
-    scans instead of a loop. Amounts of a capped sell shrink with the executed quantity.
+    held = max(held + q, 0) has the closed form S - min(0, running minimum of S) with S the running signed quantity: one
+    scan instead of a loop. Amounts of a capped sell shrink with the executed quantity.
     """
-    # round-trip through a stored table keeps the second scan from recomputing the first
-    summed = cut_lineage(prefix_scan(fills, keys, order, bucket, {"_s": Running("sum", _signed())}))
+    floor_now = running_sum_and_floor(fills, keys, order, bucket, _signed(), "_s", "_m")
     zero = F.lit(0).cast(PX)
-    floor_now = prefix_scan(
-        summed, keys, order, bucket, {"_m": Running("min", F.col("_s")), "_m0": Running("min", F.col("_s"), exclusive=True)}
-    )
     held_after = (F.col("_s") - F.least(F.col("_m"), zero)).cast(PX)
-    held_before = (F.col("_s") - _signed() - F.least(F.coalesce("_m0", zero), zero)).cast(PX)
+    held_before = (F.col("_s") - _signed() - F.least(F.coalesce("_m_before", zero), zero)).cast(PX)
     booked = floor_now.withColumns({"held_after": held_after, "held_before": held_before})
     executed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(F.least(F.col("quantity"), F.col("held_before"))).cast(PX)
     booked = booked.withColumn("executed", executed).filter("executed > 0")
@@ -49,7 +45,7 @@ def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     gross = F.when(whole, F.col("gross_amount")).otherwise(F.bround(unit * F.col("executed"), 8).cast(PX))
     fee = F.bround(F.col("gross_amount") * F.lit("0.002").cast("decimal(9,8)"), 8).cast(PX)
     booked = booked.withColumn("gross_amount", gross)
-    return booked.withColumn("fee", F.when(whole, F.col("fee")).otherwise(fee)).drop("_s", "_m", "_m0")
+    return booked.withColumn("fee", F.when(whole, F.col("fee")).otherwise(fee)).drop("_s", "_m", "_m_before")
 
 
 def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, width: float) -> DataFrame:
@@ -76,11 +72,17 @@ def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], buc
     label = F.floor(F.col("q") / F.lit(width))
     # A lot ending at q covers (q - size, q]; the owner of a stretch is the first point at or above it.
     ended = F.when(F.col("lot").isNotNull(), F.struct(F.col("q").alias("end"), F.col("lot")))
-    owners = prefix_scan(
-        points, keys, ["q", "kind"], label, {"_lot": Running("last", ended), "_sell": Running("last", F.col("sell"))}, reverse=True
+    stretches = prefix_scan(
+        points,
+        keys,
+        ["q", "kind"],
+        label,
+        {
+            "_lot": Running("last", ended, reverse=True),
+            "_sell": Running("last", F.col("sell"), reverse=True),
+            "_from": Running("prev", F.col("q")),
+        },
     )
-    owners = cut_lineage(owners.select(*keys, "q", "kind", "_lot", "_sell"))
-    stretches = prefix_scan(owners, keys, ["q", "kind"], label, {"_from": Running("prev", F.col("q"))})
     start = F.coalesce("_from", F.lit(0).cast(PX))
     lot_start = (F.col("_lot.end") - F.col("_lot.lot.executed")).cast(PX)
     rows = stretches.withColumn("_a", start).filter(F.col("_lot").isNotNull() & F.col("_sell").isNotNull() & (F.col("q") > F.col("_a")))

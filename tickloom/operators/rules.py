@@ -282,7 +282,7 @@ def skip_reason(allowed: Column, data_available: Column, session_status: Column)
 
 def requirements(rules: DataFrame) -> DataFrame:
     """Earliest warm-up per series: start minus the longest lookback times the period."""
-    back = F.timestamp_micros(F.unix_micros("period_start") - F.col("lookback") * F.col("period_seconds") * F.lit(1_000_000))
+    back = F.timestamp_micros(F.unix_micros("period_start") - F.col("lookback").cast("long") * F.col("period_seconds") * F.lit(1_000_000))
     return rules.groupBy("instrument_id", "data_kind", "resolution").agg(F.min(back).alias("warmup_from"), F.max("lookback").alias("bars"))
 
 

@@ -29,6 +29,7 @@ class Running:
     kind: str
     expr: Column
     exclusive: bool = False
+    reverse: bool = False
 
 
 def _ordering(order: Sequence[str], reverse: bool) -> list[Column]:
@@ -109,25 +110,26 @@ def prefix_scan(
 
     ``bucket`` must be a non-decreasing function of ``order``. One exchange of the rows by (keys, bucket) plus a
     partially aggregated summary of one row per (key, bucket). ``bucket=None`` is for groups whose size is bounded by
-    definition (one session of one instrument) and runs a plain window.
+    definition (one session of one instrument) and runs a plain window. ``reverse`` scans from the end; a single output can
+    turn its own direction, both directions share the exchange.
     """
     if bucket is None:
-        spec = Window.partitionBy(*keys).orderBy(*_ordering(order, reverse))
         done = df
         for name, run in outs.items():
-            value = _local(run, spec)
+            value = _local(run, Window.partitionBy(*keys).orderBy(*_ordering(order, run.reverse != reverse)))
             done = done.withColumn(name, value["v"] if run.kind == "prev" else value)
         return done
 
     base = df.withColumn(BUCKET, bucket)
     group = [*keys, BUCKET]
-    spec = Window.partitionBy(*group).orderBy(*_ordering(order, reverse))
     names = list(outs)
-    local = base.select("*", *[_local(outs[n], spec).alias(f"_l_{n}") for n in names])
+    backward = {n: outs[n].reverse != reverse for n in names}
+    rows = {d: Window.partitionBy(*group).orderBy(*_ordering(order, d)) for d in (False, True)}
+    buckets = {d: Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc() if d else F.col(BUCKET).asc()) for d in (False, True)}
+    local = base.select("*", *[_local(outs[n], rows[backward[n]]).alias(f"_l_{n}") for n in names])
 
-    totals = base.groupBy(*group).agg(*[_total(outs[n], order, reverse).alias(f"_t_{n}") for n in names])
-    over_buckets = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc() if reverse else F.col(BUCKET).asc())
-    carries = totals.select(*group, *[_carry(outs[n], F.col(f"_t_{n}"), over_buckets).alias(f"_c_{n}") for n in names])
+    totals = base.groupBy(*group).agg(*[_total(outs[n], order, backward[n]).alias(f"_t_{n}") for n in names])
+    carries = totals.select(*group, *[_carry(outs[n], F.col(f"_t_{n}"), buckets[backward[n]]).alias(f"_c_{n}") for n in names])
 
     types = {f.name: f.dataType for f in local.schema.fields}
     joined = local.join(carries, group, "left")
@@ -137,6 +139,33 @@ def prefix_scan(
     )
 
 
+def running_sum_and_floor(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, total: str, floor: str
+) -> DataFrame:
+    """Running sum and the running minimum of that sum (``floor``; ``<floor>_before`` excludes the current row).
+
+    Both carries come from one summary: a bucket contributes its sum and the lowest partial sum inside it.
+    """
+    base = df.withColumn(BUCKET, bucket).withColumn("_v", value)
+    group = [*keys, BUCKET]
+    rows = Window.partitionBy(*group).orderBy(*order)
+    upto, before = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(Window.unboundedPreceding, -1)
+    local = base.withColumn("_ls", F.sum("_v").over(upto))
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    exact = F.col("_v").cast("decimal(28,8)")
+    zero = F.lit(0).cast("decimal(28,8)")
+    summary = local.groupBy(*group).agg(F.sum(exact).cast("decimal(28,8)").alias("_ts"), F.min("_ls").alias("_tm"))
+    summary = summary.withColumn("_cs", F.coalesce(F.sum("_ts").over(earlier).cast("decimal(28,8)"), zero))
+    summary = summary.withColumn("_cm", F.min(F.col("_cs") + F.col("_tm")).over(earlier)).select(*group, "_cs", "_cm")
+    joined = local.withColumns({"_lm": F.min("_ls").over(upto), "_lb": F.min("_ls").over(before)}).join(summary, group, "left")
+    return joined.select(
+        *df.columns,
+        (F.col("_cs") + F.col("_ls")).alias(total),
+        F.least("_cm", F.col("_cs") + F.col("_lm")).alias(floor),
+        F.least("_cm", F.col("_cs") + F.col("_lb")).alias(f"{floor}_before"),
+    )
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, name: str = "pos"
 ) -> DataFrame:
