@@ -575,3 +575,70 @@ def _records(spark, folder):
 )
 def order_counts(spark, folder):
     return L.order_counts(_records(spark, folder))
+
+
+# ---------------------------------------------------------------- open positions
+
+_EVENT_FL = """
+fl AS (SELECT user_id AS run_id, event_type AS instrument_id, ts AS occurred_at, event_id AS order_id, 0 AS line_no, 0 AS part_id, CASE WHEN k % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side,
+   CAST(1 + k % 5 AS DECIMAL(18,8)) AS quantity, CAST((CAST(value AS DECIMAL(18,8)) + 1) * (1 + k % 5) AS DECIMAL(18,8)) AS gross0, CAST(CAST(value AS DECIMAL(18,8)) + 1 AS DECIMAL(18,8)) AS px
+   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)),
+"""
+_EVENT_FIFO = _EVENT_FL + FIFO[FIFO.index("b1 AS"):]
+_POS = f"""
+ps AS (SELECT fb.*, sum(executed * sgn) OVER {_K} AS qa, sum(cost_basis * sgn) OVER {_K} AS ba, sum(CASE WHEN side = 'BUY' AND held_before = 0 THEN 1 ELSE 0 END) OVER {_K} AS cycle FROM fb),
+po AS (SELECT *, min(occurred_at) OVER (PARTITION BY run_id, instrument_id, cycle) AS opened_at, CAST(CAST(ba AS DOUBLE) / CAST(qa AS DOUBLE) AS DECIMAL(18,8)) AS avg FROM ps WHERE qa > 0),
+pk AS (SELECT *, greatest(first_value(avg) OVER c, max(px) OVER c) AS peak, count(*) OVER c AS holding_bars FROM po WINDOW c AS (PARTITION BY run_id, instrument_id, cycle ORDER BY {_ORD} ROWS UNBOUNDED PRECEDING)),
+pmx AS (SELECT pk.*, CAST(px - avg AS DOUBLE) * 100 / CAST(avg AS DOUBLE) AS rp, CAST(peak - avg AS DOUBLE) * 100 / CAST(avg AS DOUBLE) AS pp, CAST(peak - px AS DOUBLE) * 100 / CAST(peak AS DOUBLE) AS dd,
+   CASE WHEN a.session_index IS NOT NULL AND b.session_index IS NOT NULL THEN CAST(greatest(0, b.session_index - a.session_index) AS INTEGER) END AS holding_days
+   FROM pk LEFT JOIN ses a ON a.session_date = {Q.et_date("opened_at")} LEFT JOIN ses b ON b.session_date = {Q.et_date("occurred_at")})
+"""
+
+
+def _position_metrics(spark, folder):
+    from tickloom.operators import positions as O
+
+    k = F.from_json("props", "k int")["k"]
+    unit = (price("value") + F.lit(1).cast("decimal(1,0)")).cast("decimal(18,8)")
+    quantity = (1 + k % 5).cast("decimal(18,8)")
+    fills = table(spark, folder, "events").select(
+        F.col("user_id").alias("run_id"), F.col("event_type").alias("instrument_id"), F.col("ts").alias("occurred_at"), F.col("event_id").alias("order_id"), F.lit(0).alias("line_no"), F.lit(0).alias("part_id"),
+        F.when(k % 3 == 0, "SELL").otherwise("BUY").alias("side"), quantity.alias("quantity"), (unit * quantity).cast("decimal(18,8)").alias("gross_amount"), unit.alias("close"), F.lit(0).cast("decimal(18,8)").alias("fee"),
+    )
+    day = F.date_trunc("day", "occurred_at")
+    booked = cut_lineage(L.book(fills, FILL_KEYS, FILL_ORDER, day))
+    pnl = L.realized_pnl(L.fifo_match(booked, FILL_KEYS, FILL_ORDER, day, 100.0), FILL_KEYS, FILL_ORDER)
+    based = cut_lineage(L.with_basis(booked, pnl, FILL_KEYS, FILL_ORDER))
+    states = cut_lineage(L.position_cycles(L.position_after(based, FILL_KEYS, FILL_ORDER, day), FILL_KEYS, FILL_ORDER, day))
+    return O.position_metrics(states, FILL_KEYS, FILL_ORDER, day, calendar(spark))
+
+
+@query(
+    "position_metrics",
+    f"""WITH {Q.CALENDAR}, {_EVENT_FIFO}, {_POS} SELECT run_id, instrument_id, order_id, cycle, holding_bars, holding_days, {Q.num("avg")} AS average_entry, {Q.num("rp", 8)} AS return_percent, {Q.num("pp", 8)} AS peak_return_percent, {Q.num("dd", 8)} AS drawdown_percent FROM pmx""",
+)
+def position_metrics(spark, folder):
+    """Return, peak, drawdown and holding time on every bar of an open position."""
+    rows = _position_metrics(spark, folder)
+    return rows.select(
+        "run_id", "instrument_id", "order_id", "cycle", "holding_bars", "holding_days", num("average_entry").alias("average_entry"), num("return_percent", 8).alias("return_percent"),
+        num("peak_return_percent", 8).alias("peak_return_percent"), num("drawdown_percent", 8).alias("drawdown_percent"),
+    )
+
+
+@query(
+    "exit_search",
+    f"""WITH {Q.CALENDAR}, {_EVENT_FIFO}, {_POS}, x AS (SELECT *, row_number() OVER (PARTITION BY run_id, instrument_id, cycle ORDER BY {_ORD}) AS rn FROM pmx WHERE rp >= 30 OR dd > 60 OR holding_bars >= 12)
+    SELECT run_id, instrument_id, cycle, occurred_at AS exit_at, order_id FROM x WHERE rn = 1""",
+)
+def exit_search(spark, folder):
+    """First bar of each position cycle with 30% profit, 60% drawdown or twelve bars held."""
+    from tickloom.operators import positions as O
+
+    rules = (
+        R.position_return({"direction": "PROFIT", "thresholdPercent": 30}).passed
+        | R.drawdown_from_peak({"operator": "GT", "thresholdPercent": 60}).passed
+        | R.holding_period({"unit": "BAR", "amount": 12}).passed
+    )
+    found = O.exit_search(_position_metrics(spark, folder), FILL_KEYS, FILL_ORDER, rules, ["order_id"])
+    return found.select("run_id", "instrument_id", "cycle", F.col("occurred_at").alias("exit_at"), "order_id")

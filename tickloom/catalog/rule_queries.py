@@ -329,16 +329,31 @@ def condition_outcomes(spark, folder):
 
 @query(
     "rules_on_bars",
+    f"""WITH {Q.SUPPLIER_DAYS}, r AS (SELECT 'S' || s_suppkey AS instrument_id, CAST(s_acctbal AS DECIMAL(18,8)) * 10 AS threshold FROM supplier)
+    SELECT instrument_id, starts_at, close > threshold AS passed FROM sbars JOIN r USING (instrument_id)""",
+)
+def rules_on_bars(spark, folder):
+    """A table of rules (one threshold per instrument) bound to the bars of its instrument."""
+    rules = table(spark, folder, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("instrument_id"), (price("s_acctbal") * 10).alias("threshold"), F.lit("GT").alias("op"), F.lit("1d").alias("resolution")
+    )
+    bars = supplier_days(spark, folder).select("instrument_id", "starts_at", "close", F.lit("1d").alias("resolution"))
+    bound = J.bind_rules(rules, bars)
+    return bound.select("instrument_id", "starts_at", compare(F.col("op"), F.col("close"), F.col("threshold")).alias("passed"))
+
+
+@query(
+    "threshold_hits",
     f"""WITH {Q.SUPPLIER_DAYS},
     r AS (SELECT p_partkey AS rule_id, 'S' || (p_partkey % (SELECT count(*) FROM supplier)) AS instrument_id,
       CASE p_partkey % 6 WHEN 0 THEN 'LT' WHEN 1 THEN 'LTE' WHEN 2 THEN 'GT' WHEN 3 THEN 'GTE' WHEN 4 THEN 'EQ' ELSE 'NEQ' END AS op,
       CAST(p_retailprice AS DECIMAL(18,8)) * p_size AS threshold FROM part)
-    SELECT rule_id, r.instrument_id, count(*) AS evaluated, count(*) FILTER (CASE op WHEN 'LT' THEN close < threshold WHEN 'LTE' THEN close <= threshold
+    SELECT rule_id, r.instrument_id, count(b.close) AS evaluated, count(*) FILTER (CASE op WHEN 'LT' THEN close < threshold WHEN 'LTE' THEN close <= threshold
       WHEN 'GT' THEN close > threshold WHEN 'GTE' THEN close >= threshold WHEN 'EQ' THEN close = threshold ELSE close <> threshold END) AS passed
-    FROM r JOIN sbars b ON b.instrument_id = r.instrument_id GROUP BY ALL""",
+    FROM r LEFT JOIN sbars b ON b.instrument_id = r.instrument_id GROUP BY ALL""",
 )
-def rules_on_bars(spark, folder):
-    """A table of parameterised comparison rules bound to the bars of their instrument."""
+def threshold_hits(spark, folder):
+    """How often each parameterised comparison holds, many rules per instrument, without forming rule-bar pairs."""
     suppliers = table(spark, folder, "supplier").agg(F.count(F.lit(1)).alias("_n"))
     names = ["LT", "LTE", "GT", "GTE", "EQ"]
     op = F.lit("NEQ")
@@ -348,16 +363,10 @@ def rules_on_bars(spark, folder):
         F.col("p_partkey").alias("rule_id"),
         F.concat(F.lit("S"), (F.col("p_partkey") % F.col("_n")).cast("string")).alias("instrument_id"),
         op.alias("op"),
-        (price("p_retailprice") * F.col("p_size")).alias("threshold"),
-        F.lit("1d").alias("resolution"),
-    )
-    bars = supplier_days(spark, folder).select("instrument_id", "close", F.lit("1d").alias("resolution"))
-    # Equal thresholds and prices collapse before the join, so it carries one row per distinct close.
-    closes = bars.groupBy("instrument_id", "resolution", "close").agg(F.count(F.lit(1)).alias("_w"))
-    bound = J.bind_rules(rules, closes)
-    return bound.groupBy("rule_id", "instrument_id").agg(
-        F.sum("_w").alias("evaluated"), F.sum(F.when(compare(F.col("op"), F.col("close"), F.col("threshold")), F.col("_w")).otherwise(0)).alias("passed")
+        (price("p_retailprice") * F.col("p_size")).cast("decimal(24,8)").alias("threshold"),
     )
+    bars = supplier_days(spark, folder).select("instrument_id", F.col("close").cast("decimal(24,8)").alias("value"))
+    return R.threshold_hits(rules, bars, 10_000.0)
 
 
 # ---------------------------------------------------------------- gates
@@ -406,3 +415,31 @@ def gate_spaced_bars(spark, folder):
     """Wait seven bars between executions."""
     rows = _gate_rows(spark, folder).filter("status = 'CANDIDATE'")
     return G.spaced(rows, KEY, "pos", 7, chunk=256).select("instrument_id", "starts_at")
+
+
+# ---------------------------------------------------------------- candidates
+
+
+@query(
+    "order_candidates",
+    f"""WITH {_E30},
+    sk AS (SELECT event_type AS instrument_id, ts AS s, ts + to_microseconds(CAST(value * 60000000 AS BIGINT)) AS e FROM events WHERE value > 60),
+    d AS (SELECT instrument_id, ends_at AS decided_at, close, lag(close) OVER {_W} AS pc FROM ev),
+    q AS (SELECT d.*, s.session_date, s.opens_at, s.closes_at, s.next_date, s.next_open, s.next_close, NOT EXISTS (SELECT 1 FROM sk WHERE sk.instrument_id = d.instrument_id AND d.decided_at >= sk.s AND d.decided_at < sk.e) AS allowed
+      FROM d JOIN ses s ON s.session_date = {Q.et_date("d.decided_at")})
+    SELECT instrument_id, decided_at, {Q.num("close")} AS reference_price, CASE WHEN decided_at >= closes_at THEN next_date ELSE session_date END AS session_date_et, CASE WHEN decided_at >= closes_at THEN next_open ELSE decided_at END AS eligible_at,
+      CASE WHEN NOT allowed THEN 'DATA_GAP_EVALUATION_SKIPPED' WHEN pc IS NULL THEN 'DATA_UNAVAILABLE' WHEN decided_at >= closes_at THEN 'POST_MARKET' END AS skip_reason FROM q WHERE pc IS NULL OR close > pc""",
+)
+def order_candidates(spark, folder):
+    """Rising bars as BUY candidates with session rule, data-gap stages and skip reasons."""
+    bars = event_bar_events(spark, folder).select("instrument_id", "starts_at", "occurred_at", "close", "volume")
+    rising = I.with_indicators(bars, KEY, {"prev_close": I.prev_close()}).filter("prev_close IS NULL OR close > prev_close")
+    decided = rising.select("instrument_id", F.col("occurred_at").alias("decided_at"), R.reference_price().alias("reference_price"), "prev_close")
+    placed = cut_lineage(cal.session_status(cal.eligible_session(decided, "decided_at", calendar(spark)), "decided_at", calendar(spark)))
+    skips = table(spark, folder, "events").filter("value > 60").select(
+        F.col("event_type").alias("instrument_id"), F.col("ts").alias("starts_at"), F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 60_000_000).cast("long")).alias("ends_at")
+    )
+    allowed = J.outside(placed, "decided_at", skips, KEY).select(*KEY, "decided_at", F.lit(True).alias("_ok"))
+    flagged = placed.join(allowed, [*KEY, "decided_at"], "left")
+    reason = R.skip_reason(F.coalesce("_ok", F.lit(False)), F.col("prev_close").isNotNull(), F.col("session_status"))
+    return flagged.select("instrument_id", "decided_at", num("reference_price").alias("reference_price"), "session_date_et", "eligible_at", reason.alias("skip_reason"))

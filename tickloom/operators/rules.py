@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import COMPARATORS
 from tickloom.operators import indicators as I
+from tickloom.operators.scan import Running, prefix_scan
 
 
 @dataclass(frozen=True)
@@ -326,6 +327,36 @@ def standard_indicators(short: int = 5, long: int = 20, period: int = 20) -> dic
     }
 
 
+def threshold_hits(rules: DataFrame, values: DataFrame, width: float) -> DataFrame:
+    """Evaluated and passed bars of comparison rules (rule_id, instrument_id, op, threshold) over values.
+
+    Rules and distinct values of an instrument are merged on one number line; a running count of values below and at each
+    threshold answers all six comparators, so many rules over many bars cost one ordered scan.
+    """
+    keys = ["instrument_id"]
+    points = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("value").alias("at"), F.lit(0).alias("side"), "n", F.lit(None).alias("rule"))
+    marks = rules.select(*keys, F.col("threshold").alias("at"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("n"), F.struct("rule_id", "op").alias("rule"))
+    merged = points.unionByName(marks)
+    here = F.when(F.col("side") == 0, F.struct("at", "n"))
+    scanned = prefix_scan(
+        merged, keys, ["at", "side"], F.floor(F.col("at") / F.lit(width)), {"_upto": Running("sum", F.col("n")), "_last": Running("last", here)}
+    ).filter("side = 1")
+    totals = points.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    counted = scanned.join(totals, keys, "left").select(
+        F.col("rule.rule_id").alias("rule_id"), *keys, F.col("rule.op").alias("op"), F.coalesce("_all", F.lit(0)).alias("evaluated"), F.col("_upto").alias("lte"),
+        F.when(F.col("_last.at") == F.col("at"), F.col("_last.n")).otherwise(0).alias("eq"),
+    )
+    passed = (
+        F.when(F.col("op") == "LT", F.col("lte") - F.col("eq"))
+        .when(F.col("op") == "LTE", F.col("lte"))
+        .when(F.col("op") == "GT", F.col("evaluated") - F.col("lte"))
+        .when(F.col("op") == "GTE", F.col("evaluated") - F.col("lte") + F.col("eq"))
+        .when(F.col("op") == "EQ", F.col("eq"))
+        .otherwise(F.col("evaluated") - F.col("eq"))
+    )
+    return counted.select("rule_id", *keys, "evaluated", passed.alias("passed"))
+
+
 def reference_price(column: str = "close") -> Column:
     return F.bround(F.col(column), 8).cast("decimal(24,8)")
 

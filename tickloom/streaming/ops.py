@@ -105,7 +105,8 @@ def gate(stream: DataFrame, key: str, ts: str, tiebreak: str, candidate: str, ga
                 hits.append(ident)
                 waited = 0
         state.update((int(waited),))
-        yield pd.DataFrame({key: [k[0]] * len(hits), tiebreak: hits}).astype("int64")
+        if hits:
+            yield pd.DataFrame({key: [k[0]] * len(hits), tiebreak: hits}).astype("int64")
 
     slim = stream.select(key, ts, tiebreak, candidate)
     return slim.groupBy(key).applyInPandasWithState(update, f"{key} long, {tiebreak} long", "waited int", "append", GroupStateTimeout.NoTimeout)
@@ -182,7 +183,8 @@ def lease_alerts(heartbeats: DataFrame, key: str, ts: str, lease: str, lag: str)
         newest = stamps[-1]
         state.update((int(newest.value // 1000),))
         state.setTimeoutTimestamp(max(int(newest.value // 1_000_000) + lease_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]] * len(lost), "last_seen": pd.Series(lost, dtype="datetime64[us]")})
+        if lost:
+            yield pd.DataFrame({key: [k[0]] * len(lost), "last_seen": pd.Series(lost, dtype="datetime64[us]")})
 
     slim = heartbeats.withWatermark(ts, lag).select(key, ts)
     return slim.groupBy(key).applyInPandasWithState(
