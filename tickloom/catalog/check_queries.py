@@ -204,7 +204,8 @@ def part_check(spark, folder):
     keys = ["run_id", "record_type", "week_start"]
     block = F.floor(F.col("part") / 1_000)
     intact = V.check_parts(parts, keys, block).agg(F.count(F.lit(1)).alias("intact"))
-    return intact.crossJoin(V.check_parts(parts.filter("part <> 1"), keys, block).agg(F.count(F.lit(1)).alias("after_drop")))
+    dropped = V.check_parts(parts.filter("part <> 1"), keys, block).select(F.count(F.lit(1))).scalar()
+    return intact.withColumn("after_drop", dropped)
 
 
 @query("detail_row_check", "SELECT CAST(0 AS BIGINT) AS findings")
@@ -220,7 +221,7 @@ def balance_check(spark, folder):
     ids = ["run_id", "instrument_id", "order_id", "line_no", "part_id", "occurred_at"]
     fills = _with_basis(spark, folder)
     bad = V.check_balanced(L.ledger_entries(fills, ids), ids).agg(F.count(F.lit(1)).alias("unbalanced"))
-    return bad.crossJoin(fills.agg(F.count(F.lit(1)).alias("transactions")))
+    return bad.withColumn("transactions", fills.select(F.count(F.lit(1))).scalar())
 
 
 @query(
@@ -262,8 +263,7 @@ def month_id_check(spark, folder):
 def metric_set_check(spark, folder):
     """Metrics with one key renamed: one missing and one unknown finding per run."""
     metrics = E.metrics_long(_wide(spark, folder)).withColumn("metric_key", F.when(F.col("metric_key") == "sharpe_ratio", "alpha").otherwise(F.col("metric_key")))
-    catalogue = spark.createDataFrame([(k, u) for k, u, _ in E.METRIC_CATALOGUE], "metric_key string, unit string")
-    return V.check_metric_set(cut_lineage(metrics), catalogue)
+    return V.check_metric_set(cut_lineage(metrics), [(k, u) for k, u, _ in E.METRIC_CATALOGUE])
 
 
 @query("equity_check", "SELECT CAST(0 AS BIGINT) AS findings")

@@ -16,6 +16,7 @@ from tickloom.operators import joins as J
 from tickloom.operators import ledger as L
 from tickloom.operators import rules as R
 from tickloom.operators import valuation as V
+from tickloom.operators.scan import Running, prefix_scan
 from tickloom.session import cut_lineage
 from tickloom.sources.tables import table
 
@@ -528,17 +529,14 @@ def equity_curve_mtm(spark, folder):
     day = F.to_date("occurred_at")
     prices = log.filter("run_id % 2 = 0").withColumn("px", unit)
     marks = cut_lineage(V.daily_marks(prices, FILL_ORDER, "px", day))
-    last_day = log.agg(F.max(day).alias("_last"))
+    last_day = log.select(F.max(day)).scalar()
     booked = _booked(spark, folder)
-    moves = booked.groupBy("run_id", day.alias("day")).agg(F.sum(L.cash_delta()).cast("decimal(24,8)").alias("cash_delta"), F.max("occurred_at").alias("at"))
-    from tickloom.operators.scan import Running, prefix_scan
-
+    moves = booked.groupBy("run_id", day.alias("day")).agg(F.sum(L.cash_delta()).cast("decimal(24,8)").alias("cash_delta"))
     points = prefix_scan(moves, ["run_id"], ["day"], F.date_trunc("year", "day"), {"_c": Running("sum", F.col("cash_delta"))}).select(
-        "run_id", "day", "at", (F.lit(INITIAL_CASH).cast("decimal(24,8)") + F.col("_c")).cast("decimal(24,8)").alias("cash")
+        "run_id", "day", (F.lit(INITIAL_CASH).cast("decimal(24,8)") + F.col("_c")).cast("decimal(24,8)").alias("cash")
     )
-    points = cut_lineage(points)
-    held = booked.groupBy("run_id", "instrument_id", "occurred_at").agg(F.max_by("held_after", F.struct(*FILL_ORDER)).alias("quantity_after")).withColumn("seq", F.lit(1))
-    curve = V.equity_curve_mtm(points, held, V.dense_marks(marks, last_day))
+    held = booked.groupBy("run_id", "instrument_id", day.alias("day")).agg(F.max_by("held_after", F.struct(*FILL_ORDER)).alias("quantity_after"))
+    curve = V.equity_curve_mtm(cut_lineage(points), cut_lineage(held), V.dense_marks(marks, last_day), last_day)
     return curve.select("run_id", "day", money("cash").alias("cash"), money("position_value").alias("position_value"), money("equity").alias("equity"), "holdings", "status")
 
 

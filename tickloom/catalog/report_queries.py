@@ -125,7 +125,7 @@ def monthly_documents_verified(spark, folder):
     """Stored documents re-hashed: number of documents and of mismatches."""
     docs = cut_lineage(_documents(spark, folder))
     bad = M.verify_documents(docs).agg(F.count(F.lit(1)).alias("mismatches"))
-    return bad.crossJoin(docs.agg(F.count(F.lit(1)).alias("documents")))
+    return bad.withColumn("documents", docs.select(F.count(F.lit(1))).scalar())
 
 
 # ---------------------------------------------------------------- detail parts

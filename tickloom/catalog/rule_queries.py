@@ -354,12 +354,12 @@ def rules_on_bars(spark, folder):
 )
 def threshold_hits(spark, folder):
     """How often each parameterised comparison holds, many rules per instrument, without forming rule-bar pairs."""
-    suppliers = table(spark, folder, "supplier").agg(F.count(F.lit(1)).alias("_n"))
+    suppliers = table(spark, folder, "supplier").select(F.count(F.lit(1))).scalar()
     names = ["LT", "LTE", "GT", "GTE", "EQ"]
     op = F.lit("NEQ")
     for i, name in enumerate(names):
         op = F.when(F.col("p_partkey") % 6 == i, name).otherwise(op)
-    rules = table(spark, folder, "part").crossJoin(F.broadcast(suppliers)).select(
+    rules = table(spark, folder, "part").withColumn("_n", suppliers).select(
         F.col("p_partkey").alias("rule_id"),
         F.concat(F.lit("S"), (F.col("p_partkey") % F.col("_n")).cast("string")).alias("instrument_id"),
         op.alias("op"),

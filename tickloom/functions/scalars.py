@@ -29,8 +29,8 @@ def _c(value: Column | str) -> Column:
 
 
 def price(value: Column | str) -> Column:
-    """A double price as decimal(18,8), converted through its shortest text form."""
-    return _c(value).cast("string").cast(PRICE)
+    """A double price as decimal(18,8). Spark converts doubles through their shortest text form, as the prices require."""
+    return _c(value).cast(PRICE)
 
 
 def quantize_money(value: Column | str) -> Column:

@@ -196,10 +196,13 @@ def check_month_ids(trades: DataFrame, listed: DataFrame) -> DataFrame:
     return a.join(b, ["run_id", "et_month", "record_id"], "full").withColumn("finding", finding).filter("finding IS NOT NULL").drop("_a", "_b")
 
 
-def check_metric_set(metrics: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Missing and unknown metric keys per run, and COUNT metrics with a fractional value."""
-    runs = metrics.select("run_id").distinct()
-    wanted = runs.crossJoin(F.broadcast(catalogue.select("metric_key", F.col("unit").alias("_unit"))))
+def check_metric_set(metrics: DataFrame, catalogue: Sequence[tuple[str, str]]) -> DataFrame:
+    """Missing and unknown metric keys per run, and COUNT metrics with a fractional value.
+
+    ``catalogue`` is the fixed list of (key, unit).
+    """
+    entries = F.array(*[F.struct(F.lit(k).alias("metric_key"), F.lit(u).alias("_unit")) for k, u in catalogue])
+    wanted = metrics.select("run_id").distinct().select("run_id", F.inline(entries))
     joined = wanted.join(metrics.select("run_id", "metric_key", "value", F.lit(1).alias("_m")), ["run_id", "metric_key"], "full")
     finding = (
         F.when(F.col("_m").isNull(), "MISSING").when(F.col("_unit").isNull(), "UNKNOWN").when((F.col("_unit") == "COUNT") & (F.col("value") != F.floor("value")), "NOT_INTEGRAL")

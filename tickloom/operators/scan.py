@@ -54,7 +54,8 @@ def _local(run: Running, spec: WindowSpec) -> Column:
 
 
 def _total(run: Running, order: Sequence[str], reverse: bool) -> Column:
-    key = F.struct(*[F.col(c) for c in order])
+    # A single order column keeps the aggregation buffer fixed-width, so Spark hashes instead of sorting.
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     pick = F.min_by if reverse else F.max_by
     if run.kind == "sum":
         return F.sum(run.expr)
@@ -66,7 +67,7 @@ def _total(run: Running, order: Sequence[str], reverse: bool) -> Column:
         return F.min(run.expr)
     if run.kind == "last":
         return pick(run.expr, F.when(run.expr.isNotNull(), key))
-    return pick(F.struct(run.expr.alias("v")), key)
+    return pick(run.expr, key)
 
 
 def _carry(run: Running, total: Column, spec: WindowSpec) -> Column:
@@ -77,6 +78,9 @@ def _carry(run: Running, total: Column, spec: WindowSpec) -> Column:
         return F.max(total).over(frame)
     if run.kind == "min":
         return F.min(total).over(frame)
+    if run.kind == "prev":
+        # Every bucket of the summary has rows, so the row before a bucket is the last one of the bucket before.
+        return F.lag(F.struct(total.alias("v")), 1).over(spec)
     return F.last(total, ignorenulls=True).over(frame)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import canonical_json, format_money
-from tickloom.operators.joins import asof
 from tickloom.operators.scan import Running, prefix_scan
 
 MONEY = "decimal(24,8)"
@@ -54,27 +53,34 @@ def daily_marks(prices: DataFrame, order: Sequence[str], px: str, day: Column) -
     return prices.groupBy("instrument_id", day.alias("day")).agg(F.max_by(px, F.struct(*order)).alias("mark"))
 
 
-def dense_marks(marks: DataFrame, last_day: DataFrame) -> DataFrame:
+def _until(df: DataFrame, keys: Sequence[str], last_day: Column) -> DataFrame:
+    """Add ``until``: the day of the next row of the key, or the day after the last day needed."""
+    found = prefix_scan(df, keys, ["day"], F.date_trunc("year", "day"), {"_next": Running("prev", F.col("day"))}, reverse=True)
+    return found.withColumn("until", F.coalesce("_next", F.date_add(last_day, 1))).drop("_next")
+
+
+def dense_marks(marks: DataFrame, last_day: Column) -> DataFrame:
     """Forward-filled marks: one row per instrument and calendar day up to the last day needed.
 
     Marks are one row per instrument and day, so the series of an instrument is bounded by the dates covered.
     """
-    following = prefix_scan(marks, ["instrument_id"], ["day"], F.date_trunc("year", "day"), {"_next": Running("prev", F.col("day"))}, reverse=True)
-    until = F.date_sub(F.coalesce("_next", F.date_add("_last", 1)), 1)
-    return following.crossJoin(F.broadcast(last_day)).filter("day <= _last").select(
-        "instrument_id", F.explode(F.sequence("day", F.greatest("day", until))).alias("day"), "mark"
-    )
+    held = _until(marks, ["instrument_id"], last_day).filter(F.col("day") < F.col("until"))
+    return held.select("instrument_id", F.explode(F.sequence("day", F.date_sub("until", 1))).alias("day"), "mark")
 
 
-def equity_curve_mtm(points: DataFrame, positions: DataFrame, marks: DataFrame) -> DataFrame:
+def equity_curve_mtm(points: DataFrame, positions: DataFrame, marks: DataFrame, last_day: Column) -> DataFrame:
     """cash + sum(quantity x mark) on a daily grid; a held instrument without mark makes the point UNPRICED.
 
-    ``points``: run_id, day, at, cash. ``positions``: run_id, instrument_id, occurred_at, quantity_after, ordered by seq.
+    ``points``: run_id, day, cash. ``positions``: run_id, instrument_id, day, quantity_after (end of day). A position is an
+    interval of days; intervals and points meet in an equi-join on (run, month), so only held instruments produce rows and a
+    run that holds a large share of the data is spread over its months.
     """
-    held = positions.select("run_id", "instrument_id").distinct()
-    grid = points.select("run_id", "day", "at").join(held, "run_id")
-    state = asof(grid, positions, ["run_id", "instrument_id"], "at", "occurred_at", ["quantity_after"], right_tiebreak="seq")
-    priced = state.filter("quantity_after > 0").join(marks, ["instrument_id", "day"], "left")
+    held = _until(positions, ["run_id", "instrument_id"], last_day).filter((F.col("quantity_after") > 0) & (F.col("day") < F.col("until")))
+    months = F.sequence(F.trunc("day", "month"), F.trunc(F.date_sub("until", 1), "month"), F.expr("INTERVAL 1 MONTH"))
+    spread = held.select("run_id", "instrument_id", "quantity_after", F.col("day").alias("_since"), "until", F.explode(months).alias("_month"))
+    grid = points.select("run_id", "day", F.trunc("day", "month").alias("_month"))
+    state = grid.join(spread, ["run_id", "_month"]).filter((F.col("_since") <= F.col("day")) & (F.col("day") < F.col("until")))
+    priced = state.select("run_id", "day", "instrument_id", "quantity_after").join(marks, ["instrument_id", "day"], "left")
     value = F.bround(F.col("quantity_after") * F.col("mark"), 8).cast(MONEY)
     per_day = priced.groupBy("run_id", "day").agg(
         F.sum(value).cast(MONEY).alias("_v"), F.count_if(F.col("mark").isNull()).alias("_unpriced"), F.count(F.lit(1)).alias("holdings")

@@ -23,13 +23,16 @@ def shard_label(shard: Column, shards: Column) -> Column:
 
 
 def prune_shards(objects: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Objects that may hold a wanted instrument. Labels that are not understood are never pruned."""
+    """Objects that may hold a wanted instrument. Labels that are not understood are never pruned.
+
+    The shard counts in use (one or two layouts of a dataset) enter as a scalar subquery.
+    """
     pattern = r"^s(\d+)-of-(\d+)$"
     parsed = objects.withColumn("_shard", F.nullif(F.regexp_extract("shard_key", pattern, 1), F.lit("")).cast("int")).withColumn(
         "_of", F.nullif(F.regexp_extract("shard_key", pattern, 2), F.lit("")).cast("int")
     )
-    counts = parsed.filter(F.col("_of") > 0).select("_of").distinct()
-    wanted = instruments.join(F.broadcast(counts)).select(shard_of(F.col("instrument_id"), F.col("_of")).alias("_shard"), "_of").distinct()
+    counts = parsed.filter(F.col("_of") > 0).select(F.collect_set("_of")).scalar()
+    wanted = instruments.select("instrument_id", F.explode(counts).alias("_of")).select(shard_of(F.col("instrument_id"), F.col("_of")).alias("_shard"), "_of").distinct()
     known = parsed.filter(F.col("_of") > 0).join(wanted, ["_shard", "_of"], "left_semi").select(*objects.columns)
     return known.unionByName(parsed.filter(F.col("_of").isNull() | (F.col("_of") <= 0)).select(*objects.columns))
 
