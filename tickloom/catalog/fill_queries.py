@@ -46,14 +46,14 @@ def _price_sql(base: str, side: str) -> str:
 )
 def sma_cross_fills(spark, folder):
     """Bars, crossing averages, next-session rule, next-bar fill, price and fee."""
-    bars = cut_lineage(event_bar_events(spark, folder).select("instrument_id", "starts_at", "ends_at", "open", "close", "volume"))
+    bars = event_bar_events(spark, folder).select("instrument_id", "starts_at", "ends_at", "open", "close", "volume")
     wanted = {n: R.standard_indicators()[n] for n in ("sum_5", "sum_5_prev", "sum_20", "sum_20_prev")}
-    crossed = I.with_indicators(bars, ["instrument_id"], wanted).filter(
+    crossed = I.with_indicators(bars, ["instrument_id"], wanted, bounded=True).filter(
         R.sma_cross({"shortPeriod": 5, "longPeriod": 20, "direction": "UP"}).passed
     )
     signals = crossed.select("instrument_id", F.col("ends_at").alias("decided_at"), F.lit("BUY").alias("side"))
     orders = cal.eligible_session(signals, "decided_at", calendar(spark)).filter("eligible_at IS NOT NULL")
-    filled = X.market_fill(orders, bars, POLICY, bucket="month").withColumn("quantity", F.lit(1).cast("decimal(18,8)"))
+    filled = X.market_fill(orders, bars, POLICY, bucket=None).withColumn("quantity", F.lit(1).cast("decimal(18,8)"))
     return X.fill_amounts(filled, POLICY).select(
         "instrument_id", "decided_at", "filled_at", num("price").alias("price"), num("gross_amount").alias("gross_amount"), num("fee").alias("fee")
     )
@@ -528,15 +528,15 @@ def equity_curve_mtm(spark, folder):
     unit = F.bround(F.col("gross_amount") / F.col("quantity"), 8).cast("decimal(18,8)")
     day = F.to_date("occurred_at")
     prices = log.filter("run_id % 2 = 0").withColumn("px", unit)
-    marks = cut_lineage(V.daily_marks(prices, FILL_ORDER, "px", day))
+    marks = V.daily_marks(prices, FILL_ORDER, "px", day)
     last_day = log.select(F.max(day)).scalar()
     booked = _booked(spark, folder)
     moves = booked.groupBy("run_id", day.alias("day")).agg(F.sum(L.cash_delta()).cast("decimal(24,8)").alias("cash_delta"))
-    points = prefix_scan(moves, ["run_id"], ["day"], F.date_trunc("year", "day"), {"_c": Running("sum", F.col("cash_delta"))}).select(
+    points = prefix_scan(moves, ["run_id"], ["day"], None, {"_c": Running("sum", F.col("cash_delta"))}).select(
         "run_id", "day", (F.lit(INITIAL_CASH).cast("decimal(24,8)") + F.col("_c")).cast("decimal(24,8)").alias("cash")
     )
     held = booked.groupBy("run_id", "instrument_id", day.alias("day")).agg(F.max_by("held_after", F.struct(*FILL_ORDER)).alias("quantity_after"))
-    curve = V.equity_curve_mtm(cut_lineage(points), cut_lineage(held), V.dense_marks(marks, last_day), last_day)
+    curve = V.equity_curve_mtm(points, held, V.dense_marks(marks, last_day), last_day)
     return curve.select("run_id", "day", money("cash").alias("cash"), money("position_value").alias("position_value"), money("equity").alias("equity"), "holdings", "status")
 
 

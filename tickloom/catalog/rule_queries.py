@@ -61,7 +61,7 @@ def _supplier_indicators(spark, folder, names=None):
     wanted = R.standard_indicators()
     if names:
         wanted = {n: wanted[n] for n in names}
-    return I.with_indicators(supplier_days(spark, folder), KEY, wanted, bucket="year")
+    return I.with_indicators(supplier_days(spark, folder), KEY, wanted, bounded=True)
 
 
 @query(
@@ -71,7 +71,7 @@ def _supplier_indicators(spark, folder, names=None):
 )
 def moving_averages(spark, folder):
     bars = supplier_days(spark, folder)
-    done = I.with_indicators(bars, KEY, {"prev_close": I.prev_close(), "sma_5": I.sma(5), "sma_20": I.sma(20)}, bucket="year")
+    done = I.with_indicators(bars, KEY, {"prev_close": I.prev_close(), "sma_5": I.sma(5), "sma_20": I.sma(20)}, bounded=True)
     return done.select(*KEY, "starts_at", "pos", num("prev_close").alias("prev_close"), num("sma_5").alias("sma_5"), num("sma_20").alias("sma_20"))
 
 
@@ -124,7 +124,7 @@ _EMA_PATH = "list_transform(range(1, len({v}) + 1), lambda k: list_reduce(list_s
     SELECT instrument_id, starts_at, {Q.num(_fold("v", 12))} AS ema_12 FROM w""",
 )
 def ema_series(spark, folder):
-    return I.macd(supplier_days(spark, folder), KEY, 12, 26, 9, bucket="year").select(*KEY, "starts_at", num("ema").alias("ema_12"))
+    return I.macd(supplier_days(spark, folder), KEY, 12, 26, 9, bounded=True).select(*KEY, "starts_at", num("ema").alias("ema_12"))
 
 
 _MACD_CTE = f"""w AS (SELECT instrument_id, starts_at, row_number() OVER {_W} AS pos, list(CAST(close AS DOUBLE)) OVER
@@ -147,7 +147,7 @@ def _macd_sql(src: str) -> str:
     SELECT instrument_id, starts_at, CASE WHEN pos >= 37 THEN {Q.num("r.h", 4)} END AS histogram, CASE WHEN pos >= 37 THEN {Q.num("r.p", 4)} END AS prev_histogram FROM st""",
 )
 def macd_histogram(spark, folder):
-    return I.macd(supplier_days(spark, folder), KEY, 12, 26, 9, bucket="year").select(
+    return I.macd(supplier_days(spark, folder), KEY, 12, 26, 9, bounded=True).select(
         *KEY, "starts_at", num("histogram", 4).alias("histogram"), num("prev_histogram", 4).alias("prev_histogram")
     )
 
@@ -212,7 +212,7 @@ def rule_truth(spark, folder):
     FROM st GROUP BY 1""",
 )
 def macd_cross(spark, folder):
-    rows = I.macd(supplier_days(spark, folder), KEY, 12, 26, 9, bucket="year")
+    rows = I.macd(supplier_days(spark, folder), KEY, 12, 26, 9, bounded=True)
     up, down = R.macd_cross({"direction": "UP"}).passed, R.macd_cross({"direction": "DOWN"}).passed
     return rows.groupBy(*KEY).agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"), F.count_if(up.isNull()).alias("cold"))
 
@@ -235,12 +235,12 @@ _RSI5 = f"""f0 AS (SELECT *, row_number() OVER {_W} AS pos, close - lag(close) O
 def rsi_cross(spark, folder):
     """Pinned RSI at the instant and one clock period earlier; a missing bar is a gap, not the previous session's value."""
     bars = cut_lineage(event_bar_events(spark, folder).select("instrument_id", "starts_at", "occurred_at", "close", "volume"))
-    rsi = I.with_indicators(bars, KEY, {"rsi": I.rsi(14)}).filter("rsi IS NOT NULL")
+    rsi = I.with_indicators(bars, KEY, {"rsi": I.rsi(14)}, bounded=True).filter("rsi IS NOT NULL")
     features = cut_lineage(rsi.select("instrument_id", F.col("starts_at").alias("bar_start_at"), F.col("rsi").cast("decimal(38,8)").alias("value")))
     at = bars.select("instrument_id", "occurred_at")
-    now = I.feature_at(at, features, KEY, "occurred_at", 1_800, "rsi_current", bucket="month")
-    staged = cut_lineage(now.withColumn("_before", plus_seconds("occurred_at", -1_800)))
-    both = I.feature_at(staged, features, KEY, "_before", 1_800, "rsi_previous", bucket="month")
+    now = I.feature_at(at, features, KEY, "occurred_at", 1_800, "rsi_current", bucket=None)
+    staged = now.withColumn("_before", plus_seconds("occurred_at", -1_800))
+    both = I.feature_at(staged, features, KEY, "_before", 1_800, "rsi_previous", bucket=None)
     crossed = R.rsi_cross({"direction": "UP", "threshold": 50}).passed
     return both.select("instrument_id", "occurred_at", num("rsi_current").alias("rsi_current"), num("rsi_previous").alias("rsi_previous"), crossed.alias("crossed_up"))
 
@@ -433,7 +433,7 @@ def gate_spaced_bars(spark, folder):
 def order_candidates(spark, folder):
     """Rising bars as BUY candidates with session rule, data-gap stages and skip reasons."""
     bars = event_bar_events(spark, folder).select("instrument_id", "starts_at", "occurred_at", "close", "volume")
-    rising = I.with_indicators(bars, KEY, {"prev_close": I.prev_close()}).filter("prev_close IS NULL OR close > prev_close")
+    rising = I.with_indicators(bars, KEY, {"prev_close": I.prev_close()}, bounded=True).filter("prev_close IS NULL OR close > prev_close")
     decided = rising.select("instrument_id", F.col("occurred_at").alias("decided_at"), R.reference_price().alias("reference_price"), "prev_close")
     placed = cut_lineage(cal.session_status(cal.eligible_session(decided, "decided_at", calendar(spark)), "decided_at", calendar(spark)))
     skips = table(spark, folder, "events").filter("value > 60").select(

@@ -338,7 +338,7 @@ def asof_supplier_price(spark, folder):
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("instrument_id"),
         (F.date_trunc("month", "l_shipdate") + F.expr("INTERVAL 1 MONTH")).alias("at"),
     ).distinct()
-    return J.asof(grid, bars, ["instrument_id"], "at", "starts_at", ["starts_at", "close"], bucket="year").select(
+    return J.asof(grid, bars, ["instrument_id"], "at", "starts_at", ["starts_at", "close"], bucket=None).select(
         "instrument_id", "at", F.col("starts_at").alias("priced_at"), num("close").alias("close")
     )
 

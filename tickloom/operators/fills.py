@@ -57,7 +57,7 @@ def fill_amounts(df: DataFrame, policy: Policy, px: str = "price", base: str = "
     )
 
 
-def market_fill(orders: DataFrame, bars: DataFrame, policy: Policy, bucket: str = "day") -> DataFrame:
+def market_fill(orders: DataFrame, bars: DataFrame, policy: Policy, bucket: str | None = "day") -> DataFrame:
     """Fill at the open of the first eligible bar; the fill happens when that bar ends."""
     found = next_bar(orders, bars, ["starts_at", "ends_at", "open", "volume"], bucket=bucket).filter(F.col("starts_at").isNotNull())
     priced = found.withColumn("base_price", F.col("open").cast(PX)).withColumn("filled_at", F.col("ends_at"))

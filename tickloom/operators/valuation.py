@@ -54,8 +54,11 @@ def daily_marks(prices: DataFrame, order: Sequence[str], px: str, day: Column) -
 
 
 def _until(df: DataFrame, keys: Sequence[str], last_day: Column) -> DataFrame:
-    """Add ``until``: the day of the next row of the key, or the day after the last day needed."""
-    found = prefix_scan(df, keys, ["day"], F.date_trunc("year", "day"), {"_next": Running("prev", F.col("day"))}, reverse=True)
+    """Add ``until``: the day of the next row of the key, or the day after the last day needed.
+
+    One row per key and day: bounded by the calendar, so a plain window per key is safe.
+    """
+    found = prefix_scan(df, keys, ["day"], None, {"_next": Running("prev", F.col("day"))}, reverse=True)
     return found.withColumn("until", F.coalesce("_next", F.date_add(last_day, 1))).drop("_next")
 
 
