@@ -31,7 +31,7 @@ from tickloom.sources.tables import table
 # ---------------------------------------------------------------- checks on tables and bars
 
 
-@query("schema_check")
+@query("schema_check", "SELECT 'venue' AS column_name, 'MISSING' AS finding, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'value', 'NULL_VALUES', n FROM (SELECT count(*) - count(value) AS n FROM events) WHERE n > 0")
 def schema_check(spark, folder):
     wanted = T.StructType([T.StructField(f.name, f.dataType, False) for f in EVENTS.fields] + [T.StructField("venue", T.StringType(), False)])
     return V.check_schema(table(spark, folder, "events"), wanted)
@@ -545,7 +545,7 @@ def partitioned_scan(spark, folder):
     return market.scan_partitioned(spark, path).filter("feed = 'iex' AND shard <> 'error'").groupBy("instrument_id", "year").agg(F.count(F.lit(1)).alias("bars"))
 
 
-@query("object_digests")
+@query("object_digests", "SELECT DISTINCT event_type AS instrument_id FROM events WHERE event_type = 'view'")
 def object_digests(spark, folder):
     """Written objects are re-hashed; one declared hash is wrong and must be found."""
     path = _store(spark)
@@ -568,12 +568,12 @@ def detail_store(spark, folder):
     return stored.groupBy("run_id", "week_start", "part").agg(F.count(F.lit(1)).alias("n"), F.min("occurred_at").alias("first_at"))
 
 
-@query("result_json")
+@query("result_json", f"WITH {_EVAL} SELECT run_id, count(*) AS lines FROM rec GROUP BY 1")
 def result_json(spark, folder):
     """Trade records of every run as canonical JSON lines, read back as text."""
     path = _store(spark)
     sinks.write_results_json(_trade_records(spark, folder), path)
-    return spark.read.text(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("lines"))
+    return spark.read.text(path).groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("summary_store", f"WITH {_EVAL}, {_COUNTERS} SELECT run_id, count(*) AS months, CAST(sum(evaluation_count) AS BIGINT) AS evaluations FROM mc GROUP BY 1")
