@@ -171,7 +171,7 @@ def pinned(spark: SparkSession) -> DataFrame:
     held = getattr(spark, "_tickloom_calendar", None)
     if held is None:
         frame = indexed(sessions(spark))
-        held = spark.createDataFrame(frame.toArrow()).withColumn("session_type", F.col("session_type"))
+        held = spark.createDataFrame(frame.toArrow())
         spark._tickloom_calendar = held
     return held
 
