@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -33,7 +33,7 @@ SMALLEST = 8
 #: Windows divided at a time: bounds the memory of a task and the length of a partial partition.
 BATCH_WINDOWS = 256
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def pack_documents(
     if taper < 2 or capacity < 1:
         raise ValueError("taper is at least 2, capacity at least 1")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id)
         sequence = TaskContext.get().partitionId() << 36
         waiting: list[tuple] = []
@@ -148,21 +148,20 @@ def pack_documents(
             held = 0
             return rows
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            return out.astype({"doc_id": "Int64"})
+        def frame(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*rows, strict=True)], names=COLUMNS)
 
         for batch in batches:
             rows: list[tuple] = []
-            keys = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            for doc, ids in zip(keys, encode([t or "" for t in batch["text"]]), strict=True):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, ids in zip(keys, encode([t or "" for t in texts]), strict=True):
                 tokens = len(ids) // 4
                 start = 0
                 while tokens - start >= capacity:
                     rows.append((doc, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), tokens, sequence, 0))
                     sequence += 1
                     start += capacity
-                for length in parts_of(tokens - start, taper):
+                for length in parts_of(tokens - start, taper) if tokens > start else []:
                     waiting.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), tokens))
                     held += length
                     start += length
@@ -173,4 +172,4 @@ def pack_documents(
         if waiting:
             yield frame(packed())
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS))

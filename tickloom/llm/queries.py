@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import NOISE, mix
 from tickloom.llm.packing import pack_documents
+from tickloom.llm.pii import KINDS, personal_data
+from tickloom.llm.quality_rules import judge
+from tickloom.llm.secret_scan import BASE_RULES, RULES, secrets
+from tickloom.llm.simhash import near_classes
+from tickloom.llm.spans import listed
 from tickloom.llm.text import documents
 from tickloom.llm.token_counts import token_counts
+from tickloom.llm.topk import top_k
+from tickloom.llm.weak_labels import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +30,16 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    classes = near_classes(documents(spark, folder))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_lines(documents(spark, folder).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder))
 
@@ -30,7 +48,46 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder))
 
 
-QUERIES |= {"op1_mixing": op1_mixing, "op6_packing": op6_packing, "op9_token_counts": op9_token_counts}
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge(documents(spark, folder).select("doc_id", "text"), documents(spark, folder, "labels"))
+    base = [F.col("_stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *base, "base_failed", "kept")
+
+
+def op4_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(documents(spark, folder))
+
+
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data(documents(spark, folder))
+    counts = [F.size(F.filter("base", lambda m, i=i: m["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.array_sort("base"), KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans"), KINDS).alias("spans"))
+
+
+def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(documents(spark, folder, "embeddings"))
+
+
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = secrets(documents(spark, folder))
+    names = [r.name for r in RULES]
+    base = F.filter("spans", lambda m: m["kind"] < len(BASE_RULES))
+    counts = [F.size(F.filter("spans", lambda m, i=i: m["kind"] == i)).cast("long").alias(f"n_{r.name}") for i, r in enumerate(BASE_RULES)]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed(base, names).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans"), names).alias("spans"))
+
+
+QUERIES |= {
+    "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_weak_labels": op4_weak_labels,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
+    "op7_personal_data": op7_personal_data,
+    "op8_top_k": op8_top_k,
+    "op9_token_counts": op9_token_counts,
+    "op10_secrets": op10_secrets,
+}
 
 ORACLES["op1_mixing"] = f"""
 WITH m AS (
@@ -54,3 +111,32 @@ WITH m AS (
 SELECT doc_id, size, s AS source_size, target,
        (size * (epochs + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c"""
+
+
+ORACLES["op5_line_dedup"] = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), k AS (
+  SELECT *, translate(trim(line, {SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), d AS (
+  SELECT k.doc_id, k.i, k.line, c.keeper IS NOT NULL AND k.doc_id <> c.keeper AS gone FROM k LEFT JOIN c USING (key)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id"""
+
+
+ORACLES["op8_top_k"] = """
+WITH u AS (
+  SELECT vec_id, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), v AS (
+  SELECT vec_id, list_transform(e, lambda x: floor(1024 * x::DOUBLE)) AS e FROM u
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10"""
