@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as pipeline
 from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import NOISE, mix
 from tickloom.llm.packing import pack_documents
@@ -58,9 +60,13 @@ def op4_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
     return classify(documents(spark, folder))
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda m: m["kind"] == kind)).cast("long")
+
+
 def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = personal_data(documents(spark, folder))
-    counts = [F.size(F.filter("base", lambda m, i=i: m["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    counts = [_of_kind("base", i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed(F.array_sort("base"), KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans"), KINDS).alias("spans"))
 
 
@@ -72,7 +78,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found, _ = secrets(documents(spark, folder))
     names = [r.name for r in RULES]
     base = F.filter("spans", lambda m: m["kind"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda m, i=i: m["kind"] == i)).cast("long").alias(f"n_{r.name}") for i, r in enumerate(BASE_RULES)]
+    counts = [_of_kind("spans", i).alias(f"n_{r.name}") for i, r in enumerate(BASE_RULES)]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed(base, names).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans"), names).alias("spans"))
 
 
@@ -87,7 +93,10 @@ QUERIES |= {
     "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
 }
+if PIPELINE_SQL is not None:
+    ORACLES["pipeline"] = PIPELINE_SQL
 
 ORACLES["op1_mixing"] = f"""
 WITH m AS (

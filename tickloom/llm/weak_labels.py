@@ -30,14 +30,16 @@ STEPS, RATE, PENALTY = 60, 2.0, 1e-4
 #: Rounds of expectation maximisation; a document is kept from this score on.
 ROUNDS, KEEP = 200, 0.5
 
-#: Labeller names with the statistic they look at, the bound below which they vote good and the one above which they vote bad.
+#: Labeller names with the statistic they look at and the range in which they vote, and the vote: 1 bad, 2 good.
 LABELLERS = (
-    ("symbols", 0.02, 0.08),
-    ("repeats", 0.10, 0.30),
-    ("shouting", 0.20, 0.60),
-    ("long_words", 9.0, 14.0),
-    ("bars", 0.01, 0.10),
-    ("sameness", 0.10, 0.35),
+    ("symbols", 0.08, math.inf, 1),
+    ("repeats", 0.30, 1.0, 1),
+    ("shouting", 0.60, 1.0, 1),
+    ("long_words", 14.0, math.inf, 1),
+    ("bars", 0.10, 1.0, 1),
+    ("sameness", 0.30, 1.0, 1),
+    ("plain_words", 0.70, 1.0, 2),
+    ("sentences", 0.02, 0.30, 2),
 )
 
 
@@ -46,13 +48,17 @@ def statistics(text: str) -> list[float]:
     words = text.split()
     if not words:
         return [math.nan] * len(LABELLERS)
+    n = len(words)
     chars = sum(map(len, words))
     letters = sum(c.isalpha() for c in text) or 1
     upper = sum(c.isupper() for c in text)
     symbols = sum(text.count(c) for c in "#*$%&<>!^~{}[]")
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     grams = list(zip(words, words[1:], words[2:], strict=False))
-    return [symbols / chars, 1 - len(set(grams)) / len(grams) if grams else 0.0, upper / letters, chars / len(words), words.count("|") / len(words), same / len(words)]
+    again = 1 - len(set(grams)) / len(grams) if grams else 0.0
+    plain = sum(w.strip(".,;:").isalpha() and not w[1:].isupper() for w in words)
+    ends = sum(w[-1] in ".,;:" for w in words)
+    return [symbols / chars, again, upper / letters, chars / n, words.count("|") / n, same / n, plain / n, ends / n]
 
 
 def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +85,7 @@ def votes(docs: DataFrame, text: str) -> Column:
     def of(batch: pd.Series) -> pd.Series:
         def cast(value: str) -> str:
             found = zip(statistics(value), LABELLERS, strict=True)
-            return "".join("0" if x != x else "2" if x < low else "1" if x > high else "0" for x, (_, low, high) in found)
+            return "".join(str(vote) if low <= x <= high else "0" for x, (_, low, high, vote) in found)
 
         return batch.map(cast)
 
@@ -106,9 +112,10 @@ def fit_label_model(counts: dict[str, int], rounds: int = ROUNDS) -> LabelModel:
     width = len(next(iter(counts))) if counts else len(LABELLERS)
     patterns = np.array([[int(v) for v in p] for p in counts], np.int64).reshape(-1, width)
     weight = np.array(list(counts.values()), float)
-    # At first a labeller is right four times in five where it votes.
-    rates = np.tile(np.array([[0.3, 0.56, 0.14], [0.3, 0.14, 0.56]]), (width, 1, 1))
-    model = LabelModel(0.8, rates)
+    # At first a vote is right far more often than wrong: rates of no vote, bad and good, by class (bad, good).
+    bad_voter, good_voter = [[0.69, 0.30, 0.01], [0.97, 0.02, 0.01]], [[0.69, 0.01, 0.30], [0.29, 0.01, 0.70]]
+    kinds = [vote for *_, vote in LABELLERS] if width == len(LABELLERS) else [1] * width
+    model = LabelModel(0.8, np.array([bad_voter if kind == 1 else good_voter for kind in kinds]))
     for _ in range(rounds if len(counts) else 0):
         own = np.array([model.posterior(p) for p in counts])
         good = float(np.clip((own * weight).sum() / weight.sum(), 0.01, 0.99))
