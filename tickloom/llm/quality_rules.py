@@ -206,27 +206,32 @@ def decision(rules: Sequence[Rule], stats: Column) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> list[Rule]:
+def learn_from(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> list[Rule]:
     """Rules learned from all labelled rows that pass the base rule. Labels other than 0 and 1 and null ids are left out.
 
-    Texts are joined to the distinct labelled ids; their statistics are stored, in a few numbers per row.
+    ``measured`` has ``_id`` and ``_stats``; what is joined to the labels is a few numbers per row.
     """
     known = labels.filter(F.col(quality).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(quality).alias("_quality"))
-    measured = text_statistics(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))).filter(~base_failed(F.col("_stats")))
-    rows = measured.select("_id", "_stats").join(known, "_id")
+    rows = measured.filter(~base_failed(F.col("_stats"))).select("_id", "_stats").join(known, "_id")
     rows = rows.select(*[F.col("_stats")[f].alias(f) for f in FEATURES], (1 - F.col("_quality")).cast("int").alias("bad"), (F.pmod(F.xxhash64("_id"), F.lit(3)) == 0).alias("aside"))
     return learn(store(rows))
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_stats``, ``base_failed`` and ``kept`` of every row.
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: bool = False) -> DataFrame:
+    """``doc_id, _stats, base_failed`` and ``kept`` of every row; with ``rows`` the rows of ``docs`` that are kept, unchanged.
 
     A null or empty text has no words and fails the base rule. Without labels, or with labels of one kind, the list is empty
     and only the base rule rejects. Rows that repeat an id are judged each; an empty table gives no rows. Thresholds are
-    quantiles, so ties fall on the same side. ``docs`` may have any further columns but those named here.
+    quantiles, so ties fall on the same side. Statistics are worked out once and stored; only ``rows`` works them out again,
+    so that texts need not be joined to them.
     """
     prepare(docs.sparkSession)
-    rules = learn_from(docs, labels, doc_id, text)
-    judged = text_statistics(docs, text)
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_own"))
+    measured = store(text_statistics(own, "_own").select("_id", "_stats"))
+    rules = learn_from(measured, labels, doc_id)
     failed = base_failed(F.col("_stats"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & decision(rules, F.col("_stats")))
+    verdict = ~failed & decision(rules, F.col("_stats"))
+    if not rows:
+        return measured.select(F.col("_id").alias("doc_id"), "_stats", failed.alias("base_failed"), verdict.alias("kept"))
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_own"))
+    return text_statistics(held, "_own").filter(verdict).select("_row.*")

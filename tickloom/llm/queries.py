@@ -51,7 +51,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    judged = judge(documents(spark, folder).select("doc_id", "text"), documents(spark, folder, "labels"))
+    judged = judge(documents(spark, folder), documents(spark, folder, "labels"))
     base = [F.col("_stats")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *base, "base_failed", "kept")
 
