@@ -604,39 +604,68 @@ def manifest_join(spark, folder):
 
 
 def _plans(spark, folder):
-    """One compiled plan per part row; some plans carry the faults the lint looks for."""
+    """One compiled plan per part row, every fourth of version 1; some plans carry the faults the lint looks for."""
     size = F.col("p_size").cast("string")
     key = F.col("p_partkey").cast("string")
+    number = F.col("p_partkey")
 
     def step(seq, op, **args):
         pairs = [x for k, v in args.items() for x in (F.lit(k), v if not isinstance(v, str) else F.lit(v))]
-        return F.struct(F.lit(seq).alias("sequence") if isinstance(seq, int) else seq.alias("sequence"), F.lit(op).alias("operation"), F.create_map(*pairs).alias("arguments"))
+        return F.struct((F.lit(seq) if isinstance(seq, int) else seq).alias("sequence"), F.lit(op).alias("operation"), F.create_map(*pairs).alias("arguments"))
 
-    steps = F.array(
-        step(1, "SMA_CROSS", direction="UP", shortPeriod="5", longPeriod=F.concat(size, F.when(F.col("p_partkey") % 9 == 0, "0").otherwise("")), resolution="1d"),
-        step(2, "STREAK", direction=F.when(F.col("p_partkey") % 7 == 0, "SIDEWAYS").otherwise("UP"), bars=size, resolution="1d"),
-        step(F.when(F.col("p_partkey") % 11 == 0, 4).otherwise(3), "TERMINAL", side="BUY", orderPercent=size),
+    first = number % 4 == 0
+    shared = F.array(
+        step(1, "LOAD_FEATURE", feature="RSI_14", resolution="1m"),
+        step(2, "COMPARE", operator=F.when(number % 5 == 0, "BELOW").otherwise("LT"), threshold=size),
+        step(3, "EMIT_ORDER_CANDIDATE", allocation="EQUAL", orderType="MARKET", side="BUY"),
     )
-    flow = F.struct(F.concat(F.lit("flow-"), key).alias("key"), F.array(F.concat(F.lit("S"), (F.col("p_partkey") % 100).cast("string"))).alias("officialInstrumentIds"), steps.alias("steps"))
+    per_flow = F.array(
+        step(1, "SMA_CROSS", direction="UP", shortPeriod="5", longPeriod=F.when(number % 9 == 0, "45").otherwise("60"), resolution="1d"),
+        step(2, "RSI_CROSS", direction=F.when(number % 7 == 0, "SIDEWAYS").otherwise("UP"), period="14", threshold=(F.col("p_size") * 3).cast("string"), resolution="1d"),
+        step(
+            F.when(number % 11 == 0, 4).otherwise(3), "EMIT_ORDER_CANDIDATE", allocation="EQUAL", orderType="MARKET", timeInForce="DAY", side="BUY", orderPercent=size, maxPositionPercent="50",
+            executionMode="1회만", waitMode="N봉 이후", waitInterval=F.when(number % 3 == 0, "0").otherwise("2"), maxExecutions="1.5",
+        ),
+    )
+    flow = F.struct(F.concat(F.lit("flow-"), key).alias("key"), F.array(F.concat(F.lit("S"), (number % 100).cast("string"))).alias("officialInstrumentIds"), F.when(~first, per_flow).alias("steps"))
     partition = F.struct(F.lit("core").alias("key"), F.lit(10_000).alias("budgetCapBps"), F.array(flow).alias("flows"))
-    snapshot = F.struct(F.lit("10000.00000000").alias("initialCashAmount"), F.lit("USD").alias("currency"), F.array(partition).alias("partitions"))
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("plan_id"), F.to_json(F.struct(F.lit("2").alias("contractVersion"), snapshot.alias("executionSnapshot"))).alias("plan_json"))
+    strategy = F.struct(F.lit("snapshot.v1").alias("snapshotSchemaVersion"), F.concat(F.lit("m"), key).alias("semanticHash"), F.lit("s").alias("snapshotHash"))
+    snapshot = F.struct(strategy.alias("immutableStrategyVersion"), F.lit("BASIC").alias("mode"), F.lit("10000.00000000").alias("initialCashAmount"), F.lit("USD").alias("currency"), F.array(partition).alias("partitions"))
+    feature = F.struct(
+        F.lit("rsi").alias("requirementId"), F.lit("f1").alias("featureId"), F.lit("1.0.0").alias("featureVersion"), F.array(F.lit("S9"), F.lit("S10")).alias("instruments"), F.lit("PT1M").alias("resolution"),
+        F.col("p_size").alias("requiredObservations"),
+    )
+    catalogue = F.when(number % 13 == 0, "basic-elements:unknown").when(first, "basic-elements:2026-07-31").otherwise("basic-elements:2026-08-25")
+    plan = F.struct(
+        F.lit("strategy-bot.v1").alias("contractVersion"), F.when(first, "basic-compiled-plan.v1").otherwise("basic-compiled-plan.v2").alias("schemaVersion"), catalogue.alias("elementCatalogVersion"),
+        F.lit("universe:1").alias("instrumentCatalogVersion"), F.lit("compiler:1").alias("compilerVersion"), F.lit("h").alias("requiredFeatureSetHash"), F.array(feature).alias("requiredFeatures"),
+        snapshot.alias("executionSnapshot"), F.when(first, shared).alias("steps"),
+    )
+    return table(spark, folder, "part").select(number.alias("plan_id"), F.to_json(plan).alias("plan_json"))
 
 
 @query(
     "plan_steps",
-    """SELECT p_partkey AS plan_id, 'flow-' || p_partkey AS flow_id, s.seq AS step_no, CASE WHEN s.seq = 2 AND p_partkey % 11 = 0 THEN 4 ELSE s.seq + 1 END AS sequence, s.op AS operation FROM part, (VALUES (0, 'SMA_CROSS'), (1, 'STREAK'), (2, 'TERMINAL')) s(seq, op)""",
+    """SELECT p_partkey AS plan_id, 'flow-' || p_partkey AS flow_id, s.seq AS step_no, CASE WHEN s.seq = 2 AND p_partkey % 4 <> 0 AND p_partkey % 11 = 0 THEN 4 ELSE s.seq + 1 END AS sequence,
+      CASE WHEN p_partkey % 4 = 0 THEN s.old ELSE s.new END AS operation
+    FROM part, (VALUES (0, 'LOAD_FEATURE', 'SMA_CROSS'), (1, 'COMPARE', 'RSI_CROSS'), (2, 'EMIT_ORDER_CANDIDATE', 'EMIT_ORDER_CANDIDATE')) s(seq, old, new)""",
 )
 def plan_steps(spark, folder):
-    """Plan documents flattened to one row per step."""
+    """Plan documents of both versions flattened to one row per step."""
     return P.flatten(_plans(spark, folder)).select("plan_id", "flow_id", "step_no", "sequence", "operation")
 
 
 @query(
     "plan_lint",
-    """SELECT p_partkey AS plan_id, 1 AS sequence, 'longPeriod' AS argument, 'OUT_OF_BOUNDS' AS finding FROM part WHERE CAST(p_size || CASE WHEN p_partkey % 9 = 0 THEN '0' ELSE '' END AS INTEGER) NOT BETWEEN 2 AND 120
-    UNION ALL SELECT p_partkey, 2, 'direction', 'NOT_ALLOWED' FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 2, 'bars', 'OUT_OF_BOUNDS' FROM part WHERE p_size NOT BETWEEN 1 AND 60
-    UNION ALL SELECT p_partkey, NULL, NULL, 'NON_CONTIGUOUS' FROM part WHERE p_partkey % 11 = 0""",
+    """WITH p AS (SELECT *, p_partkey % 4 = 0 AS first, p_partkey % 13 = 0 AS unsupported FROM part), o AS (SELECT * FROM p WHERE first AND NOT unsupported), n AS (SELECT * FROM p WHERE NOT first AND NOT unsupported)
+    SELECT p_partkey AS plan_id, 2 AS sequence, 'operator' AS argument, 'NOT_ALLOWED' AS finding FROM o WHERE p_partkey % 5 = 0
+    UNION ALL SELECT p_partkey, 1, 'longPeriod', 'NOT_ALLOWED' FROM n WHERE p_partkey % 9 = 0 UNION ALL SELECT p_partkey, 2, 'direction', 'NOT_ALLOWED' FROM n WHERE p_partkey % 7 = 0
+    UNION ALL SELECT p_partkey, 2, 'threshold', 'OUT_OF_BOUNDS' FROM n WHERE p_size * 3 > 100
+    UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE 3 END, 'orderPercent', 'OUT_OF_BOUNDS' FROM n WHERE p_size <= 0 OR p_size > 100
+    UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE 3 END, 'waitInterval', 'OUT_OF_BOUNDS' FROM n WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE 3 END, 'maxExecutions', 'NOT_A_NUMBER' FROM n
+    UNION ALL SELECT p_partkey, NULL, NULL, 'NON_CONTIGUOUS' FROM p WHERE NOT first AND p_partkey % 11 = 0
+    UNION ALL SELECT p_partkey, NULL, NULL, 'UNSUPPORTED_CATALOGUE' FROM p WHERE unsupported""",
 )
 def plan_lint(spark, folder):
     steps = P.flatten(_plans(spark, folder))
@@ -645,11 +674,17 @@ def plan_lint(spark, folder):
 
 @query(
     "plan_checksums",
-    """SELECT p_partkey AS plan_id, 'sha256:' || sha256('contractVersion=2' || chr(10) || 'initialCashAmount=10000.00000000' || chr(10) || 'currency=USD' || chr(10) || 'partition=core|budgetCapBps=10000' || chr(10)
-      || 'flow=flow-' || p_partkey || '|officialInstrumentIds=S' || (p_partkey % 100) || chr(10)
-      || 'step=1|SMA_CROSS|direction=UP|longPeriod=' || p_size || CASE WHEN p_partkey % 9 = 0 THEN '0' ELSE '' END || '|resolution=1d|shortPeriod=5' || chr(10)
-      || 'step=2|STREAK|bars=' || p_size || '|direction=' || CASE WHEN p_partkey % 7 = 0 THEN 'SIDEWAYS' ELSE 'UP' END || '|resolution=1d' || chr(10)
-      || 'step=' || CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE 3 END || '|TERMINAL|orderPercent=' || p_size || '|side=BUY') AS checksum FROM part""",
+    """SELECT p_partkey AS plan_id, 'sha256:' || sha256(array_to_string(['contractVersion=strategy-bot.v1', 'schemaVersion=basic-compiled-plan.v' || CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 2 END, 'snapshotSchemaVersion=snapshot.v1',
+      'semanticHash=m' || p_partkey, 'snapshotHash=s', 'elementCatalogVersion=basic-elements:' || CASE WHEN p_partkey % 13 = 0 THEN 'unknown' WHEN p_partkey % 4 = 0 THEN '2026-07-31' ELSE '2026-08-25' END,
+      'instrumentCatalogVersion=universe:1', 'compilerVersion=compiler:1', 'requiredFeatureSetHash=h', 'mode=BASIC', 'initialCashAmount=10000.00000000', 'currency=USD',
+      'requiredFeature=requirementId=rsi|featureId=f1|featureVersion=1.0.0|instruments=S10,S9|resolution=PT1M|requiredObservations=' || p_size,
+      'partition=core|budgetCapBps=10000', 'flow=flow-' || p_partkey || '|officialInstrumentIds=S' || (p_partkey % 100),
+      CASE WHEN p_partkey % 4 = 0 THEN 'step=1|LOAD_FEATURE|feature=RSI_14|resolution=1m' || chr(10) || 'step=2|COMPARE|operator=' || CASE WHEN p_partkey % 5 = 0 THEN 'BELOW' ELSE 'LT' END || '|threshold=' || p_size || chr(10)
+        || 'step=3|EMIT_ORDER_CANDIDATE|allocation=EQUAL|orderType=MARKET|side=BUY'
+      ELSE 'step=1|SMA_CROSS|direction=UP|longPeriod=' || CASE WHEN p_partkey % 9 = 0 THEN '45' ELSE '60' END || '|resolution=1d|shortPeriod=5' || chr(10)
+        || 'step=2|RSI_CROSS|direction=' || CASE WHEN p_partkey % 7 = 0 THEN 'SIDEWAYS' ELSE 'UP' END || '|period=14|resolution=1d|threshold=' || (p_size * 3) || chr(10)
+        || 'step=' || CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE 3 END || '|EMIT_ORDER_CANDIDATE|allocation=EQUAL|executionMode=1회만|maxExecutions=1.5|maxPositionPercent=50|orderPercent=' || p_size
+        || '|orderType=MARKET|side=BUY|timeInForce=DAY|waitInterval=' || CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END || '|waitMode=N봉 이후' END], chr(10))) AS checksum FROM part""",
 )
 def plan_checksums(spark, folder):
-    return P.plan_checksum(_plans(spark, folder))
+    return P.plan_checksum(_plans(spark, folder)).select("plan_id", "checksum")

@@ -73,27 +73,45 @@ FLOW = _s(
     ("steps", T.ArrayType(STEP)),
 )
 
+REQUIRED_FEATURE = _s(
+    ("requirementId", T.StringType()),
+    ("featureId", T.StringType()),
+    ("featureVersion", T.StringType()),
+    ("instruments", T.ArrayType(T.StringType())),
+    ("resolution", T.StringType()),
+    ("requiredObservations", T.IntegerType()),
+)
+
+PARTITION = _s(
+    ("key", T.StringType()),
+    ("budgetCapBps", T.IntegerType()),
+    ("flows", T.ArrayType(FLOW)),
+)
+
+# Version 1 keeps one list of steps at the top of the document, version 2 a list per flow.
 PLAN = _s(
     ("contractVersion", T.StringType()),
-    ("planChecksum", T.StringType()),
+    ("schemaVersion", T.StringType()),
+    ("elementCatalogVersion", T.StringType()),
+    ("instrumentCatalogVersion", T.StringType()),
+    ("compilerVersion", T.StringType()),
+    ("requiredFeatureSetHash", T.StringType()),
+    ("requiredFeatures", T.ArrayType(REQUIRED_FEATURE)),
     (
         "executionSnapshot",
         _s(
-            ("initialCashAmount", T.StringType()),
-            ("currency", T.StringType()),
-            ("steps", T.ArrayType(STEP)),
             (
-                "partitions",
-                T.ArrayType(
-                    _s(
-                        ("key", T.StringType()),
-                        ("budgetCapBps", T.IntegerType()),
-                        ("flows", T.ArrayType(FLOW)),
-                    )
-                ),
+                "immutableStrategyVersion",
+                _s(("snapshotSchemaVersion", T.StringType()), ("semanticHash", T.StringType()), ("snapshotHash", T.StringType())),
             ),
+            ("mode", T.StringType()),
+            ("initialCashAmount", T.StringType()),
+            ("currency", T.StringType()),
+            ("partitions", T.ArrayType(PARTITION)),
         ),
     ),
+    ("steps", T.ArrayType(STEP)),
+    ("planChecksum", T.StringType()),
 )
 
 # Driver tables.
