@@ -26,7 +26,7 @@ def _fills(spark, seed, n=160):
     money = "decimal(18,8)"
     shaped = df.select(
         "run_id", "instrument_id", "occurred_at", "order_id", "side", F.col("quantity").cast(money).alias("quantity"),
-        (F.col("gross") / 100).cast(money).alias("gross_amount"), F.lit("0.01").cast(money).alias("fee"),
+        (F.col("gross") / 100).cast(money).alias("gross_amount"), F.lit("0.01").cast(money).alias("fee"), *[F.lit("0.002").cast("decimal(18,8)").alias(c) for c in ("slippage", "fee_rate", "slippage_rate")],
     )
     return rows, shaped
 

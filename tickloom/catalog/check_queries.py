@@ -258,11 +258,11 @@ def month_id_check(spark, folder):
 
 @query(
     "metric_set_check",
-    "SELECT l_suppkey AS run_id, k AS metric_key, CASE WHEN k = 'alpha' THEN 'UNKNOWN' ELSE 'MISSING' END AS finding FROM (SELECT DISTINCT l_suppkey FROM lineitem), (VALUES ('alpha'), ('sharpe_ratio')) v(k)",
+    "SELECT l_suppkey AS run_id, k AS metric_key, CASE WHEN k = 'alpha' THEN 'UNKNOWN' ELSE 'MISSING' END AS finding FROM (SELECT DISTINCT l_suppkey FROM lineitem), (VALUES ('alpha'), ('sharpe')) v(k)",
 )
 def metric_set_check(spark, folder):
     """Metrics with one key renamed: one missing and one unknown finding per run."""
-    metrics = E.metrics_long(_wide(spark, folder)).withColumn("metric_key", F.when(F.col("metric_key") == "sharpe_ratio", "alpha").otherwise(F.col("metric_key")))
+    metrics = E.metrics_long(_wide(spark, folder)).withColumn("metric_key", F.when(F.col("metric_key") == "sharpe", "alpha").otherwise(F.col("metric_key")))
     return V.check_metric_set(cut_lineage(metrics), [(k, u) for k, u, _ in E.METRIC_CATALOGUE])
 
 

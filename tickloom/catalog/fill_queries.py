@@ -214,9 +214,9 @@ def capacity_allocation(spark, folder):
 @query(
     "fill_over_bars",
     f"""WITH {Q.SUPPLIER_DAYS}, o AS (SELECT DISTINCT 'S' || l_suppkey AS instrument_id, date_trunc('month', l_shipdate) AS eligible_at, date_trunc('month', l_shipdate) + INTERVAL 20 DAY AS expires_at FROM lineitem),
-    c AS (SELECT o.instrument_id, o.eligible_at, b.starts_at, floor(b.volume * 0.1) AS cap, sum(floor(b.volume * 0.1)) OVER (PARTITION BY o.instrument_id, o.eligible_at ORDER BY b.starts_at) AS cum
+    c AS (SELECT o.instrument_id, o.eligible_at, b.starts_at, CAST(b.volume AS BIGINT) * CAST(0.1 AS DECIMAL(4,1)) AS cap, sum(CAST(b.volume AS BIGINT) * CAST(0.1 AS DECIMAL(4,1))) OVER (PARTITION BY o.instrument_id, o.eligible_at ORDER BY b.starts_at) AS cum
       FROM o JOIN sbars b ON b.instrument_id = o.instrument_id AND b.starts_at >= eligible_at AND b.starts_at < expires_at)
-    SELECT instrument_id, CAST(eligible_at AS TIMESTAMP) AS eligible_at, starts_at, CAST(least(cum, 20) - least(cum - cap, 20) AS DOUBLE) AS filled_quantity, CASE WHEN cum >= 20 THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END AS fill_status
+    SELECT instrument_id, CAST(eligible_at AS TIMESTAMP) AS eligible_at, starts_at, {Q.num("least(cum, 20) - least(cum - cap, 20)")} AS filled_quantity, CASE WHEN cum >= 20 THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END AS fill_status
     FROM c WHERE least(cum, 20) - least(cum - cap, 20) > 0""",
 )
 def fill_over_bars(spark, folder):
@@ -320,7 +320,7 @@ b2 AS (SELECT *, min(s) OVER {_K} AS m, min(s) OVER {_KX} AS m0 FROM b1),
 b3 AS (SELECT *, s - least(m, 0) AS held_after, s - sq - least(coalesce(m0, 0), 0) AS held_before FROM b2),
 b4 AS (SELECT *, CASE WHEN side = 'BUY' THEN quantity ELSE least(quantity, held_before) END AS executed FROM b3),
 b5 AS (SELECT *, CAST(CASE WHEN executed = quantity THEN gross0 ELSE round_even(CAST(CAST(gross0 AS DOUBLE) / CAST(quantity AS DOUBLE) AS DECIMAL(18,8)) * CAST(executed AS DECIMAL(28,8)), 8) END AS DECIMAL(18,8)) AS gross_amount FROM b4 WHERE executed > 0),
-bk AS (SELECT *, CAST(round_even(gross_amount * {_RATE["fee"]}, 8) AS DECIMAL(18,8)) AS fee, row_number() OVER (PARTITION BY run_id ORDER BY {_ORD}, instrument_id) AS seq FROM b5)
+bk AS (SELECT *, CAST(round_even(gross_amount * {_RATE["fee"]}, 8) AS DECIMAL(18,8)) AS fee, CAST(round_even(gross_amount * {_RATE["slip"]}, 8) AS DECIMAL(18,8)) AS slippage, row_number() OVER (PARTITION BY run_id ORDER BY {_ORD}, instrument_id) AS seq FROM b5)
 """
 FIFO = f"""
 {BOOK},
@@ -427,11 +427,11 @@ def position_cycles(spark, folder):
     return L.position_cycles(_booked(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("year", "occurred_at")).select(*ID, "cycle", "opened_at")
 
 
-@query("trade_stats", f"""WITH {FIFO} SELECT run_id, count(*) AS fill_count, count(*) FILTER (side = 'SELL') AS closing_count, count(*) FILTER (side = 'SELL' AND realized_pnl > 0) AS winning_count,
-    count(*) FILTER (side = 'SELL' AND realized_pnl < 0) AS losing_count, {Q.money("sum(realized_pnl)")} AS realized_pnl, {Q.money("sum(fee)")} AS total_fees FROM fb GROUP BY 1""")
+@query("trade_stats", f"""WITH {FIFO} SELECT run_id, count(*) AS fillCount, count(*) FILTER (side = 'SELL') AS closingTradeCount, count(*) FILTER (side = 'SELL' AND realized_pnl > 0) AS winningTradeCount,
+    count(*) FILTER (side = 'SELL' AND realized_pnl < 0) AS losingTradeCount, {Q.money("sum(realized_pnl)")} AS realizedPnl, {Q.money("sum(fee)")} AS totalFees, {Q.money("sum(slippage)")} AS totalSlippage FROM fb GROUP BY 1""")
 def trade_stats(spark, folder):
     df = L.trade_stats(_with_basis(spark, folder), ["run_id"])
-    return df.withColumn("realized_pnl", money("realized_pnl")).withColumn("total_fees", money("total_fees"))
+    return df.withColumns({c: money(c) for c in ("realizedPnl", "totalFees", "totalSlippage")})
 
 
 CURVE = f"""
@@ -461,40 +461,40 @@ def equity_curve_cost(spark, folder):
 
 _METRICS = f"""
 mt0 AS (SELECT *, CAST(equity AS DOUBLE) AS e, CAST(max(equity) OVER (PARTITION BY run_id ORDER BY as_of) AS DOUBLE) AS pk, CAST(lag(equity) OVER (PARTITION BY run_id ORDER BY as_of) AS DOUBLE) AS pe FROM cv),
-mt1 AS (SELECT *, (e - pk) / pk * 100 AS dd, round((e - pe) / pe, 8) AS r FROM mt0),
-mt AS (SELECT run_id, arg_min(equity, as_of) AS starting_equity, arg_max(equity, as_of) AS ending_equity, arg_max(cash, as_of) AS ending_cash, min(dd) AS dd, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, count(*) AS point_count FROM mt1 GROUP BY 1),
-ts AS (SELECT run_id, count(*) AS fill_count, count(*) FILTER (side = 'SELL') AS closing_count, count(*) FILTER (side = 'SELL' AND realized_pnl > 0) AS winning_count,
-    count(*) FILTER (side = 'SELL' AND realized_pnl < 0) AS losing_count, sum(realized_pnl) AS realized_pnl, sum(fee) AS total_fees FROM fb GROUP BY 1),
-wide AS (SELECT mt.run_id, CAST(ending_equity - starting_equity AS DOUBLE) / CAST(starting_equity AS DOUBLE) * 100 AS total_return_pct, least(dd, 0) AS max_drawdown_pct,
-    CASE WHEN n >= 2 AND sd <> 0 THEN mean / sd * sqrt(252) END AS sharpe_ratio, CASE WHEN n >= 2 THEN sd * sqrt(252) * 100 END AS annualized_volatility_pct,
-    CASE WHEN closing_count > 0 THEN winning_count * 100.0 / closing_count END AS win_rate_pct, starting_equity, ending_equity, ending_cash, realized_pnl, total_fees,
-    fill_count, closing_count, winning_count, losing_count, point_count FROM mt LEFT JOIN ts USING (run_id))
+mt1 AS (SELECT *, (e - pk) / pk * 100 AS dd FROM mt0),
+mt AS (SELECT run_id, arg_min(equity, as_of) AS startingEquity, arg_max(equity, as_of) AS endingEquity, arg_max(cash, as_of) AS endingCash, min(dd) AS dd, count(*) AS valuationPointCount FROM mt1 GROUP BY 1),
+ts AS (SELECT run_id, count(*) AS fillCount, count(*) FILTER (side = 'SELL') AS closingTradeCount, count(*) FILTER (side = 'SELL' AND realized_pnl > 0) AS winningTradeCount,
+    count(*) FILTER (side = 'SELL' AND realized_pnl < 0) AS losingTradeCount, sum(realized_pnl) AS realizedPnl, sum(fee) AS totalFees, sum(slippage) AS totalSlippage FROM fb GROUP BY 1),
+wide AS (SELECT mt.run_id, round_even(CAST(endingEquity - startingEquity AS DOUBLE) / CAST(startingEquity AS DOUBLE) * 100, 8) AS totalReturnPct, round_even(least(dd, 0), 8) AS maxDrawdownPct,
+    CAST(NULL AS DOUBLE) AS sharpe, CAST(NULL AS DOUBLE) AS annualizedVolatilityPct,
+    CASE WHEN closingTradeCount > 0 THEN round_even(CAST(winningTradeCount AS DOUBLE) * 100.0 / closingTradeCount, 8) END AS winRatePct, startingEquity, endingEquity, endingCash, realizedPnl, totalFees, totalSlippage,
+    fillCount, closingTradeCount, winningTradeCount, losingTradeCount, valuationPointCount FROM mt LEFT JOIN ts USING (run_id))
 """
 
 
 def _wide(spark, folder):
     fills, curve = _cost_curve(spark, folder)
     curve = cut_lineage(curve)
-    cash = curve.groupBy("run_id").agg(F.max_by("cash", "as_of").alias("ending_cash"))
-    return V.run_metrics(curve, L.trade_stats(fills, ["run_id"]), cash)
+    cash = curve.groupBy("run_id").agg(F.max_by("cash", "as_of").alias("endingCash"))
+    return V.run_metrics(curve, L.trade_stats(fills, ["run_id"]), cash, V.EVENT_DRIVEN)
 
 
 _KEYS = [k for k, _, _ in V.METRIC_CATALOGUE]
 
 
-@query("performance_metrics", f"""WITH {FIFO}, {CURVE}, {_METRICS} SELECT run_id, {", ".join(f"{Q.num(k, 3)} AS {k}" for k in _KEYS)} FROM wide""")
+@query("performance_metrics", f"""WITH {FIFO}, {CURVE}, {_METRICS} SELECT run_id, {", ".join(f"{Q.money(k) if u == 'MONEY' else Q.num(k, 6)} AS {k}" for k, u, _ in V.METRIC_CATALOGUE)} FROM wide""")
 def performance_metrics(spark, folder):
     """The metric catalogue of every run, wide."""
-    return _wide(spark, folder).select("run_id", *[num(k, 3).alias(k) for k in _KEYS])
+    return _wide(spark, folder).select("run_id", *[(money(k) if u == "MONEY" else num(k, 6)).alias(k) for k, u, _ in V.METRIC_CATALOGUE])
 
 
 @query(
     "metrics_long",
-    f"""WITH {FIFO}, {CURVE}, {_METRICS}, lg AS ({" UNION ALL ".join(f"SELECT run_id, {i} AS ordinal, '{k}' AS metric_key, '{u}' AS unit, '{r}' AS rule_id, {Q.num(k, 3)} AS value FROM wide" for i, (k, u, r) in enumerate(V.METRIC_CATALOGUE))})
+    f"""WITH {FIFO}, {CURVE}, {_METRICS}, lg AS ({" UNION ALL ".join(f"SELECT run_id, {i} AS ordinal, '{k}' AS metric_key, '{u}' AS unit, '{r}' AS rule_id, {f'CAST({k} AS DOUBLE)' if u == 'MONEY' else Q.num(k, 6)} AS value FROM wide" for i, (k, u, r) in enumerate(V.METRIC_CATALOGUE))})
     SELECT * FROM lg""",
 )
 def metrics_long(spark, folder):
-    return V.metrics_long(_wide(spark, folder)).withColumn("value", num("value", 3))
+    return V.metrics_long(_wide(spark, folder)).withColumn("value", F.when(F.col("unit") == "MONEY", F.col("value")).otherwise(num("value", 6)))
 
 
 @query("metrics_documents")
@@ -601,7 +601,7 @@ def _position_metrics(spark, folder):
     quantity = (1 + k % 5).cast("decimal(18,8)")
     fills = table(spark, folder, "events").select(
         F.col("user_id").alias("run_id"), F.col("event_type").alias("instrument_id"), F.col("ts").alias("occurred_at"), F.col("event_id").alias("order_id"), F.lit(0).alias("line_no"), F.lit(0).alias("part_id"),
-        F.when(k % 3 == 0, "SELL").otherwise("BUY").alias("side"), quantity.alias("quantity"), (unit * quantity).cast("decimal(18,8)").alias("gross_amount"), unit.alias("close"), F.lit(0).cast("decimal(18,8)").alias("fee"),
+        F.when(k % 3 == 0, "SELL").otherwise("BUY").alias("side"), quantity.alias("quantity"), (unit * quantity).cast("decimal(18,8)").alias("gross_amount"), unit.alias("close"), *[F.lit(0).cast("decimal(18,8)").alias(c) for c in ("fee", "slippage", "fee_rate", "slippage_rate")],
     )
     day = F.date_trunc("day", "occurred_at")
     booked = cut_lineage(L.book(fills, FILL_KEYS, FILL_ORDER, day))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalars import price
 from tickloom.operators import bars as B
 from tickloom.operators import calendar as cal
+from tickloom.operators.fills import Policy
 from tickloom.sources.tables import table
 
+POLICY = Policy()
+
 
 def calendar(spark: SparkSession) -> DataFrame:
     return cal.pinned(spark)
@@ -56,6 +59,8 @@ FILL_KEYS = ["run_id", "instrument_id"]
 def fill_log(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as a fill log: run = supplier, instrument = line number, SELL when returned."""
     lines = table(spark, folder, "lineitem")
+    rates = {"fee": POLICY.rate("fee").cast("decimal(9,8)"), "slippage": POLICY.rate("slippage").cast("decimal(9,8)")}
+    costs = [F.bround(price("l_extendedprice") * rate, 8).cast("decimal(18,8)").alias(name) for name, rate in rates.items()]
     return lines.select(
         F.col("l_suppkey").alias("run_id"),
         F.concat(F.lit("I"), F.col("l_linenumber").cast("string")).alias("instrument_id"),
@@ -66,5 +71,6 @@ def fill_log(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
         price("l_quantity").alias("quantity"),
         price("l_extendedprice").alias("gross_amount"),
-        F.bround(price("l_extendedprice") * F.lit("0.002").cast("decimal(9,8)"), 8).cast("decimal(18,8)").alias("fee"),
+        *costs,
+        *[rate.alias(f"{name}_rate") for name, rate in rates.items()],
     )

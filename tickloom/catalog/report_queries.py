@@ -131,9 +131,16 @@ def monthly_documents_verified(spark, folder):
 # ---------------------------------------------------------------- detail parts
 
 _WEEK = f"CAST(date_trunc('week', {Q.et('{ts}')}) AS DATE)"
-_PART_ROWS = 5
+_PART_ROWS = D.ROWS_PER_PART
+
+
+def _fields(*names: str) -> str:
+    """Fields as length:text, a missing one as a minus sign."""
+    return " || ".join(f"coalesce(strlen({n}::VARCHAR) || ':' || {n}::VARCHAR, '-')" for n in names)
+
+
 _DETAIL = f"""
-dr AS (SELECT run_id, 'TRADE' AS record_type, occurred_at, {_WEEK.format(ts="occurred_at")} AS week_start, order_id || '|' || line_no || '|' || part_id || '|' || instrument_id AS record_id,
+dr AS (SELECT run_id, 'TRADE' AS record_type, occurred_at, {_WEEK.format(ts="occurred_at")} AS week_start, {_fields('order_id', 'line_no', 'part_id', 'instrument_id')} AS record_id,
   order_id, line_no, part_id, gross_amount FROM bk),
 dp AS (SELECT *, CAST((row_number() OVER (PARTITION BY run_id, record_type, week_start ORDER BY occurred_at, record_id) - 1) // {_PART_ROWS} + 1 AS INTEGER) AS part FROM dr),
 pm AS (SELECT run_id, record_type, week_start, part, min(occurred_at) AS period_start, max(occurred_at) AS period_end, count(*) AS row_count,
@@ -202,7 +209,7 @@ h3 AS (SELECT {key}, sha256(string_agg(p2 || '=' || t, ',' ORDER BY p2 || '=' ||
 """
 
 
-_ROW = "SELECT l_suppkey AS run_id, sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_returnflag) AS h FROM lineitem"
+_ROW = "SELECT l_suppkey AS run_id, sha256(" + _fields("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag") + ") AS h FROM lineitem"
 
 
 @query("run_digests", f"WITH src AS ({_ROW}), {_tree_sql('src', 'run_id')} SELECT * FROM h3")

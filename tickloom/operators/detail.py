@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import uuid5
+from tickloom.operators.digests import joined_fields
 from tickloom.operators.calendar import et_week
 from tickloom.operators.scan import with_position
 
@@ -27,7 +28,7 @@ def number_parts(df: DataFrame, ts: str, ids: Sequence[str], rows_per_part: int
 
 def detail_rows(records: DataFrame, record_type: str, ts: str, ids: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Common shape of the four record types: run, type, instant, identity, payload as text map."""
-    identity = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
+    identity = joined_fields(ids)
     pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in payload]), F.array(*[F.col(c).cast("string") for c in payload]))
     return records.select("run_id", F.lit(record_type).alias("record_type"), F.col(ts).alias("occurred_at"), identity.alias("record_id"), pairs.alias("payload"))
 

@@ -48,9 +48,18 @@ def loader_dataset_hash(objects: DataFrame, keys: Sequence[str], header: Mapping
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """Hash of one row's text form; a missing value is a marked empty field."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    return F.sha2(text.cast("binary"), 256)
+    """Hash of one row's fields, each behind its length, so that different rows never have one text form."""
+    return F.sha2(joined_fields(columns).cast("binary"), 256)
+
+
+def joined_fields(columns: Sequence[str]) -> Column:
+    """Fields in order as length:text, a missing value as a bare minus sign."""
+
+    def field(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.concat(*[field(c) for c in columns])
 
 
 def run_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str], levels: Sequence[int] = (6, 3)) -> DataFrame:

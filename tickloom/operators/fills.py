@@ -143,6 +143,11 @@ def size_orders(candidates: DataFrame, policy: Policy) -> DataFrame:
     return candidates.withColumn("quantity", quantity).withColumn("sizing_status", F.when(F.col("quantity") > 0, "SIZED").otherwise("DECLINED"))
 
 
+def bar_capacity(policy: Policy) -> Column:
+    """What a bar's volume lets orders take, rounded down to eight places."""
+    return F.bround(F.floor(F.col("volume") * policy.rate("participation") * F.lit(100_000_000)) / F.lit(100_000_000), 8).cast(PX)
+
+
 def allocate_capacity(orders: DataFrame, policy: Policy, submission: Sequence[str], bucket: Column) -> DataFrame:
     """Orders share a bar's capacity (volume x participation, rounded down) in submission order.
 
@@ -150,7 +155,7 @@ def allocate_capacity(orders: DataFrame, policy: Policy, submission: Sequence[st
     bar that very many orders meet is split over submission buckets.
     """
     before = prefix_scan(orders, ["instrument_id", "starts_at"], submission, bucket, {"_upto": Running("sum", F.col("quantity"))})
-    capacity = F.bround(F.floor(F.col("volume") * policy.rate("participation") * F.lit(100_000_000)) / F.lit(100_000_000), 8).cast(PX)
+    capacity = bar_capacity(policy)
     left = capacity - (F.col("_upto") - F.col("quantity"))
     granted = F.greatest(F.least(F.col("quantity"), left.cast(PX)), F.lit(0).cast(PX))
     return before.withColumn("capacity", capacity).withColumn("filled_quantity", granted).drop("_upto")
@@ -162,7 +167,7 @@ def fill_over_bars(life: DataFrame, policy: Policy) -> DataFrame:
     Exact while an instrument has one open order at a time. The window is per order (bars of one life).
     """
     w = Window.partitionBy("order_id").orderBy("starts_at")
-    capacity = F.floor(F.col("volume") * policy.rate("participation")).cast(PX)
+    capacity = bar_capacity(policy)
     reached = life.withColumn("_cap", capacity).withColumn("_cum", F.sum("_cap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     done = F.least(F.col("_cum"), F.col("quantity"))
     before = F.least(F.col("_cum") - F.col("_cap"), F.col("quantity"))

@@ -31,7 +31,8 @@ def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     """Cap each sell by the held quantity and add ``executed``, ``held_before``, ``held_after``.
 
     held = max(held + q, 0) has the closed form S - min(0, running minimum of S) with S the running signed quantity: one
-    scan instead of a loop. Amounts of a capped sell shrink with the executed quantity.
+    scan instead of a loop. Amounts of a capped sell shrink with the executed quantity, its costs by the rates of its own
+    policy (columns ``fee_rate`` and ``slippage_rate``).
     """
     floor_now = running_sum_and_floor(fills, keys, order, bucket, _signed(), "_s", "_m")
     zero = F.lit(0).cast(PX)
@@ -43,9 +44,11 @@ def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     whole = F.col("executed") == F.col("quantity")
     unit = F.bround(F.col("gross_amount") / F.col("quantity"), 8).cast(PX)
     gross = F.when(whole, F.col("gross_amount")).otherwise(F.bround(unit * F.col("executed"), 8).cast(PX))
-    fee = F.bround(F.col("gross_amount") * F.lit("0.002").cast("decimal(9,8)"), 8).cast(PX)
     booked = booked.withColumn("gross_amount", gross)
-    return booked.withColumn("fee", F.when(whole, F.col("fee")).otherwise(fee)).drop("_s", "_m", "_m_before")
+    for cost in ("fee", "slippage"):
+        again = F.bround(F.col("gross_amount") * F.col(f"{cost}_rate"), 8).cast(PX)
+        booked = booked.withColumn(cost, F.when(whole, F.col(cost)).otherwise(again))
+    return booked.drop("_s", "_m", "_m_before")
 
 
 def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, width: float) -> DataFrame:
@@ -189,12 +192,13 @@ def ledger_events(fills: DataFrame) -> DataFrame:
 def trade_stats(fills: DataFrame, keys: Sequence[str]) -> DataFrame:
     sell = F.col("side") == "SELL"
     return fills.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("fill_count"),
-        F.count_if(sell).alias("closing_count"),
-        F.count_if(sell & (F.col("realized_pnl") > 0)).alias("winning_count"),
-        F.count_if(sell & (F.col("realized_pnl") < 0)).alias("losing_count"),
-        F.sum("realized_pnl").alias("realized_pnl"),
-        F.sum("fee").alias("total_fees"),
+        F.count(F.lit(1)).alias("fillCount"),
+        F.count_if(sell).alias("closingTradeCount"),
+        F.count_if(sell & (F.col("realized_pnl") > 0)).alias("winningTradeCount"),
+        F.count_if(sell & (F.col("realized_pnl") < 0)).alias("losingTradeCount"),
+        F.sum("realized_pnl").alias("realizedPnl"),
+        F.sum("fee").alias("totalFees"),
+        F.sum("slippage").alias("totalSlippage"),
     )
 
 

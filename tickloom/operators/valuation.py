@@ -15,23 +15,28 @@ TRADING_DAYS = 252
 
 # Metric catalogue (key, unit, rule id) in catalogue order.
 METRIC_CATALOGUE = (
-    ("total_return_pct", "PERCENT", "metric.total_return_pct:1.0.0"),
-    ("max_drawdown_pct", "PERCENT", "metric.max_drawdown_pct:1.0.0"),
-    ("sharpe_ratio", "RATIO", "metric.sharpe_ratio:1.0.0"),
-    ("annualized_volatility_pct", "PERCENT", "metric.annualized_volatility_pct:1.0.0"),
-    ("win_rate_pct", "PERCENT", "metric.win_rate_pct:1.0.0"),
-    ("starting_equity", "MONEY", "metric.starting_equity:1.0.0"),
-    ("ending_equity", "MONEY", "metric.ending_equity:1.0.0"),
-    ("ending_cash", "MONEY", "metric.ending_cash:1.0.0"),
-    ("realized_pnl", "MONEY", "metric.realized_pnl:1.0.0"),
-    ("total_fees", "MONEY", "metric.total_fees:1.0.0"),
-    ("fill_count", "COUNT", "metric.fill_count:1.0.0"),
-    ("closing_count", "COUNT", "metric.closing_count:1.0.0"),
-    ("winning_count", "COUNT", "metric.winning_count:1.0.0"),
-    ("losing_count", "COUNT", "metric.losing_count:1.0.0"),
-    ("point_count", "COUNT", "metric.point_count:1.0.0"),
+    ("totalReturnPct", "PERCENT", "metric.total_return_pct:1.0.0"),
+    ("maxDrawdownPct", "PERCENT", "metric.max_drawdown_pct:1.0.0"),
+    ("sharpe", "RATIO", "metric.sharpe_ratio:1.0.0"),
+    ("annualizedVolatilityPct", "PERCENT", "metric.annualized_volatility_pct:1.0.0"),
+    ("winRatePct", "PERCENT", "metric.win_rate_pct:1.0.0"),
+    ("startingEquity", "MONEY", "metric.starting_equity:1.0.0"),
+    ("endingEquity", "MONEY", "metric.ending_equity:1.0.0"),
+    ("endingCash", "MONEY", "metric.ending_cash:1.0.0"),
+    ("realizedPnl", "MONEY", "metric.realized_pnl:1.0.0"),
+    ("totalFees", "MONEY", "metric.total_fees:1.0.0"),
+    ("totalSlippage", "MONEY", "metric.total_slippage:1.0.0"),
+    ("fillCount", "COUNT", "metric.fill_count:1.0.0"),
+    ("closingTradeCount", "COUNT", "metric.closing_trade_count:1.0.0"),
+    ("winningTradeCount", "COUNT", "metric.winning_trade_count:1.0.0"),
+    ("losingTradeCount", "COUNT", "metric.losing_trade_count:1.0.0"),
+    ("valuationPointCount", "COUNT", "metric.valuation_point_count:1.0.0"),
 )
 
+#: Grids a curve can have. Returns between the points of an event-driven curve are no daily returns, so they give neither a
+#: Sharpe ratio nor a volatility.
+DAILY, EVENT_DRIVEN = "DAILY", "EVENT_DRIVEN"
+
 
 def equity_curve_cost(events: DataFrame, initial_cash: str, bucket: str = "month") -> DataFrame:
     """One point per ledger instant, positions at cost; preceded by the opening point one microsecond earlier."""
@@ -102,7 +107,7 @@ def equity_curve_mtm(points: DataFrame, positions: DataFrame, marks: DataFrame,
     )
 
 
-def curve_metrics(curve: DataFrame, order: str = "as_of", daily: bool = True, bucket: str = "month") -> DataFrame:
+def curve_metrics(curve: DataFrame, grid: str, order: str = "as_of", bucket: str = "month") -> DataFrame:
     """Return, drawdown, Sharpe and volatility per run; NULL where a metric is undefined.
 
     One bucketed scan gives the running peak and the previous equity; the rest is one aggregate.
@@ -119,36 +124,36 @@ def curve_metrics(curve: DataFrame, order: str = "as_of", daily: bool = True, bu
     simple = F.when(prev != 0, F.bround((equity - prev) / prev, 8))
     base = scanned.select("run_id", order, "equity", "_peak", "_prev", drawdown.alias("_dd"), simple.alias("_r"))
     agg = base.groupBy("run_id").agg(
-        F.min_by("equity", order).alias("starting_equity"),
-        F.max_by("equity", order).alias("ending_equity"),
+        F.min_by("equity", order).alias("startingEquity"),
+        F.max_by("equity", order).alias("endingEquity"),
         F.min("_dd").alias("_dd"),
         F.count_if(F.col("_peak") <= 0).alias("_bad_peak"),
         F.count_if(F.col("_prev") == 0).alias("_bad_return"),
         F.count("_r").alias("_n"),
         F.avg("_r").alias("_mean"),
         F.stddev_samp("_r").alias("_sd"),
-        F.count(F.lit(1)).alias("point_count"),
+        F.count(F.lit(1)).alias("valuationPointCount"),
     )
-    first, last = F.col("starting_equity").cast("double"), F.col("ending_equity").cast("double")
-    usable = F.lit(daily) & (F.col("_n") >= 2) & (F.col("_bad_return") == 0)
+    first, last = F.col("startingEquity").cast("double"), F.col("endingEquity").cast("double")
+    usable = F.lit(grid == DAILY) & (F.col("_n") >= 2) & (F.col("_bad_return") == 0)
     root = F.sqrt(F.lit(float(TRADING_DAYS)))
     return agg.select(
         "run_id",
-        F.bround(F.when(first != 0, (last - first) / first * 100.0), 8).alias("total_return_pct"),
-        F.bround(F.when(F.col("_bad_peak") == 0, F.least("_dd", F.lit(0.0))), 8).alias("max_drawdown_pct"),
-        F.bround(F.when(usable & (F.col("_sd") != 0), F.col("_mean") / F.col("_sd") * root), 8).alias("sharpe_ratio"),
-        F.bround(F.when(usable, F.col("_sd") * root * 100.0), 8).alias("annualized_volatility_pct"),
-        "starting_equity",
-        "ending_equity",
-        "point_count",
+        F.bround(F.when(first != 0, (last - first) / first * 100.0), 8).alias("totalReturnPct"),
+        F.bround(F.when(F.col("_bad_peak") == 0, F.least("_dd", F.lit(0.0))), 8).alias("maxDrawdownPct"),
+        F.bround(F.when(usable & (F.col("_sd") != 0), F.col("_mean") / F.col("_sd") * root), 8).alias("sharpe"),
+        F.bround(F.when(usable, F.col("_sd") * root * 100.0), 8).alias("annualizedVolatilityPct"),
+        "startingEquity",
+        "endingEquity",
+        "valuationPointCount",
     )
 
 
-def run_metrics(curve: DataFrame, stats: DataFrame, cash: DataFrame) -> DataFrame:
-    """All catalogue metrics of each run in wide form."""
-    metrics = curve_metrics(curve).join(stats, "run_id", "left").join(cash, "run_id", "left")
+def run_metrics(curve: DataFrame, stats: DataFrame, cash: DataFrame, grid: str, order: str = "as_of") -> DataFrame:
+    """All catalogue metrics of each run in wide form, over a curve of the given grid."""
+    metrics = curve_metrics(curve, grid, order).join(stats, "run_id", "left").join(cash, "run_id", "left")
     return metrics.withColumn(
-        "win_rate_pct", F.bround(F.when(F.col("closing_count") > 0, F.col("winning_count") * 100.0 / F.col("closing_count")), 8)
+        "winRatePct", F.bround(F.when(F.col("closingTradeCount") > 0, F.col("winningTradeCount") * 100.0 / F.col("closingTradeCount")), 8)
     )
 
 
