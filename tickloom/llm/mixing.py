@@ -7,7 +7,8 @@ smallest keys are taken as long as their running size keeps to the budget.
 
 The running size is never computed over a whole source in one task. Keys are put into cells of fixed width on a logarithmic
 scale, where no cell can hold more than a small share of a source; cell totals find the cell in which the budget ends, a second
-level of cells divides that one, and only the documents of one cell of a cell are put in order.
+level of cells divides that one, and only the documents of one cell of a cell are put in order. What the budget has left where
+the next document is too large goes to the one document, of all those not taken, that comes nearest to it.
 """
 
 from __future__ import annotations
@@ -105,9 +106,13 @@ def cut_points(measured: DataFrame, plan: DataFrame) -> DataFrame:
     last = last.groupBy("_source", "_c1", "_c2", "_rest", _place().alias("_place")).agg((F.sum("size")).alias("_size"))
     order = Window.partitionBy("_source").orderBy("_place")
     last = last.withColumn("_sum", F.sum("_size").over(order))
-    # The document at the edge is taken if that brings the total nearer to the budget.
-    kept = F.when(2 * F.col("_sum") - F.col("_size") <= 2 * F.col("_rest"), F.col("_place"))
-    return last.groupBy("_source", "_c1", "_c2").agg(F.max(kept).alias("_last"))
+    kept = F.col("_sum") <= F.col("_rest")
+    ends = last.groupBy("_source", "_c1", "_c2").agg(F.max(F.when(kept, F.col("_place"))).alias("_last"), (F.first("_rest") - F.max(F.when(kept, F.col("_sum")).otherwise(0))).alias("_left"))
+    ends = store(ends)
+    off = F.abs(F.col("size") - F.col("_left"))
+    open_rows = measured.join(ends, "_source").filter((_inside() == 0) & (off < F.col("_left")))
+    extra = open_rows.groupBy("_source").agg(F.min(F.struct(off.alias("off"), _place().alias("place")))["place"].alias("_extra"))
+    return ends.join(extra, "_source", "left").drop("_left")
 
 
 def _place() -> Column:
@@ -121,12 +126,17 @@ def mixing_plan(measured: DataFrame, weights: Sequence[float], share: float, max
     return store(plan.join(cut_points(measured, plan), "_source", "left"))
 
 
-def _selected() -> Column:
+def _inside() -> Column:
+    """1 if the document's key lies before the cut of its source."""
     c1, c2 = _cell(1), _cell(2)
     inside = (c1 == F.col("_c1")) & ((c2 < F.col("_c2")) | ((c2 == F.col("_c2")) & F.coalesce(_place() <= F.col("_last"), F.lit(False))))
     return F.coalesce((c1 < F.col("_c1")) | inside, F.lit(False)).cast("long")
 
 
+def _selected() -> Column:
+    return F.greatest(_inside(), F.coalesce(_place() == F.col("_extra"), F.lit(False)).cast("long"))
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",

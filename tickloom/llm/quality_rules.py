@@ -165,6 +165,8 @@ def learn(labelled: DataFrame, features: Sequence[str] = FEATURES) -> list[Rule]
     cuts = {f: sorted(set(found[f] or []) | set(found[f"{f}_bad"] or [])) for f in features}
     rules: list[Rule] = []
     rest = labelled
+    if not any(cuts.values()):
+        return rules
     while len(rules) < RULES:
         growing, rule = rest.filter(~F.col("aside")), ()
         while len(rule) < CONDITIONS:

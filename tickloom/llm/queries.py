@@ -114,12 +114,14 @@ WITH m AS (
 ), e AS (
   SELECT *, CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS epochs FROM p
 ), c AS (
-  SELECT m.doc_id, m.size, e.s, e.target, e.epochs, e.target - e.epochs * e.s AS rest, sum(m.size) OVER (PARTITION BY m.source ORDER BY m.x, m.doc_id) AS upto
+  SELECT m.doc_id, m.source, m.x, m.size, e.s, e.target, e.epochs, e.target - e.epochs * e.s AS rest, sum(m.size) OVER (PARTITION BY m.source ORDER BY m.x, m.doc_id) AS upto
   FROM m JOIN e ON m.source IS NOT DISTINCT FROM e.source
 )
-SELECT doc_id, size, s AS source_size, target,
-       (size * (epochs + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM c"""
+SELECT doc_id, size, s AS source_size, target, (size * (epochs + CASE WHEN rest > 0 AND (upto <= rest OR nearest) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (
+  SELECT *, upto > rest AND abs(size - gap) < gap AND row_number() OVER (PARTITION BY source, upto <= rest ORDER BY abs(size - gap), x, doc_id) = 1 AS nearest
+  FROM (SELECT *, rest - coalesce(max(upto) FILTER (WHERE upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM c)
+)"""
 
 
 ORACLES["op5_line_dedup"] = f"""

@@ -27,8 +27,9 @@ from tickloom.llm.text import prepare, store
 FEATURES = 1 << 14
 TRAIN_ROWS = 20_000
 STEPS, RATE, PENALTY = 60, 2.0, 1e-4
-#: Rounds of expectation maximisation; a document is kept from this score on.
-ROUNDS, KEEP = 200, 0.5
+#: Rounds of expectation maximisation; weight of the rates assumed at first against those found (it keeps the two classes from
+#: trading places where labellers hardly overlap); a document is kept from this score on.
+ROUNDS, PRIOR, KEEP = 200, 1.0, 0.5
 
 #: Labeller names with the statistic they look at and the range in which they vote, and the vote: 1 bad, 2 good.
 LABELLERS = (
@@ -115,14 +116,15 @@ def fit_label_model(counts: dict[str, int], rounds: int = ROUNDS) -> LabelModel:
     # At first a vote is right far more often than wrong: rates of no vote, bad and good, by class (bad, good).
     bad_voter, good_voter = [[0.69, 0.30, 0.01], [0.97, 0.02, 0.01]], [[0.69, 0.01, 0.30], [0.29, 0.01, 0.70]]
     kinds = [vote for *_, vote in LABELLERS] if width == len(LABELLERS) else [1] * width
-    model = LabelModel(0.8, np.array([bad_voter if kind == 1 else good_voter for kind in kinds]))
+    prior = np.array([bad_voter if kind == 1 else good_voter for kind in kinds])
+    model = LabelModel(0.8, prior)
     for _ in range(rounds if len(counts) else 0):
         own = np.array([model.posterior(p) for p in counts])
         good = float(np.clip((own * weight).sum() / weight.sum(), 0.01, 0.99))
         rates = np.empty((width, 2, 3))
         for c, share in ((0, (1 - own) * weight), (1, own * weight)):
             for v in range(3):
-                rates[:, c, v] = ((patterns == v) * share[:, None]).sum(axis=0) + 1.0
+                rates[:, c, v] = ((patterns == v) * share[:, None]).sum(axis=0) + (PRIOR * share.sum() + 1.0) * prior[:, c, v]
         new = LabelModel(good, rates / rates.sum(axis=2, keepdims=True))
         if abs(new.good - model.good) < 1e-9:
             return new
