@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.catalog import sql as Q
-from tickloom.catalog.base import num, query
-from tickloom.catalog.fill_queries import BOOK, _booked, _cost_curve, _wide, _with_basis
+from tickloom.catalog.base import ORACLES, money, num, query
+from tickloom.catalog.fill_queries import BOOK, CURVE, FIFO, _booked, _cost_curve, _wide, _with_basis
 from tickloom.catalog.inputs import FILL_KEYS, FILL_ORDER, calendar, event_bar_events, supplier_days
 from tickloom.catalog.report_queries import _COUNTERS, _DETAIL, _EVAL, _detail, _trade_records, monthly_counters
 from tickloom.functions import scalars as S
@@ -208,20 +208,23 @@ def part_check(spark, folder):
     return intact.withColumn("after_drop", dropped)
 
 
-@query("detail_row_check", "SELECT CAST(0 AS BIGINT) AS findings")
+@query("detail_row_check", f"WITH {BOOK}, {_DETAIL} SELECT run_id, record_type, week_start, part, 'ROW_COUNT' AS finding FROM pm WHERE run_id % 5 = 0")
 def detail_row_check(spark, folder):
+    """Manifests of every fifth run state a row too many."""
     rows = cut_lineage(_detail(spark, folder).select("run_id", "record_type", "week_start", "part", "occurred_at", "record_id"))
     parts = D.part_manifest(rows, "occurred_at", "record_id")
-    return V.check_detail_rows(rows, parts, ["run_id", "record_type", "week_start", "part"], "occurred_at").agg(F.count(F.lit(1)).alias("findings"))
+    stated = parts.withColumn("row_count", F.col("row_count") + F.when(F.col("run_id") % 5 == 0, 1).otherwise(0))
+    return V.check_detail_rows(rows, stated, ["run_id", "record_type", "week_start", "part"], "occurred_at")
 
 
-@query("balance_check", f"WITH {BOOK} SELECT CAST(0 AS BIGINT) AS unbalanced, count(*) AS transactions FROM bk")
+@query("balance_check", f"WITH {BOOK} SELECT run_id, instrument_id, order_id, line_no, part_id, '1.00000000' AS imbalance FROM bk WHERE order_id % 50 = 0 AND fee <> 0")
 def balance_check(spark, folder):
-    """Every transaction of the ledger has equal sides."""
+    """A ledger in which some fees were booked one too high: exactly those transactions are out of balance."""
     ids = ["run_id", "instrument_id", "order_id", "line_no", "part_id", "occurred_at"]
-    fills = _with_basis(spark, folder)
-    bad = V.check_balanced(L.ledger_entries(fills, ids), ids).agg(F.count(F.lit(1)).alias("unbalanced"))
-    return bad.withColumn("transactions", fills.select(F.count(F.lit(1))).scalar())
+    entries = L.ledger_entries(_with_basis(spark, folder), ids)
+    wrong = (F.col("account") == "FEE") & (F.col("order_id") % 50 == 0)
+    bad = V.check_balanced(entries.withColumn("amount", F.when(wrong, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,8)")), ids)
+    return bad.select(*ids[:-1], money("imbalance").alias("imbalance"))
 
 
 @query(
@@ -238,10 +241,11 @@ def fill_arithmetic_check(spark, folder):
     return V.check_fill_arithmetic(staged).select("event_id")
 
 
-@query("position_delta_check", "SELECT CAST(0 AS BIGINT) AS findings")
+@query("position_delta_check", f"WITH {BOOK} SELECT run_id, instrument_id, order_id, line_no, part_id FROM bk WHERE order_id % 50 = 0")
 def position_delta_check(spark, folder):
-    bad = V.check_position_deltas(_booked(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("year", "occurred_at"))
-    return bad.agg(F.count(F.lit(1)).alias("findings"))
+    """Fills whose executed quantity was altered afterwards no longer explain the move of their position."""
+    altered = _booked(spark, folder).withColumn("executed", (F.col("executed") + F.when(F.col("order_id") % 50 == 0, 1).otherwise(0)).cast("decimal(18,8)"))
+    return V.check_position_deltas(altered, FILL_KEYS, FILL_ORDER, F.date_trunc("month", "occurred_at")).select("run_id", "instrument_id", "order_id", "line_no", "part_id")
 
 
 @query(
@@ -266,15 +270,19 @@ def metric_set_check(spark, folder):
     return V.check_metric_set(cut_lineage(metrics), [(k, u) for k, u, _ in E.METRIC_CATALOGUE])
 
 
-@query("equity_check", "SELECT CAST(0 AS BIGINT) AS findings")
+@query("equity_check", f"WITH {FIFO}, {CURVE} SELECT run_id, as_of, 'SUM' AS finding FROM cv WHERE day(as_of) % 7 = 0")
 def equity_check(spark, folder):
+    """Curve points that were raised by one are not the sum of cash and positions."""
     _, curve = _cost_curve(spark, folder)
-    return V.check_equity(cut_lineage(curve), "as_of", F.date_trunc("year", "as_of")).agg(F.count(F.lit(1)).alias("findings"))
+    raised = curve.withColumn("equity", (F.col("equity") + F.when(F.dayofmonth("as_of") % 7 == 0, 1).otherwise(0)).cast("decimal(24,8)"))
+    return V.check_equity(cut_lineage(raised), "as_of", F.date_trunc("month", "as_of")).select("run_id", "as_of", "finding")
 
 
-@query("counter_check", "SELECT CAST(0 AS BIGINT) AS findings")
+@query("counter_check", f"SELECT run_id, et_month FROM ({ORACLES['monthly_counters']}) WHERE run_id % 5 = 0")
 def counter_check(spark, folder):
-    return V.check_summary_counters(monthly_counters(spark, folder)).agg(F.count(F.lit(1)).alias("findings"))
+    """Summaries of every fifth run claim more triggers than evaluations."""
+    claimed = F.col("triggered_count") + F.when(F.col("run_id") % 5 == 0, F.col("evaluation_count") + 1).otherwise(0)
+    return V.check_summary_counters(monthly_counters(spark, folder).withColumn("triggered_count", claimed)).select("run_id", "et_month")
 
 
 # ---------------------------------------------------------------- scalars

@@ -61,12 +61,13 @@ def sma_cross_fills(spark, folder):
 
 # ---------------------------------------------------------------- order types
 
-_ORDERS = f"""o0 AS ({_ELIGIBLE}), ord AS (SELECT o0.event_id AS order_id, o0.instrument_id, o0.ts AS submitted_at, session_date_et, eligible_at, expires_at,
-      CASE WHEN o0.event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, t.px AS ref FROM o0 JOIN ticks t ON t.event_id = o0.event_id WHERE eligible_at IS NOT NULL),
+_ORDERS = f"""o0 AS ({_ELIGIBLE}), aord AS (SELECT o0.event_id AS order_id, o0.instrument_id, o0.ts AS submitted_at, session_date_et, eligible_at, expires_at,
+      CASE WHEN o0.event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, t.px AS ref FROM o0 JOIN ticks t ON t.event_id = o0.event_id), ord AS (SELECT * FROM aord WHERE eligible_at IS NOT NULL),
     life AS (SELECT ord.*, b.starts_at, b.ends_at, b.open, b.high, b.low, b.volume FROM ord JOIN ev b ON b.instrument_id = ord.instrument_id AND b.starts_at >= eligible_at AND b.starts_at < expires_at)"""
 
 
-def _orders(spark, folder):
+def _all_orders(spark, folder):
+    """Every order, those outside any session with no eligible instant."""
     signals = table(spark, folder, "events").select(
         F.col("event_id").alias("order_id"),
         F.col("event_type").alias("instrument_id"),
@@ -74,7 +75,12 @@ def _orders(spark, folder):
         F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
         (price("value") + F.lit(1).cast("decimal(1,0)")).cast("decimal(18,8)").alias("ref"),
     )
-    return cal.eligible_session(signals, "submitted_at", calendar(spark)).filter("eligible_at IS NOT NULL")
+    return cal.eligible_session(signals, "submitted_at", calendar(spark))
+
+
+def _orders(spark, folder):
+    """Orders that a session accepts; the others meet no bar and are rejected in ``result_records``."""
+    return _all_orders(spark, folder).filter("eligible_at IS NOT NULL")
 
 
 def _life(spark, folder):
@@ -542,37 +548,45 @@ def equity_curve_mtm(spark, folder):
 
 @query(
     "result_records",
-    f"""WITH {_E30}, {_ORDERS}, hit AS ({_first_sql(_LIMIT.format(l="ref"))}), rj AS (SELECT order_id, submitted_at, instrument_id FROM ord WHERE ref < 5),
-    r AS (SELECT instrument_id AS run_id, order_id, submitted_at AS occurred_at, 'ORDER' AS kind, 0 AS kr FROM ord
-      UNION ALL SELECT o.instrument_id, h.order_id, h.filled_at, 'FILL', 1 FROM hit h JOIN ord o USING (order_id)
-      UNION ALL SELECT instrument_id, order_id, expires_at, 'CANCELLATION', 2 FROM ord WHERE order_id NOT IN (SELECT order_id FROM hit)
+    f"""WITH {_E30}, {_ORDERS}, hit AS ({_first_sql(_LIMIT.format(l="ref"))}), rj AS (SELECT order_id, submitted_at, instrument_id FROM aord WHERE ref < 5 OR eligible_at IS NULL),
+    ac AS (SELECT * FROM aord WHERE order_id NOT IN (SELECT order_id FROM rj)),
+    r AS (SELECT instrument_id AS run_id, order_id, submitted_at AS occurred_at, 'ORDER' AS kind, 0 AS kr FROM aord
+      UNION ALL SELECT o.instrument_id, h.order_id, h.filled_at, 'FILL', 1 FROM hit h JOIN ac o USING (order_id)
+      UNION ALL SELECT instrument_id, order_id, expires_at, 'CANCELLATION', 2 FROM ac WHERE order_id NOT IN (SELECT order_id FROM hit)
       UNION ALL SELECT instrument_id, order_id, submitted_at, 'REJECTION', 3 FROM rj)
     SELECT run_id, order_id, occurred_at, kind, row_number() OVER (PARTITION BY run_id ORDER BY occurred_at, kr, order_id) AS ordinal FROM r""",
 )
 def result_records(spark, folder):
-    """Orders, fills, cancellations and rejections of each run in canonical order."""
+    """Every order of each run, and its one outcome (fill, cancellation or rejection), in canonical order."""
     return _records(spark, folder).select("run_id", "order_id", "occurred_at", "kind", "ordinal")
 
 
+def _record_stream(spark, folder):
+    orders = cut_lineage(_all_orders(spark, folder).withColumn("run_id", F.col("instrument_id")).withColumn("tif", F.lit("DAY")))
+    fills = cut_lineage(X.limit_fill(_life(spark, folder).withColumn("limit_price", F.col("ref"))))
+    # Rejected orders never reach the market, so they neither fill nor expire.
+    refused = F.col("eligible_at").isNull() | (F.col("ref") < 5)
+    accepted = orders.filter(~refused)
+    named = fills.join(accepted.select("order_id", "run_id"), "order_id")
+    return L.records(orders, named, X.expired_orders(accepted, fills), orders.filter(refused))
+
+
 def _records(spark, folder):
     from tickloom.operators.scan import with_position
 
-    orders = cut_lineage(_orders(spark, folder).withColumn("run_id", F.col("instrument_id")).withColumn("tif", F.lit("DAY")))
-    fills = cut_lineage(X.limit_fill(_life(spark, folder).withColumn("limit_price", F.col("ref"))))
-    named = fills.join(orders.select("order_id", "run_id"), "order_id")
-    rejected = orders.filter("ref < 5")
-    stream = L.records(orders, named, X.expired_orders(orders, fills), rejected)
+    stream = _record_stream(spark, folder)
     return with_position(cut_lineage(stream), ["run_id"], ["occurred_at", "kind_rank", "order_id"], F.date_trunc("day", "occurred_at"), "ordinal")
 
 
 @query(
     "order_counts",
-    f"""WITH {_E30}, {_ORDERS}, hit AS ({_first_sql(_LIMIT.format(l="ref"))})
-    SELECT instrument_id AS run_id, count(DISTINCT order_id) AS order_count, count(*) FILTER (order_id IN (SELECT order_id FROM hit)) AS fill_count,
-      count(*) FILTER (order_id NOT IN (SELECT order_id FROM hit)) AS cancellation_count, count(*) FILTER (ref < 5) AS rejection_count FROM ord GROUP BY 1""",
+    f"""WITH {_E30}, {_ORDERS}, hit AS ({_first_sql(_LIMIT.format(l="ref"))}), a AS (SELECT *, ref < 5 OR eligible_at IS NULL AS refused FROM aord)
+    SELECT instrument_id AS run_id, count(DISTINCT order_id) AS order_count, count(*) FILTER (NOT refused AND order_id IN (SELECT order_id FROM hit)) AS fill_count,
+      count(*) FILTER (NOT refused AND order_id NOT IN (SELECT order_id FROM hit)) AS cancellation_count, count(*) FILTER (refused) AS rejection_count FROM a GROUP BY 1""",
 )
 def order_counts(spark, folder):
-    return L.order_counts(_records(spark, folder))
+    """As many outcomes as orders; counted without numbering the records."""
+    return L.order_counts(_record_stream(spark, folder))
 
 
 # ---------------------------------------------------------------- open positions

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -35,16 +38,35 @@ def utc(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``. A temporary one is used in local mode only, where driver and executors
+    are one process; a cluster without the setting is refused."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+    if not configured:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+_stored: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_stored() -> None:
+    """Delete the stored tables of this driver when it ends, as far as its sessions still run."""
+    for folder, spark in _stored.items():
+        with contextlib.suppress(Exception):
+            context = spark.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and continue from the stored table.
 
@@ -52,6 +74,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columnar table survives the loss of executors and lets each branch read only its own columns.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    root = f"{ensure_checkpoint_dir(spark)}/tables"
+    _stored[root] = spark
+    folder = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
