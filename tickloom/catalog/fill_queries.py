@@ -296,7 +296,7 @@ def exposure_flags(spark, folder):
         price("l_extendedprice").alias("reference_price"), F.lit(1).cast("decimal(18,8)").alias("quantity"),
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    return X.exposure_flags(rows, order, F.date_trunc("year", "l_shipdate"), _CAPS, POLICY).select("run_id", *ids, "reason_code")
+    return X.exposure_flags(rows, order, F.date_trunc("week", "l_shipdate"), _CAPS, POLICY).select("run_id", *ids, "reason_code")
 
 
 @query(
@@ -353,11 +353,11 @@ _IDS = ", ".join(ID)
 
 
 def _booked(spark, folder):
-    return cut_lineage(L.book(fill_log(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("year", "occurred_at")))
+    return cut_lineage(L.book(fill_log(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("week", "occurred_at")))
 
 
 def _slices(booked):
-    return L.fifo_match(booked, FILL_KEYS, FILL_ORDER, F.date_trunc("year", "occurred_at"), 10_000.0)
+    return L.fifo_match(booked, FILL_KEYS, FILL_ORDER, F.date_trunc("week", "occurred_at"), 10_000.0)
 
 
 def _with_basis(spark, folder):
@@ -420,7 +420,7 @@ def cash_after(spark, folder):
     f"""WITH {FIFO} SELECT {_IDS}, {Q.money(f"sum(executed * sgn) OVER {_K}")} AS quantity_after, {Q.money(f"sum(cost_basis * sgn) OVER {_K}")} AS basis_after FROM fb""",
 )
 def position_after(spark, folder):
-    df = L.position_after(_with_basis(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("year", "occurred_at"))
+    df = L.position_after(_with_basis(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("week", "occurred_at"))
     return df.select(*ID, money("quantity_after").alias("quantity_after"), money("basis_after").alias("basis_after"))
 
 
@@ -430,7 +430,7 @@ def position_after(spark, folder):
     SELECT {_IDS}, cycle, min(occurred_at) OVER (PARTITION BY run_id, instrument_id, cycle) AS opened_at FROM c""",
 )
 def position_cycles(spark, folder):
-    return L.position_cycles(_booked(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("year", "occurred_at")).select(*ID, "cycle", "opened_at")
+    return L.position_cycles(_booked(spark, folder), FILL_KEYS, FILL_ORDER, F.date_trunc("week", "occurred_at")).select(*ID, "cycle", "opened_at")
 
 
 @query("trade_stats", f"""WITH {FIFO} SELECT run_id, count(*) AS fillCount, count(*) FILTER (side = 'SELL') AS closingTradeCount, count(*) FILTER (side = 'SELL' AND realized_pnl > 0) AS winningTradeCount,
@@ -456,7 +456,7 @@ def ledger_events(spark, folder):
 
 def _cost_curve(spark, folder):
     fills = _with_basis(spark, folder)
-    return fills, V.equity_curve_cost(cut_lineage(L.ledger_events(fills)), INITIAL_CASH, "year")
+    return fills, V.equity_curve_cost(cut_lineage(L.ledger_events(fills)), INITIAL_CASH, "week")
 
 
 @query("equity_curve_cost", f"""WITH {FIFO}, {CURVE} SELECT run_id, as_of, {Q.money("cash")} AS cash, {Q.money("position_value")} AS position_value, {Q.money("equity")} AS equity FROM cv""")
