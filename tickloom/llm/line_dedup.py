@@ -20,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tickloom.llm.text import LOWER, SPACE_CHARS, UPPER, prepare, store
+from tickloom.llm.text import SPACE_CHARS, prepare, store
 
 #: Filter bits per line and the largest filter (2^28 bits: 32 MB to the driver and to each executor).
 BITS_PER_LINE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
@@ -30,21 +30,32 @@ BLOCK_BITS = 1 << 18
 #: Hashes that a task holds before it hands on what it has of the filters.
 FLUSH = 1 << 20
 
-_LOWER = str.maketrans(UPPER, LOWER)
+_SPACES = SPACE_CHARS.encode()
+#: Bytes that continue a character; a text has as many code points as it has other bytes.
+_INNER = bytes(range(0x80, 0xC0))
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACE_CHARS).translate(_LOWER)
+def line_key(line: bytes) -> bytes:
+    """UTF-8 without the six ASCII spaces at both ends, A-Z in lower case."""
+    return line.strip(_SPACES).lower()
 
 
-def long_keys(text: str | None, least: int) -> list[str | None]:
-    """The key of every line; None for keys shorter than ``least``."""
-    lines = (text or "").split("\n")
-    return [k if len(line) >= least and len(k := line_key(line)) >= least else None for line in lines]
+def long_keys(lines: list[bytes], least: int) -> list[bytes | None]:
+    """The key of every line; None for keys shorter than ``least`` code points."""
+    out: list[bytes | None] = []
+    for line in lines:
+        key = line_key(line) if len(line) >= least else b""
+        out.append(key if len(key) >= 4 * least or len(key) >= least and len(key.translate(None, _INNER)) >= least else None)
+    return out
 
 
-def _hash(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 7)
+def lines_of(column: pa.Array) -> list[list[bytes]]:
+    """Lines of each text as UTF-8; a null text is one empty line."""
+    return [(t or b"").split(b"\n") for t in column.cast(pa.binary()).to_pylist()]
+
+
+def _hash(key: bytes) -> int:
+    return xxhash.xxh64_intdigest(key, 7)
 
 
 def positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +75,11 @@ def seen_twice(docs: DataFrame, text: str, least: int) -> tuple[np.ndarray, int]
     """The filter of lines that at least two documents may hold (packed bits), and its size in bits."""
     bits = filter_bits(docs, text, least)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bit positions per filter block, from the distinct lines of each document."""
         held: list[int] = []
 
-        def blocks() -> pd.DataFrame:
+        def blocks() -> pa.RecordBatch:
             distinct, times = np.unique(np.array(held, np.uint64), return_counts=True)
             rows = []
             for twice in (False, True):
@@ -77,11 +88,11 @@ def seen_twice(docs: DataFrame, text: str, least: int) -> tuple[np.ndarray, int]
                 for block, part in zip(*_by_block(at), strict=True):
                     rows.append((block, twice, part.astype("<i4").tobytes()))
             held.clear()
-            return pd.DataFrame(rows, columns=["block", "twice", "bits"])
+            return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["block", "twice", "bits"]).astype({"block": "int32"}), preserve_index=False)
 
         for batch in batches:
-            for value in batch["text"]:
-                held.extend({_hash(k) for k in long_keys(value, least) if k is not None})
+            for lines in lines_of(batch.column(0)):
+                held.extend({_hash(k) for k in long_keys(lines, least) if k is not None})
                 if len(held) >= FLUSH:
                     yield blocks()
         if held:
@@ -104,7 +115,7 @@ def seen_twice(docs: DataFrame, text: str, least: int) -> tuple[np.ndarray, int]
         if rows:
             yield pd.DataFrame(rows, columns=["block", "bits"])
 
-    parts = docs.select(F.col(text).alias("text")).mapInPandas(partial, "block int, twice boolean, bits binary")
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(partial, "block int, twice boolean, bits binary")
     blocks = parts.repartition("block").mapInPandas(merged, "block int, bits binary")
     found = np.zeros(bits // 8, np.uint8)
     for row in blocks.toLocalIterator():
@@ -134,7 +145,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     shared = spark.sparkContext.broadcast(found)
     columns = docs.columns
 
-    def suspects(keys: list[list[str | None]]) -> list[np.ndarray]:
+    def suspects(keys: list[list[bytes | None]]) -> list[np.ndarray]:
         """Of each document, which lines may be held by another one as well."""
         flat = [_hash(k) if k is not None else 0 for own in keys for k in own]
         long_enough = np.array([k is not None for own in keys for k in own], bool)
@@ -144,32 +155,35 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             hit = hit & ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
         return np.split(hit, np.cumsum([len(own) for own in keys])[:-1])
 
-    def suspected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [long_keys(t, least) for t in batch["text"]]
-            rows = []
-            for doc, own, hit in zip(batch["doc"], keys, suspects(keys), strict=True):
-                rows += [(doc, d) for d in {_digest(own[i]) for i in np.flatnonzero(hit)}]
-            yield pd.DataFrame(rows, columns=["doc", "key"])
+            keys = [long_keys(lines, least) for lines in lines_of(batch.column(1))]
+            at, found = [], []
+            for row, (own, hit) in enumerate(zip(keys, suspects(keys), strict=True) if keys else ()):
+                mine = {_digest(own[i]) for i in np.flatnonzero(hit)}
+                at += [row] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], names=["doc", "key"])
 
-    id_text = F.col(doc_id).cast("string")
-    lines = docs.select(id_text.alias("doc"), F.col(text).alias("text")).mapInPandas(suspected, "doc string, key binary")
     kind = docs.schema[doc_id].dataType
-    lines = store(lines.distinct().select(F.col("doc").cast(kind).alias("doc"), "key"))
-    keepers = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= documents)
+    given = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    lines = given.mapInArrow(suspected, StructType([StructField("doc", kind), StructField("key", BinaryType())]))
+    lines = store(lines.distinct())
+    # Stored, so that a key that very many documents hold is split in the join with it.
+    keepers = store(lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= documents))
     lost = lines.join(keepers, "key").filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     lost = store(lost.groupBy("doc").agg(F.collect_list("key").alias("_lost")))
 
     plain = docs.schema
     final = StructType([*plain.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
-    def with_counts(batch: pa.RecordBatch, kept: list[str], before: list[int], gone: list[int]) -> pa.RecordBatch:
-        new = {text: pa.array(kept, pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(gone, pa.int64())}
+    def with_counts(batch: pa.RecordBatch, kept: pa.Array, before: list[int], gone: list[int]) -> pa.RecordBatch:
+        new = {text: kept, "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(gone, pa.int64())}
         names = [*columns, "n_lines", "n_dropped"]
         return pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
 
-    def hits(batch: pa.RecordBatch) -> tuple[list[list[str | None]], list[bool]]:
-        keys = [long_keys(t, least) for t in batch.column(text).to_pylist()]
+    def hits(batch: pa.RecordBatch) -> tuple[list[list[bytes | None]], list[bool]]:
+        keys = [long_keys(lines, least) for lines in lines_of(batch.column(text))]
         return keys, [bool(hit.any()) for hit in suspects(keys)] if keys else []
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +191,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
             keys, hit = hits(batch)
             out = batch.filter(pa.array([not h for h in hit], pa.bool_()))
             before = [len(k) for k, h in zip(keys, hit, strict=True) if not h]
-            yield with_counts(out, [t or "" for t in out.column(text).to_pylist()], before, [0] * len(before))
+            yield with_counts(out, out.column(text).fill_null(""), before, [0] * len(before))
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,21 +200,21 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, before, gone = [], [], []
-            for value, lost_keys in zip(batch.column(text).to_pylist(), batch.column("_lost").to_pylist(), strict=True):
-                lines = (value or "").split("\n")
+            for lines, lost_keys in zip(lines_of(batch.column(text)), batch.column("_lost").to_pylist(), strict=True):
                 drop = set(lost_keys or ())
-                stay = [line for line, k in zip(lines, long_keys(value, least), strict=True) if k is None or _digest(k) not in drop] if drop else lines
-                kept.append("\n".join(stay))
+                stay = [line for line, k in zip(lines, long_keys(lines, least), strict=True) if k is None or _digest(k) not in drop] if drop else lines
+                kept.append(b"\n".join(stay))
                 before.append(len(lines))
                 gone.append(len(lines) - len(stay))
-            yield with_counts(batch, kept, before, gone)
+            yield with_counts(batch, pa.array(kept, pa.binary()).cast(pa.string()), before, gone)
 
     free = docs.mapInArrow(untouched, final)
     held = docs.mapInArrow(touched, plain)
     lost = lost.withColumnRenamed("doc", "_doc")
-    joined = held.join(lost, held[doc_id].eqNullSafe(lost["_doc"]), "left").drop("_doc")
+    # The same kind of join at every size: a broadcast for small tables only would hide what large ones cost.
+    joined = held.join(lost.hint("merge"), held[doc_id].eqNullSafe(lost["_doc"]), "left").drop("_doc")
     return free.unionAll(joined.mapInArrow(cleared, final))
 
 
-def _digest(key: str) -> bytes:
-    return hashlib.sha256(key.encode("utf-8", "surrogatepass")).digest()
+def _digest(key: bytes) -> bytes:
+    return hashlib.sha256(key).digest()
