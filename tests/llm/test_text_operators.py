@@ -274,7 +274,8 @@ def test_secret_spans_and_ledger(spark, awkward):
 
 def test_weak_labels(spark, awkward):
     model = fit_label_model({"00000022": 900, "10000000": 60, "10000020": 30, "01100000": 40, "00000000": 10})
-    assert model.posterior("00000022") > 0.9 > 0.1 > model.posterior("10000000")
+    assert model.posterior("00000022") > 0.9 > 0.1 > model.posterior("01100000")
+    assert model.posterior("10000000") < model.posterior("00000000")
     found = classify(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
     quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     good = [r["kept"] for r in found if quality.get(r["doc_id"]) == 1]

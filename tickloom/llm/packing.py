@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tickloom.llm.pretokens import UnitCache, pieces, segments
+from tickloom.llm.pretokens import UnitCache, is_plain, pieces, segments
 from tickloom.llm.text import prepare
 from tickloom.llm.token_counts import default_vocabulary
 
@@ -30,6 +30,8 @@ CAPACITY = 1024
 #: A remainder keeps all but one in so many of its tokens together, and so does what is cut off, down to the smallest part.
 TAPER = 8
 SMALLEST = 8
+#: Units that the tokenizer library encodes in one call, and how byte-level vocabularies write a line break.
+GROUP, LINE_BREAK = 64, "\u010a"
 #: Windows divided at a time: bounds the memory of a task and the length of a partial partition.
 BATCH_WINDOWS = 256
 
@@ -104,7 +106,23 @@ def encoder(vocabulary: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
     mark, mark_id = next(iter(special.items()), (None, 0))
     between = array("I", [mark_id]).tobytes()
     end = array("I", [end_id]).tobytes()
-    cache = UnitCache(lambda missing: [array("I", e.ids).tobytes() for e in library.encode_batch_fast(missing, add_special_tokens=False)])
+    line_break = library.token_to_id(LINE_BREAK)
+
+    def ids_of(units: list[str]) -> list[bytes]:
+        """Plain units go to the library in groups, set apart by line breaks: one call each costs more than the encoding."""
+        plain = [u for u in units if line_break is not None and is_plain(u)]
+        groups = [plain[at : at + GROUP] for at in range(0, len(plain), GROUP)]
+        found: dict[str, bytes] = {}
+        for group, encoded in zip(groups, library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            cuts = 4 * np.flatnonzero(ids == line_break)
+            packed = ids.tobytes()
+            found.update(zip(group, (packed[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(packed)], strict=True)), strict=True))
+        rest = [u for u in units if u not in found]
+        found.update(zip(rest, (array("I", e.ids).tobytes() for e in library.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [found[u] for u in units]
+
+    cache = UnitCache(ids_of)
 
     def encode(texts: list[str]) -> list[bytes]:
         cut = [[pieces(s) for s in segments(t, mark)] for t in texts]

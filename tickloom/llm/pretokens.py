@@ -20,6 +20,11 @@ def pieces(text: str) -> list[str]:
     return _SINGLE.split(text) if _DOUBLE.search(text) else text.split(" ")
 
 
+def is_plain(unit: str) -> bool:
+    """No white space but perhaps a space in front: set apart by line breaks, such units keep their tokens."""
+    return unit.split() == [unit[1:] if unit[:1] == " " else unit]
+
+
 class UnitCache:
     """What is known about units, worked out in batches.
 
@@ -27,7 +32,7 @@ class UnitCache:
     that the cache starts anew, which costs time but bounds the memory.
     """
 
-    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = 600_000):
+    def __init__(self, work_out: Callable[[list[str]], Iterable], limit: int = 1_000_000):
         self.work_out, self.limit = work_out, limit
         self.first: dict = {}
         self.later: dict = {}

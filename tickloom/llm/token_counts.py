@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.pretokens import UnitCache, pieces, segments
+from tickloom.llm.pretokens import UnitCache, is_plain, pieces, segments
 from tickloom.llm.text import prepare
 
 # Fixed value: the byte-level pre-token pattern, with the white space of Unicode.
@@ -106,7 +106,7 @@ def merge_counts(table: MergeTable, sequences: list[bytes]) -> np.ndarray:
 
 def pretokens_of(found: Callable[[str], list[str]], units: list[str]) -> list[list[str]]:
     """The pre-tokens of each unit. Units without inner white space are searched together, set apart by line breaks."""
-    plain = [u for u in units if u.split() == [u[1:] if u[:1] == " " else u]]
+    plain = [u for u in units if is_plain(u)]
     by_unit: dict[str, list[str]] = {}
     now: list[str] = []
     at = 0
@@ -122,7 +122,7 @@ def pretokens_of(found: Callable[[str], list[str]], units: list[str]) -> list[li
     return [by_unit[u] if u in by_unit else found(u) for u in units]
 
 
-def unit_counter(table: MergeTable, limit: int = 600_000) -> Callable[[list[str]], list[int]]:
+def unit_counter(table: MergeTable, limit: int = 1_000_000) -> Callable[[list[str]], list[int]]:
     """Token counts of units: the pre-tokens not yet known are merged together in one ragged array."""
     found = regex.compile(PATTERN).findall
     known: dict[str, int] = {}
