@@ -332,7 +332,11 @@ def text_scalars(spark, folder):
     )
 
 
-@query("name_uuids")
+@query(
+    "name_uuids",
+    f"""WITH h AS (SELECT event_id, sha1(unhex('{S.UUID_NAMESPACE_URL.replace("-", "")}') || ('event:' || event_id)::BLOB) AS h FROM events)
+    SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INTEGER % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h""",
+)
 def name_uuids(spark, folder):
     return table(spark, folder, "events").select("event_id", S.uuid5(F.concat_ws(":", F.lit("event"), F.col("event_id").cast("string"))).alias("id"))
 

@@ -120,12 +120,11 @@ def monthly_documents(spark, folder):
     return _documents(spark, folder)
 
 
-@query("monthly_documents_verified", "SELECT CAST(0 AS BIGINT) AS mismatches, count(DISTINCT (user_id % 20, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m'))) AS documents FROM events")
+@query("monthly_documents_verified", "SELECT DISTINCT user_id % 20 AS run_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%Y-%m') AS et_month FROM events WHERE user_id % 20 % 5 = 0")
 def monthly_documents_verified(spark, folder):
-    """Stored documents re-hashed: number of documents and of mismatches."""
-    docs = cut_lineage(_documents(spark, folder))
-    bad = M.verify_documents(docs).agg(F.count(F.lit(1)).alias("mismatches"))
-    return bad.withColumn("documents", docs.select(F.count(F.lit(1))).scalar())
+    """Stored documents re-hashed; those of every fifth run were altered by a space."""
+    altered = _documents(spark, folder).withColumn("document", F.when(F.col("run_id") % 5 == 0, F.concat("document", F.lit(" "))).otherwise(F.col("document")))
+    return M.verify_documents(altered).select("run_id", "et_month")
 
 
 # ---------------------------------------------------------------- detail parts
@@ -274,7 +273,12 @@ def dataset_hashes(spark, folder):
     return H.dataset_hash(_objects(spark, folder), ["dataset_id"])
 
 
-@query("loader_dataset_hashes")
+@query(
+    "loader_dataset_hashes",
+    f"""WITH {_OBJ}, e AS (SELECT week AS dataset_id, 's' || lpad(shard::VARCHAR, 2, '0') || '-of-16' AS shard_key,
+      '{{"content_hash":"' || sha256(strftime(d, '%Y-%m-%d') || '/' || shard) || '","part_number":1,"shard_key":"s' || lpad(shard::VARCHAR, 2, '0') || '-of-16"}}' AS entry FROM ob)
+    SELECT dataset_id, sha256('resolution={{"v":"30m"}}' || chr(10) || 'week={{"v":"' || dataset_id || '"}}' || chr(10) || string_agg(entry, ',' ORDER BY shard_key, entry)) AS dataset_hash FROM e GROUP BY 1""",
+)
 def loader_dataset_hashes(spark, folder):
     return H.loader_dataset_hash(_objects(spark, folder), ["dataset_id"], {"resolution": F.lit("30m"), "week": F.col("dataset_id").cast("string")})
 
