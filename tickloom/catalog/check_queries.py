@@ -341,6 +341,20 @@ def name_uuids(spark, folder):
     return table(spark, folder, "events").select("event_id", S.uuid5(F.concat_ws(":", F.lit("event"), F.col("event_id").cast("string"))).alias("id"))
 
 
+@query("price_changes", """WITH e AS (SELECT event_id, CAST(value AS DECIMAL(18,8)) AS c, CAST(user_id % 5 AS DECIMAL(18,8)) AS b FROM events)
+    SELECT event_id, CASE WHEN b <> 0 THEN round(CAST(c - b AS DOUBLE) * 100 / CAST(b AS DOUBLE), 6) END AS change, CASE WHEN b = 0 THEN 'ZERO_BASE' ELSE 'OK' END AS status FROM e""")
+def price_changes(spark, folder):
+    rows = table(spark, folder, "events").select("event_id", S.price("value").alias("close"), (F.col("user_id") % 5).cast("decimal(18,8)").alias("base"))
+    return I.pct_change("base")(rows).select("event_id", num("pct_base").alias("change"), F.col("pct_base_status").alias("status"))
+
+
+@query("sorted_instruments", "SELECT l_orderkey AS order_id, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS instruments FROM lineitem GROUP BY 1")
+def sorted_instruments(spark, folder):
+    """Suppliers of each order, sorted and without repeats (an order has a handful of lines)."""
+    listed = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.collect_list("l_suppkey").alias("listed"))
+    return listed.select("order_id", F.array_join(S.sorted_unique("listed").cast("array<string>"), ",").alias("instruments"))
+
+
 @query(
     "week_month_overlap",
     f"""WITH w AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, strftime(l_shipdate + INTERVAL 3 DAY, '%Y-%m') AS month FROM lineitem)

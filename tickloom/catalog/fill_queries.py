@@ -407,6 +407,23 @@ def ledger_entries(spark, folder):
     return L.ledger_entries(_with_basis(spark, folder), ID).select(*ID, "account", "direction", money("amount").alias("amount"))
 
 
+_SEEDED = BOOK.replace("fl AS (", "fl0 AS (", 1).replace(
+    "b1 AS (", "fl AS (SELECT * FROM fl0 UNION ALL SELECT DISTINCT run_id, instrument_id, TIMESTAMP '1990-01-01', 0, 0, 0, 'BUY', CAST(10 AS DECIMAL(18,8)), CAST(1000 AS DECIMAL(18,8)) FROM fl0),\nb1 AS (", 1
+)
+
+
+@query("seeded_fills", f"""WITH {_SEEDED} SELECT {_IDS}, side, {Q.money("executed")} AS executed, {Q.money("held_after")} AS held_after FROM bk""")
+def seeded_fills(spark, folder):
+    """Every position begins with a lot of ten, which later sells may use."""
+    fills = fill_log(spark, folder)
+    start = {"occurred_at": F.lit("1990-01-01").cast("timestamp"), "side": F.lit("BUY"), "quantity": F.lit(10), "gross_amount": F.lit(1000), "fee": F.lit(2), "slippage": F.lit("0.5")}
+    given = {f.name: f.dataType for f in fills.schema.fields}
+    held = fills.select(*FILL_KEYS, "fee_rate", "slippage_rate").distinct()
+    seeds = held.select(*[(F.col(c) if c in held.columns else start.get(c, F.lit(0)).cast(t)).alias(c) for c, t in given.items()])
+    df = L.book(L.seed_positions(fills, seeds), FILL_KEYS, FILL_ORDER, F.date_trunc("week", "occurred_at"))
+    return df.select(*ID, "side", money("executed").alias("executed"), money("held_after").alias("held_after"))
+
+
 @query(
     "cash_after",
     f"""WITH {BOOK} SELECT {_IDS}, {Q.money(f"100000000 + sum(CASE WHEN side = 'BUY' THEN -(gross_amount + fee) ELSE gross_amount - fee END) OVER (PARTITION BY run_id ORDER BY {_ORD} ROWS UNBOUNDED PRECEDING)")} AS cash_after FROM bk""",

@@ -182,11 +182,6 @@ def input_fingerprint(columns: Mapping[str, Column | str]) -> Column:
     return F.when(~missing, F.sha2(text.cast("binary"), 256))
 
 
-def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Half-open intervals share at least one instant."""
-    return (a_start < b_end) & (b_start < a_end)
-
-
 def week_overlaps_month(week_start: Column, month: Column) -> Column:
     """Does the Monday week touch the ``YYYY-MM`` month?"""
     first = F.to_date(F.concat(month, F.lit("-01")))

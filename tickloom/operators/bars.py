@@ -141,10 +141,6 @@ def observations(events: DataFrame, calendar: DataFrame, keys: Sequence[str]) ->
     return own.unionByName(shut.select(*own.columns))
 
 
-def previous_bar(bars: DataFrame, keys: Sequence[str], column: str, bucket: Column, order: str = "starts_at") -> DataFrame:
-    return prefix_scan(bars, keys, [order], bucket, {f"prev_{column}": Running("prev", F.col(column))})
-
-
 def event_ticks(events: DataFrame) -> tuple[DataFrame, Column, Column]:
     """The ``events`` table as ticks: instrument = event type, price = value + 1, quantity = 1."""
     ticks = events.select(

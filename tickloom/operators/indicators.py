@@ -118,10 +118,10 @@ def band_deviation(n: int, offset: int = 0) -> Indicator:
 
 
 def pct_change(base: str) -> Callable[[DataFrame], DataFrame]:
-    """(close - base) * 100 / base for an existing base column; NULL for a zero base."""
-    return lambda df: df.withColumn(
-        f"pct_{base}", F.try_divide((F.col("close") - F.col(base)).cast("double") * 100.0, F.col(base).cast("double"))
-    )
+    """(close - base) * 100 / base for an existing base column, and whether it could be worked out: a zero base is an error."""
+    change = F.try_divide((F.col("close") - F.col(base)).cast("double") * 100.0, F.col(base).cast("double"))
+    status = F.when(F.col("close").isNull() | F.col(base).isNull(), "INPUT_MISSING").when(F.col(base) == 0, "ZERO_BASE").otherwise("OK")
+    return lambda df: df.withColumns({f"pct_{base}": change, f"pct_{base}_status": status})
 
 
 def series_positions(bars: DataFrame, keys: Sequence[str], bucket: str = "month") -> DataFrame:

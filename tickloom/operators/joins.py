@@ -171,9 +171,3 @@ def corrections(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
         .filter(~F.col("supersedes").eqNullSafe(F.col("content_hash")))
         .withColumn("change", change)
     )
-
-
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per bounded key group by a window."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -359,7 +359,3 @@ def threshold_hits(rules: DataFrame, values: DataFrame, width: float) -> DataFra
 
 def reference_price(column: str = "close") -> Column:
     return F.bround(F.col(column), 8).cast("decimal(24,8)")
-
-
-def first_of(keys: Sequence[str], order: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(order))

@@ -200,16 +200,3 @@ def in_chunks(
     spec = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     done = compute(placed, spec)
     return done.filter("_chunk = _home").drop("_chunk", "_home")
-
-
-def month_bucket(column: str | Column) -> Column:
-    return F.date_trunc("month", F.col(column) if isinstance(column, str) else column)
-
-
-def day_bucket(column: str | Column) -> Column:
-    return F.date_trunc("day", F.col(column) if isinstance(column, str) else column)
-
-
-def range_bucket(column: str | Column, width: float) -> Column:
-    """Order-preserving bucket of a numeric axis."""
-    return F.floor((F.col(column) if isinstance(column, str) else column) / F.lit(width))

@@ -60,13 +60,6 @@ def scan_bars(spark: SparkSession, paths: Sequence[str], instruments: Sequence[s
     )
 
 
-def scan_bars_for(spark: SparkSession, paths: Sequence[str], instruments: DataFrame, start: str, end: str) -> DataFrame:
-    """As ``scan_bars`` for a table of instruments: a semi-join that Spark turns into a runtime filter where it pays."""
-    bars = utc(spark).read.schema(BARS).parquet(*paths)
-    inside = (F.col("bar_start_at") >= F.lit(start).cast("timestamp")) & (F.col("bar_start_at") < F.lit(end).cast("timestamp"))
-    return bars.filter(inside).join(instruments.select("instrument_id").distinct(), "instrument_id", "left_semi")
-
-
 def scan_features(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return utc(spark).read.schema(FEATURES).parquet(*paths)
 
