@@ -150,13 +150,13 @@ def nest_children(parents: DataFrame, children: DataFrame, keys: Sequence[str],
     return parents.join(nested, list(keys), "left")
 
 
-def bind_rules(rules: DataFrame, bars: DataFrame, resolution: str = "resolution", small_rules: bool = False) -> DataFrame:
+def bind_rules(rules: DataFrame, bars: DataFrame, resolution: str = "resolution") -> DataFrame:
     """Every rule meets every bar of its instrument and resolution.
 
-    The rules table grows with the number of strategies, so it is broadcast only when the caller has checked its size.
+    The rules table grows with the number of strategies, so there is no broadcast hint: Spark broadcasts it where its measured
+    size allows.
     """
-    side = F.broadcast(rules) if small_rules else rules
-    return bars.join(side, ["instrument_id", resolution])
+    return bars.join(rules, ["instrument_id", resolution])
 
 
 def corrections(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,12 +12,13 @@ def write_detail(rows: DataFrame, path: str, order: tuple[str, ...] = ("occurred
     """One uncompressed, sorted parquet file per (run, record type, week, part).
 
     Rows are shuffled by the part keys, so each part (at most 100 000 rows) is written by one task and a hot run is spread
-    over its weeks and parts.
+    over its weeks and parts. Parts that are written again are replaced, so a retried write leaves no row twice.
     """
     (
         rows.repartition(*[F.col(c) for c in DETAIL_PARTITIONS])
         .sortWithinPartitions(*DETAIL_PARTITIONS, *order)
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "uncompressed")
         .partitionBy(*DETAIL_PARTITIONS)
         .parquet(path)
