@@ -166,6 +166,70 @@ def test_near_copies_go_and_others_stay(spark):
     assert first <= kept and len(kept) <= len(first) + 2
 
 
+def edited(rng, base, vocabulary, share, how):
+    """A copy of ``base`` whose five-word similarity is about 0.8 for share = 1/9 (replaced or spread over 2.2 %) or 1/4 (grown or cut)."""
+    n = len(base)
+    if how == "spread":
+        text = list(base)
+        for i in range(rng.randrange(45), n, 46):
+            text[i] = rng.choice(vocabulary)
+        return text
+    if how == "appended":
+        return base + rng.choices(vocabulary, k=int(n * share))
+    if how == "cut":
+        return base[: n - int(n * share)]
+    at = rng.randrange(n - int(n * share))
+    return base[:at] + rng.choices(vocabulary, k=int(n * share)) + base[at + int(n * share) :]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_any_edit_are_found_and_verified(spark):
+    """Every kind of edit is found at 0.8; documents that share two thirds of their shingles stay, all of them."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(20000)]
+    docs, copies = [], {}
+    for how, share in (("spread", 0), ("appended", 0.24), ("cut", 0.19), ("replaced", 0.1)):
+        for _ in range(60):
+            base = rng.choices(vocabulary, k=460)
+            copy = edited(rng, base, vocabulary, share, how)
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(copy))]
+            if jaccard(base, copy) >= 0.8:
+                copies[len(docs) - 1] = how
+    assert min(Counter(copies.values()).values()) >= 30 and len(set(copies.values())) == 4
+    common = rng.choices(vocabulary, k=320)
+    templated = {}
+    for _ in range(60):
+        templated[len(docs)] = common + rng.choices(vocabulary, k=80)
+        docs.append((len(docs), " ".join(templated[len(docs)])))
+    assert 0.6 < jaccard(*list(templated.values())[:2]) < 0.7
+    kept = {r["doc_id"] for r in without_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    missed = Counter(copies[d] for d in set(copies) & kept)
+    assert sum(missed.values()) <= 1, missed
+    others = {d for d, _ in docs} - set(copies)
+    close = {d for d in others if d not in templated and d % 2}
+    assert kept >= others - close and set(templated) <= kept
+    assert all(jaccard(docs[d - 1][1].split(), docs[d][1].split()) >= 0.8 for d in close - kept)
+
+
+def test_bucket_members_that_differ_from_the_leader_meet_in_bounded_parts(spark, monkeypatch):
+    """Word fingerprints of equal words in another order are equal; a bucket's pairs are cut into parts and none is lost."""
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
+    rows = [(7, 50, (i, i // 2, 0), i if i % 10 else 0) for i in range(50)]
+    members = spark.createDataFrame(rows, "bucket long, n long, p struct<id: long, s1: long, s2: long>, root long")
+    pairs = {(r["a"], r["b"]) for r in simhash._bucket_pairs(members).collect()}
+    assert pairs == {(i, j) for j in range(50) for i in range(j) if rows[i][3] != rows[j][3]}
+    parts = members.select(F.pmod(F.xxhash64("p.id", F.lit("part")), F.lit(7)).alias("i")).groupBy("i").count().collect()
+    assert max(r["count"] for r in parts) <= 16
+
+
 def test_base_statistics_and_rules(spark, awkward):
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")

@@ -10,14 +10,14 @@ then meets in exactly one shard as member and member or member and query; the sh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
@@ -31,12 +31,12 @@ SAMPLE_PER_SHARD, SAMPLE_ROWS = 32, 1 << 19
 CHUNK = 1 << 15
 
 
-def _bits(hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """How often (by weight) each of the 64 bits is set."""
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64) if weights is None else (weights[at : at + CHUNK] @ bits.astype(np.float64)).astype(np.int64)
+        total += bits.sum(axis=0, dtype=np.int64)
     return total
 
 
@@ -163,10 +163,10 @@ def route(tree: VantageTree, points: np.ndarray, bits: int) -> Iterator[tuple[in
         stack.append((tree.right[node], at[to_right], (member & ~inside)[to_right]))
 
 
-def linked(points: np.ndarray, member: np.ndarray, bits: int, agree: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def linked(points: np.ndarray, member: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that join all members and queries that are close, breadth first from members.
 
-    What has been reached is not compared again, so a dense group takes few passes. ``agree(i, j)`` may refuse close pairs.
+    What has been reached is not compared again, so a dense group takes few passes.
     Queries meet members only; two queries meet in the shard in which one of them is a member.
     """
     links: list[tuple[int, int]] = []
@@ -182,12 +182,9 @@ def linked(points: np.ndarray, member: np.ndarray, bits: int, agree: Callable[[n
             for pool in pools:
                 near = distance(points[pool], points[one]) <= bits
                 if near.any():
-                    hits = pool[near]
-                    good = agree(one, hits)
-                    near[np.flatnonzero(near)[~good]] = False
-                    hits = hits[good]
-                    links += [(one, int(h)) for h in hits]
-                    frontier += hits.tolist()
+                    hits = pool[near].tolist()
+                    links += [(one, h) for h in hits]
+                    frontier += hits
                     pool = pool[~near]
                 rest.append(pool)
             left = rest[0]
@@ -196,12 +193,11 @@ def linked(points: np.ndarray, member: np.ndarray, bits: int, agree: Callable[[n
     return links
 
 
-def near_links(points: DataFrame, bits: int, check_bits: int | None = None) -> DataFrame:
+def near_links(points: DataFrame, bits: int) -> DataFrame:
     """Links ``a, b`` between ids that join all ids with close fingerprints.
 
-    ``points`` has ``tree`` (int), ``id`` and ``fp`` (long); with ``check_bits`` also ``s1`` and ``s2`` (long), in whose 128
-    bits linked ids may differ by no more than that. Fingerprints of different trees are never compared. The number of shards
-    follows the number of points; the driver sees a sample for the trees, nothing else.
+    ``points`` has ``tree`` (int), ``id`` and ``fp`` (long). Fingerprints of different trees are never compared. The number of
+    shards follows the number of points; the driver sees a sample for the trees, nothing else.
     """
     spark = points.sparkSession
     counts = {r["tree"]: r["n"] for r in points.groupBy("tree").agg(F.count("*").alias("n")).collect()}
@@ -219,8 +215,7 @@ def near_links(points: DataFrame, bits: int, check_bits: int | None = None) -> D
             own = np.sort(sample.loc[sample["tree"] == tree, "fp"].to_numpy(np.int64).view(np.uint64))
             trees[tree] = build_tree(np.random.default_rng(tree).permutation(own), depth, bits)
     shared = spark.sparkContext.broadcast(trees)
-    checked = ["s1", "s2"] if check_bits is not None else []
-    columns = ["id", "fp", *checked]
+    columns = ["id", "fp"]
     schema = "shard long, member boolean, " + ", ".join(f"{c} long" for c in columns)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,14 +231,7 @@ def near_links(points: DataFrame, bits: int, check_bits: int | None = None) -> D
     def in_shard(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["id"].to_numpy(np.int64)
         points = group["fp"].to_numpy(np.int64).view(np.uint64)
-        sketch = [group[c].to_numpy(np.int64).view(np.uint64) for c in checked]
-
-        def agree(one: int, hits: np.ndarray) -> np.ndarray:
-            if not sketch:
-                return np.ones(len(hits), bool)
-            return sum(distance(s[hits], s[one]).astype(np.int64) for s in sketch) <= check_bits
-
-        links = linked(points, group["member"].to_numpy(bool), bits, agree)
+        links = linked(points, group["member"].to_numpy(bool), bits)
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
@@ -272,55 +260,154 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Settings of near-copy removal: independent word fingerprints per document (a pair that differs in three of 64 bits on average
-#: is within two bits in at least one of eight in 99 cases of 100), bits in which one of them may differ, and bits
-#: of 128 in which the five-word shingles of linked documents may differ. A similarity of 0.8 makes 128 bits differ in 19.4 on
-#: average with a deviation of 4.1; the limit lies 1.6 deviations above, so that few such pairs are missed.
-WORD_SEEDS = tuple(range(1, 9))
+#: Settings of near-copy removal: words per shingle and the least similarity of a pair. Each document has BANDS keys of BAND_ROWS
+#: minimum hashes. A pair of similarity s shares a key with probability 1 - (1 - s^5)^18 whatever the edit looks like: 99.92 % at
+#: 0.8. A pair whose sketches differ in more than FAR_BITS of 128 is not looked at: a similarity of 0.8 differs in 19.4 on average
+#: with a deviation of 4.1, so one such pair in 30 000 is lost there.
 CHECK_SHINGLE = 5
-CHECK_BITS = 26
+SIMILARITY = 0.8
+BANDS, BAND_ROWS = 18, 5
+FAR_BITS = 36
+#: Members of a bucket that meet in one task when all its pairs have to be compared; rounds with other leaders before that.
+BUCKET_ROWS, LEADER_ROUNDS = 1024, 3
+#: Shingles whose minimum hashes are worked out at a time.
+MIN_CHUNK = 1 << 12
+
+_RANDOM = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a set of shingle hashes: equal for two sets if the minima of all hash functions of a band are equal."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), MIN_CHUNK):
+        least = np.minimum(least, ((shingles[at : at + MIN_CHUNK] ^ _RANDOM[0]) * (_RANDOM[1] | np.uint64(1))).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def _shingle_set(words: list[bytes]) -> np.ndarray:
+    return np.unique(shingle_hashes(words, CHECK_SHINGLE)) if words else np.zeros(0, np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
-def near_copy_vectors(docs: DataFrame, doc_id: str, text: str, seeds: Sequence[int] = WORD_SEEDS) -> DataFrame:
-    """Per row: word fingerprints (words weigh by their number, so few changed words change few bits) and a shingle sketch."""
+def _key(words: list[bytes]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(words))) if words else 0
+
+
+def near_copy_vectors(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``id`` (a digest of the words), ``s1, s2`` (a shingle sketch) and ``bands`` of every row; no words, no bands."""
     prepare(docs.sparkSession)
-    names = [f"f{i}" for i in range(len(seeds))]
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in [*names, "s1", "s2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            ids, sketches, bands = [], [], []
             for value in batch.column(1).to_pylist():
                 words = words_of(value)
-                if not words:
-                    rows.append([0] * (len(seeds) + 2))
-                    continue
-                single, inverse = np.unique(shingle_hashes(words, 1), return_inverse=True)
-                weight = np.bincount(inverse).astype(np.float64)
-                own = [_majority(_bits(_mixed(single, s), weight), len(words)) for s in seeds]
-                hashes = shingle_hashes(words, CHECK_SHINGLE)
-                rows.append([_signed(v) for v in [*own, *(_majority(_bits(h), len(hashes)) for h in (hashes, _mixed(hashes, 1)))]])
-            columns = np.array(rows, np.int64).reshape(-1, len(seeds) + 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", *names, "s1", "s2"])
-
+                hashes = shingle_hashes(words, CHECK_SHINGLE) if words else np.zeros(0, np.uint64)
+                ids.append(_key(words))
+                sketches.append([_signed(_majority(_bits(h), len(h))) for h in (hashes, _mixed(hashes, 1))])
+                bands.append(band_keys(np.unique(hashes)).view(np.int64).tolist() if words else [])
+            sketch = np.array(sketches, np.int64).reshape(-1, 2).T
+            columns = [batch.column(0), pa.array(ids, pa.int64()), *map(pa.array, sketch), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "s1", "s2", "bands"])
+
+    schema = "doc_id long, id long, s1 long, s2 long, bands array<bigint>"
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
 
 
-def near_copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: Sequence[int] = WORD_SEEDS, bits: int = 2, check_bits: int = CHECK_BITS) -> DataFrame:
-    """``doc_id, component_id``: groups of exact and near copies (five-word shingles similar by 0.8 or more, as estimated from
-    128 bits). Each word fingerprint has a vantage-point tree of its own; a pair found in any of them is linked."""
-    own = store(near_copy_vectors(docs, doc_id, text, seeds))
-    vector = [c for c in own.columns if c != "doc_id"]
-    named = F.coalesce(F.min("doc_id"), F.xxhash64(*[F.first(c) for c in vector]))
-    distinct = store(own.groupBy(*vector).agg(F.min("doc_id").alias("_first"), named.alias("id")))
-    per_tree = F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), F.col(f"f{i}").alias("fp")) for i in range(len(seeds))]))
-    points = distinct.select("id", "s1", "s2", per_tree.alias("p")).select("p.tree", "id", "p.fp", "s1", "s2")
-    roots = components(store(near_links(points, bits, check_bits)))
+def _shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """``id, set`` (sorted shingle hashes as bytes) of the texts whose ``id`` is in ``wanted``, once each."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [_key(words_of(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0)], names=["id", "text"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingle_set(words_of(t)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "set"])
+
+    texts = docs.select(docs[text].alias("text")).mapInArrow(keyed, "id long, text string").join(wanted, "id", "left_semi")
+    return texts.dropDuplicates(["id"]).mapInArrow(sets, "id long, set binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` whose shingle sets are similar by SIMILARITY or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            good = pa.array([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY for x, y in both], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    return with_x.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _near(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s1", "s2")), F.lit(0)) <= FAR_BITS
+
+
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """All pairs ``a, b`` of a bucket that no link joins so far. ``members`` has bucket, n, p (id and sketch) and root.
+
+    A bucket is cut into parts of some BUCKET_ROWS members, and two parts at a time meet under one key.
+    """
+    parts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    own = F.pmod(F.xxhash64("p.id", F.lit("part")), parts).cast("int")
+    left = members.select("bucket", own.alias("i"), every.alias("j"), F.col("p").alias("x"), F.col("root").alias("_x"))
+    right = members.select("bucket", every.alias("i"), own.alias("j"), F.col("p").alias("y"), F.col("root").alias("_y"))
+    met = left.join(right, (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("x.id") < F.col("y.id")) & (F.col("_x") != F.col("_y")) & _near("x", "y"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def near_copy_links(docs: DataFrame, text: str, distinct: DataFrame) -> DataFrame:
+    """Links ``a, b`` of similarity SIMILARITY or more that join all such pairs that share a band key.
+
+    Each bucket first compares its members with one leader, which settles most buckets and a large group of copies at once.
+    Where members stay apart, other leaders follow, and then all pairs that are not joined yet. No link goes unverified.
+    """
+    points = distinct.select(F.struct("id", "s1", "s2").alias("p"), F.explode("bands").alias("bucket"))
+    buckets = points.groupBy("bucket").agg(F.count("*").alias("n"), F.min("p").alias("lead")).filter(F.col("n") > 1)
+    met = store(points.join(buckets, "bucket"))
+    sets = store(_shingle_sets(docs, text, met.select("p.id").distinct()))
+    links = store(_similar(met.filter((F.col("p.id") != F.col("lead.id")) & _near("p", "lead")).select(F.col("lead.id").alias("a"), F.col("p.id").alias("b")).distinct(), sets))
+    for turn in range(1, LEADER_ROUNDS + 2):
+        roots = components(links).select(F.col("node").alias("_node"), "root")
+        rooted = met.filter(F.col("n") > 2).join(roots, F.col("p.id") == F.col("_node"), "left").select("bucket", "n", "p", F.coalesce("root", "p.id").alias("root"))
+        rooted = store(rooted)
+        lead = F.min_by(F.struct("p", "root"), F.xxhash64("p.id", F.lit(turn))).alias("lead")
+        mixed = store(rooted.groupBy("bucket").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), lead, F.max("n").alias("_n")).filter(F.col("_least") != F.col("_most")).select("bucket", "lead", "_n"))
+        rows, largest = mixed.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.max("_n")).first()
+        if not rows:
+            break
+        apart = rooted.join(mixed, "bucket")
+        if turn > LEADER_ROUNDS or largest <= BUCKET_ROWS // 16:
+            return links.unionAll(store(_similar(_bucket_pairs(apart.select("bucket", "n", "p", "root")), sets)))
+        asked = apart.filter(F.col("root") != F.col("lead.root")).select("p", F.col("lead.p").alias("lead")).filter(_near("p", "lead"))
+        links = store(links.unionAll(_similar(asked.select(F.col("lead.id").alias("a"), F.col("p.id").alias("b")).distinct(), sets)))
+    return links
+
+
+def near_copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id``: groups of exact and near copies, linked by pairs whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more. Texts with the same words are one point; rows that share a ``doc_id`` are of one group."""
+    own = store(near_copy_vectors(docs, doc_id, text))
+    distinct = store(own.groupBy("id").agg(F.min("doc_id").alias("_first"), *[F.first(c).alias(c) for c in ("s1", "s2", "bands")]))
+    shared = distinct.filter(F.col("_first").isNotNull()).groupBy("_first").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.collect_set("id").alias("_all"))
+    shared = shared.filter(F.col("a") != F.col("b")).select("a", F.explode("_all").alias("b"))
+    roots = components(store(near_copy_links(docs, text, distinct).unionAll(shared)))
     smallest = roots.join(distinct.select(F.col("id").alias("node"), "_first"), "node")
     least = smallest.groupBy("root").agg(F.min("_first").alias("_least"))
     moved = smallest.join(least, "root").select(F.col("node").alias("id"), "_least")
-    classes = store(distinct.join(moved, "id", "left").select(*vector, F.coalesce("_least", "_first").alias("component_id")))
-    return own.join(classes, vector).select("doc_id", "component_id")
+    classes = store(distinct.join(moved, "id", "left").select("id", F.coalesce("_least", "_first").alias("component_id")))
+    return own.join(classes, "id").select("doc_id", "component_id")
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
