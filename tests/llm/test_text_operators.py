@@ -215,6 +215,14 @@ def test_near_copies_of_any_edit_are_found_and_verified(spark):
     assert all(jaccard(docs[d - 1][1].split(), docs[d][1].split()) >= 0.8 for d in close - kept)
 
 
+def test_similarity_is_exact():
+    from tickloom.llm.simhash import SIMILARITY, similarity
+
+    a = np.arange(900, dtype=np.uint64)
+    assert similarity(a, a[100:]) == 800 / 900 and similarity(a, a + np.uint64(100)) == SIMILARITY
+    assert similarity(a, a + np.uint64(101)) < SIMILARITY and similarity(a[:0], a[:0]) == 0
+
+
 def test_bucket_members_that_differ_from_the_leader_meet_in_bounded_parts(spark, monkeypatch):
     """Word fingerprints of equal words in another order are equal; a bucket's pairs are cut into parts and none is lost."""
     from pyspark.sql import functions as F
