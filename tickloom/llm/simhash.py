@@ -269,7 +269,7 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 18, 5
 FAR_BITS = 36
 #: Members of a bucket that meet in one task when all its pairs have to be compared; rounds with other leaders before that.
-BUCKET_ROWS, LEADER_ROUNDS = 1024, 3
+BUCKET_ROWS, LEADER_ROUNDS = 1024, 1
 #: Shingles whose minimum hashes are worked out at a time.
 MIN_CHUNK = 1 << 12
 
