@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,9 +68,11 @@ def _remove_stored() -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and continue from the stored table.
 
+    ``by`` names columns of few values that become folders of the table, so that a reader of one value opens its files only.
+
     Used between dependent scans, which would otherwise recompute everything below them once per branch. A stored
     columnar table survives the loss of executors and lets each branch read only its own columns.
     """
@@ -77,5 +80,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     root = f"{ensure_checkpoint_dir(spark)}/tables"
     _stored[root] = spark
     folder = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.partitionBy(*by).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
