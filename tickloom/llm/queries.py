@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as pipeline
+from tickloom.llm.katz import katz_scores
 from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import NOISE, mix
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.pii import KINDS, personal_data
+from tickloom.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt
 from tickloom.llm.quality_rules import judge
+from tickloom.llm.repair import damaged, repair
 from tickloom.llm.secret_scan import BASE_RULES, RULES, secrets
 from tickloom.llm.simhash import near_classes
 from tickloom.llm.spans import listed
@@ -82,6 +85,19 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed(base, names).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans"), names).alias("spans"))
 
 
+def op11_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    scored = katz_scores(documents(spark, folder))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(*rebuilt(ordered_turns(documents(spark, folder, "conversations"))))
+
+
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair(damaged(documents(spark, folder, "conversations")))
+
+
 QUERIES |= {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -93,6 +109,9 @@ QUERIES |= {
     "op8_top_k": op8_top_k,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
+    "op11_language_model": op11_language_model,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_repair": op13_repair,
     "pipeline": pipeline,
 }
 if PIPELINE_SQL is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +53,19 @@ def documents(spark: SparkSession, folder: str, name: str = "documents") -> Data
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """A table in the shared checkpoint folder; see ``tickloom.session.cut_lineage``."""
-    return cut_lineage(df)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A table in the shared checkpoint folder; see ``tickloom.session.cut_lineage``. The shuffle files of the job that writes it
+    go when it ends, so that a chain of stored tables does not hold all of them at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return cut_lineage(df, by)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
