@@ -2,8 +2,8 @@
 
 Counting. A first pass counts the words of the training texts. A second one sends every pair (word before, word) of every text
 to the bucket of its word, a chunk's equal pairs once, with the rows it stands in. A bucket thus has the counts of its words and
-of all pairs ending in them. Words that make up more than a 32 768th of all are numbered on the driver (there are at most so
-many) and shared with all tasks; their pairs are spread over all buckets, so that no frequent word is one bucket.
+of all pairs ending in them. The 65 536 most frequent words (any other is less than a 65 536th of all) are numbered on the driver
+and shared with all tasks; their pairs are spread over all buckets, so that no frequent word is one bucket.
 
 Model. Turing's estimate discounts counts up to five: ``d_r r`` for a count of r. One further count of every context is kept for
 what was never seen after it, so that a context whose followers are all frequent can back off as well:
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +36,11 @@ from tickloom.llm.text import prepare, store
 
 #: Keys of the start of a text and of its end; frequent words follow, all other words are hashes with the sign bit set.
 START, END, FIRST = 0, 1, 2
-#: A word is frequent from this share of all tokens on.
-HOT = 1 << 15
-#: Tokens in a chunk of texts and, on average, in a bucket; bytes of a text that are cut into words at a time.
-CHUNK, BUCKET, SLICE = 1_000_000, 500_000, 8 << 20
+#: So many of the most frequent words have numbers.
+HOT = 1 << 16
+#: Tokens in a chunk of texts and, on average, in a task's buckets together; buckets a task goes through one after the other;
+#: bytes of a text that are cut into words at a time.
+CHUNK, TASK, BUCKETS, SLICE = 1_000_000, 6_000_000, 12, 8 << 20
 #: Counts up to this one are discounted.
 COUNTS = 5
 HELD_OUT, FOLDS = 0, 10
@@ -252,17 +254,15 @@ def count_words(inputs: DataFrame) -> tuple[DataFrame, Words]:
     facts = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("w") == END, F.col("c")))).first()
     tokens, distinct, texts = (int(x or 0) for x in facts)
     numbers = {r["c"]: r["count"] for r in words.filter(F.col("c") <= COUNTS + 1).groupBy("c").count().collect()}
-    # At most HOT words can hold a HOT-th of all tokens each.
-    frequent = words.filter((F.col("w") != END) & (F.col("c") * HOT >= tokens)).collect()
-    frequent.sort(key=lambda r: (-r["c"], r["w"]))
+    frequent = words.filter(F.col("w") != END).orderBy(F.desc("c"), "w").limit(HOT).collect()
     discount = discounts(numbers)
     rest = (1 + sum((1 - discount[r]) * r * numbers.get(r, 0) for r in range(1, COUNTS + 1))) / (tokens + 1)
     hot = {r["w"]: FIRST + i for i, r in enumerate(frequent)}
     return words, Words(tokens, distinct, texts, discount, rest, hot, np.array([0, texts, *[r["c"] for r in frequent]], np.int64))
 
 
-def _send(hot: dict[int, int], buckets: int):
-    """Chunks of texts to packed pieces by bucket."""
+def _send(hot: dict[int, int], tasks: int):
+    """Chunks of texts to packed pieces by task and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(hot)
@@ -270,9 +270,10 @@ def _send(hot: dict[int, int], buckets: int):
         chunk, records = Chunk([], [], [], []), []
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            found = list(chunk.pieces(buckets, records))
+            found = list(chunk.pieces(tasks * BUCKETS, records))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], names=["bucket", "piece"])
+                numbers = np.array([b for b, _ in found], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers % tasks), pa.array(numbers // tasks), pa.array([p for _, p in found], pa.binary())], names=["task", "bucket", "piece"])
 
         for batch in batches:
             for doc, held, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held", "data")), strict=True):
@@ -340,18 +341,47 @@ def merged(pieces: list[dict[str, np.ndarray]], words: Words) -> list[dict]:
     return [whole, scores, parts, pairs, lookups]
 
 
+#: What adds up across the buckets of a task: by what, and which columns.
+ADDED = {PART: (("row",), ("n", "base", "s", *CLASSES)), CONTEXT: (("u",), ("c", "s", *CLASSES)), LOOKUP: (("row", "u"), ("c", "n"))}
+
+
+def added(found: list[dict]) -> dict:
+    """Columns of one kind, rows with equal keys added up."""
+    keys, sums = ADDED[found[0]["kind"]]
+    whole = {c: np.concatenate([f[c] for f in found]) for c in (*keys, *sums)}
+    order = np.lexsort([whole[k] for k in reversed(keys)])
+    at = starts_of(*[whole[k][order] for k in keys])
+    out = {"kind": found[0]["kind"]} | {k: whole[k][order][at] for k in keys}
+    return out | {c: np.add.reduceat(whole[c][order], at) if len(at) else whole[c] for c in sums}
+
+
 def _merge(words: Words):
     shape = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in MERGED.split(", ")])
 
-    def run(table: pa.Table) -> pa.Table:
-        found = merged([unpacked(b) for b in table.column("piece").to_pylist()], words)
-        out = []
-        for columns in found:
-            n = len(columns["row"] if "row" in columns else columns["u"])
-            columns["kind"] = np.full(n, columns["kind"], np.int32)
-            arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in shape]
-            out.append(pa.Table.from_arrays([a if isinstance(a, pa.Array) else a.combine_chunks() for a in arrays], schema=shape))
-        return pa.concat_tables(out)
+    def records(columns: dict) -> Iterator[pa.RecordBatch]:
+        n = len(columns["row"] if "row" in columns else columns["u"])
+        columns = columns | {"kind": np.full(n, columns["kind"], np.int32)}
+        whole = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in shape], schema=shape)
+        for at in range(0, n, 20_000):
+            yield whole.slice(at, 20_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, list[bytes]] = defaultdict(list)
+        for batch in batches:
+            for bucket, piece in zip(batch.column("bucket").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                pieces[bucket].append(piece)
+        sums: dict[int, list[dict]] = {kind: [] for kind in ADDED}
+        for bucket in sorted(pieces):
+            for columns in merged([unpacked(b) for b in pieces.pop(bucket)], words):
+                if columns["kind"] in sums:
+                    # Two at most wait, so that a task holds little more than the sums themselves.
+                    waiting = sums[columns["kind"]]
+                    waiting[:] = [added([*waiting, columns])]
+                else:
+                    yield from records(columns)
+        for waiting in sums.values():
+            for columns in waiting:
+                yield from records(columns)
 
     return run
 
@@ -372,16 +402,16 @@ def fit_and_collect(docs: DataFrame, doc_id: str, text: str) -> tuple[Model, Dat
     prepare(docs.sparkSession)
     inputs = _inputs(docs, doc_id, text)
     words, totals = count_words(inputs)
-    buckets = 1 + totals.tokens // BUCKET
-    sent = inputs.mapInArrow(_send(totals.hot, buckets), "bucket int, piece binary")
-    parts = store(sent.groupBy("bucket").applyInArrow(_merge(totals), MERGED), by=["kind"])
+    tasks = 1 + totals.tokens // TASK
+    sent = inputs.mapInArrow(_send(totals.hot, tasks), "task int, bucket int, piece binary").repartitionById(tasks, "task")
+    parts = store(sent.mapInArrow(_merge(totals), MERGED), by=["kind"])
     pairs = parts.filter(F.col("kind") == PAIR).select("u", "w", "c")
     numbers = {r["c"]: r["count"] for r in pairs.filter(F.col("c") <= COUNTS + 1).groupBy("c").count().collect()}
     discount = discounts(numbers)
-    added = parts.filter(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("c").alias("total"), F.sum("s").alias("likely"), *[F.sum(m).alias(m) for m in CLASSES])
+    sums = parts.filter(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("c").alias("total"), F.sum("s").alias("likely"), *[F.sum(m).alias(m) for m in CLASSES])
     kept_back = sum((F.col(m) * float((1 - discount[r]) * r) for r, m in enumerate(CLASSES, 1)), F.lit(1.0))
     alpha = kept_back / (F.col("total") + 1) / (1 - F.col("likely"))
-    contexts = store(added.select("u", "total", alpha.alias("alpha")))
+    contexts = store(sums.select("u", "total", alpha.alias("alpha")))
     return Model(words, pairs, contexts, totals, discount), parts
 
 
@@ -397,7 +427,7 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     totals = model.totals
     of = {k: parts.filter(F.col("kind") == k) for k in (TEXT, PART, LOOKUP)}
     frequent = F.col("u") >= 0
-    # Frequent contexts number at most HOT + 2; all others meet by a shuffle in which none is large.
+    # Frequent contexts number at most HOT + 1; all others meet by a shuffle in which none is large.
     met = of[LOOKUP].filter(frequent).join(F.broadcast(model.contexts.filter(frequent)), "u", "left").unionByName(of[LOOKUP].filter(~frequent).join(model.contexts.filter(~frequent), "u", "left"))
     backed = F.when(F.col("total").isNotNull(), F.col("n") * F.log10("alpha") - F.col("c") * F.log10(F.col("total") + 1.0)).otherwise(0.0)
     zero = F.lit(0).cast("long")

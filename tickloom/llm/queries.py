@@ -12,6 +12,7 @@ from corpus_pipeline import run as pipeline
 from tickloom.llm.katz import katz_scores
 from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import NOISE, mix
+from tickloom.llm.oracle_sql import KATZ, REPAIR, TRIE
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.pii import KINDS, personal_data
 from tickloom.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt
@@ -114,6 +115,7 @@ QUERIES |= {
     "op13_repair": op13_repair,
     "pipeline": pipeline,
 }
+ORACLES |= {"op11_language_model": KATZ, "op12_prefix_trie": TRIE, "op13_repair": REPAIR}
 if PIPELINE_SQL is not None:
     ORACLES["pipeline"] = PIPELINE_SQL
 

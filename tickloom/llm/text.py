@@ -53,19 +53,22 @@ def documents(spark: SparkSession, folder: str, name: str = "documents") -> Data
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files of a job go when it ends; stored tables are packed well.
+_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
 
 
 def store(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A table in the shared checkpoint folder; see ``tickloom.session.cut_lineage``. The shuffle files of the job that writes it
     go when it ends, so that a chain of stored tables does not hold all of them at once."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP)
-    conf.set(_CLEANUP, "true")
+    before = {name: conf.get(name) for name in _STORING}
+    for name, value in _STORING.items():
+        conf.set(name, value)
     try:
         return cut_lineage(df, by)
     finally:
-        conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            conf.set(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
