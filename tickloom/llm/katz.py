@@ -72,7 +72,7 @@ def words_of(data: bytes) -> Iterator[list[bytes]]:
 class Keys:
     """Words to keys, with a bounded cache of the words a task has met."""
 
-    def __init__(self, hot: dict[int, int], limit: int = 500_000):
+    def __init__(self, hot: dict[int, int], limit: int = 300_000):
         self.hot, self.limit = hot, limit
         self.known: dict[bytes, int] = {}
 
