@@ -68,15 +68,14 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own id. Vectors that are
     null, or hold a null or a component that is not finite, take no part, nor do rows without an id; vectors of unequal
-    lengths are compared as if filled up with zeros. Rows that repeat an id are one candidate, with the first of its vectors
-    in order. Components beyond 2^20 are worked out in whole-number arithmetic; a score beyond 64 bits is an error. An empty
+    lengths are compared as if filled up with zeros. Rows that repeat an id are candidates each, and their queries share one
+    list of k. Components beyond 2^20 are worked out in whole-number arithmetic; a score beyond 64 bits is an error. An empty
     table gives no rows. Other columns are not read.
     """
     spark = prepare(vectors.sparkSession)
     given = F.col(vector)
     usable = given.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(given, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    known = vectors.filter(usable).select(F.col(vec_id).cast("long").alias("vec_id"), given.cast("array<double>").alias("v"))
-    known = store(known.groupBy("vec_id").agg(F.min("v").alias("v")))
+    known = store(vectors.filter(usable).select(F.col(vec_id).cast("long").alias("vec_id"), given.cast("array<double>").alias("v")))
     facts = known.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     width, largest = int(facts[0] or 0), float(facts[1] or 0.0)
     width = max(STEP, -(-width // STEP) * STEP)
@@ -97,6 +96,7 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     if result is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    result = store(result)
     return result.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
