@@ -15,6 +15,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -94,8 +95,11 @@ def parts_of(length: int, taper: int = TAPER, smallest: int = SMALLEST) -> list[
     return [*out, length] if length else out
 
 
+@lru_cache(maxsize=1)
 def encoder(vocabulary: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
-    """Texts to packed little-endian ids with the end id; the tokenizer library encodes a unit once, then it is cached."""
+    """Texts to packed little-endian ids with the end id; the tokenizer library encodes a unit once, then it is cached.
+
+    A worker keeps its encoder and the bounded cache from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
