@@ -138,6 +138,13 @@ def unit_counter(table: MergeTable, limit: int = 1_000_000) -> Callable[[list[st
     return count
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> tuple[MergeTable, UnitCache]:
+    """A worker keeps its merge table and the bounded cache of units from task to task."""
+    table = merge_table(path)
+    return table, UnitCache(unit_counter(table))
+
+
 def token_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
     """``keep`` columns, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) of every whole text.
 
@@ -150,8 +157,7 @@ def token_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = merge_table(path)
-        cache = UnitCache(unit_counter(table))
+        table, cache = _counter(path)
         for batch in batches:
             cut = [[pieces(s) for s in segments(t or "", table.special)] for t in batch]
             found = iter(cache.look_up(list(chain.from_iterable(cut))))
