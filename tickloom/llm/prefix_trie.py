@@ -5,7 +5,7 @@ are running sums and a conversation of any length is cut into buckets. Nodes are
 
 Totals go from the deepest nodes up. Nodes are sorted in reverse level order (Spark's sort, which spills), and each sends its
 totals to its parent, later in that order, through a priority queue that spills sorted runs. A node whose members have more
-turns below it than ``shard_rows`` allows is heavy; there are at most 4 096 of those on each level. The subtrees right below
+turns below it than ``shard_rows`` or a 4 096th of all is heavy; there are at most 4 096 of those on each level. The subtrees right below
 heavy nodes are the shards; each lies in one task whole, and many shards share a task. What the shard roots send up is added up
 per heavy node first; then the heavy nodes are processed in the same way across shards.
 """
@@ -27,7 +27,7 @@ from tickloom.llm.text import prepare, store
 from tickloom.operators.scan import Running, prefix_scan, with_position
 
 #: Subtrees of at most so many turns are no trouble for a task; heavy nodes on a level are at most so many.
-SHARD_ROWS, HEAVY = 20_000, 4096
+SHARD_ROWS, HEAVY = 500, 4096
 #: Messages a queue holds in memory; rows of a conversation that are numbered together, as a power of two.
 IN_MEMORY, PLACES = 200_000, 12
 KEY_SPACE = Decimal(2**63)
