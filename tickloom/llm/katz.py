@@ -2,8 +2,8 @@
 
 Counting. A first pass counts the words of the training texts. A second one sends every pair (word before, word) of every text
 to the bucket of its word, a chunk's equal pairs once, with the rows it stands in. A bucket thus has the counts of its words and
-of all pairs ending in them. The 65 536 most frequent words (any other is less than a 65 536th of all) are numbered on the driver
-and shared with all tasks; their pairs are spread over all buckets, so that no frequent word is one bucket.
+of all pairs ending in them. The most frequent words, 65 536 at most, are numbered on the driver and shared with all tasks; their
+pairs are spread over all buckets, so that no frequent word is one bucket.
 
 Model. Turing's estimate discounts counts up to five: ``d_r r`` for a count of r. One further count of every context is kept for
 what was never seen after it, so that a context whose followers are all frequent can back off as well:
@@ -36,7 +36,7 @@ from tickloom.llm.text import prepare, store
 
 #: Keys of the start of a text and of its end; frequent words follow, all other words are hashes with the sign bit set.
 START, END, FIRST = 0, 1, 2
-#: So many of the most frequent words have numbers.
+#: So many of the most frequent words have numbers at most.
 HOT = 1 << 16
 #: Tokens in a chunk of texts and, on average, in a task's buckets together; buckets a task goes through one after the other;
 #: bytes of a text that are cut into words at a time.
@@ -254,7 +254,16 @@ def count_words(inputs: DataFrame) -> tuple[DataFrame, Words]:
     facts = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("w") == END, F.col("c")))).first()
     tokens, distinct, texts = (int(x or 0) for x in facts)
     numbers = {r["c"]: r["count"] for r in words.filter(F.col("c") <= COUNTS + 1).groupBy("c").count().collect()}
-    frequent = words.filter(F.col("w") != END).orderBy(F.desc("c"), "w").limit(HOT).collect()
+    # The words of the highest counts, down to the count from which they would be too many.
+    size = F.floor(8 * F.log2("c")).cast("int")
+    least, total = None, 0
+    for r in sorted(words.filter(F.col("w") != END).groupBy(size.alias("size")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > HOT:
+            break
+        least = r["size"]
+    frequent = [] if least is None else words.filter((F.col("w") != END) & (size >= least)).collect()
+    frequent.sort(key=lambda r: (-r["c"], r["w"]))
     discount = discounts(numbers)
     rest = (1 + sum((1 - discount[r]) * r * numbers.get(r, 0) for r in range(1, COUNTS + 1))) / (tokens + 1)
     hot = {r["w"]: FIRST + i for i, r in enumerate(frequent)}
@@ -427,7 +436,7 @@ def katz_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     totals = model.totals
     of = {k: parts.filter(F.col("kind") == k) for k in (TEXT, PART, LOOKUP)}
     frequent = F.col("u") >= 0
-    # Frequent contexts number at most HOT + 1; all others meet by a shuffle in which none is large.
+    # Frequent contexts number at most HOT and the start; all others meet by a shuffle in which none is large.
     met = of[LOOKUP].filter(frequent).join(F.broadcast(model.contexts.filter(frequent)), "u", "left").unionByName(of[LOOKUP].filter(~frequent).join(model.contexts.filter(~frequent), "u", "left"))
     backed = F.when(F.col("total").isNotNull(), F.col("n") * F.log10("alpha") - F.col("c") * F.log10(F.col("total") + 1.0)).otherwise(0.0)
     zero = F.lit(0).cast("long")
