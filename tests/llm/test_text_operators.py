@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from tickloom.llm import queries
+from tickloom.llm import queries, weak_labels
 from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import mix
 from tickloom.llm.packing import difference, pack, pack_documents
@@ -357,5 +358,52 @@ def test_weak_labels(spark, awkward):
     assert classify(awkward.limit(0)).count() == 0
 
 
+def exact_counts(good, rates, n=100_000):
+    """Numbers of documents per combination of votes if the labellers vote independently in each class at these rates."""
+    out = {}
+    for votes in itertools.product("01", repeat=len(rates)):
+        share = [1 - good, good]
+        for rate, vote in zip(rates, votes, strict=True):
+            share = [s * (r if vote == "1" else 1 - r) for s, r in zip(share, rate, strict=True)]
+        out["".join(votes)] = n * sum(share)
+    return out
+
+
+def test_label_model_finds_the_rates_behind_exact_counts():
+    """The fourth labeller votes alike on both classes: its vote says nothing."""
+    rates = [(0.6, 0.05), (0.4, 0.02), (0.5, 0.1), (0.3, 0.3), (0.2, 0.7), (0.1, 0.6)]
+    for good in (0.8, 0.5):
+        counts = exact_counts(good, rates)
+        model = fit_label_model(counts, kinds=[1, 1, 1, 1, 2, 2])
+        assert abs(model.good - good) < 0.01 and np.abs(model.rates - np.array(rates)).max() < 0.01
+        assert abs(model.posterior("000100") - model.posterior("000000")) < 0.02
+        assert model.posterior("110000") < 0.05 < 0.95 < model.posterior("000011")
+    again = fit_label_model({p: 1000 * n for p, n in counts.items()}, kinds=[1, 1, 1, 1, 2, 2])
+    assert np.abs(again.rates - model.rates).max() < 1e-2
+
+
+def plain_statistics(text):
+    words = text.split()
+    if not words:
+        return [float("nan")] * 8
+    n, grams = len(words), list(zip(words, words[1:], words[2:], strict=False))
+    return [
+        sum(text.count(c) for c in "#*$%&<>!^~{}[]") / sum(map(len, words)), 1 - len(set(grams)) / len(grams) if grams else 0.0,
+        sum(c.isupper() for c in text) / (sum(c.isalpha() for c in text) or 1), sum(map(len, words)) / n, words.count("|") / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(w.strip(".,;:").isalpha() and not w[1:].isupper() for w in words) / n, sum(w[-1] in ".,;:" for w in words) / n,
+    ]
+
+
+def test_statistics_and_features_by_batch(awkward):
+    whole = [t or "" for t in texts_of(awkward).values()]
+    read = weak_labels.Texts(whole, weak_labels.Lexicon())
+    assert np.allclose(read.statistics(), [plain_statistics(t) for t in whole], equal_nan=True)
+    owner, _, x = read.features()
+    assert np.allclose(np.bincount(owner, x * x, len(whole)), [1.0 if t.split() else 0.0 for t in whole])
+    small = weak_labels.Lexicon(limit=3)
+    for t in whole:
+        assert np.allclose(weak_labels.Texts([t], small).statistics(), [plain_statistics(t)], equal_nan=True)
+
+
 def test_kept_text_digest_of_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

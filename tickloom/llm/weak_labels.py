@@ -1,10 +1,13 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good, bad or not at all on every document. Expectation maximisation estimates how often each is right
-and how common good documents are, from the numbers of documents per combination of votes: there are at most 3^L of them, so
+and how common good documents are, from the numbers of documents per combination of votes: there are at most 2^L of them, so
 the estimate is exact over all documents however many there are. The posterior of its combination labels each document, and a
 linear scorer over hashed words and word forms is trained on these labels, so that it also judges documents on which no
 labeller votes.
+
+What labellers and scorer look at are sums over words. A worker works out the facts of a word once (its lexicon) and adds them
+up for all documents of a batch together.
 """
 
 from __future__ import annotations
@@ -12,26 +15,28 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.text import prepare, store
 
-#: Hashed features; documents that train the scorer (a sample by hash of the id, of this size at most); gradient steps.
+#: Hashed features; documents that train the scorer (a sample by hash of the id, of about this size); gradient steps.
 FEATURES = 1 << 14
 TRAIN_ROWS = 20_000
 STEPS, RATE, PENALTY = 60, 2.0, 1e-4
-#: Rounds of expectation maximisation; weight of the rates assumed at first against those found (it keeps the two classes from
-#: trading places where labellers hardly overlap); a document is kept from this score on.
-ROUNDS, PRIOR, KEEP = 200, 1.0, 0.5
+#: Rounds of expectation maximisation; documents that the rates assumed at first count for; a document is kept from this score on.
+ROUNDS, PRIOR, KEEP = 500, 1.0, 0.5
+#: Words a lexicon holds before it starts anew; words of a batch that are worked on together.
+WORDS, TOGETHER = 300_000, 400_000
 
-#: Labeller names with the statistic they look at and the range in which they vote, and the vote: 1 bad, 2 good.
+#: Labeller names with the range of their statistic in which they vote, and the vote: 1 bad, 2 good.
 LABELLERS = (
     ("symbols", 0.08, math.inf, 1),
     ("repeats", 0.30, 1.0, 1),
@@ -42,93 +47,163 @@ LABELLERS = (
     ("plain_words", 0.70, 1.0, 2),
     ("sentences", 0.02, 0.30, 2),
 )
-
-
-def statistics(text: str) -> list[float]:
-    """What the labellers look at, in their order; no votes come from a text without words."""
-    words = text.split()
-    if not words:
-        return [math.nan] * len(LABELLERS)
-    n = len(words)
-    chars = sum(map(len, words))
-    letters = sum(c.isalpha() for c in text) or 1
-    upper = sum(c.isupper() for c in text)
-    symbols = sum(text.count(c) for c in "#*$%&<>!^~{}[]")
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    grams = list(zip(words, words[1:], words[2:], strict=False))
-    again = 1 - len(set(grams)) / len(grams) if grams else 0.0
-    plain = sum(w.strip(".,;:").isalpha() and not w[1:].isupper() for w in words)
-    ends = sum(w[-1] in ".,;:" for w in words)
-    return [symbols / chars, again, upper / letters, chars / n, words.count("|") / n, same / n, plain / n, ends / n]
-
-
-def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values: words, word endings that are no letters, and repetition, each hashed, scaled to length one."""
-    counts: dict[str, float] = {}
-    before = None
-    words = text.split()
-    for word in words:
-        tail = "".join(c for c in word[-4:] if not c.isalnum())
-        for name in (f"w{word.lower()}", f"t{tail}", f"c{word.isupper():d}{min(len(word), 15)}", f"r{word == before:d}"):
-            counts[name] = counts.get(name, 0.0) + 1.0
-        before = word
-    numbers = np.array([xxhash.xxh32_intdigest(n.encode("utf-8", "surrogatepass")) % FEATURES for n in counts], np.int64)
-    values = np.log1p(np.array(list(counts.values())))
-    order, at = np.unique(numbers, return_inverse=True)
-    summed = np.bincount(at, values, len(order)) if len(order) else np.zeros(0)
-    return order, summed / (np.linalg.norm(summed) or 1.0)
-
-
-def votes(docs: DataFrame, text: str) -> Column:
+SYMBOLS = "#*$%&<>!^~{}[]"
+#: Facts of a word: length, letters, capitals, symbols, and whether it is a bar, a plain word or ends a part of a sentence.
+CHARS, LETTERS, UPPER, SYMBOL, BAR, PLAIN, ENDS = range(7)
+
+
+def _number(name: str) -> int:
+    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+#: Whether a word repeats the one before it is a feature of its own.
+REPEATED = (_number("r0"), _number("r1"))
+
+
+class Lexicon:
+    """The facts and features of words, each worked out once."""
+
+    def __init__(self, limit: int = WORDS):
+        self.limit = limit
+        self.known: dict[str, int] = {}
+        self.facts = np.zeros((1024, 7), np.int64)
+        self.features = np.zeros((1024, 3), np.int64)
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        missing = list(set(words).difference(known))
+        at = len(known)
+        while at + len(missing) > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+            self.features = np.concatenate([self.features, np.zeros_like(self.features)])
+        for code, word in enumerate(missing, at):
+            known[word] = code
+            self.facts[code] = (
+                len(word), sum(map(str.isalpha, word)), sum(map(str.isupper, word)), sum(map(word.count, SYMBOLS)), word == "|",
+                word.strip(".,;:").isalpha() and not word[1:].isupper(), word[-1] in ".,;:",
+            )
+            tail = "".join(c for c in word[-4:] if not c.isalnum())
+            self.features[code] = (_number(f"w{word.lower()}"), _number(f"t{tail}"), _number(f"c{word.isupper():d}{min(len(word), 15)}"))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+@lru_cache(maxsize=1)
+def lexicon() -> Lexicon:
+    """A worker keeps its lexicon from task to task."""
+    return Lexicon()
+
+
+class Texts:
+    """Texts as word codes, one after the other. Texts without words have neither votes nor features."""
+
+    def __init__(self, texts: list[str], words: Lexicon):
+        split = [t.split() for t in texts]
+        self.sizes = np.array([len(s) for s in split], np.int64)
+        self.lexicon = words
+        self.codes = words.codes(list(chain.from_iterable(split)))
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.same = np.zeros(len(self.codes), bool)
+        self.same[1:] = (self.codes[1:] == self.codes[:-1]) & (self.owner[1:] == self.owner[:-1])
+
+    def _sum(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, values, len(self.sizes))
+
+    def statistics(self) -> np.ndarray:
+        """What the labellers look at, in their order, by text."""
+        facts = [self._sum(self.lexicon.facts[self.codes, i]) for i in range(7)]
+        n = np.maximum(self.sizes, 1)
+        grams = np.maximum(self.sizes - 2, 0)
+        whole = np.flatnonzero(self.owner[2:] == self.owner[:-2]) if len(self.owner) > 2 else np.zeros(0, np.int64)
+        key = [self.owner[whole], *(self.codes[whole + i] for i in range(3))]
+        order = np.lexsort(key)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0) if len(order) else False
+        distinct = np.bincount(key[0][order][new], minlength=len(self.sizes))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            again = np.where(grams > 0, 1 - distinct / np.maximum(grams, 1), 0.0)
+            out = np.stack(
+                [
+                    facts[SYMBOL] / facts[CHARS], again, facts[UPPER] / np.maximum(facts[LETTERS], 1), facts[CHARS] / n, facts[BAR] / n,
+                    self._sum(self.same) / n, facts[PLAIN] / n, facts[ENDS] / n,
+                ],
+                axis=1,
+            )
+        out[self.sizes == 0] = np.nan
+        return out
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, feature number and value: logarithms of how often words, word endings that are no letters, word forms and
+        repetitions occur, scaled to length one."""
+        numbers = np.concatenate([*self.lexicon.features[self.codes].T, np.where(self.same, REPEATED[1], REPEATED[0])])
+        keys, times = np.unique(np.tile(self.owner, 4) * FEATURES + numbers, return_counts=True)
+        owner, at, x = keys // FEATURES, keys % FEATURES, np.log1p(times)
+        return owner, at, x / np.sqrt(np.bincount(owner, x * x, len(self.sizes)))[owner]
+
+
+def votes_of(statistics: np.ndarray) -> list[str]:
     """One digit per labeller: 0 none, 1 bad, 2 good."""
+    digits = [np.where((statistics[:, i] >= low) & (statistics[:, i] <= high), vote, 0) for i, (_, low, high, vote) in enumerate(LABELLERS)]
+    return ["".join(map(str, row)) for row in np.stack(digits, axis=1).tolist()]
 
-    @F.pandas_udf("string")
-    def of(batch: pd.Series) -> pd.Series:
-        def cast(value: str) -> str:
-            found = zip(statistics(value), LABELLERS, strict=True)
-            return "".join(str(vote) if low <= x <= high else "0" for x, (_, low, high, vote) in found)
 
-        return batch.map(cast)
-
-    return of(F.coalesce(F.col(text), F.lit("")))
+def in_parts(texts: list[str]) -> Iterator[tuple[slice, Texts]]:
+    """The texts of a batch in runs of bounded length."""
+    begin, size = 0, 0
+    for at, text in enumerate(texts, 1):
+        size += len(text)
+        if size > 6 * TOGETHER or at == len(texts):
+            yield slice(begin, at), Texts(texts[begin:at], lexicon())
+            begin, size = at, 0
 
 
 @dataclass
 class LabelModel:
-    """Share of good documents; per labeller and class the rates of its three votes."""
+    """Share of good documents; per labeller and class (bad, good) how often it votes."""
 
     good: float
     rates: np.ndarray
 
+    def posteriors(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability of a good document for rows of zeros and ones (the labeller votes)."""
+        with np.errstate(divide="ignore"):
+            yes, no = np.log(self.rates[:, 1] / self.rates[:, 0]), np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0]))
+        score = math.log(self.good / (1 - self.good)) + patterns @ yes + (1 - patterns) @ no
+        return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+
     def posterior(self, pattern: str) -> float:
-        score = math.log(self.good / (1 - self.good))
-        for rate, vote in zip(self.rates, pattern, strict=True):
-            if vote != "0":
-                score += math.log(rate[1, int(vote)] / rate[0, int(vote)])
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, score))))
+        return float(self.posteriors(np.array([[v != "0" for v in pattern]], float))[0])
 
 
-def fit_label_model(counts: dict[str, int], rounds: int = ROUNDS) -> LabelModel:
-    """Expectation maximisation over the vote combinations and their numbers of documents."""
-    width = len(next(iter(counts))) if counts else len(LABELLERS)
-    patterns = np.array([[int(v) for v in p] for p in counts], np.int64).reshape(-1, width)
+def fit_label_model(counts: dict[str, int], kinds: list[int] | None = None, rounds: int = ROUNDS, prior: float = PRIOR) -> LabelModel:
+    """Expectation maximisation over the vote combinations and their numbers of documents.
+
+    Every labeller votes one way (``kinds``, by default of LABELLERS), and its rate in each class is free, but that it does not
+    vote more often where its vote is wrong: then both rates are the same and its vote says nothing. This and the rates at the
+    beginning tell the two classes apart. ``prior`` documents of each class follow the first rates, whatever the number of rows.
+    """
+    kinds = kinds or [vote for *_, vote in LABELLERS]
+    patterns = np.array([[v != "0" for v in p] for p in counts], float).reshape(-1, len(kinds))
     weight = np.array(list(counts.values()), float)
-    # At first a vote is right far more often than wrong: rates of no vote, bad and good, by class (bad, good).
-    bad_voter, good_voter = [[0.69, 0.30, 0.01], [0.97, 0.02, 0.01]], [[0.69, 0.01, 0.30], [0.29, 0.01, 0.70]]
-    kinds = [vote for *_, vote in LABELLERS] if width == len(LABELLERS) else [1] * width
-    prior = np.array([bad_voter if kind == 1 else good_voter for kind in kinds])
-    model = LabelModel(0.8, prior)
+    first = np.array([[0.30, 0.01] if kind == 1 else [0.30, 0.70] for kind in kinds])
+    model = LabelModel(0.8, first)
     for _ in range(rounds if len(counts) else 0):
-        own = np.array([model.posterior(p) for p in counts])
-        good = float(np.clip((own * weight).sum() / weight.sum(), 0.01, 0.99))
-        rates = np.empty((width, 2, 3))
-        for c, share in ((0, (1 - own) * weight), (1, own * weight)):
-            for v in range(3):
-                rates[:, c, v] = ((patterns == v) * share[:, None]).sum(axis=0) + (PRIOR * share.sum() + 1.0) * prior[:, c, v]
-        new = LabelModel(good, rates / rates.sum(axis=2, keepdims=True))
-        if abs(new.good - model.good) < 1e-9:
-            return new
+        own = model.posteriors(patterns)
+        share = np.stack([(1 - own) * weight, own * weight])
+        good = float(np.clip(share[1].sum() / weight.sum(), 0.01, 0.99))
+        fired = (share @ patterns).T + prior * first
+        sizes = share.sum(axis=1) + prior
+        rates = fired / sizes
+        pooled = fired.sum(axis=1) / sizes.sum()
+        for i, kind in enumerate(kinds):
+            if (rates[i, 0] - rates[i, 1]) * (1 if kind == 1 else -1) < 0:
+                rates[i] = pooled[i]
+        new = LabelModel(good, rates)
+        moved = abs(new.good - model.good) + np.abs(new.rates - model.rates).max()
         model = new
+        if moved < 1e-9:
+            break
     return model
 
 
@@ -157,49 +232,60 @@ def _train(sample: DataFrame, total: int) -> np.ndarray:
         total_gradient = sum(np.array(r["g"]) for r in sample.mapInArrow(gradient, "g array<double>").collect())
         momentum = 0.9 * momentum - RATE * (total_gradient / total + PENALTY * weights)
         weights = weights + momentum
+        shared.unpersist()
     return weights
 
 
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes of all texts, features of the picked ones (none for others)."""
+    for batch in batches:
+        texts, picked = batch.column("t").to_pylist(), batch.column("picked").to_numpy(zero_copy_only=False)
+        for part, read in in_parts(texts):
+            votes = votes_of(read.statistics())
+            mine = [i for i in range(part.start, part.stop) if picked[i] and read.sizes[i - part.start]]
+            chosen = Texts([texts[i] for i in mine], lexicon())
+            owner, at, x = chosen.features()
+            cuts = np.searchsorted(owner, np.arange(len(mine) + 1))
+            lists = {i: slice(*cuts[n : n + 2]) for n, i in enumerate(mine)}
+            arrays = [pa.array([values[lists[i]] if i in lists else None for i in range(part.start, part.stop)], pa.list_(kind)) for values, kind in ((at, pa.int64()), (x, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), *arrays], names=["votes", "at", "x"])
+
+
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
     """``doc_id, votes, posterior, score`` and ``kept`` of every row.
 
     ``posterior`` is the label model's, ``score`` the linear scorer's probability of a good document. A text is kept if its
     score reaches ``keep``; a null or empty one has no words, no votes and the score of the constant alone, and is not kept.
     Equal texts get equal scores. An empty table gives no rows. Votes and combinations cover all rows; the scorer is trained on
-    at most TRAIN_ROWS of them. Other columns are not read.
+    a sample of them by the hash of the id, TRAIN_ROWS or fewer on average. Other columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    voted = store(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_h"), votes(docs, text).alias("votes")))
+    whole = F.coalesce(docs[text], F.lit(""))
+    share = min(1.0, TRAIN_ROWS / max(1, docs.count()))
+    picked = F.pmod(F.xxhash64(docs[doc_id].cast("long"), F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30))
+    voted = store(docs.select(whole.alias("t"), picked.alias("picked")).mapInArrow(_voted, "votes string, at array<bigint>, x array<double>"))
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(counts)
     posteriors = {p: model.posterior(p) for p in counts}
-    rows = sum(counts.values())
-
-    of_votes = F.pandas_udf(lambda b: b.map(posteriors), "double")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    share = min(1.0, TRAIN_ROWS / max(1, rows))
-    picked = docs.filter(F.pmod(F.xxhash64(F.col(doc_id), F.lit("train")), F.lit(1 << 30)) < int(share * 0.95 * (1 << 30)) if share < 1 else F.lit(True))
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [hashed(t) for t in batch.column("t").to_pylist()]
-            arrays = [pa.array([f[i].tolist() for f in found], pa.list_(kind)) for i, kind in ((0, pa.int64()), (1, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("y")], names=["at", "x", "y"])
-
-    labelled = picked.select(whole.alias("t"), of_votes(votes(docs, text)).alias("y")).filter(F.length("t") > 0).limit(TRAIN_ROWS)
-    sample = store(labelled.mapInArrow(featured, "at array<bigint>, x array<double>, y double"))
+    label = F.create_map(*chain.from_iterable((F.lit(p), F.lit(y)) for p, y in posteriors.items())) if posteriors else F.create_map(F.lit(""), F.lit(0.0))
+    sample = store(voted.filter(F.col("at").isNotNull()).select("at", "x", label[F.col("votes")].alias("y")))
     shared = spark.sparkContext.broadcast(_train(sample, sample.count()))
 
-    @F.pandas_udf("double")
-    def scored(batch: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-
-        def one(value: str) -> float:
-            at, x = hashed(value)
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, float(w[at] @ x + w[-1])))))
-
-        return batch.map(one).astype("float64")
-
-    out = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("_t"), votes(docs, text).alias("votes"))
-    out = out.select("doc_id", "votes", of_votes(F.col("votes")).alias("posterior"), scored("_t").alias("score"), F.col("_t").rlike(r"[^\x20\x09-\x0D]").alias("_any"))
-    return out.select("doc_id", "votes", "posterior", "score", ((F.col("score") >= keep) & F.col("_any")).alias("kept"))
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            for part, read in in_parts(texts):
+                votes = votes_of(read.statistics())
+                owner, at, x = read.features()
+                score = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[at] * x, len(read.sizes)) + w[-1], -500, 500)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(part.start, part.stop - part.start), pa.array(votes, pa.string()),
+                        pa.array([posteriors[v] for v in votes], pa.float64()), pa.array(score), pa.array((score >= keep) & (read.sizes > 0)),
+                    ],
+                    names=["doc_id", "votes", "posterior", "score", "kept"],
+                )
+
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole.alias("t"))
+    return rows.mapInArrow(scored, "doc_id long, votes string, posterior double, score double, kept boolean")
