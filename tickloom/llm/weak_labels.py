@@ -33,8 +33,8 @@ TRAIN_ROWS = 20_000
 STEPS, RATE, PENALTY = 60, 2.0, 1e-4
 #: Rounds of expectation maximisation; documents that the rates assumed at first count for; a document is kept from this score on.
 ROUNDS, PRIOR, KEEP = 500, 1.0, 0.5
-#: Words a lexicon holds before it starts anew; words of a batch that are worked on together.
-WORDS, TOGETHER = 300_000, 400_000
+#: Words a lexicon holds before it starts anew; words and texts that are worked on together.
+WORDS, TOGETHER, ROWS = 500_000, 200_000, 128
 
 #: Labeller names with the range of their statistic in which they vote, and the vote: 1 bad, 2 good.
 LABELLERS = (
@@ -60,6 +60,28 @@ def _number(name: str) -> int:
 REPEATED = (_number("r0"), _number("r1"))
 
 
+def facts_of(word: str) -> tuple[int, ...]:
+    """Letters of most words are all there is to them, which saves looking at each character."""
+    if word.isalpha():
+        upper = 0 if word.islower() else len(word) if word.isupper() else sum(map(str.isupper, word))
+        return len(word), len(word), upper, 0, 0, not word[1:].isupper(), 0
+    return (
+        len(word), sum(map(str.isalpha, word)), sum(map(str.isupper, word)), sum(map(word.count, SYMBOLS)), word == "|",
+        word.strip(".,;:").isalpha() and not word[1:].isupper(), word[-1] in ".,;:",
+    )
+
+
+@lru_cache(maxsize=4096)
+def _form(upper: bool, length: int, tail: str) -> tuple[int, int]:
+    return _number(f"t{tail}"), _number(f"c{upper:d}{length}")
+
+
+def features_of(word: str) -> tuple[int, int, int]:
+    """The word itself, what of its last characters is no letter or digit, and its form."""
+    tail = "" if word.isalnum() else "".join(c for c in word[-4:] if not c.isalnum())
+    return _number(f"w{word.lower()}"), *_form(word.isupper(), min(len(word), 15), tail)
+
+
 class Lexicon:
     """The facts and features of words, each worked out once."""
 
@@ -74,18 +96,15 @@ class Lexicon:
         if len(known) > self.limit:
             known.clear()
         missing = list(set(words).difference(known))
-        at = len(known)
-        while at + len(missing) > len(self.facts):
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-            self.features = np.concatenate([self.features, np.zeros_like(self.features)])
-        for code, word in enumerate(missing, at):
-            known[word] = code
-            self.facts[code] = (
-                len(word), sum(map(str.isalpha, word)), sum(map(str.isupper, word)), sum(map(word.count, SYMBOLS)), word == "|",
-                word.strip(".,;:").isalpha() and not word[1:].isupper(), word[-1] in ".,;:",
-            )
-            tail = "".join(c for c in word[-4:] if not c.isalnum())
-            self.features[code] = (_number(f"w{word.lower()}"), _number(f"t{tail}"), _number(f"c{word.isupper():d}{min(len(word), 15)}"))
+        if missing:
+            at = len(known)
+            upto = at + len(missing)
+            while upto > len(self.facts):
+                self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+                self.features = np.concatenate([self.features, np.zeros_like(self.features)])
+            known.update(zip(missing, range(at, upto), strict=True))
+            self.facts[at:upto] = list(map(facts_of, missing))
+            self.features[at:upto] = list(map(features_of, missing))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
@@ -116,11 +135,13 @@ class Texts:
         n = np.maximum(self.sizes, 1)
         grams = np.maximum(self.sizes - 2, 0)
         whole = np.flatnonzero(self.owner[2:] == self.owner[:-2]) if len(self.owner) > 2 else np.zeros(0, np.int64)
-        key = [self.owner[whole], *(self.codes[whole + i] for i in range(3))]
-        order = np.lexsort(key)
+        # A lexicon and the words of a batch are less than 2^21 codes, so three of them fit one number.
+        of, key = self.owner[whole], self.codes[whole] << 42 | self.codes[whole + 1] << 21 | self.codes[whole + 2]
+        order = np.lexsort((key, of))
+        of, key = of[order], key[order]
         new = np.ones(len(order), bool)
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0) if len(order) else False
-        distinct = np.bincount(key[0][order][new], minlength=len(self.sizes))
+        new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
+        distinct = np.bincount(of[new], minlength=len(self.sizes))
         with np.errstate(invalid="ignore", divide="ignore"):
             again = np.where(grams > 0, 1 - distinct / np.maximum(grams, 1), 0.0)
             out = np.stack(
@@ -136,9 +157,12 @@ class Texts:
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, feature number and value: logarithms of how often words, word endings that are no letters, word forms and
         repetitions occur, scaled to length one."""
-        numbers = np.concatenate([*self.lexicon.features[self.codes].T, np.where(self.same, REPEATED[1], REPEATED[0])])
-        keys, times = np.unique(np.tile(self.owner, 4) * FEATURES + numbers, return_counts=True)
-        owner, at, x = keys // FEATURES, keys % FEATURES, np.log1p(times)
+        columns = [*self.lexicon.features[self.codes].T, np.where(self.same, REPEATED[1], REPEATED[0])]
+        cells = np.zeros(len(self.sizes) * FEATURES, np.int64)
+        for numbers in columns:
+            cells += np.bincount(self.owner * FEATURES + numbers, minlength=len(cells))
+        keys = np.flatnonzero(cells)
+        owner, at, x = keys // FEATURES, keys % FEATURES, np.log1p(cells[keys])
         return owner, at, x / np.sqrt(np.bincount(owner, x * x, len(self.sizes)))[owner]
 
 
@@ -153,7 +177,7 @@ def in_parts(texts: list[str]) -> Iterator[tuple[slice, Texts]]:
     begin, size = 0, 0
     for at, text in enumerate(texts, 1):
         size += len(text)
-        if size > 6 * TOGETHER or at == len(texts):
+        if size > 6 * TOGETHER or at - begin == ROWS or at == len(texts):
             yield slice(begin, at), Texts(texts[begin:at], lexicon())
             begin, size = at, 0
 
