@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import plus_seconds, price, resolution_seconds
 from tickloom.operators import calendar as cal
-from tickloom.operators.scan import prefix_scan, Running, with_position
+from tickloom.operators.scan import Running, in_chunks, prefix_scan, with_position
 
 
 def tick_rank(ts: str, tiebreak: str) -> Column:
@@ -147,3 +147,27 @@ def event_ticks(events: DataFrame) -> tuple[DataFrame, Column, Column]:
         F.col("event_type").alias("instrument_id"), "ts", "event_id", (price("value") + F.lit(1).cast("decimal(1,0)")).cast("decimal(18,8)").alias("px")
     )
     return ticks, F.col("px"), F.lit(1)
+
+
+def visible_at(
+    events: DataFrame, decisions: DataFrame, keys: Sequence[str], available: str, order: Sequence[str], at: str, frames: Mapping[str, Column], limit: int
+) -> DataFrame:
+    """``decisions`` with aggregates over what a series shows at their instant: the last ``limit`` events that became available by then.
+
+    Events count in the order they become available (``available``, then ``order``), whatever the times of their bars: a bar published
+    late, or a correction, comes behind what was visible before. Each event gets the aggregates of the events up to it, and a
+    decision takes those of the last one before it; NULL where nothing was visible. Both scans spread a series of any length.
+    """
+    axis = [available, *order]
+    placed = with_position(events, keys, axis, F.date_trunc("month", available))
+
+    def compute(df: DataFrame, window: WindowSpec) -> DataFrame:
+        frame = window.rowsBetween(1 - limit, 0)
+        return df.withColumns({name: value.over(frame) for name, value in frames.items()})
+
+    shown = in_chunks(placed, keys, limit - 1, compute).select(*keys, F.col(available).alias("_at"), F.col("pos").alias("_pos"), F.struct(*frames).alias("_seen"))
+    row = F.struct(*[F.col(c) for c in decisions.columns])
+    asked = decisions.select(*keys, F.col(at).alias("_at"), F.lit(2**62).alias("_pos"), F.lit(None).cast(shown.schema["_seen"].dataType).alias("_seen"), row.alias("_row"))
+    line = shown.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked)
+    found = prefix_scan(line, keys, ["_at", "_pos"], F.date_trunc("month", "_at"), {"_last": Running("last", F.col("_seen"))})
+    return found.filter(F.col("_row").isNotNull()).select("_row.*", "_last.*")

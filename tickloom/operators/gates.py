@@ -81,3 +81,16 @@ def spaced(candidates: DataFrame, keys: Sequence[str], axis: str, gap: int, chun
 
     accepted = xs.join(entries, [*keys, "_chunk"]).select(*keys, F.explode(F.aggregate("_xs", mark, accept)["hits"]).alias("_x"))
     return candidates.withColumn("_x", F.col(axis).cast("long")).join(accepted, [*keys, "_x"]).drop("_x")
+
+
+def position_scopes(candidates: DataFrame, changes: DataFrame, keys: Sequence[str], at: str, bucket: Column) -> DataFrame:
+    """``candidates`` with ``scope``: how often the position of their keys has opened or closed so far.
+
+    Gates keyed by it begin anew with every position cycle, and between positions. ``changes``: keys, ``at`` and ``changes``; a change
+    counts for the candidates of its own instant. ``bucket`` is a non-decreasing function of the column ``at``.
+    """
+    row = F.struct(*[F.col(c) for c in candidates.columns])
+    asked = candidates.select(*keys, F.col(at).alias("at"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_n"), row.alias("_row"))
+    moved = changes.select(*keys, "at", F.lit(0).alias("_kind"), F.col("changes").cast("long").alias("_n"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    counted = prefix_scan(moved.unionByName(asked), keys, ["at", "_kind"], bucket, {"scope": Running("sum", F.col("_n"))})
+    return counted.filter("_kind = 1").select("_row.*", "scope")

@@ -27,12 +27,13 @@ def seed_positions(fills: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.unionByName(fills)
 
 
-def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, refused: bool = False) -> DataFrame:
     """Cap each sell by the held quantity and add ``executed``, ``held_before``, ``held_after``.
 
     held = max(held + q, 0) has the closed form S - min(0, running minimum of S) with S the running signed quantity: one
     scan instead of a loop. Amounts of a capped sell shrink with the executed quantity, its costs by the rates of its own
-    policy (columns ``fee_rate`` and ``slippage_rate``).
+    policy (columns ``fee_rate`` and ``slippage_rate``). Sells that meet no position have nothing to book and are left out, but for
+    ``refused``: then they stay, with nothing executed (see ``sell_outcomes``).
     """
     floor_now = running_sum_and_floor(fills, keys, order, bucket, _signed(), "_s", "_m")
     zero = F.lit(0).cast(PX)
@@ -40,7 +41,8 @@ def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     held_before = (F.col("_s") - _signed() - F.least(F.coalesce("_m_before", zero), zero)).cast(PX)
     booked = floor_now.withColumns({"held_after": held_after, "held_before": held_before})
     executed = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(F.least(F.col("quantity"), F.col("held_before"))).cast(PX)
-    booked = booked.withColumn("executed", executed).filter("executed > 0")
+    booked = booked.withColumn("executed", executed)
+    booked = booked if refused else booked.filter("executed > 0")
     whole = F.col("executed") == F.col("quantity")
     unit = F.bround(F.col("gross_amount") / F.col("quantity"), 8).cast(PX)
     gross = F.when(whole, F.col("gross_amount")).otherwise(F.bround(unit * F.col("executed"), 8).cast(PX))
@@ -51,6 +53,21 @@ def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     return booked.drop("_s", "_m", "_m_before")
 
 
+def sell_outcomes(sells: DataFrame) -> DataFrame:
+    """``refused`` quantity, ``outcome`` (FILLED, CUT, REJECTED) and ``reason_code`` of sells booked with ``refused``."""
+    left = (F.col("quantity") - F.col("executed")).cast(PX)
+    outcome = F.when(left == 0, "FILLED").when(F.col("executed") > 0, "CUT").otherwise("REJECTED")
+    return sells.withColumns({"refused": left, "outcome": outcome, "reason_code": F.when(left > 0, "POSITION_UNAVAILABLE")})
+
+
+def position_changes(booked: DataFrame) -> DataFrame:
+    """``run_id, instrument_id, at, changes``: how often a position opened or closed at each instant."""
+    opens = (F.col("side") == "BUY") & (F.col("held_before") == 0)
+    closes = F.col("held_after") == 0
+    changed = booked.select("run_id", "instrument_id", F.col("occurred_at").alias("at"), (opens.cast("int") + closes.cast("int")).alias("n")).filter("n > 0")
+    return changed.groupBy("run_id", "instrument_id", "at").agg(F.sum("n").alias("changes"))
+
+
 def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, width: float) -> DataFrame:
     """Sells consume the oldest lots: one row per (sell, lot) slice with its share of the lot's basis.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import canonical_json, format_money
 from tickloom.operators.scan import Running, prefix_scan
+from tickloom.session import cut_lineage
 
 MONEY = "decimal(24,8)"
 TRADING_DAYS = 252
@@ -38,8 +39,9 @@ METRIC_CATALOGUE = (
 DAILY, EVENT_DRIVEN = "DAILY", "EVENT_DRIVEN"
 
 
-def equity_curve_cost(events: DataFrame, initial_cash: str, bucket: str = "month") -> DataFrame:
-    """One point per ledger instant, positions at cost; preceded by the opening point one microsecond earlier."""
+def equity_curve_cost(events: DataFrame, initial_cash: str, bucket: str = "month", through: Column | None = None) -> DataFrame:
+    """One point per ledger instant, positions at cost; preceded by the opening point one microsecond earlier, and closed by a point at
+    ``through`` where the last one lies before it."""
     start = F.lit(initial_cash).cast(MONEY)
     scanned = prefix_scan(
         events, ["run_id"], ["as_of"], F.date_trunc(bucket, "as_of"), {"_c": Running("sum", F.col("cash_delta")), "_p": Running("sum", F.col("basis_delta"))}
@@ -50,6 +52,10 @@ def equity_curve_cost(events: DataFrame, initial_cash: str, bucket: str = "month
     opening = events.groupBy("run_id").agg(F.min("as_of").alias("_a")).select(
         "run_id", F.timestamp_micros(F.unix_micros("_a") - 1).alias("as_of"), start.alias("cash"), F.lit(0).cast(MONEY).alias("position_value")
     )
+    if through is not None:
+        last = events.groupBy("run_id").agg(F.max("as_of").alias("_a"), (start + F.sum("cash_delta")).cast(MONEY).alias("cash"), F.sum("basis_delta").cast(MONEY).alias("position_value"))
+        closing = last.withColumn("as_of", through).filter(F.col("_a") < F.col("as_of")).select("run_id", "as_of", "cash", "position_value")
+        points = points.unionByName(closing)
     return points.unionByName(opening).withColumn("equity", (F.col("cash") + F.col("position_value")).cast(MONEY))
 
 
@@ -107,6 +113,28 @@ def equity_curve_mtm(points: DataFrame, positions: DataFrame, marks: DataFrame,
     )
 
 
+def daily_curve(booked: DataFrame, order: Sequence[str], marks: DataFrame, initial_cash: str) -> DataFrame:
+    """The marked curve of every run on each day that has marks, from the run's first fill through the last of these days.
+
+    ``marks``: instrument_id, day, mark. The days are bounded by the calendar, and so are the points of a run.
+    """
+    day = F.to_date("occurred_at")
+    days = cut_lineage(marks.select("day").distinct())
+    last_day = days.select(F.max("day")).scalar()
+    signed = F.when(F.col("side") == "BUY", -(F.col("gross_amount") + F.col("fee"))).otherwise(F.col("gross_amount") - F.col("fee")).cast(MONEY)
+    moves = booked.groupBy("run_id", day.alias("day")).agg(F.sum(signed).cast(MONEY).alias("_d"))
+    begun = moves.groupBy("run_id").agg(F.min("day").alias("_first"))
+    # Every run meets the days from its first one on: at most one row per run and day, the points of the curve themselves.
+    calendar = days.agg(F.sort_array(F.collect_list("day")).alias("_days"))
+    first = begun.withColumn("_days", calendar.scalar())
+    grid = first.select("run_id", F.explode(F.filter("_days", lambda d: d >= F.col("_first"))).alias("day"))
+    cash = grid.join(moves, ["run_id", "day"], "left").fillna(0, ["_d"])
+    points = prefix_scan(cash, ["run_id"], ["day"], None, {"_c": Running("sum", F.col("_d"))})
+    points = points.select("run_id", "day", (F.lit(initial_cash).cast(MONEY) + F.col("_c")).cast(MONEY).alias("cash"))
+    held = booked.groupBy("run_id", "instrument_id", day.alias("day")).agg(F.max_by("held_after", F.struct(*order)).alias("quantity_after"))
+    return equity_curve_mtm(points, held, dense_marks(marks, last_day), last_day)
+
+
 def curve_metrics(curve: DataFrame, grid: str, order: str = "as_of", bucket: str = "month") -> DataFrame:
     """Return, drawdown, Sharpe and volatility per run; NULL where a metric is undefined.
 
