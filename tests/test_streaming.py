@@ -19,16 +19,26 @@ def _stream(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_state_survives_micro_batches(spark, tmp_path):
+def _late_rows(rng, hours):
+    """Rows in event order, and the same rows dealt so that some arrive several batches late; a last row moves the watermark on."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.randrange(3), start + dt.timedelta(minutes=i), i, float(rng.randrange(20))) for i in range(120)]
+    dealt = sorted(rows, key=lambda r: r[2] + rng.choice([0, 0, 0, 30, 70]))
+    return rows, [*dealt, (9, start + dt.timedelta(hours=hours), 1000, 0.0)]
+
+
+def test_late_rows_are_taken_in_event_order(spark, tmp_path):
+    """Rows up to 70 minutes late, over eight batches, under a lag of two hours: results equal a loop over the rows in order."""
     rng = random.Random(4)
     schema = "k long, ts timestamp, id long, v double"
-    rows = [(rng.randrange(3), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i, float(rng.randrange(20))) for i in range(90)]
+    rows, dealt = _late_rows(rng, 30)
     path = str(tmp_path / "in")
-    _files(spark, path, rows, schema, 3)
+    _files(spark, path, dealt, schema, 8)
     stream = _stream(spark, path, schema)
 
-    T.run_available(T.rolling_mean(stream, "k", "ts", "id", "v", 4), str(tmp_path / "mean"), str(tmp_path / "c1"))
+    T.run_available(T.rolling_mean(stream, "k", "ts", "id", "v", 4, "2 hours"), str(tmp_path / "mean"), str(tmp_path / "c1"))
     got = {r["id"]: r["rolling_mean"] for r in spark.read.parquet(str(tmp_path / "mean")).collect()}
+    assert set(got) == {r[2] for r in rows}
     for key in range(3):
         seen = []
         for k, _, ident, v in rows:
@@ -36,7 +46,7 @@ def test_state_survives_micro_batches(spark, tmp_path):
                 seen.append(v)
                 assert abs(got[ident] - sum(seen[-4:]) / len(seen[-4:])) < 1e-9
 
-    T.run_available(T.gate(stream.withColumn("c", F.col("v") > 8), "k", "ts", "id", "c", 3), str(tmp_path / "gate"), str(tmp_path / "c2"))
+    T.run_available(T.gate(stream.withColumn("c", F.col("v") > 8), "k", "ts", "id", "c", 3, "2 hours"), str(tmp_path / "gate"), str(tmp_path / "c2"))
     accepted = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "gate")).collect())
     expected = []
     for key in range(3):
@@ -49,6 +59,37 @@ def test_state_survives_micro_batches(spark, tmp_path):
                     last = pos
     assert accepted == sorted(expected)
 
+    requests = stream.select(F.col("k").alias("aggregate_id"), "ts", F.col("id").alias("arrival"), (F.col("id") - 3 * F.col("v")).cast("long").alias("sequence"))
+    T.run_available(T.classify_sequences(requests, "ts", "2 hours"), str(tmp_path / "seq"), str(tmp_path / "c3"))
+    stale = {r["arrival"]: r["stale"] for r in spark.read.parquet(str(tmp_path / "seq")).collect()}
+    for key in range(3):
+        top = None
+        for k, _, ident, v in rows:
+            if k == key:
+                sequence = int(ident - 3 * v)
+                assert stale[ident] == (top is not None and sequence <= top)
+                top = sequence if top is None else max(top, sequence)
+
+    messages = stream.select((F.col("id") % 40).alias("message_id"), "ts", F.col("id").alias("arrival"), (F.col("v") % 2).cast("long").alias("payload_hash"))
+    T.run_available(T.classify_messages(messages, "ts", "2 hours", "3 hours"), str(tmp_path / "msg"), str(tmp_path / "c4"))
+    outcome = {r["arrival"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "msg")).collect()}
+    first: dict = {}
+    for _, _, ident, v in rows:
+        known = first.setdefault(ident % 40, (ident, int(v) % 2))
+        assert outcome[ident] == ("CLAIMED" if known[0] == ident else "DUPLICATE" if known[1] == int(v) % 2 else "CONFLICT")
+
+
+def test_state_expires_after_its_retention(spark, tmp_path):
+    """A key silent for longer than the retention begins anew; one silent for less goes on."""
+    schema = "k long, ts timestamp, id long, v double"
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, at(0), 0, 10.0), (2, at(0), 1, 10.0), (3, at(4), 2, 0.0), (2, at(4.5), 3, 20.0), (3, at(9), 4, 0.0), (3, at(13), 5, 0.0), (1, at(14), 6, 20.0), (2, at(14), 7, 40.0), (3, at(30), 8, 0.0), (3, at(31), 9, 0.0)]
+    path = str(tmp_path / "in")
+    _files(spark, path, rows, schema, len(rows))
+    T.run_available(T.rolling_mean(_stream(spark, path, schema), "k", "ts", "id", "v", 5, "1 hour", "6 hours"), str(tmp_path / "out"), str(tmp_path / "c"))
+    got = {r["id"]: r["rolling_mean"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[0] == 10 and got[3] == 15 and got[6] == 20 and got[7] == 40
+
 
 def test_late_ticks_are_dropped_behind_the_watermark(spark, tmp_path):
     schema = "k string, ts timestamp, id long, v double"

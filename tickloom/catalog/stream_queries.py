@@ -13,6 +13,11 @@ from tickloom.operators import detail as D
 from tickloom.streaming import ops as T
 
 
+#: How far the watermark is behind the newest row; rows it has passed, to the millisecond.
+LAG = "1 hour"
+_PASSED = "epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 3600000 FROM events)"
+
+
 def _appended(spark, df, partition_by=None):
     path = _store(spark)
     T.run_available(df, f"{path}/out", f"{path}/log", partition_by)
@@ -46,47 +51,48 @@ def stream_monthly_counters(spark, folder):
 
 @query(
     "stream_rolling_mean",
-    f"""SELECT user_id, event_id, {Q.num("avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING)", 4)} AS rolling_mean FROM events""",
+    f"""WITH r AS (SELECT user_id, event_id, ts, {Q.num("avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING)", 4)} AS rolling_mean FROM events) SELECT user_id, event_id, rolling_mean FROM r WHERE {_PASSED}""",
 )
 def stream_rolling_mean(spark, folder):
-    done = _appended(spark, T.rolling_mean(T.stream_table(spark, folder, "events"), "user_id", "ts", "event_id", "value", 5))
+    done = _appended(spark, T.rolling_mean(T.stream_table(spark, folder, "events"), "user_id", "ts", "event_id", "value", 5, LAG))
     return done.select("user_id", "event_id", num("rolling_mean", 4).alias("rolling_mean"))
 
 
 @query(
     "stream_gate",
-    """WITH RECURSIVE g AS (SELECT user_id, event_id, value > 10 AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), k AS (SELECT * FROM g WHERE c),
+    f"""WITH RECURSIVE g AS (SELECT user_id, event_id, ts, value > 10 AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), k AS (SELECT * FROM g WHERE c),
     acc(user_id, pos) AS (SELECT user_id, min(pos) FROM k GROUP BY 1 UNION ALL SELECT acc.user_id, min(k.pos) FROM acc JOIN k ON k.user_id = acc.user_id AND k.pos >= acc.pos + 4 GROUP BY acc.user_id, acc.pos)
-    SELECT k.user_id, k.event_id FROM acc JOIN k USING (user_id, pos)""",
+    SELECT k.user_id, k.event_id FROM acc JOIN k USING (user_id, pos) WHERE {_PASSED}""",
 )
 def stream_gate(spark, folder):
     events = T.stream_table(spark, folder, "events").withColumn("candidate", F.col("value") > 10)
-    return _appended(spark, T.gate(events, "user_id", "ts", "event_id", "candidate", 4))
+    return _appended(spark, T.gate(events, "user_id", "ts", "event_id", "candidate", 4, LAG))
 
 
 @query(
     "stream_message_intake",
-    """WITH r AS (SELECT event_id AS arrival, ts, CAST(floor(event_id / 3) AS BIGINT) AS message_id, CAST(value * 100 AS BIGINT) % 2 AS h FROM events),
+    f"""WITH r AS (SELECT event_id AS arrival, ts, CAST(floor(event_id / 3) AS BIGINT) AS message_id, CAST(value * 100 AS BIGINT) % 2 AS h FROM events),
     f AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY ts, arrival) AS n, first_value(h) OVER (PARTITION BY message_id ORDER BY ts, arrival) AS fh FROM r)
-    SELECT message_id, arrival, CASE WHEN n = 1 THEN 'CLAIMED' WHEN h = fh THEN 'DUPLICATE' ELSE 'CONFLICT' END AS outcome FROM f""",
+    SELECT message_id, arrival, CASE WHEN n = 1 THEN 'CLAIMED' WHEN h = fh THEN 'DUPLICATE' ELSE 'CONFLICT' END AS outcome FROM f WHERE {_PASSED}""",
 )
 def stream_message_intake(spark, folder):
-    return _appended(spark, T.classify_messages(_requests(T.stream_table(spark, folder, "events")), "arrived_at", "1 day"))
+    return _appended(spark, T.classify_messages(_requests(T.stream_table(spark, folder, "events")), "arrived_at", LAG, "30 days"))
 
 
 @query(
     "stream_sequences",
-    """WITH rq AS (SELECT event_id AS arrival, ts AS arrived_at, user_id % 50 AS aggregate_id, date_diff('second', TIMESTAMP '2024-01-01', ts) - CAST(value * 60 AS BIGINT) AS sequence FROM events)
-    SELECT aggregate_id, arrival, coalesce(sequence <= max(sequence) OVER (PARTITION BY aggregate_id ORDER BY arrived_at, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stale FROM rq""",
+    f"""WITH rq AS (SELECT event_id AS arrival, ts, user_id % 50 AS aggregate_id, date_diff('second', TIMESTAMP '2024-01-01', ts) - CAST(value * 60 AS BIGINT) AS sequence FROM events),
+    s AS (SELECT aggregate_id, arrival, ts, coalesce(sequence <= max(sequence) OVER (PARTITION BY aggregate_id ORDER BY ts, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stale FROM rq)
+    SELECT aggregate_id, arrival, stale FROM s WHERE {_PASSED}""",
 )
 def stream_sequences(spark, folder):
-    return _appended(spark, T.classify_sequences(_requests(T.stream_table(spark, folder, "events")), "arrived_at"))
+    return _appended(spark, T.classify_sequences(_requests(T.stream_table(spark, folder, "events")), "arrived_at", LAG))
 
 
-@query("stream_dedupe", "SELECT count(DISTINCT floor(event_id / 3)) AS messages FROM events")
+@query("stream_dedupe", "SELECT DISTINCT CAST(floor(event_id / 3) AS BIGINT) AS message_id FROM events")
 def stream_dedupe(spark, folder):
     kept = T.dedupe(_requests(T.stream_table(spark, folder, "events")).select("message_id", "arrived_at"), "arrived_at", "1 day", ["message_id"])
-    return _appended(spark, kept).agg(F.count(F.lit(1)).alias("messages"))
+    return _appended(spark, kept).select("message_id")
 
 
 @query(

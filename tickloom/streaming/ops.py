@@ -1,14 +1,19 @@
 """Structured Streaming forms of the event-time operators.
 
-State is keyed so that it stays small per key: bars keep one open bucket, gates one counter pair, windows at most 180
-values, messages one hash each until they expire. Every operator gives the rows of its batch twin once the watermark has
-passed.
+State is keyed so that it stays small per key: bars keep one open bucket, gates one counter, windows at most 180 values, messages one
+hash each until they expire. Operators whose result depends on the order of rows hold the rows of a key back until the watermark
+has passed them and take them in event order then, whatever the batch they arrived in; a timer releases the rows of keys that fall
+silent. What such an operator has given equals the rows of its batch twin up to the watermark. Rows that arrive behind the watermark
+are dropped, as by every operator here.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +25,13 @@ from tickloom.schemas import TABLES
 from tickloom.session import utc
 
 
+#: Bytes of files that one micro-batch reads at most (a single larger file is still one batch).
+BATCH_BYTES = 8 << 30
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table folder as a stream of its files; a single-file table is picked by name from its folder."""
-    reader = utc(spark).readStream.schema(TABLES[name])
+    reader = utc(spark).readStream.schema(TABLES[name]).option("maxBytesPerTrigger", str(BATCH_BYTES))
     path = f"{folder}/{name}.parquet"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -75,89 +84,106 @@ def _sorted(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
 
 
-def rolling_mean(stream: DataFrame, key: str, ts: str, tiebreak: str, value: str, n: int) -> DataFrame:
-    """Mean of the last ``n`` values of each key; state is the list of at most n - 1 values."""
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _sorted(frames, [ts, tiebreak])
-        kept = list(state.get[0]) if state.exists else []
-        series = pd.Series(kept + rows[value].tolist())
-        means = series.rolling(n, min_periods=1).mean().to_numpy()[len(kept):]
-        state.update((series.tolist()[-(n - 1):],))
-        yield pd.DataFrame({key: [k[0]] * len(rows), tiebreak: rows[tiebreak].to_numpy(), "rolling_mean": means})
-
-    slim = stream.select(key, ts, tiebreak, value)
-    return slim.groupBy(key).applyInPandasWithState(
-        update, f"{key} long, {tiebreak} long, rolling_mean double", "kept array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+#: What is kept of a key (anything JSON can hold, None at first) and its next rows in order give what is kept and the rows to give out.
+Step = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
 
 
-def gate(stream: DataFrame, key: str, ts: str, tiebreak: str, candidate: str, gap: int) -> DataFrame:
-    """Accept a candidate when at least ``gap`` evaluations passed since the last accepted one; state is one counter."""
+def in_event_order(stream: DataFrame, key: str, ts: str, tiebreak: str, values: list[str], lag: str, retention: str, step: Step, output: str) -> DataFrame:
+    """Apply ``step`` to the rows of each key in the order of ``ts`` and ``tiebreak``, across micro-batches.
 
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _sorted(frames, [ts, tiebreak])
-        waited = state.get[0] if state.exists else gap
-        hits = []
-        for is_candidate, ident in zip(rows[candidate], rows[tiebreak], strict=True):
-            waited = min(waited + 1, gap)
-            if is_candidate and waited >= gap:
-                hits.append(ident)
-                waited = 0
-        state.update((int(waited),))
-        if hits:
-            yield pd.DataFrame({key: [k[0]] * len(hits), tiebreak: hits}).astype("int64")
-
-    slim = stream.select(key, ts, tiebreak, candidate)
-    return slim.groupBy(key).applyInPandasWithState(update, f"{key} long, {tiebreak} long", "waited int", "append", GroupStateTimeout.NoTimeout)
-
-
-def classify_messages(stream: DataFrame, ts: str, retention: str) -> DataFrame:
-    """CLAIMED, DUPLICATE or CONFLICT per arrival, keyed by message: state is one hash, dropped after ``retention``."""
+    A row waits in the state until the watermark (``lag`` behind the newest row) is past its millisecond; the state of a key without
+    waiting rows is dropped ``retention`` after its last row. ``output`` is the schema behind the key column.
+    """
     keep_ms = int(pd.Timedelta(retention).total_seconds() * 1000)
+    columns = ["_us", tiebreak, *values]
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        waiting, kept, last_ms = (json.loads(state.get[0]), json.loads(state.get[1]), state.get[2]) if state.exists else ([], None, 0)
+        held = pd.DataFrame(waiting, columns=columns)
+        if not state.hasTimedOut:
+            new = pd.concat(list(frames), ignore_index=True)
+            new["_us"] = new[ts].astype("datetime64[us]").astype("int64")
+            held = pd.concat([held, new[columns]], ignore_index=True) if len(held) else new[columns]
+        held = held.sort_values(["_us", tiebreak], kind="stable", ignore_index=True)
+        watermark = state.getCurrentWatermarkMs()
+        ready = int((held["_us"] // 1000 < watermark).sum())
+        if state.hasTimedOut and not len(held):
             state.remove()
             return
-        rows = _sorted(frames, [ts, "arrival"])
-        first = state.get[0] if state.exists else None
-        outcomes = []
-        for digest in rows["payload_hash"]:
-            if first is None:
-                first, outcome = digest, "CLAIMED"
-            else:
-                outcome = "DUPLICATE" if digest == first else "CONFLICT"
-            outcomes.append(outcome)
-        state.update((int(first),))
-        newest = int(rows[ts].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame({"message_id": [k[0]] * len(rows), "arrival": rows["arrival"].to_numpy(), "outcome": outcomes})
-
-    slim = stream.withWatermark(ts, retention).select("message_id", ts, "arrival", "payload_hash")
-    return slim.groupBy("message_id").applyInPandasWithState(
-        update, "message_id long, arrival long, outcome string", "payload_hash long", "append", GroupStateTimeout.EventTimeTimeout
+        if ready:
+            kept, out = step(kept, held.iloc[:ready].reset_index(drop=True))
+            last_ms = int(held["_us"].iloc[ready - 1] // 1000)
+        rest = held.iloc[ready:]
+        state.update((rest.to_json(orient="values"), json.dumps(kept), last_ms))
+        due = int(rest["_us"].iloc[0] // 1000) if len(rest) else last_ms + keep_ms
+        state.setTimeoutTimestamp(max(due, watermark + 1))
+        if ready and len(out):
+            out.insert(0, key, k[0])
+            yield out
+
+    slim = stream.withWatermark(ts, lag).select(key, ts, tiebreak, *values)
+    kind = slim.schema[key].dataType.simpleString()
+    return slim.groupBy(key).applyInPandasWithState(
+        update, f"{key} {kind}, {output}", "waiting string, kept string, last_ms long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def classify_sequences(stream: DataFrame, ts: str) -> DataFrame:
-    """STALE when the aggregate has already seen an equal or higher sequence; state is one number per aggregate."""
+def rolling_mean(stream: DataFrame, key: str, ts: str, tiebreak: str, value: str, n: int, lag: str, retention: str = "3650 days") -> DataFrame:
+    """Mean of the last ``n`` values of each key; what is kept is the list of at most n - 1 values."""
 
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _sorted(frames, [ts, "arrival"])
-        latest = state.get[0] if state.exists else None
-        before = rows["sequence"].cummax().shift(1)
-        if latest is not None:
-            before = before.fillna(latest).clip(lower=latest)
-        stale = (rows["sequence"] <= before).to_numpy()
-        top = int(rows["sequence"].max())
-        state.update((top if latest is None else max(top, latest),))
-        yield pd.DataFrame({"aggregate_id": [k[0]] * len(rows), "arrival": rows["arrival"].to_numpy(), "stale": stale})
-
-    slim = stream.select("aggregate_id", ts, "arrival", "sequence")
-    return slim.groupBy("aggregate_id").applyInPandasWithState(
-        update, "aggregate_id long, arrival long, stale boolean", "latest long", "append", GroupStateTimeout.NoTimeout
-    )
+    def step(kept: list | None, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+        before = kept or []
+        series = pd.Series(before + rows[value].tolist(), dtype="float64")
+        means = series.rolling(n, min_periods=1).mean().to_numpy()[len(before):]
+        return series.tolist()[-(n - 1):] if n > 1 else [], pd.DataFrame({tiebreak: rows[tiebreak], "rolling_mean": means})
+
+    return in_event_order(stream, key, ts, tiebreak, [value], lag, retention, step, f"{tiebreak} long, rolling_mean double")
+
+
+def gate(stream: DataFrame, key: str, ts: str, tiebreak: str, candidate: str, gap: int, lag: str, retention: str = "3650 days") -> DataFrame:
+    """Accept a candidate when at least ``gap`` evaluations passed since the last accepted one; what is kept is their number."""
+
+    def step(kept: int | None, rows: pd.DataFrame) -> tuple[int, pd.DataFrame]:
+        places = np.flatnonzero(rows[candidate].to_numpy(dtype=bool))
+        last = -(gap if kept is None else kept) - 1
+        hits: list[int] = []
+        # From one accepted candidate straight to the first one far enough behind it.
+        at = int(np.searchsorted(places, last + gap))
+        while at < len(places):
+            last = int(places[at])
+            hits.append(last)
+            at = int(np.searchsorted(places, last + gap))
+        return min(gap, len(rows) - 1 - last), pd.DataFrame({tiebreak: rows[tiebreak].iloc[hits].to_numpy(dtype="int64")})
+
+    return in_event_order(stream, key, ts, tiebreak, [candidate], lag, retention, step, f"{tiebreak} long")
+
+
+def classify_messages(stream: DataFrame, ts: str, lag: str, retention: str) -> DataFrame:
+    """CLAIMED, DUPLICATE or CONFLICT per arrival, keyed by message: what is kept is the first hash, until ``retention`` after the last
+    arrival."""
+
+    def step(kept: int | None, rows: pd.DataFrame) -> tuple[int, pd.DataFrame]:
+        hashes = rows["payload_hash"].to_numpy(dtype="int64")
+        first = int(hashes[0]) if kept is None else kept
+        outcome = np.where(hashes == first, "DUPLICATE", "CONFLICT").astype(object)
+        if kept is None:
+            outcome[0] = "CLAIMED"
+        return first, pd.DataFrame({"arrival": rows["arrival"], "outcome": outcome})
+
+    return in_event_order(stream, "message_id", ts, "arrival", ["payload_hash"], lag, retention, step, "arrival long, outcome string")
+
+
+def classify_sequences(stream: DataFrame, ts: str, lag: str, retention: str = "3650 days") -> DataFrame:
+    """STALE when the aggregate has already seen an equal or higher sequence; what is kept is one number per aggregate."""
+
+    def step(kept: int | None, rows: pd.DataFrame) -> tuple[int, pd.DataFrame]:
+        sequence = rows["sequence"].to_numpy(dtype="int64")
+        lowest = np.iinfo(np.int64).min if kept is None else kept
+        before = np.maximum(lowest, np.r_[lowest, np.maximum.accumulate(sequence)[:-1]])
+        stale = (sequence <= before) & ((before > lowest) | (kept is not None))
+        return int(max(lowest, sequence.max())), pd.DataFrame({"arrival": rows["arrival"], "stale": stale})
+
+    return in_event_order(stream, "aggregate_id", ts, "arrival", ["sequence"], lag, retention, step, "arrival long, stale boolean")
 
 
 def dedupe(stream: DataFrame, ts: str, retention: str, keys: list[str]) -> DataFrame:
