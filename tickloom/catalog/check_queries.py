@@ -114,12 +114,12 @@ def segment_check(spark, folder):
 
 @query(
     "shard_complete_check",
-    f"""WITH o AS (SELECT {Q.et_date("ts")} AS day, user_id % 16 AS shard, event_type FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
+    f"""WITH o AS (SELECT {Q.et_date("ts")} AS day, user_id % 16 AS shard, event_type FROM events GROUP BY ALL),
     d AS (SELECT DISTINCT day FROM o), w AS (SELECT day, CAST(s AS INTEGER) AS shard FROM d, range(16) r(s)), h AS (SELECT day, shard, count(*) AS n FROM o GROUP BY 1, 2)
     SELECT w.day, w.shard, CASE WHEN n IS NULL THEN 'MISSING' ELSE 'DUPLICATE' END AS finding FROM w LEFT JOIN h ON h.day = w.day AND h.shard = w.shard WHERE n IS NULL OR n > 1""",
 )
 def shard_complete_check(spark, folder):
-    objects = table(spark, folder, "events").filter("event_type IN ('view', 'click')").select(
+    objects = table(spark, folder, "events").select(
         cal.et_date("ts").alias("day"), (F.col("user_id") % 16).alias("shard"), "event_type"
     ).distinct()
     return V.check_shard_complete(objects, ["day"], 16)
@@ -385,13 +385,13 @@ def set_operations(spark, folder):
 @query(
     "rule_lookbacks",
     """WITH s AS (SELECT p_partkey AS step_id, p_partkey // 3 AS plan_id, CASE p_partkey % 5 WHEN 0 THEN 'SMA_CROSS' WHEN 1 THEN 'STREAK' WHEN 2 THEN 'PRICE_COMPARE' WHEN 3 THEN 'VOLUME_COMPARE' ELSE 'MACD_CROSS' END AS op, p_size AS n FROM part),
-    l AS (SELECT *, CASE op WHEN 'SMA_CROSS' THEN n * 2 + 1 WHEN 'STREAK' THEN n + 1 WHEN 'PRICE_COMPARE' THEN n + 1 WHEN 'VOLUME_COMPARE' THEN n + 1 ELSE n * 2 + n + 2 END AS lookback FROM s WHERE op <> 'MACD_CROSS' OR n % 2 = 0)
+    l AS (SELECT *, CASE op WHEN 'SMA_CROSS' THEN n * 2 + 1 WHEN 'STREAK' THEN n + 1 WHEN 'PRICE_COMPARE' THEN n + 1 WHEN 'VOLUME_COMPARE' THEN n + 1 ELSE n * 2 + n + 2 END AS lookback FROM s)
     SELECT plan_id, CAST(CASE WHEN bool_or(op = 'MACD_CROSS') THEN 180 ELSE least(180, max(lookback)) END AS INTEGER) AS visible_bars, CAST(max(lookback) AS INTEGER) AS longest FROM l GROUP BY 1""",
 )
 def rule_lookbacks(spark, folder):
     i = (F.col("p_partkey") % 5 + 1).cast("int")
     ops = F.array(*[F.lit(x) for x in ("SMA_CROSS", "STREAK", "PRICE_COMPARE", "VOLUME_COMPARE", "MACD_CROSS")])
-    steps = table(spark, folder, "part").select(F.floor(F.col("p_partkey") / 3).alias("plan_id"), F.element_at(ops, i).alias("operation"), F.col("p_size").alias("n")).filter("operation <> 'MACD_CROSS' OR n % 2 = 0")
+    steps = table(spark, folder, "part").select(F.floor(F.col("p_partkey") / 3).alias("plan_id"), F.element_at(ops, i).alias("operation"), F.col("p_size").alias("n"))
     ref = F.when(F.col("operation") == "PRICE_COMPARE", F.concat(F.lit("HIGH_"), F.col("n").cast("string"))).otherwise("AVERAGE_VOLUME")
     staged = steps.withColumn("lookback", I.lookback(F.col("operation"), ref, F.col("n"), F.col("n") * 2))
     limits = I.visible_limit(staged)
@@ -413,18 +413,16 @@ def series_requirements(spark, folder):
 
 @query(
     "flow_clocks",
-    """WITH f AS (SELECT l_orderkey AS flow_id, l_partkey AS instrument_id, CASE l_linenumber % 7 WHEN 0 THEN '30m' WHEN 1 THEN '1h' END AS resolution FROM lineitem WHERE l_linenumber < 5 OR l_tax > 0.07),
-    o AS (SELECT DISTINCT instrument_id, resolution FROM f WHERE resolution IS NOT NULL AND flow_id % 20 = 0), n AS (SELECT DISTINCT flow_id, instrument_id FROM f WHERE resolution IS NULL AND flow_id % 20 <> 0)
+    """WITH f AS (SELECT l_orderkey AS flow_id, l_partkey AS instrument_id, CASE WHEN l_orderkey % 20 = 0 THEN CASE l_linenumber % 2 WHEN 0 THEN '30m' ELSE '1h' END END AS resolution FROM lineitem),
+    o AS (SELECT DISTINCT instrument_id, resolution FROM f WHERE resolution IS NOT NULL), n AS (SELECT DISTINCT flow_id, instrument_id FROM f WHERE resolution IS NULL)
     SELECT flow_id, CASE WHEN count(DISTINCT resolution) = 1 THEN min(resolution) END AS resolution, CASE count(DISTINCT resolution) WHEN 1 THEN 'INHERITED' WHEN 0 THEN 'NO_CLOCK' ELSE 'AMBIGUOUS' END AS finding
     FROM n LEFT JOIN o USING (instrument_id) GROUP BY 1""",
 )
 def flow_clocks(spark, folder):
-    rows = table(spark, folder, "lineitem").filter("l_linenumber < 5 OR l_tax > 0.07").select(
-        F.col("l_orderkey").alias("flow_id"), F.col("l_partkey").alias("instrument_id"), F.when(F.col("l_linenumber") % 7 == 0, "30m").when(F.col("l_linenumber") % 7 == 1, "1h").alias("resolution")
-    )
     # Flows whose number is a multiple of twenty own a clock, the others inherit one.
-    own = F.col("flow_id") % 20 == 0
-    return R.resolve_flow_clock(rows.filter((own & F.col("resolution").isNotNull()) | (~own & F.col("resolution").isNull())))
+    own = F.col("l_orderkey") % 20 == 0
+    clock = F.when(F.col("l_linenumber") % 2 == 0, "30m").otherwise("1h")
+    return R.resolve_flow_clock(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("flow_id"), F.col("l_partkey").alias("instrument_id"), F.when(own, clock).alias("resolution")))
 
 
 @query(

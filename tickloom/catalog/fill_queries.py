@@ -283,7 +283,7 @@ _CAPS = {"cash": "5000000", "strategy": "4500000", "gross": "4000000", "instrume
 @query(
     "exposure_flags",
     f"""WITH o AS (SELECT l_suppkey AS run_id, 'I' || l_linenumber AS instrument_id, {_LINE_ID}, l_shipdate, l_extendedprice, CAST(l_extendedprice AS DECIMAL(18,8)) AS notional,
-      CAST(l_extendedprice AS DECIMAL(18,8)) + CAST(round_even(CAST(l_extendedprice AS DECIMAL(18,8)) * {_RATE["fee"]}, 8) AS DECIMAL(18,8)) AS cash FROM lineitem WHERE l_returnflag <> 'R'),
+      CAST(l_extendedprice AS DECIMAL(18,8)) + CAST(round_even(CAST(l_extendedprice AS DECIMAL(18,8)) * {_RATE["fee"]}, 8) AS DECIMAL(18,8)) AS cash FROM lineitem),
     r AS (SELECT *, sum(notional) OVER w AS rn, sum(cash) OVER w AS rc, sum(notional) OVER (PARTITION BY run_id, instrument_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS inn
       FROM o WINDOW w AS (PARTITION BY run_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING))
     SELECT run_id, {_LINE_ID}, CASE WHEN rc > 5000000 - 500 THEN 'INSUFFICIENT_AVAILABLE_CASH' WHEN rc > 4500000 THEN 'STRATEGY_BUDGET_EXCEEDED' WHEN rn > 4000000 THEN 'GROSS_EXPOSURE_EXCEEDED'
@@ -291,7 +291,7 @@ _CAPS = {"cash": "5000000", "strategy": "4500000", "gross": "4000000", "instrume
 )
 def exposure_flags(spark, folder):
     ids = _LINE_ID.split(", ")
-    rows = table(spark, folder, "lineitem").filter("l_returnflag <> 'R'").select(
+    rows = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("run_id"), F.concat(F.lit("I"), F.col("l_linenumber").cast("string")).alias("instrument_id"), *ids, "l_shipdate", "l_extendedprice",
         price("l_extendedprice").alias("reference_price"), F.lit(1).cast("decimal(18,8)").alias("quantity"),
     )
@@ -526,8 +526,8 @@ def metrics_documents(spark, folder):
 
 
 _MARKS = """
-mk AS (SELECT instrument_id, CAST(occurred_at AS DATE) AS day, arg_max(CAST(round_even(CAST(CAST(gross0 AS DOUBLE) / CAST(quantity AS DOUBLE) AS DECIMAL(28,12)), 8) AS DECIMAL(18,8)), (occurred_at, order_id, line_no, part_id, gross0)) AS mark
-   FROM fl WHERE run_id % 2 = 0 GROUP BY 1, 2)
+mk AS (SELECT instrument_id, CAST(occurred_at AS DATE) + 7 AS day, arg_max(CAST(round_even(CAST(CAST(gross0 AS DOUBLE) / CAST(quantity AS DOUBLE) AS DECIMAL(28,12)), 8) AS DECIMAL(18,8)), (occurred_at, order_id, line_no, part_id, gross0)) AS mark
+   FROM fl GROUP BY 1, 2)
 """
 
 
@@ -546,12 +546,11 @@ mk AS (SELECT instrument_id, CAST(occurred_at AS DATE) AS day, arg_max(CAST(roun
     FROM pc LEFT JOIN a ON a.run_id = pc.run_id AND a.day = pc.day""",
 )
 def equity_curve_mtm(spark, folder):
-    """Marked-to-market equity on the days a run trades; marks come from the even-numbered runs only."""
+    """Marked-to-market equity on the days a run trades; marks are published a week late, so the first days have none."""
     log = fill_log(spark, folder)
     unit = F.bround(F.col("gross_amount") / F.col("quantity"), 8).cast("decimal(18,8)")
     day = F.to_date("occurred_at")
-    prices = log.filter("run_id % 2 = 0").withColumn("px", unit)
-    marks = V.daily_marks(prices, FILL_ORDER, "px", day)
+    marks = V.daily_marks(log.withColumn("px", unit), FILL_ORDER, "px", F.date_add(day, 7))
     last_day = log.select(F.max(day)).scalar()
     booked = _booked(spark, folder)
     moves = booked.groupBy("run_id", day.alias("day")).agg(F.sum(L.cash_delta()).cast("decimal(24,8)").alias("cash_delta"))

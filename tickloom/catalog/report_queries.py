@@ -25,7 +25,7 @@ _EVAL = """
 evl AS (SELECT event_id AS evaluation_id, user_id % 20 AS run_id, ts AS evaluated_at, CASE WHEN user_id % 2 = 0 THEN 'BASIC' ELSE 'PRO' END AS mode,
   event_type = 'purchase' AS trade_occurred, event_type = 'error' AS data_gap, CASE WHEN user_id % 2 = 0 THEN 0 WHEN event_type = 'signup' THEN 1 ELSE 2 END AS active_branches, value,
   CAST(json_extract(props, '$.k') AS INTEGER) AS k, event_type FROM events),
-rec AS (SELECT event_id AS record_id, user_id % 20 AS run_id, ts AS occurred_at, CASE WHEN value < 5 THEN 'REJECTION' ELSE 'FILL' END AS kind FROM events WHERE event_type IN ('purchase', 'signup')),
+rec AS (SELECT event_id AS record_id, user_id % 20 AS run_id, ts AS occurred_at, CASE WHEN value < 5 THEN 'REJECTION' ELSE 'FILL' END AS kind FROM events),
 oc AS (SELECT *, 'BASIC' AS scope_id, TRUE AS active FROM evl WHERE mode = 'BASIC' UNION ALL SELECT *, 'A', TRUE FROM evl WHERE mode = 'PRO' UNION ALL SELECT *, 'B', event_type <> 'signup' FROM evl WHERE mode = 'PRO'),
 ff AS (SELECT run_id, evaluation_id, evaluated_at, mode, scope_id, CASE WHEN scope_id = 'B' THEN CASE WHEN NOT k % 2 = 0 THEN 'EVEN' WHEN NOT value > 10 THEN 'OVER_10' END
   ELSE CASE WHEN NOT value > 10 THEN 'OVER_10' WHEN NOT value > 20 THEN 'OVER_20' WHEN NOT k % 2 = 0 THEN 'EVEN' END END AS condition_id FROM oc WHERE NOT trade_occurred AND active)
@@ -49,7 +49,7 @@ def _evaluations(spark, folder):
 
 
 def _trade_records(spark, folder):
-    return table(spark, folder, "events").filter("event_type IN ('purchase', 'signup')").select(
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("record_id"), (F.col("user_id") % 20).alias("run_id"), F.col("ts").alias("occurred_at"), F.when(F.col("value") < 5, "REJECTION").otherwise("FILL").alias("kind")
     )
 
