@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog import sql as Q
 from tickloom.catalog.base import money, num, query
-from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, FIFO, ID, INITIAL_CASH, POLICY, _booked, _with_basis
+from tickloom.catalog.check_queries import _MARKET_SQL, _bar_dataset, _store
+from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, CURVE, FIFO, ID, INITIAL_CASH, _booked, _with_basis
 from tickloom.catalog.inputs import FILL_KEYS, FILL_ORDER, calendar, event_bar_events, fill_log, supplier_days
 from tickloom.functions.scalars import price
 from tickloom.operators import bars as B
 from tickloom.operators import calendar as cal
+from tickloom.operators import detail as D
 from tickloom.operators import fills as X
 from tickloom.operators import gates as G
 from tickloom.operators import ledger as L
@@ -18,7 +20,10 @@ from tickloom.operators import valuation as V
 from tickloom.operators.capacity import share_capacity
 from tickloom.operators.causal import causal_order as chain
 from tickloom.operators.scan import Running, prefix_scan
+from tickloom.catalog.report_queries import _WEEK, _fields
+from tickloom.schemas import BARS
 from tickloom.session import cut_lineage
+from tickloom.sources import market, verified
 from tickloom.sources.tables import table
 
 _IDS = ", ".join(ID)
@@ -246,3 +251,83 @@ def equity_curve_closed(spark, folder):
     through = events.select(F.max("as_of") + F.expr("INTERVAL 1 DAY")).scalar()
     curve = V.equity_curve_cost(events, INITIAL_CASH, "week", through)
     return curve.select("run_id", "as_of", money("cash").alias("cash"), money("position_value").alias("position_value"), money("equity").alias("equity"))
+
+
+# ---------------------------------------------------------------- detail bundles
+
+_DETAIL_IDS = ["order_id", "line_no", "part_id", "instrument_id"]
+_TREE = f"""{CURVE},
+en AS (SELECT *, 'SECURITY' AS account, CASE WHEN side = 'BUY' THEN 'DEBIT' ELSE 'CREDIT' END AS direction, cost_basis AS amount FROM fb UNION ALL SELECT *, 'FEE', 'DEBIT', fee FROM fb
+  UNION ALL SELECT *, 'CASH', CASE WHEN cash_delta < 0 THEN 'CREDIT' ELSE 'DEBIT' END, abs(cash_delta) FROM fb UNION ALL SELECT *, 'REALIZED_PNL', CASE WHEN realized_pnl >= 0 THEN 'CREDIT' ELSE 'DEBIT' END, abs(realized_pnl) FROM fb WHERE side = 'SELL'),
+da AS (SELECT run_id, 'TRADE' AS record_type, occurred_at, {_fields(*_DETAIL_IDS)} AS record_id FROM fb UNION ALL SELECT run_id, 'POSITION', occurred_at, {_fields("instrument_id", "order_id", "line_no", "part_id")} FROM fb
+  UNION ALL SELECT run_id, 'LEDGER', occurred_at, {_fields(*_DETAIL_IDS, "account", "direction")} FROM en WHERE amount <> 0
+  UNION ALL SELECT run_id, 'CALCULATION', as_of, {_fields("epoch_us(as_of)")} FROM cv),
+dw AS (SELECT *, {_WEEK.format(ts="occurred_at")} AS week_start FROM da),
+dn AS (SELECT *, (row_number() OVER (PARTITION BY run_id, record_type, week_start ORDER BY occurred_at, record_id) - 1) // 50 + 1 AS part FROM dw),
+dp AS (SELECT run_id, record_type, week_start, part, count(*) AS row_count, sha256(string_agg(record_id, chr(10) ORDER BY occurred_at, record_id)) AS digest FROM dn GROUP BY ALL),
+t1 AS (SELECT run_id, record_type, week_start, 'WEEK' AS level, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS digest, CAST(sum(row_count) AS BIGINT) AS row_count FROM dp GROUP BY ALL),
+t2 AS (SELECT run_id, record_type, CAST(NULL AS DATE) AS week_start, 'TYPE' AS level, sha256(string_agg(strftime(week_start, '%Y-%m-%d') || ':' || digest, chr(10) ORDER BY week_start)) AS digest, CAST(sum(row_count) AS BIGINT) AS row_count FROM t1 GROUP BY ALL),
+t3 AS (SELECT run_id, CAST(NULL AS VARCHAR) AS record_type, CAST(NULL AS DATE) AS week_start, 'BUNDLE' AS level,
+  sha256(string_agg(record_type || ':' || digest, chr(10) ORDER BY list_position(['TRADE', 'POSITION', 'LEDGER', 'CALCULATION'], record_type))) AS digest, CAST(sum(row_count) AS BIGINT) AS row_count FROM t2 GROUP BY ALL)
+"""
+
+
+@query("detail_bundles", f"WITH {FIFO}, {_TREE} SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3")
+def detail_bundles(spark, folder):
+    """Trade, position, ledger and calculation rows in weekly parts of fifty, and the hash tree over them up to each run's bundle."""
+    fills = _with_basis(spark, folder)
+    states = fills.withColumn("basis", F.col("cost_basis"))
+    entries = L.ledger_entries(fills, [*ID, "occurred_at"])
+    curve = V.equity_curve_cost(cut_lineage(L.ledger_events(fills)), INITIAL_CASH, "week").withColumn("instant", F.unix_micros("as_of"))
+    kinds = [
+        D.detail_rows(fills, "TRADE", "occurred_at", _DETAIL_IDS, ["side", "executed", "gross_amount", "fee"]),
+        D.detail_rows(states, "POSITION", "occurred_at", ["instrument_id", "order_id", "line_no", "part_id"], ["held_after", "basis"]),
+        D.detail_rows(entries, "LEDGER", "occurred_at", [*_DETAIL_IDS, "account", "direction"], ["amount"]),
+        D.detail_rows(curve, "CALCULATION", "as_of", ["instant"], ["equity"]),
+    ]
+    rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+    numbered = D.number_parts(cut_lineage(D.assign_week(rows, "occurred_at")), "occurred_at", ["record_id"], 50)
+    return D.bundle_tree(cut_lineage(D.part_manifest(numbered, "occurred_at", "record_id")))
+
+
+# ---------------------------------------------------------------- verified scans
+
+
+@query(
+    "verified_scan",
+    f"""{_MARKET_SQL}, f AS (SELECT instrument_id, count(*) AS n, CASE instrument_id WHEN 'view' THEN 'ROW_COUNT' WHEN 'click' THEN 'PERIOD' WHEN 'error' THEN 'MISSING' END AS finding FROM bars GROUP BY 1)
+    SELECT instrument_id, finding, CASE WHEN finding IS NULL THEN n ELSE 0 END AS rows_read FROM f""",
+)
+def verified_scan(spark, folder):
+    """Bars written as one object per instrument, declared in a JSON manifest with three wrong entries, verified from the objects'
+    footers; only the good objects are read."""
+    path = _store(spark)
+    bars = _bar_dataset(spark, folder)
+    bars.repartition("instrument_id").withColumn("shard", F.col("instrument_id")).write.partitionBy("shard").parquet(f"{path}/objects")
+    read = market.utc(spark).read.parquet(f"{path}/objects").select("*", F.col("_metadata.file_path").alias("object_key"))
+    objects = read.groupBy("object_key", F.col("instrument_id").alias("shard_key")).agg(F.count(F.lit(1)).alias("row_count"), F.min("bar_start_at").alias("period_start"), (F.max("bar_start_at") + F.expr("INTERVAL 30 MINUTES")).alias("period_end"))
+    wrong = objects.withColumns(
+        {
+            "row_count": F.when(F.col("shard_key") == "view", F.col("row_count") + 1).otherwise(F.col("row_count")),
+            "period_end": F.when(F.col("shard_key") == "click", F.col("period_start") + F.expr("INTERVAL 30 MINUTES")).otherwise(F.col("period_end")),
+            "object_key": F.when(F.col("shard_key") == "error", F.concat("object_key", F.lit(".gone"))).otherwise(F.col("object_key")),
+        }
+    )
+    declared = wrong.agg(F.collect_list(F.struct("object_key", "shard_key", "row_count", "period_start", "period_end")).alias("objects")).withColumn("manifest_id", F.lit("m1"))
+    declared.write.json(f"{path}/manifests")
+    listed = market.manifest_objects(market.read_manifests(spark, f"{path}/manifests")).select(F.col("object_key").alias("path"), "shard_key", "row_count", F.col("period_start").cast("timestamp"), F.col("period_end").cast("timestamp"))
+    checked = cut_lineage(verified.verify_objects(listed, verified.footers(listed, "bar_start_at")))
+    rows = verified.scan_verified(spark, checked, BARS).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("rows_read"))
+    return checked.join(rows, checked["shard_key"] == rows["instrument_id"], "left").select(checked["shard_key"].alias("instrument_id"), "finding", F.coalesce("rows_read", F.lit(0)).cast("long").alias("rows_read"))
+
+
+@query("step_observer", f"""{_MARKET_SQL} SELECT 'bars' AS step, count(*) AS rows_out, count(DISTINCT instrument_id) > 0 AS any_rows, CAST(sum(volume) AS BIGINT) AS volume FROM bars
+    UNION ALL SELECT 'rising', count(*), count(*) > 0, CAST(sum(volume) AS BIGINT) FROM bars WHERE close > open""")
+def step_observer(spark, folder):
+    """Counts of two steps, gathered by the one job that writes the result."""
+    counts = {"rows_out": F.count(F.lit(1)), "volume": F.sum("volume")}
+    bars, first = verified.observed(event_bar_events(spark, folder), "bars", **counts)
+    rising, second = verified.observed(bars.filter("close > open"), "rising", **counts)
+    rising.write.format("noop").mode("overwrite").save()
+    seen = [(name, watch.get["rows_out"], watch.get["rows_out"] > 0, watch.get["volume"]) for name, watch in (("bars", first), ("rising", second))]
+    return spark.createDataFrame(seen, "step string, rows_out long, any_rows boolean, volume long")

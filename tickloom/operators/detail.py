@@ -74,3 +74,53 @@ def parse_detail_key(key: str) -> dict[str, Column]:
         "part": piece(4).try_cast("int"),
         "content_hash": piece(5),
     }
+
+
+#: Order of the record types in a bundle.
+RECORD_TYPES = ("TRADE", "POSITION", "LEDGER", "CALCULATION")
+
+
+def _type_rank() -> Column:
+    rank = F.lit(len(RECORD_TYPES))
+    for i, kind in enumerate(RECORD_TYPES):
+        rank = F.when(F.col("record_type") == kind, i).otherwise(rank)
+    return rank
+
+
+def _combined(rows: DataFrame, keys: Sequence[str], order: Column, label: Column, level: str) -> DataFrame:
+    """One node per ``keys``: the digest of its children's labels and digests in order. Children are bounded: parts of a week, weeks of
+    the calendar, types of a bundle."""
+    child = F.struct(order.alias("o"), F.concat_ws(":", label, F.col("digest")).alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["t"]), "\n")
+    found = rows.groupBy(*keys).agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.sum("row_count").alias("row_count"))
+    blank = {"record_type": F.lit(None).cast("string"), "week_start": F.lit(None).cast("date")}
+    return found.select("run_id", *[F.col(c) if c in keys else blank[c].alias(c) for c in blank], F.lit(level).alias("level"), "digest", "row_count")
+
+
+def bundle_tree(parts: DataFrame) -> DataFrame:
+    """``run_id, record_type, week_start, level, digest, row_count``: an order-sensitive hash tree over the parts of each run.
+
+    ``parts`` is ``part_manifest``. A WEEK is the digest of its parts in order, a TYPE of its weeks, a BUNDLE of its types. A change of one
+    part changes the three nodes above it and no other.
+    """
+    leaves = parts.withColumnRenamed("identities_hash", "digest")
+    weeks = _combined(leaves, PART_KEYS, F.col("part").cast("long"), F.col("part").cast("string"), "WEEK")
+    types = _combined(weeks, ["run_id", "record_type"], F.unix_date("week_start").cast("long"), F.date_format("week_start", "yyyy-MM-dd"), "TYPE")
+    bundles = _combined(types, ["run_id"], _type_rank().cast("long"), F.col("record_type"), "BUNDLE")
+    return weeks.unionByName(types).unionByName(bundles)
+
+
+def update_bundle_tree(tree: DataFrame, parts: DataFrame, changed: DataFrame) -> DataFrame:
+    """The tree after parts have changed: ``parts`` are all parts as they are now, ``changed`` holds run, type and week of those that
+    changed. Only the paths above them are worked out again; everything else is taken from ``tree``."""
+    touched = changed.select(*PART_KEYS).distinct()
+    leaves = parts.join(touched, PART_KEYS, "left_semi").withColumnRenamed("identities_hash", "digest")
+    weeks = _combined(leaves, PART_KEYS, F.col("part").cast("long"), F.col("part").cast("string"), "WEEK")
+    old_weeks = tree.filter("level = 'WEEK'").join(touched, PART_KEYS, "left_anti").select(*tree.columns).unionByName(weeks)
+    kinds, runs = touched.select("run_id", "record_type").distinct(), touched.select("run_id").distinct()
+    again = old_weeks.join(kinds, ["run_id", "record_type"], "left_semi")
+    types = _combined(again, ["run_id", "record_type"], F.unix_date("week_start").cast("long"), F.date_format("week_start", "yyyy-MM-dd"), "TYPE")
+    all_types = tree.filter("level = 'TYPE'").join(kinds, ["run_id", "record_type"], "left_anti").select(*tree.columns).unionByName(types)
+    bundles = _combined(all_types.join(runs, "run_id", "left_semi"), ["run_id"], _type_rank().cast("long"), F.col("record_type"), "BUNDLE")
+    same = tree.filter("level = 'BUNDLE'").join(runs, "run_id", "left_anti").select(*tree.columns)
+    return old_weeks.unionByName(all_types).unionByName(same.unionByName(bundles))
