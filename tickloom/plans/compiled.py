@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.schemas import PLAN, STEP
+from tickloom.session import cut_lineage
 
 TERMINAL = "EMIT_ORDER_CANDIDATE"
 
@@ -153,7 +154,8 @@ def lint(steps: DataFrame, catalogue: DataFrame) -> DataFrame:
     entries = F.collect_list(F.struct("argument", "allowed", "is_decimal", "low", "low_excluded", "high", "is_whole"))
     known = F.broadcast(catalogue.groupBy("catalogue_version", "operation").agg(entries.alias("_spec")))
     versions = F.broadcast(catalogue.select("catalogue_version", F.lit(True).alias("_supported")).distinct())
-    marked = steps.join(versions, "catalogue_version", "left")
+    # Both kinds of findings read the steps; stored, the documents are parsed once.
+    marked = cut_lineage(steps).join(versions, "catalogue_version", "left")
     joined = marked.filter(F.col("_supported") & F.col("operation").isNotNull()).join(known, ["catalogue_version", "operation"], "left")
 
     def problem(s: Column) -> Column:
