@@ -164,7 +164,8 @@ def allocate_capacity(orders: DataFrame, policy: Policy, submission: Sequence[st
 def fill_over_bars(life: DataFrame, policy: Policy) -> DataFrame:
     """Partial fills: an order takes each bar's capacity until it is complete.
 
-    Exact while an instrument has one open order at a time. The window is per order (bars of one life).
+    Exact while an instrument has one open order at a time (``capacity.share_capacity`` has no such limit). The window is per order
+    (bars of one life).
     """
     w = Window.partitionBy("order_id").orderBy("starts_at")
     capacity = bar_capacity(policy)
