@@ -220,8 +220,8 @@ dx AS (SELECT run_id, arg_min(equity, day) AS s, arg_max(equity, day) AS l, min(
 
 @query(
     "daily_metrics",
-    f"""WITH {BOOK}, {_DAILY} SELECT run_id, {Q.num("CAST(l - s AS DOUBLE) / CAST(s AS DOUBLE) * 100")} AS "totalReturnPct", {Q.num("least(dd, 0)")} AS "maxDrawdownPct", {Q.num("m / nullif(sd, 0) * sqrt(252)")} AS sharpe,
-      {Q.num("sd * sqrt(252) * 100")} AS "annualizedVolatilityPct", {Q.money("s")} AS "startingEquity", {Q.money("l")} AS "endingEquity", n AS "valuationPointCount" FROM dx""",
+    f"""WITH {BOOK}, {_DAILY} SELECT run_id, {Q.num("round_even(CAST(l - s AS DOUBLE) / CAST(s AS DOUBLE) * 100, 8)")} AS "totalReturnPct", {Q.num("round_even(least(dd, 0), 8)")} AS "maxDrawdownPct", {Q.num("round_even(m / nullif(sd, 0) * sqrt(252), 8)")} AS sharpe,
+      {Q.num("round_even(sd * sqrt(252) * 100, 8)")} AS "annualizedVolatilityPct", {Q.money("s")} AS "startingEquity", {Q.money("l")} AS "endingEquity", n AS "valuationPointCount" FROM dx""",
 )
 def daily_metrics(spark, folder):
     """Return, drawdown, Sharpe ratio and volatility over the daily marked curve of every run, up to the last day of all."""
