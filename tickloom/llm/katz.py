@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import prepare, store
+from tickloom.llm.text import prepare, store_packed
 
 #: Keys of the start of a text and of its end; frequent words follow, all other words are hashes with the sign bit set.
 START, END, FIRST = 0, 1, 2
@@ -250,7 +250,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_words(inputs: DataFrame) -> tuple[DataFrame, Words]:
     """The stored table ``w, c`` of the training words, and what all tasks need to know of it."""
-    words = store(inputs.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
+    words = store_packed(inputs.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     facts = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("w") == END, F.col("c")))).first()
     tokens, distinct, texts = (int(x or 0) for x in facts)
     numbers = {r["c"]: r["count"] for r in words.filter(F.col("c") <= COUNTS + 1).groupBy("c").count().collect()}
@@ -413,14 +413,14 @@ def fit_and_collect(docs: DataFrame, doc_id: str, text: str) -> tuple[Model, Dat
     words, totals = count_words(inputs)
     tasks = 1 + totals.tokens // TASK
     sent = inputs.mapInArrow(_send(totals.hot, tasks), "task int, bucket int, piece binary").repartitionById(tasks, "task")
-    parts = store(sent.mapInArrow(_merge(totals), MERGED), by=["kind"])
+    parts = store_packed(sent.mapInArrow(_merge(totals), MERGED), by=["kind"])
     pairs = parts.filter(F.col("kind") == PAIR).select("u", "w", "c")
     numbers = {r["c"]: r["count"] for r in pairs.filter(F.col("c") <= COUNTS + 1).groupBy("c").count().collect()}
     discount = discounts(numbers)
     sums = parts.filter(F.col("kind") == CONTEXT).groupBy("u").agg(F.sum("c").alias("total"), F.sum("s").alias("likely"), *[F.sum(m).alias(m) for m in CLASSES])
     kept_back = sum((F.col(m) * float((1 - discount[r]) * r) for r, m in enumerate(CLASSES, 1)), F.lit(1.0))
     alpha = kept_back / (F.col("total") + 1) / (1 - F.col("likely"))
-    contexts = store(sums.select("u", "total", alpha.alias("alpha")))
+    contexts = store_packed(sums.select("u", "total", alpha.alias("alpha")))
     return Model(words, pairs, contexts, totals, discount), parts
 
 

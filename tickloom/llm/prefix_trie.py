@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import prepare, store
+from tickloom.llm.text import prepare, store_packed
 from tickloom.operators.scan import Running, prefix_scan, with_position
 
 #: Subtrees of at most so many turns are no trouble for a task; heavy nodes on a level are at most so many.
@@ -177,14 +177,14 @@ def rebuilt(turns: DataFrame, family: int = 5, most: int = 9) -> tuple[DataFrame
     conversation), h = crc32(c) % most, and goes on with its own turns behind its first h. At most ``family`` conversations take
     turns from one, and less than ``most`` of them.
     """
-    turns = store(turns)
-    sizes = store(turns.groupBy("conv_id").agg(F.count("*").alias("n")))
+    turns = store_packed(turns)
+    sizes = store_packed(turns.groupBy("conv_id").agg(F.count("*").alias("n")))
     heads = sizes.select(
         "conv_id", "n", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).alias("h"), (F.col("conv_id") - F.col("conv_id") % family).alias("head")
     )
     heads = heads.join(sizes.select(F.col("conv_id").alias("head"), F.col("n").alias("_head_n")), "head", "left")
     taken = F.least("h", F.coalesce("_head_n", F.lit(0)))
-    heads = store(heads.select("conv_id", "head", "h", taken.alias("taken"), (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n_turns")))
+    heads = store_packed(heads.select("conv_id", "head", "h", taken.alias("taken"), (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n_turns")))
     first = turns.filter(F.col("place") < most).select(F.col("conv_id").alias("head"), "place", "role", "text")
     first = first.join(heads, "head").filter("place <= taken").select("conv_id", "place", "role", "text")
     own = turns.join(heads, "conv_id").filter("place > h").select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "role", "text")
@@ -208,16 +208,16 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, shard_rows: int = SH
         return (column % F.lit(KEY_SPACE)).cast("long")
 
     paths = sums.select("conv_id", "depth", "bytes", *[key(F.col(f"k{i}")).alias(f"k{i}") for i in (1, 2)], *[key(F.col(f"k{i}") - F.col(f"_h{i}")).alias(f"p{i}") for i in (1, 2)])
-    paths = store(paths.join(conversations, "conv_id").withColumn("below", F.col("n_turns") - F.col("depth") + 1))
+    paths = store_packed(paths.join(conversations, "conv_id").withColumn("below", F.col("n_turns") - F.col("depth") + 1))
     facts = [F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id")]
     nodes = paths.groupBy(*KEY).agg(*facts, F.max("bytes").alias("bytes"), F.max("p1").alias("p1"), F.max("p2").alias("p2"), F.sum("below").alias("weight"))
     no_key = F.lit(None).cast("long")
     root = conversations.agg(*facts).filter("n_convs > 0").select(*[F.lit(0).cast("long").alias(c) for c in KEY], "n_convs", "conv_id", F.lit(0).cast("long").alias("bytes"), no_key.alias("p1"), no_key.alias("p2"), no_key.alias("weight"))
-    nodes = store(nodes.unionByName(root).withColumn("saving", (F.col("n_convs") - 1) * F.col("bytes")))
+    nodes = store_packed(nodes.unionByName(root).withColumn("saving", (F.col("n_convs") - 1) * F.col("bytes")))
 
     limit = max(shard_rows, paths.count() // HEAVY)
     is_heavy = F.col("weight").isNull() | (F.col("weight") > limit)
-    heavy = store(nodes.filter(is_heavy))
+    heavy = store_packed(nodes.filter(is_heavy))
     depths = paths.join(heavy.select(*KEY), KEY, "left_semi").groupBy("conv_id").agg(F.max("depth").alias("_heavy"))
     shards = paths.join(depths, "conv_id", "left").filter(F.col("depth") == F.coalesce("_heavy", F.lit(0)) + 1).select("conv_id", F.col("depth").alias("_top"), F.col("k1").alias("_shard"))
     light = nodes.filter(~is_heavy).join(shards, "conv_id")
@@ -226,7 +226,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame, shard_rows: int = SH
     sent = [F.when(~top, F.col(p)).alias(p) for p in ("p1", "p2")]
     light = light.select("_shard", *KEY, *sent, "saving", *zeros, "n_convs", "conv_id", F.col("p1").alias("up1"), F.col("p2").alias("up2"), top.alias("top"))
     light = light.repartition("_shard").drop("_shard").sortWithinPartitions(F.desc("depth"), "k1", "k2")
-    light = store(_forward(light))
+    light = store_packed(_forward(light))
 
     up = light.filter("top").groupBy((F.col("depth") - 1).alias("depth"), F.col("up1").alias("k1"), F.col("up2").alias("k2"))
     up = up.agg(F.count("*").alias("in_children"), F.sum("n_leaves").alias("in_leaves"), F.sum("saved_tokens").alias("in_saved"))

@@ -53,16 +53,21 @@ def documents(spark: SparkSession, folder: str, name: str = "documents") -> Data
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def store(df: DataFrame) -> DataFrame:
+    """A table in the shared checkpoint folder; see ``tickloom.session.cut_lineage``."""
+    return cut_lineage(df)
+
+
 #: Shuffle files of a job go when it ends; stored tables are packed well; their folders are written side by side, without a sort.
-_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.maxConcurrentOutputFileWriters": "16"}
+_PACKED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.maxConcurrentOutputFileWriters": "16"}
 
 
-def store(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A table in the shared checkpoint folder; see ``tickloom.session.cut_lineage``. The shuffle files of the job that writes it
-    go when it ends, so that a chain of stored tables does not hold all of them at once."""
+def store_packed(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Like ``store``, for operators whose tables and shuffles are large beside their input: the shuffle files of the job that writes the
+    table go when it ends, so that a chain of stored tables does not hold all of them at once. The settings are those of this job."""
     conf = df.sparkSession.conf
-    before = {name: conf.get(name) for name in _STORING}
-    for name, value in _STORING.items():
+    before = {name: conf.get(name) for name in _PACKED}
+    for name, value in _PACKED.items():
         conf.set(name, value)
     try:
         return cut_lineage(df, by)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import prepare, store
+from tickloom.llm.text import prepare, store_packed
 
 #: Hashed features; documents that train the scorer (a sample by hash of the id, of about this size); gradient steps.
 FEATURES = 1 << 14
@@ -287,12 +287,12 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     whole = F.coalesce(docs[text], F.lit(""))
     share = min(1.0, TRAIN_ROWS / max(1, docs.count()))
     picked = F.pmod(F.xxhash64(docs[doc_id].cast("long"), F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30))
-    voted = store(docs.select(whole.alias("t"), picked.alias("picked")).mapInArrow(_voted, "votes string, at array<bigint>, x array<double>"))
+    voted = store_packed(docs.select(whole.alias("t"), picked.alias("picked")).mapInArrow(_voted, "votes string, at array<bigint>, x array<double>"))
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(counts)
     posteriors = {p: model.posterior(p) for p in counts}
     label = F.create_map(*chain.from_iterable((F.lit(p), F.lit(y)) for p, y in posteriors.items())) if posteriors else F.create_map(F.lit(""), F.lit(0.0))
-    sample = store(voted.filter(F.col("at").isNotNull()).select("at", "x", label[F.col("votes")].alias("y")))
+    sample = store_packed(voted.filter(F.col("at").isNotNull()).select("at", "x", label[F.col("votes")].alias("y")))
     shared = spark.sparkContext.broadcast(_train(sample, sample.count()))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
