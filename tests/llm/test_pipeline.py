@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tickloom.llm.simhash import without_near_copies
+from tickloom.llm import simhash
+from tickloom.llm.simhash import bucket_forest, similarity, without_near_copies
 
 DATA = "/root/testdata/sf0.001"
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, _row string, words int, size double"
@@ -100,3 +102,51 @@ def test_the_whole_pipeline(spark):
     assert all(quality.get(d) != 0 for d in mixed) or sum(quality.get(d) == 0 for d in mixed) <= 2
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length(F.trim("line")) >= 40).select(F.lower(F.trim("line")).alias("k"), "doc_id").distinct()
     assert lines.groupBy("k").count().filter("count >= 5").count() == 0
+
+
+def template_sets(seed, n=150):
+    """Sets that share a template: pairs of 0.45 to 1, most of them below 0.8."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, 120, np.uint64)
+    out = []
+    for i in range(n):
+        kept = base[rng.random(120) < rng.choice([0.75, 0.9, 0.97])] if i % 3 or not out else out[rng.integers(len(out))]
+        out.append(np.unique(np.concatenate([kept, rng.integers(0, 2**64, rng.integers(0, 20), np.uint64)])))
+    return out
+
+
+def classes(n, links, roots):
+    parent = {r: r for r in roots}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        parent[find(roots[i])] = find(roots[j])
+    return [min(k for k in range(n) if find(roots[k]) == find(roots[i])) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bucket_forest_joins_what_all_pairs_join(seed):
+    sets = template_sets(seed)
+    n = len(sets)
+    roots = [i if i % 10 else 1 for i in range(n)]
+    every = [(i, j) for i in range(n) for j in range(i) if similarity(sets[i], sets[j]) >= simhash.SIMILARITY]
+    links = bucket_forest(sets, roots, [0] * n)
+    assert set(links) <= set(every) and len(links) < n and classes(n, links, roots) == classes(n, every, roots)
+    sides = [i % 2 for i in range(n)]
+    assert classes(n, bucket_forest(sets, roots, sides), roots) == classes(n, [(i, j) for i, j in every if sides[i] != sides[j]], roots)
+    assert bucket_forest([np.array([5], np.uint64)] * 3, [1, 2, 2], [0, 0, 0]) == [(1, 0)]
+
+
+def test_buckets_in_parts_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
+    sets = template_sets(9)
+    n = len(sets)
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, set binary")
+    members = spark.createDataFrame([(7, i, i) for i in range(n)], "bucket long, id long, root long")
+    links = [(r["a"], r["b"]) for r in simhash._bucket_links(members, table).collect()]
+    every = [(i, j) for i in range(n) for j in range(i) if similarity(sets[i], sets[j]) >= simhash.SIMILARITY]
+    assert classes(n, links, list(range(n))) == classes(n, every, list(range(n)))

@@ -10,6 +10,7 @@ then meets in exactly one shard as member and member or member and query; the sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -269,7 +270,7 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 18, 5
 FAR_BITS = 36
 #: Members of a bucket that meet in one task when all its pairs have to be compared; rounds with other leaders before that.
-BUCKET_ROWS, LEADER_ROUNDS = 1024, 1
+BUCKET_ROWS, BUCKET_BYTES, LEADER_ROUNDS = 1024, 1 << 25, 1
 #: Shingles whose minimum hashes are worked out at a time.
 MIN_CHUNK = 1 << 12
 
@@ -353,25 +354,75 @@ def _near(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s1", "s2")), F.lit(0)) <= FAR_BITS
 
 
-def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """All pairs ``a, b`` of a bucket that no link joins so far. ``members`` has bucket, n, p (id and sketch) and root.
+def bucket_forest(sets: list[np.ndarray], roots: list[int], sides: list[int]) -> list[tuple[int, int]]:
+    """Pairs of similarity SIMILARITY or more that join all such pairs of different ``roots``; with two ``sides``, pairs across them.
 
-    A bucket is cut into parts of some BUCKET_ROWS members, and two parts at a time meet under one key.
+    A pair that similar has a shingle in common among the rarest fifth of either set (in one order of all shingles, the rarest of the bucket
+    first), so only members that share one of these are compared: texts of one template are not, where their own words differ.
     """
-    parts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
-    every = F.explode(F.sequence(F.lit(0), parts - 1))
-    own = F.pmod(F.xxhash64("p.id", F.lit("part")), parts).cast("int")
-    left = members.select("bucket", own.alias("i"), every.alias("j"), F.col("p").alias("x"), F.col("root").alias("_x"))
-    right = members.select("bucket", every.alias("i"), own.alias("j"), F.col("p").alias("y"), F.col("root").alias("_y"))
-    met = left.join(right, (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("x.id") < F.col("y.id")) & (F.col("_x") != F.col("_y")) & _near("x", "y"))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    shingles, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.empty(len(shingles), np.int64)
+    order[np.argsort(counts, kind="stable")] = np.arange(len(shingles))
+    ranks = np.split(order[at], np.cumsum([len(s) for s in sets])[:-1])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    across = len(set(sides)) > 1
+    holders: dict[int, list[int]] = {}
+    links = []
+    held_here = np.zeros(len(shingles), bool)
+    for i, own in enumerate(ranks):
+        held_here[own] = True
+        least = math.ceil(SIMILARITY * len(own) - 1e-9)
+        rare = np.partition(own, len(own) - least)[: len(own) - least + 1] if least else own
+        asked: set[int] = set()
+        for rank in rare.tolist():
+            held = holders.setdefault(rank, [])
+            for j in held:
+                if j not in asked and not (across and sides[i] == sides[j]):
+                    asked.add(j)
+                    x, y = find(roots[i]), find(roots[j])
+                    if x != y and least <= len(ranks[j]) <= len(own) / SIMILARITY + 1e-6:
+                        both = int(np.count_nonzero(held_here[ranks[j]]))
+                        if both / (len(own) + len(ranks[j]) - both) >= SIMILARITY:
+                            parent[x] = y
+                            links.append((i, j))
+            held.append(i)
+        held_here[own] = False
+    return links
+
+
+def _bucket_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join all similar pairs of a bucket that are not joined so far. ``members`` has bucket, id and root.
+
+    A bucket is cut into parts of some BUCKET_ROWS members and BUCKET_BYTES of shingle sets, and two parts at a time meet in one task.
+    A task reports a spanning forest, so what it returns grows with its members, not with their pairs.
+    """
+    sized = members.join(sets.select("id", F.length("set").alias("_bytes")), "id")
+    parts = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BUCKET_ROWS, F.sum("_bytes") / BUCKET_BYTES)).cast("int").alias("_parts"))
+    own = F.pmod(F.xxhash64("id", F.lit("part")), F.col("_parts")).cast("int")
+    dealt = members.join(parts, "bucket").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "root")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        ids = group["id"].tolist()
+        if len(set(group["root"])) < 2:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = bucket_forest([np.frombuffer(s, np.uint64) for s in group["set"]], group["root"].tolist(), group["side"].tolist())
+        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+
+    return dealt.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_copy_links(docs: DataFrame, text: str, distinct: DataFrame) -> DataFrame:
     """Links ``a, b`` of similarity SIMILARITY or more that join all such pairs that share a band key.
 
     Each bucket first compares its members with one leader, which settles most buckets and a large group of copies at once.
-    Where members stay apart, other leaders follow, and then all pairs that are not joined yet. No link goes unverified.
+    Where members stay apart, those of a bucket meet in a task, in a large bucket after one further leader. No link goes unverified.
     """
     points = distinct.select(F.struct("id", "s1", "s2").alias("p"), F.explode("bands").alias("bucket"))
     buckets = points.groupBy("bucket").agg(F.count("*").alias("n"), F.min("p").alias("lead")).filter(F.col("n") > 1)
@@ -388,8 +439,8 @@ def near_copy_links(docs: DataFrame, text: str, distinct: DataFrame) -> DataFram
         if not rows:
             break
         apart = rooted.join(mixed, "bucket")
-        if turn > LEADER_ROUNDS or largest <= BUCKET_ROWS // 16:
-            return links.unionAll(store(_similar(_bucket_pairs(apart.select("bucket", "n", "p", "root")), sets)))
+        if turn > LEADER_ROUNDS or largest <= BUCKET_ROWS:
+            return links.unionAll(store(_bucket_links(apart.select("bucket", F.col("p.id").alias("id"), "root"), sets)))
         asked = apart.filter(F.col("root") != F.col("lead.root")).select("p", F.col("lead.p").alias("lead")).filter(_near("p", "lead"))
         links = store(links.unionAll(_similar(asked.select(F.col("lead.id").alias("a"), F.col("p.id").alias("b")).distinct(), sets)))
     return links
