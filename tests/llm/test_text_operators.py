@@ -327,6 +327,36 @@ def test_contexts_discover_identifiers(spark):
     assert (2, 27, 43) in found[201]
 
 
+def added_spans(spark, rows):
+    found = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r["doc_id"]: [tuple(s) for s in r["spans"] if s not in r["base"]] for r in found}
+
+
+@pytest.mark.parametrize("unseen", [2, 12])
+def test_contexts_with_many_unseen_values(spark, unseen):
+    """Plain and spaced numbers; a context that mostly holds values from elsewhere, too long ones or other kinds is not trusted."""
+    rows = [(i, f"filler{i} contact phone +1 (234) 555-{1000 + i} today word{i}") for i in range(12)]
+    rows += [(100 + i, f"filler{i} contact phone {['02345552', '0234 555 2', '(0234) 555-2'][i % 3]}{100 + i}, today") for i in range(unseen)]
+    rows += [(200 + i, f"parcel number +1 (234) 555-{1000 + i} or so") for i in range(5)] + [(300 + i, f"parcel number {70000000 + i} or so") for i in range(40)]
+    rows += [(400, "order 12345678901 shipped"), (401, "rows 1 2 3 4 5 6 7 8 9 " + "10 " * 5000)]
+    found = added_spans(spark, rows)
+    texts = dict(rows)
+    for i in range(unseen):
+        assert [(k, texts[100 + i][s:e]) for k, s, e in found[100 + i]] == [(3, f"{['02345552', '0234 555 2', '(0234) 555-2'][i % 3]}{100 + i}")]
+    assert not any(found[d] for d in texts if not 100 <= d < 200)
+
+
+def test_contexts_found_through_found_values(spark):
+    """Values found in one context make the next one trusted, and those of that one a third."""
+    rows = [(i, f"contact phone +1 (234) 555-{1000 + i} today") for i in range(30)]
+    for hop, (first, second) in enumerate([("phone", "line"), ("line", "desk")]):
+        rows += [(1000 * (hop + 1) + i, f"the {first} 0234555{2000 + 100 * hop + i} now") for i in range(8)]
+        rows += [(1000 * (hop + 1) + 100 + i, f"our {second} 0234555{2000 + 100 * hop + i} then") for i in range(8)]
+    rows += [(5000, "our desk 02345559999 then"), (5001, "our shelf 02345559998 then")]
+    found = added_spans(spark, rows)
+    assert all(len(found[d]) == 1 for d, _ in rows if 1000 <= d <= 5000) and found[5001] == []
+
+
 def test_secret_spans_and_ledger(spark, awkward):
     found, ledger = secrets(awkward)
     for r in found.collect():
