@@ -31,7 +31,7 @@ MENTION = rf"(?<![^{S}])(?=(?:[^{S}0-9]*+[0-9]){{7}}|[^{S}@]*+@)[^{S}]++"
 EDGE = "[.,;:!?()\"'<>\\[\\]]"
 #: Or seven digits and more in two to nineteen groups with a space, a dot, a hyphen or a bracket between them. A longer run is a table.
 GAP = r"[\x20().-]{1,3}"
-GROUPS = rf"(?<![^{S}])(?<![0-9]{GAP})[+(]{{0,2}}(?=[0-9](?:(?:{GAP})?[0-9]){{6}})[0-9]++(?:{GAP}[0-9]++){{1,18}}+(?!{GAP}[0-9])(?={EDGE}*+(?:[{S}]|\z))"
+GROUPS = rf"(?=[+(0-9])(?<![^{S}])(?<![0-9]{GAP})[+(]{{0,2}}(?=[0-9](?:(?:{GAP})?[0-9]){{6}})[0-9]++(?:{GAP}[0-9]++){{1,18}}+(?!{GAP}[0-9])(?={EDGE}*+(?:[{S}]|\z))"
 
 #: Trust: share of the known among the weights of a pattern, distinct known instances behind it, score of an instance; weight of a value
 #: that nothing is known of.
