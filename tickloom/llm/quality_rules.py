@@ -224,16 +224,16 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     A null or empty text has no words and fails the base rule. Without labels, or with labels of one kind, the list is empty
     and only the base rule rejects. Rows that repeat an id are judged each; an empty table gives no rows. Thresholds are
-    quantiles, so ties fall on the same side. Statistics are worked out once and stored; only ``rows`` works them out again,
-    so that texts need not be joined to them.
+    quantiles, so ties fall on the same side. Statistics are worked out once and stored, with ``rows`` beside the row they belong
+    to: writing and reading a text costs far less than its statistics, and no text is joined to them.
     """
     prepare(docs.sparkSession)
-    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_own"))
-    measured = store(text_statistics(own, "_own").select("_id", "_stats"))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if rows else []
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_own"), *row)
+    measured = store(text_statistics(own, "_own").drop("_own"))
     rules = learn_from(measured, labels, doc_id)
     failed = base_failed(F.col("_stats"))
     verdict = ~failed & decision(rules, F.col("_stats"))
-    if not rows:
-        return measured.select(F.col("_id").alias("doc_id"), "_stats", failed.alias("base_failed"), verdict.alias("kept"))
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_own"))
-    return text_statistics(held, "_own").filter(verdict).select("_row.*")
+    if rows:
+        return measured.filter(verdict).select("_row.*")
+    return measured.select(F.col("_id").alias("doc_id"), "_stats", failed.alias("base_failed"), verdict.alias("kept"))
