@@ -198,3 +198,19 @@ def test_chain_reports_first_failure(spark):
     assert [len(got[i]["trace"]) for i in range(1, 6)] == [2, 1, 2, 1, 2]
     waiting = R.evaluate_chain(df, steps, bar_closed=F.lit(False)).first()
     assert waiting["first_failure_reason"] == "WAITING_FOR_BAR_CLOSE"
+
+
+def test_position_percent_cap_stops_the_order_after_the_crossing_one(spark):
+    """A cap of 100 over orders of 60: the second crosses it and passes, the third is refused; without a cap none is."""
+    money = "decimal(18,8)"
+    rows = [(1, "A", dt.datetime(2024, 1, 1) + dt.timedelta(days=i), i, 60, 100) for i in range(4)]
+    rows += [(1, "B", dt.datetime(2024, 2, 1) + dt.timedelta(days=i), 10 + i, 60, None) for i in range(4)]
+    orders = spark.createDataFrame(rows, "run_id int, instrument_id string, at timestamp, order_id long, price int, cap int").select(
+        "run_id", "instrument_id", "at", "order_id", F.col("price").cast(money).alias("reference_price"), F.lit(1).cast(money).alias("quantity"), F.col("cap").cast(money).alias("max_position_notional")
+    )
+    limits = {"cash": "100000", "strategy": "100000", "gross": "100000", "instrument": "100000"}
+    found = X.exposure_flags(orders, ["at", "order_id"], F.date_trunc("week", "at"), limits, X.Policy()).collect()
+    reasons = {r["order_id"]: r["reason_code"] for r in found}
+    assert reasons == {i: "MAX_INSTRUMENT_POSITION_PERCENT" if i in (2, 3) else None for i in (0, 1, 2, 3, 10, 11, 12, 13)}
+    empty = X.exposure_flags(orders.filter("false"), ["at", "order_id"], F.date_trunc("week", "at"), limits, X.Policy())
+    assert empty.count() == 0

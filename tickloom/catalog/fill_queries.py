@@ -299,6 +299,28 @@ def exposure_flags(spark, folder):
     return X.exposure_flags(rows, order, F.date_trunc("week", "l_shipdate"), _CAPS, POLICY).select("run_id", *ids, "reason_code")
 
 
+@query(
+    "position_percent_cap",
+    f"""WITH o AS (SELECT l_suppkey AS run_id, 'I' || l_linenumber AS instrument_id, {_LINE_ID}, l_shipdate, l_extendedprice, CAST(l_extendedprice AS DECIMAL(18,8)) AS notional,
+      CAST(l_extendedprice AS DECIMAL(18,8)) + CAST(round_even(CAST(l_extendedprice AS DECIMAL(18,8)) * {_RATE["fee"]}, 8) AS DECIMAL(18,8)) AS cash,
+      CASE WHEN l_linenumber % 3 > 0 THEN 50000 * l_linenumber END AS cap FROM lineitem),
+    r AS (SELECT *, sum(notional) OVER w AS rn, sum(cash) OVER w AS rc, sum(notional) OVER (PARTITION BY run_id, instrument_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS inn
+      FROM o WINDOW w AS (PARTITION BY run_id ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING))
+    SELECT run_id, {_LINE_ID}, CASE WHEN inn - notional >= cap THEN 'MAX_INSTRUMENT_POSITION_PERCENT' WHEN rc > 5000000 - 500 THEN 'INSUFFICIENT_AVAILABLE_CASH' WHEN rc > 4500000 THEN 'STRATEGY_BUDGET_EXCEEDED'
+      WHEN rn > 4000000 THEN 'GROSS_EXPOSURE_EXCEEDED' WHEN inn > 700000 THEN 'INSTRUMENT_EXPOSURE_EXCEEDED' END AS reason_code FROM r""",
+)
+def position_percent_cap(spark, folder):
+    """Caps with a share of the capital per order: one percent for each line number, none for every third."""
+    ids = _LINE_ID.split(", ")
+    share = F.when(F.col("l_linenumber") % 3 > 0, (F.col("l_linenumber") * F.lit(50_000)).cast("decimal(18,8)"))
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("run_id"), F.concat(F.lit("I"), F.col("l_linenumber").cast("string")).alias("instrument_id"), *ids, "l_shipdate", "l_extendedprice",
+        price("l_extendedprice").alias("reference_price"), F.lit(1).cast("decimal(18,8)").alias("quantity"), share.alias("max_position_notional"),
+    )
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    return X.exposure_flags(rows, order, F.date_trunc("week", "l_shipdate"), _CAPS, POLICY).select("run_id", *ids, "reason_code")
+
+
 @query(
     "notional_orders",
     f"""WITH o AS (SELECT event_id, CAST(CAST(value AS DECIMAL(18,8)) + 1 AS DECIMAL(18,8)) AS price, CAST(user_id * 100 + 50 AS DECIMAL(18,8)) AS notional FROM events),
@@ -670,3 +692,19 @@ def exit_search(spark, folder):
     )
     found = O.exit_search(_position_metrics(spark, folder), FILL_KEYS, FILL_ORDER, rules, ["order_id"])
     return found.select("run_id", "instrument_id", "cycle", F.col("occurred_at").alias("exit_at"), "order_id")
+
+
+@query(
+    "peak_return_exit",
+    f"""WITH {Q.CALENDAR}, {_EVENT_FIFO}, {_POS}, x AS (SELECT *, row_number() OVER (PARTITION BY run_id, instrument_id, cycle ORDER BY {_ORD}) AS rn FROM pmx WHERE pp >= 45 OR holding_days >= 5)
+    SELECT run_id, instrument_id, cycle, occurred_at AS exit_at, order_id, pp >= 45 AS by_peak, holding_days FROM x WHERE rn = 1""",
+)
+def peak_return_exit(spark, folder):
+    """First bar of each position cycle whose peak was 45 % above the entry, or that is the fifth trading day held or later."""
+    from tickloom.operators import positions as O
+
+    peak = R.peak_return({"operator": "GTE", "thresholdPercent": 45}).passed
+    held = R.holding_period({"unit": "TRADING_DAY", "amount": 5}).passed
+    staged = _position_metrics(spark, folder).withColumn("by_peak", peak)
+    found = O.exit_search(staged, FILL_KEYS, FILL_ORDER, peak | held, ["order_id", "by_peak", "holding_days"])
+    return found.select("run_id", "instrument_id", "cycle", F.col("occurred_at").alias("exit_at"), "order_id", "by_peak", "holding_days")

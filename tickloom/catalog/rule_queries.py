@@ -264,6 +264,31 @@ def schedule_rules(spark, folder):
     )
 
 
+def wide_range(a: R.Args) -> R.Rule:
+    """A rule of the caller's own: the bar's range is at least a share of its close."""
+    return R.Rule(F.col("high").cast("double") * 100 - F.col("low").cast("double") * 100 >= F.col("close").cast("double") * float(a["thresholdPercent"]))
+
+
+@query(
+    "bar_close_gate",
+    f"""WITH {_E30}, f AS (SELECT e.*, e.ends_at >= e.closes_at AS closed, e.ends_at = min(e.ends_at) OVER (PARTITION BY instrument_id, s.session_date) AS nd,
+          CAST(high AS DOUBLE) * 100 - CAST(low AS DOUBLE) * 100 >= CAST(close AS DOUBLE) * 5.0 AS wide, CAST(close AS DOUBLE) >= CAST(open AS DOUBLE) AS rose
+        FROM ev e JOIN ses s ON s.session_date = {Q.et_date("e.ends_at")}),
+    d AS (SELECT instrument_id, ends_at, 'last' AS flow_id, CASE WHEN NOT closed THEN 'WAITING_FOR_BAR_CLOSE' WHEN NOT wide THEN 'WIDE_RANGE_FALSE' WHEN NOT rose THEN 'PRICE_COMPARE_FALSE' END AS reason, CASE WHEN NOT closed OR NOT wide THEN 1 ELSE 2 END AS step FROM f
+      UNION ALL SELECT instrument_id, ends_at, 'first', CASE WHEN NOT nd THEN 'SCHEDULE_FALSE' WHEN NOT closed THEN 'WAITING_FOR_BAR_CLOSE' WHEN NOT rose THEN 'PRICE_COMPARE_FALSE' END, CASE WHEN NOT nd THEN 1 ELSE 2 END FROM f)
+    SELECT instrument_id, ends_at AS occurred_at, flow_id, CASE WHEN reason IS NULL THEN 'CANDIDATE' ELSE 'CONDITION_NOT_MET' END AS status,
+      CASE WHEN reason IS NOT NULL THEN step END AS first_failure_step, reason AS first_failure_reason FROM d""",
+)
+def bar_close_gate(spark, folder):
+    """Price rules, one of them registered by the caller, wait for the session's last bar; the schedule does not."""
+    R.register_rule("WIDE_RANGE", wide_range)
+    bars = event_bar_events(spark, folder).select("instrument_id", "occurred_at", "open", "high", "low", "close")
+    flags = cal.schedule_flags(bars, "occurred_at", KEY, calendar(spark))
+    rose = R.Step("PRICE_COMPARE", {"operator": "GTE", "column": "open"})
+    flows = {"last": [R.Step("WIDE_RANGE", {"thresholdPercent": 5}), rose], "first": [R.Step("SCHEDULE", {"cycle": "EVERY_TRADING_DAY"}), rose]}
+    return R.evaluate_flows(flags, flows, F.col("session_close")).select("instrument_id", "occurred_at", "flow_id", "status", "first_failure_step", "first_failure_reason")
+
+
 _FLOWS = {
     "dip": [_RULES["rsi_below_40"], _RULES["drop_two_percent"], _RULES["volume_over_previous"]],
     "trend": [_RULES["cross_up"], _RULES["price_above_sma"]],

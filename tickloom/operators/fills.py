@@ -207,9 +207,11 @@ def eligibility(orders: DataFrame, horizon_days: int) -> DataFrame:
 
 
 def exposure_flags(orders: DataFrame, order: Sequence[str], bucket: Column, limits: dict[str, str], policy: Policy) -> DataFrame:
-    """First cap that running commitments break: cash, strategy, gross, instrument. Flags, not feedback.
+    """First cap that running commitments break: position percent, cash, strategy, gross, instrument. Flags, not feedback.
 
-    Two bucketed scans: commitments per run, and per run and instrument.
+    Two bucketed scans: commitments per run, and per run and instrument. An order with a ``max_position_notional`` (optional column, the
+    run's capital times the order's percent, NULL for none) is refused once what its instrument was committed to before reaches it: the
+    order that crosses the cap still passes, the next one does not.
     """
     notional = F.bround(F.col("reference_price") * F.col("quantity"), 8).cast(PX)
     staged = orders.withColumn("notional", notional)
@@ -219,8 +221,11 @@ def exposure_flags(orders: DataFrame, order: Sequence[str], bucket: Column, limi
     )
     both = prefix_scan(per_run, ["run_id", "instrument_id"], order, bucket, {"instrument_notional": Running("sum", F.col("notional"))})
     cap = lambda name: F.lit(limits[name]).cast("decimal(24,8)")
+    before = (F.col("instrument_notional") - F.col("notional")).cast("decimal(38,8)")
+    full = before >= F.col("max_position_notional") if "max_position_notional" in orders.columns else F.lit(False)
     reason = (
-        F.when(F.col("run_cash") > buying_power(cap("cash"), policy), "INSUFFICIENT_AVAILABLE_CASH")
+        F.when(full, "MAX_INSTRUMENT_POSITION_PERCENT")
+        .when(F.col("run_cash") > buying_power(cap("cash"), policy), "INSUFFICIENT_AVAILABLE_CASH")
         .when(F.col("run_cash") > cap("strategy"), "STRATEGY_BUDGET_EXCEEDED")
         .when(F.col("run_notional") > cap("gross"), "GROSS_EXPOSURE_EXCEEDED")
         .when(F.col("instrument_notional") > cap("instrument"), "INSTRUMENT_EXPOSURE_EXCEEDED")
