@@ -117,3 +117,13 @@ def test_prorate_has_no_double_rounding(spark):
     exact = Fraction("1.00000000") * Fraction("0.12345679") / Fraction("1.00000001")
     got = df.select(S.prorate(F.col("a"), F.col("p"), F.col("w"))).first()[0]
     assert abs(Fraction(str(got)) - exact) <= Fraction(1, 2 * 10**8)
+
+
+def test_unavailable_requirements_lists_what_each_run_lacks(spark):
+    from tickloom.operators import intervals as iv
+
+    rows = [(1, "b", "X"), (1, "a", "X"), (1, "c", None), (2, "a", "X"), (2, "ab", "Y"), (3, "a", None)]
+    assessed = spark.createDataFrame(rows, "run_id int, requirement_id string, reason_code string")
+    found = sorted(tuple(r) for r in iv.unavailable_requirements(assessed, prefix=1).collect())
+    assert found == [(1, "X", 1, "a:X"), (1, "X", 2, "b:X"), (2, "REQUIRED_DATA_UNAVAILABLE", 1, "a:X"), (2, "REQUIRED_DATA_UNAVAILABLE", 2, "ab:Y")]
+    assert iv.unavailable_requirements(assessed.filter("false")).count() == 0

@@ -516,6 +516,17 @@ def run_assessment(spark, folder):
     return iv.assess_runs(assessed, spans, cut_lineage(skips))
 
 
+@query(
+    "unavailable_requirements",
+    f"""WITH {_AV}, m AS (SELECT run_id, requirement_id || ':' || reason_code AS missing_requirement, reason_code FROM asx WHERE reason_code IS NOT NULL),
+    k AS (SELECT run_id, CASE WHEN count(DISTINCT reason_code) = 1 THEN min(reason_code) ELSE 'REQUIRED_DATA_UNAVAILABLE' END AS reason_code FROM m GROUP BY 1)
+    SELECT run_id, k.reason_code, row_number() OVER (PARTITION BY run_id ORDER BY missing_requirement) AS ordinal, missing_requirement FROM m JOIN k USING (run_id)""",
+)
+def unavailable_requirements(spark, folder):
+    """Missing requirements of every unavailable run, in order, with the reason the run reports."""
+    return iv.unavailable_requirements(_availability(spark, folder)[0], prefix=8)
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.scan import Running, prefix_scan
+from tickloom.operators.scan import Running, prefix_scan, with_position
 from tickloom.session import cut_lineage
 
 
@@ -184,3 +184,16 @@ def assess_runs(assessed: DataFrame, intervals: DataFrame, skips: DataFrame) ->
         .when(F.col("_shared").isNull(), "NO_COMMON_REPLAYABLE_INTERVAL")
     )
     return joined.select("run_id", status.alias("status"), reason.alias("reason_code"))
+
+
+def unavailable_requirements(assessed: DataFrame, prefix: int = 4) -> DataFrame:
+    """What each unavailable run lacks: ``requirement:reason`` in ascending order with an ordinal, beside the run's reason code.
+
+    The code is the reason that all missing requirements share, otherwise the umbrella code. Runs that lack nothing have no rows, so an
+    empty table gives none. Long form with an ordinal: the list of a hot run is spread over buckets of equal first ``prefix`` characters.
+    """
+    missing = assessed.filter("reason_code IS NOT NULL").select("run_id", F.concat_ws(":", "requirement_id", "reason_code").alias("missing_requirement"), "reason_code")
+    shared = missing.groupBy("run_id").agg(F.min("reason_code").alias("_least"), F.max("reason_code").alias("_most"))
+    code = F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise("REQUIRED_DATA_UNAVAILABLE")
+    listed = with_position(missing.drop("reason_code"), ["run_id"], ["missing_requirement"], F.substring("missing_requirement", 1, prefix), "ordinal")
+    return listed.join(shared, "run_id").select("run_id", code.alias("reason_code"), "ordinal", "missing_requirement")
