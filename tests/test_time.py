@@ -120,10 +120,20 @@ def test_prorate_has_no_double_rounding(spark):
 
 
 def test_unavailable_requirements_lists_what_each_run_lacks(spark):
-    from tickloom.operators import intervals as iv
-
     rows = [(1, "b", "X"), (1, "a", "X"), (1, "c", None), (2, "a", "X"), (2, "ab", "Y"), (3, "a", None)]
     assessed = spark.createDataFrame(rows, "run_id int, requirement_id string, reason_code string")
     found = sorted(tuple(r) for r in iv.unavailable_requirements(assessed, prefix=1).collect())
     assert found == [(1, "X", 1, "a:X"), (1, "X", 2, "b:X"), (2, "REQUIRED_DATA_UNAVAILABLE", 1, "a:X"), (2, "REQUIRED_DATA_UNAVAILABLE", 2, "ab:Y")]
     assert iv.unavailable_requirements(assessed.filter("false")).count() == 0
+
+
+def test_stage_allowed_fills_need_the_session_and_their_own_skips(spark, calendar):
+    at = [dt.datetime(2024, 1, 3, 13, 0), dt.datetime(2024, 1, 3, 15, 0), dt.datetime(2024, 1, 3, 16, 0), dt.datetime(2024, 1, 6, 16, 0)]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(at)], "k int, i int, ts timestamp")
+    skips = spark.createDataFrame(
+        [(1, at[1], at[2], ["FILL"]), (1, at[3], at[3] + dt.timedelta(hours=1), None)], "k int, starts_at timestamp, ends_at timestamp, stages array<string>"
+    )
+    allowed = {s: sorted(r["i"] for r in J.stage_allowed(rows, "ts", s, skips, ["k"], calendar).collect()) for s in J.STAGES}
+    assert allowed == {"EVALUATION": [0, 1, 2], "ORDER_TRIGGER": [0, 1, 2], "FILL": [2]}
+    everywhere = J.stage_allowed(rows, "ts", "EVALUATION", skips.drop("stages"), ["k"], calendar)
+    assert sorted(r["i"] for r in everywhere.collect()) == [0, 2]

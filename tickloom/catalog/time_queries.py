@@ -421,6 +421,23 @@ def outside_skips(spark, folder):
     return J.outside(events, "ts", skips, ["user_id"])
 
 
+@query(
+    "stage_allowed",
+    f"""WITH {Q.CALENDAR}, {_USER_IV}, x AS (SELECT e.event_id, e.ts, count(*) FILTER (iv.event_type = 'error') AS errors, count(*) FILTER (iv.event_type = 'purchase') AS purchases
+      FROM events e LEFT JOIN iv ON iv.event_type IN ('error', 'purchase') AND iv.user_id = e.user_id AND e.ts >= iv.starts_at AND e.ts < iv.ends_at GROUP BY 1, 2),
+    st AS (SELECT x.*, {_STATUS} AS status FROM x LEFT JOIN cal c ON c.session_date = {Q.et_date("x.ts")})
+    SELECT event_id, 'EVALUATION' AS stage FROM st WHERE errors = 0 UNION ALL SELECT event_id, 'ORDER_TRIGGER' FROM st WHERE errors = 0
+    UNION ALL SELECT event_id, 'FILL' FROM st WHERE errors + purchases = 0 AND status = 'REGULAR_OPEN'""",
+)
+def stage_allowed(spark, folder):
+    """Stages that each instant permits: intervals of errors block all, those of purchases only fills."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "ts")
+    stages = F.when(F.col("event_type") == "purchase", F.array(F.lit("FILL")))
+    skips = _user_intervals(spark, folder).filter("event_type IN ('error', 'purchase')").select("user_id", "starts_at", "ends_at", stages.alias("stages"))
+    permitted = [J.stage_allowed(events, "ts", stage, skips, ["user_id"], calendar(spark)).select("event_id", F.lit(stage).alias("stage")) for stage in J.STAGES]
+    return permitted[0].unionByName(permitted[1]).unionByName(permitted[2])
+
+
 @query(
     "lineage_present",
     "SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",

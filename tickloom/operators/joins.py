@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.calendar import session_status
 from tickloom.operators.scan import Running, prefix_scan
 
 
@@ -125,6 +126,25 @@ def outside(df: DataFrame, ts: str, skips: DataFrame, keys: Sequence[str], unit:
     return df.join(spread, condition, "left_anti")
 
 
+# The stages that a skip interval may block.
+STAGES = ("EVALUATION", "ORDER_TRIGGER", "FILL")
+
+
+def stage_allowed(df: DataFrame, ts: str, stage: str, skips: DataFrame, keys: Sequence[str], calendar: DataFrame, unit: str = "day") -> DataFrame:
+    """Rows whose instant permits a stage: no skip interval of the same keys blocks it, and a fill also needs the regular session.
+
+    ``skips`` may have ``stages`` (the stages an interval blocks); without the column, or where it is NULL, it blocks all. The session test
+    is a filter over the broadcast calendar and comes first, so that only instants of open sessions meet the skips.
+    """
+    if stage not in STAGES:
+        raise ValueError(f"unknown stage {stage}")
+    if stage == "FILL":
+        df = session_status(df, ts, calendar, "_status").filter("_status = 'REGULAR_OPEN'").drop("_status")
+    if "stages" in skips.columns:
+        skips = skips.filter(F.col("stages").isNull() | F.array_contains("stages", stage))
+    return outside(df, ts, skips, keys, unit)
+
+
 def reconcile(required: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer comparison of key sets: MISSING, EXTRA, DUPLICATE or OK per key."""
     want = required.groupBy(*keys).agg(F.count(F.lit(1)).alias("_want"))
