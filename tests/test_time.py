@@ -89,6 +89,14 @@ def test_gaps_with_empty_and_full_cover(spark):
     assert _minutes(iv.gaps(target, have, ["k"])) == [("a", 0, 10), ("a", 40, 90), ("c", 0, 100)]
 
 
+def test_points_divide_a_gap(spark):
+    """An interval without length divides the gap it lies in, unless another interval touches it or it lies on the target's edge."""
+    df = _iv(spark, [("a", 10, 20), ("a", 20, 20), ("a", 30, 30), ("a", 40, 50), ("a", 40, 40), ("a", 100, 100), ("b", 60, 60)])
+    target = _iv(spark, [("a", 0, 100), ("b", 0, 100)])
+    assert _minutes(iv.gaps(target, df, ["k"], points=True)) == [("a", 0, 10), ("a", 20, 30), ("a", 30, 40), ("a", 50, 100), ("b", 0, 60), ("b", 60, 100)]
+    assert _minutes(iv.gaps(target, df, ["k"])) == [("a", 0, 10), ("a", 20, 40), ("a", 50, 100), ("b", 0, 100)]
+
+
 def test_common_needs_every_member(spark):
     rows = [("a", 0, 50), ("a", 45, 60), ("b", 10, 30), ("b", 55, 70)]
     df = _iv(spark, rows).withColumn("g", F.lit("g"))

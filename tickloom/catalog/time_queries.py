@@ -549,7 +549,7 @@ def interval_gaps(spark, folder):
     target = spans.select("user_id").distinct().select(
         "user_id", F.lit("2024-01-05").cast("timestamp").alias("starts_at"), F.lit("2024-01-25").cast("timestamp").alias("ends_at")
     )
-    return iv.gaps(target, spans, ["user_id"], "day")
+    return iv.gaps(target, spans, ["user_id"], "day", points=True)
 
 
 _IV60 = """iv AS (SELECT user_id, event_type, ts AS starts_at, ts + to_microseconds(CAST(value * 3600000000 AS BIGINT)) AS ends_at FROM events)"""
