@@ -15,6 +15,7 @@ from tickloom.operators import gates as G
 from tickloom.operators import ledger as L
 from tickloom.operators import valuation as V
 from tickloom.operators.capacity import chained, evaluated, share_capacity
+from tickloom.operators import causal
 from tickloom.operators.causal import causal_order
 
 DAY = dt.datetime(2024, 1, 1)
@@ -91,6 +92,24 @@ def test_causal_order(spark):
     assert causal_order(df.limit(0), ["run"], "id", [F.col("a")], [F.col("b")], [F.lit(0)]).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 3, 16])
+def test_causal_order_follows_stretches_inside_blocks(spark, monkeypatch, bits):
+    """Chains that cross blocks, rings inside and across them, a record that found nothing; what is stored grows with the records."""
+    rows = [(k, f"{k}{i}", i, i + 1) for k in "ab" for i in range(60 if k == "a" else 400)] + [("a", "end", None, 5000)]
+    rows += [("r", f"r{i}", i, (i + 1) % 40) for i in range(40)] + [("s", f"s{i}", 9 + i, 9 + (i + 1) % 3) for i in range(3)] + [("r", "one", 77, 77)]
+    df = spark.createDataFrame(rows, "run string, id string, a int, b int").coalesce(1)
+    stored = []
+    monkeypatch.setattr(causal, "BLOCK_BITS", bits, raising=False)
+    keep = causal.cut_lineage
+    monkeypatch.setattr(causal, "cut_lineage", lambda table: (stored.append(table.count()), keep(table))[1])
+    got = {(r["run"], r["id"]): (r["ordinal"], r["chain_status"]) for r in causal_order(df, ["run"], "id", [F.col("a")], [F.col("b")], [F.lit(0)]).collect()}
+    assert len(got) == len(rows) and got["a", "end"] == (None, "BROKEN") and got["r", "one"] == (None, "CYCLIC")
+    assert all(got[k, f"{k}{i}"] == (i + 1, "ORDERED") for k, n in (("a", 60), ("b", 400)) for i in range(n))
+    assert all(got["s", f"s{i}"] == (None, "CYCLIC") for i in range(3))
+    assert got["r", "r0"] == (1, "ORDERED") and got["r", "r39"] == (40, "ORDERED")
+    assert bits < 16 or sum(stored) <= 3 * len(rows)
+
+
 def test_gates_begin_anew_with_every_position_cycle(spark):
     rng = random.Random(5)
     changes = [("A", at(m), rng.choice([1, 1, 2])) for m in sorted(rng.sample(range(0, 3000, 5), 40))]

@@ -86,12 +86,12 @@ _CASH = f"sum(CASE WHEN side = 'BUY' THEN -(gross_amount + fee) ELSE gross_amoun
 )
 def causal_order(spark, folder):
     """Booked fills in the order their cash balances imply; the fifth fill of every tenth run is missing."""
-    fills = L.cash_after(_booked(spark, folder), FILL_ORDER, F.date_trunc("month", "occurred_at"), INITIAL_CASH)
-    numbered = prefix_scan(fills, ["run_id"], FILL_ORDER, F.date_trunc("month", "occurred_at"), {"_n": Running("count", F.lit(1))})
-    kept = numbered.filter((F.col("run_id") % 10 != 3) | (F.col("_n") != 5)).drop("_n")
-    kept = cut_lineage(kept.withColumn("record_id", F.sha2(F.concat_ws(":", *FILL_KEYS, *[F.col(c).cast("string") for c in FILL_ORDER]), 256)))
-    before = (F.col("cash_after") - L.cash_delta()).cast("decimal(24,8)")
-    done = chain(kept, ["run_id"], "record_id", [before], [F.col("cash_after")], [F.lit(INITIAL_CASH).cast("decimal(24,8)")])
+    delta = L.cash_delta()
+    slim = _booked(spark, folder).select(*dict.fromkeys([*FILL_KEYS, *FILL_ORDER]), delta.alias("_d"))
+    fills = prefix_scan(slim, ["run_id"], FILL_ORDER, F.date_trunc("month", "occurred_at"), {"_n": Running("count", F.lit(1)), "_c": Running("sum", F.col("_d"))})
+    left = (F.lit(INITIAL_CASH).cast("decimal(24,8)") + F.col("_c")).cast("decimal(24,8)")
+    kept = fills.filter((F.col("run_id") % 10 != 3) | (F.col("_n") != 5)).select(*ID, left.alias("_left"), (left - F.col("_d")).cast("decimal(24,8)").alias("_found"))
+    done = chain(kept, ["run_id"], "order_id", [F.col("_found")], [F.col("_left")], [F.lit(INITIAL_CASH).cast("decimal(24,8)")])
     return done.select(*ID, "ordinal", "chain_status")
 
 

@@ -81,4 +81,13 @@ def cut_lineage(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     _stored[root] = spark
     folder = f"{root}/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    stored = spark.read.schema(df.schema).parquet(folder)
+    stored._stored_in = folder
+    return stored
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the folder of a table that ``cut_lineage`` gave, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._stored_in)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
