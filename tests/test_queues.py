@@ -171,6 +171,28 @@ def test_daily_metrics_of_a_known_curve(spark):
     assert flat["sharpe"] is None and flat["annualizedVolatilityPct"] == 0
 
 
+def test_daily_grid_is_never_broadcast(spark):
+    """The points of a daily curve come from one row per run that Spark takes for few; at 6 000 runs they are 15 million rows."""
+    rows = [(1, "A", at(0), 1, 5), (1, "A", at(2000), 2, 3), (2, "A", at(3000), 3, 4)]
+    booked = spark.createDataFrame(rows, "run_id int, instrument_id string, occurred_at timestamp, order_id int, held int")
+    booked = booked.select("*", F.lit("BUY").alias("side"), F.col("held").cast("decimal(18,8)").alias("held_after"), *[F.lit(1).cast("decimal(18,8)").alias(c) for c in ("gross_amount", "fee")])
+    marks = booked.select("instrument_id", F.to_date("occurred_at").alias("day"), F.lit(2).cast("decimal(18,8)").alias("mark")).distinct()
+    curve = V.daily_curve(booked, ["occurred_at", "order_id"], marks, "10")
+    joins = [line for line in curve._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "_month" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert sorted((r["run_id"], int(r["equity"])) for r in curve.collect()) == [(1, 10 - 4 + 6), (1, 10 - 4 + 6), (1, 10 - 2 + 10), (2, 10 - 2 + 8)]
+
+
+def test_output_numbers_round_in_binary_as_the_sql(spark):
+    import duckdb
+
+    from tickloom.catalog.base import num
+
+    values = [8.0485835, 2.0410915, 1.0000005, -1.0000005, 0.5, 1e12 + 0.25, -0.0000004]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(num("v")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
 def test_curve_at_cost_is_closed(spark):
     events = spark.createDataFrame([(1, at(0), "-5", "4"), (1, at(9), "2", "-1"), (2, at(9), "1", "0")], "run_id int, as_of timestamp, c string, b string")
     events = events.select("run_id", "as_of", F.col("c").cast("decimal(24,8)").alias("cash_delta"), F.col("b").cast("decimal(24,8)").alias("basis_delta"))

@@ -28,9 +28,10 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 
 def num(value: Column | str, places: int = 6) -> Column:
-    """Comparable output number: double rounded to fixed places."""
+    """Comparable output number: double rounded to fixed places, in binary as the comparison SQL rounds it."""
     column = F.col(value) if isinstance(value, str) else value
-    return F.round(column.cast("double"), places)
+    scale = float(10**places)
+    return F.round(column.cast("double") * scale) / scale
 
 
 def money(value: Column | str) -> Column:
