@@ -102,3 +102,22 @@ def test_late_ticks_are_dropped_behind_the_watermark(spark, tmp_path):
     T.run_available(bars, str(tmp_path / "out"), str(tmp_path / "c"))
     got = {r["starts_at"].hour * 60 + r["starts_at"].minute: (float(r["high"]), r["volume"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (1.0, 1), 100: (2.0, 2)}
+
+
+def test_messages_share_a_bounded_number_of_states(spark, tmp_path):
+    """Messages of four hash values share four states; each expires by itself, one without an id is a message too."""
+    schema = "k long, ts timestamp, id long, v double"
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(i, at(0), i, 1.0) for i in range(30)] + [(None, at(0), 30, 1.0), (None, at(1), 31, 1.0), (2, at(1), 32, 0.0), (4, at(2), 33, 1.0)]
+    rows += [(99, at(20), 34, 1.0), (99, at(20.5), 35, 1.0), (97, at(21), 39, 1.0), (4, at(22), 36, 1.0), (4, at(23), 37, 0.0), (98, at(40), 38, 1.0)]
+    path = str(tmp_path / "in")
+    _files(spark, path, rows, schema, len(rows))
+    messages = _stream(spark, path, schema).select(F.col("k").alias("message_id"), "ts", F.col("id").alias("arrival"), F.col("v").cast("long").alias("payload_hash"))
+    done = T.classify_messages(messages, "ts", "1 hour", "6 hours", buckets=4)
+    query = done.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 4
+    got = {r["arrival"]: (r["message_id"], r["outcome"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert all(got[i] == (i, "CLAIMED") for i in range(30)) and got[30] == (None, "CLAIMED") and got[31] == (None, "DUPLICATE")
+    assert got[32] == (2, "CONFLICT") and got[33] == (4, "DUPLICATE")
+    assert got[36] == (4, "CLAIMED") and got[37] == (4, "CONFLICT") and 38 not in got

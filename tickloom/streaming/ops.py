@@ -1,7 +1,7 @@
 """Structured Streaming forms of the event-time operators.
 
-State is keyed so that it stays small per key: bars keep one open bucket, gates one counter, windows at most 180 values, messages one
-hash each until they expire. Operators whose result depends on the order of rows hold the rows of a key back until the watermark
+State is keyed so that it stays small per key: bars keep one open bucket, gates one counter, windows at most 180 values; messages keep
+one hash each until they expire, many messages in one state. Operators whose result depends on the order of rows hold the rows of a key back until the watermark
 has passed them and take them in event order then, whatever the batch they arrived in; a timer releases the rows of keys that fall
 silent. What such an operator has given equals the rows of its batch twin up to the watermark. Rows that arrive behind the watermark
 are dropped, as by every operator here.
@@ -158,19 +158,50 @@ def gate(stream: DataFrame, key: str, ts: str, tiebreak: str, candidate: str, ga
     return in_event_order(stream, key, ts, tiebreak, [candidate], lag, retention, step, f"{tiebreak} long")
 
 
-def classify_messages(stream: DataFrame, ts: str, lag: str, retention: str) -> DataFrame:
-    """CLAIMED, DUPLICATE or CONFLICT per arrival, keyed by message: what is kept is the first hash, until ``retention`` after the last
-    arrival."""
+def classify_messages(stream: DataFrame, ts: str, lag: str, retention: str, buckets: int = 1 << 14) -> DataFrame:
+    """CLAIMED, DUPLICATE or CONFLICT per arrival of a message, in event order as by ``in_event_order``. What is kept of a message is its
+    first hash and the time of its last arrival, until ``retention`` after that.
 
-    def step(kept: int | None, rows: pd.DataFrame) -> tuple[int, pd.DataFrame]:
-        hashes = rows["payload_hash"].to_numpy(dtype="int64")
-        first = int(hashes[0]) if kept is None else kept
-        outcome = np.where(hashes == first, "DUPLICATE", "CONFLICT").astype(object)
-        if kept is None:
-            outcome[0] = "CLAIMED"
-        return first, pd.DataFrame({"arrival": rows["arrival"], "outcome": outcome})
-
-    return in_event_order(stream, "message_id", ts, "arrival", ["payload_hash"], lag, retention, step, "arrival long, outcome string")
+    There are about as many messages as arrivals, so they do not get a state each: messages of one of ``buckets`` hash values share one.
+    """
+    keep_ms = int(pd.Timedelta(retention).total_seconds() * 1000)
+    columns = ["_us", "arrival", "_message", "payload_hash"]
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, kept = map(json.loads, state.get) if state.exists else ([], {})
+        held = pd.DataFrame(waiting, columns=columns)
+        if not state.hasTimedOut:
+            new = pd.concat(list(frames), ignore_index=True)
+            new["_us"] = new[ts].astype("datetime64[us]").astype("int64")
+            held = pd.concat([held, new[columns]], ignore_index=True) if len(held) else new[columns]
+        held = held.sort_values(["_us", "arrival"], kind="stable", ignore_index=True)
+        watermark = state.getCurrentWatermarkMs()
+        present = set(held["_message"])
+        kept = {m: seen for m, seen in kept.items() if m in present or seen[1] + keep_ms >= watermark}
+        ready = int((held["_us"] // 1000 < watermark).sum())
+        rows, rest = held.iloc[:ready], held.iloc[ready:]
+        outcome = []
+        for us, message, payload in zip(rows["_us"].tolist(), rows["_message"].tolist(), rows["payload_hash"].tolist(), strict=True):
+            first = kept.setdefault(message, [payload, None])
+            outcome.append("CLAIMED" if first[1] is None else "DUPLICATE" if first[0] == payload else "CONFLICT")
+            first[1] = us // 1000
+        due = [int(rest["_us"].iloc[0] // 1000)] if len(rest) else []
+        due += [min(seen[1] for seen in kept.values()) + keep_ms] if kept else []
+        if due:
+            state.update((rest.to_json(orient="values"), json.dumps(kept)))
+            state.setTimeoutTimestamp(max(min(due), watermark + 1))
+        else:
+            state.remove()
+        if ready:
+            yield pd.DataFrame({"_message": rows["_message"], "arrival": rows["arrival"], "outcome": outcome})
+
+    kind = stream.schema["message_id"].dataType
+    text = F.coalesce(F.concat(F.lit("="), F.col("message_id").cast("string")), F.lit(""))
+    slim = stream.withWatermark(ts, lag).select(F.pmod(F.xxhash64(text), F.lit(buckets)).alias("_bucket"), text.alias("_message"), ts, "arrival", "payload_hash")
+    done = slim.groupBy("_bucket").applyInPandasWithState(
+        update, "_message string, arrival long, outcome string", "waiting string, kept string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return done.select(F.when(F.col("_message") != "", F.substring("_message", 2, 1 << 30)).cast(kind).alias("message_id"), "arrival", "outcome")
 
 
 def classify_sequences(stream: DataFrame, ts: str, lag: str, retention: str = "3650 days") -> DataFrame:
