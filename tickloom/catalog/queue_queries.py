@@ -278,16 +278,17 @@ def detail_bundles(spark, folder):
     fills = _with_basis(spark, folder)
     states = fills.withColumn("basis", F.col("cost_basis"))
     entries = L.ledger_entries(fills, [*ID, "occurred_at"])
-    curve = V.equity_curve_cost(cut_lineage(L.ledger_events(fills)), INITIAL_CASH, "week").withColumn("instant", F.unix_micros("as_of"))
+    curve = cut_lineage(V.equity_curve_cost(cut_lineage(L.ledger_events(fills)), INITIAL_CASH, "week").select("run_id", "as_of", F.unix_micros("as_of").alias("instant"), "equity"))
     kinds = [
         D.detail_rows(fills, "TRADE", "occurred_at", _DETAIL_IDS, ["side", "executed", "gross_amount", "fee"]),
         D.detail_rows(states, "POSITION", "occurred_at", ["instrument_id", "order_id", "line_no", "part_id"], ["held_after", "basis"]),
         D.detail_rows(entries, "LEDGER", "occurred_at", [*_DETAIL_IDS, "account", "direction"], ["amount"]),
         D.detail_rows(curve, "CALCULATION", "as_of", ["instant"], ["equity"]),
     ]
-    rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
-    numbered = D.number_parts(cut_lineage(D.assign_week(rows, "occurred_at")), "occurred_at", ["record_id"], 50)
-    return D.bundle_tree(cut_lineage(D.part_manifest(numbered, "occurred_at", "record_id")))
+    # The tree covers identities only. The rows are read off the stored fills and curve each time, not stored once more.
+    rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3]).drop("payload")
+    numbered = D.number_parts(D.assign_week(rows, "occurred_at"), "occurred_at", ["record_id"], 50)
+    return D.bundle_tree(D.part_manifest(numbered, "occurred_at", "record_id"))
 
 
 # ---------------------------------------------------------------- verified scans

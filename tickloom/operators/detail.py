@@ -11,6 +11,7 @@ from tickloom.functions.scalars import uuid5
 from tickloom.operators.digests import joined_fields
 from tickloom.operators.calendar import et_week
 from tickloom.operators.scan import with_position
+from tickloom.session import cut_lineage
 
 ROWS_PER_PART = 100_000
 PART_KEYS = ["run_id", "record_type", "week_start"]
@@ -90,8 +91,9 @@ def _type_rank() -> Column:
 def _combined(rows: DataFrame, keys: Sequence[str], order: Column, label: Column, level: str) -> DataFrame:
     """One node per ``keys``: the digest of its children's labels and digests in order. Children are bounded: parts of a week, weeks of
     the calendar, types of a bundle."""
-    child = F.struct(order.alias("o"), F.concat_ws(":", label, F.col("digest")).alias("t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["t"]), "\n")
+    # A digest travels as its 32 bytes.
+    child = F.struct(order.alias("o"), label.alias("l"), F.unhex("digest").alias("d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat(x["l"], F.lit(":"), F.lower(F.hex(x["d"])))), "\n")
     found = rows.groupBy(*keys).agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.sum("row_count").alias("row_count"))
     blank = {"record_type": F.lit(None).cast("string"), "week_start": F.lit(None).cast("date")}
     return found.select("run_id", *[F.col(c) if c in keys else blank[c].alias(c) for c in blank], F.lit(level).alias("level"), "digest", "row_count")

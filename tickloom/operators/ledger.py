@@ -27,16 +27,20 @@ def seed_positions(fills: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.unionByName(fills)
 
 
-def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, refused: bool = False) -> DataFrame:
+def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, refused: bool = False, bought: str | None = None) -> DataFrame:
     """Cap each sell by the held quantity and add ``executed``, ``held_before``, ``held_after``.
 
+    ``bought`` names a column for the quantity bought so far, which ``fifo_match`` then need not scan for. Costs are optional: a fill log
+    may leave them to be worked out from the booked amount.
+
     held = max(held + q, 0) has the closed form S - min(0, running minimum of S) with S the running signed quantity: one
     scan instead of a loop. Amounts of a capped sell shrink with the executed quantity, its costs by the rates of its own
     policy (columns ``fee_rate`` and ``slippage_rate``). Sells that meet no position have nothing to book and are left out, but for
     ``refused``: then they stay, with nothing executed (see ``sell_outcomes``).
     """
-    floor_now = running_sum_and_floor(fills, keys, order, bucket, _signed(), "_s", "_m")
     zero = F.lit(0).cast(PX)
+    sums = {bought: F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(zero)} if bought else {}
+    floor_now = running_sum_and_floor(fills, keys, order, bucket, _signed(), "_s", "_m", sums)
     held_after = (F.col("_s") - F.least(F.col("_m"), zero)).cast(PX)
     held_before = (F.col("_s") - _signed() - F.least(F.coalesce("_m_before", zero), zero)).cast(PX)
     booked = floor_now.withColumns({"held_after": held_after, "held_before": held_before})
@@ -47,7 +51,7 @@ def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     unit = F.bround(F.col("gross_amount") / F.col("quantity"), 8).cast(PX)
     gross = F.when(whole, F.col("gross_amount")).otherwise(F.bround(unit * F.col("executed"), 8).cast(PX))
     booked = booked.withColumn("gross_amount", gross)
-    for cost in ("fee", "slippage"):
+    for cost in [c for c in ("fee", "slippage") if c in fills.columns]:
         again = F.bround(F.col("gross_amount") * F.col(f"{cost}_rate"), 8).cast(PX)
         booked = booked.withColumn(cost, F.when(whole, F.col(cost)).otherwise(again))
     return booked.drop("_s", "_m", "_m_before")
@@ -68,17 +72,22 @@ def position_changes(booked: DataFrame) -> DataFrame:
     return changed.groupBy("run_id", "instrument_id", "at").agg(F.sum("n").alias("changes"))
 
 
-def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, width: float) -> DataFrame:
+def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, width: float, bought: str | None = None) -> DataFrame:
     """Sells consume the oldest lots: one row per (sell, lot) slice with its share of the lot's basis.
 
     Lots and sells both cut the axis of cumulative quantity. The cut points of both are merged into one ordered stream;
     each stretch between two neighbouring points belongs to exactly one lot and one sell, found by a scan from above. The
     output has at most lots + sells rows and no pair is formed that is not a match. ``width`` is the bucket width on the
-    quantity axis. Basis by cumulative rounding: slices of a lot add up to its basis exactly.
+    quantity axis. Basis by cumulative rounding: slices of a lot add up to its basis exactly. ``bought`` is the
+    column that ``book`` gave under that name; ``booked`` has to be a stored table then.
     """
-    bought = F.when(F.col("side") == "BUY", F.col("executed")).otherwise(F.lit(0).cast(PX))
-    sold = F.when(F.col("side") == "SELL", F.col("executed")).otherwise(F.lit(0).cast(PX))
-    cut = prefix_scan(booked, keys, order, bucket, {"_bq": Running("sum", bought), "_sq": Running("sum", sold)})
+    if bought:
+        # Buys are executed whole, and what is not held any more has been sold.
+        cut = booked.withColumns({"_bq": F.col(bought), "_sq": F.col(bought) - F.col("held_after")})
+    else:
+        buys = F.when(F.col("side") == "BUY", F.col("executed")).otherwise(F.lit(0).cast(PX))
+        sells = F.when(F.col("side") == "SELL", F.col("executed")).otherwise(F.lit(0).cast(PX))
+        cut = prefix_scan(booked, keys, order, bucket, {"_bq": Running("sum", buys), "_sq": Running("sum", sells)})
     item = F.struct(*dict.fromkeys([*order, "executed", "gross_amount"]))
     buy = F.col("side") == "BUY"
     points = cut.select(
@@ -88,7 +97,7 @@ def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], buc
         F.when(buy, item).alias("lot"),
         F.when(~buy, item).alias("sell"),
     )
-    points = cut_lineage(points)
+    points = points if bought else cut_lineage(points)
     label = F.floor(F.col("q") / F.lit(width))
     # A lot ending at q covers (q - size, q]; the owner of a stretch is the first point at or above it.
     ended = F.when(F.col("lot").isNotNull(), F.struct(F.col("q").alias("end"), F.col("lot")))

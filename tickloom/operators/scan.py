@@ -144,29 +144,34 @@ def prefix_scan(
 
 
 def running_sum_and_floor(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, total: str, floor: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, total: str, floor: str, sums: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Running sum and the running minimum of that sum (``floor``; ``<floor>_before`` excludes the current row).
+    """Running sum and the running minimum of that sum (``floor``; ``<floor>_before`` excludes the current row), and further running
+    ``sums`` of decimals with 8 places.
 
-    Both carries come from one summary: a bucket contributes its sum and the lowest partial sum inside it.
+    All carries come from one summary: a bucket contributes its sums and the lowest partial sum inside it.
     """
+    sums = sums or {}
+    money = "decimal(28,8)"
     base = df.withColumn(BUCKET, bucket).withColumn("_v", value)
     group = [*keys, BUCKET]
     rows = Window.partitionBy(*group).orderBy(*order)
     upto, before = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(Window.unboundedPreceding, -1)
-    local = base.withColumn("_ls", F.sum("_v").over(upto))
+    local = base.withColumns({"_ls": F.sum("_v").over(upto)} | {f"_l_{n}": F.sum(c).over(upto).cast(money) for n, c in sums.items()})
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     exact = F.col("_v").cast("decimal(28,8)")
     zero = F.lit(0).cast("decimal(28,8)")
-    summary = local.groupBy(*group).agg(F.sum(exact).cast("decimal(28,8)").alias("_ts"), F.min("_ls").alias("_tm"))
+    summary = local.groupBy(*group).agg(F.sum(exact).cast("decimal(28,8)").alias("_ts"), F.min("_ls").alias("_tm"), *[F.sum(c.cast(money)).cast(money).alias(f"_t_{n}") for n, c in sums.items()])
+    summary = summary.withColumns({f"_c_{n}": F.coalesce(F.sum(f"_t_{n}").over(earlier).cast(money), zero) for n in sums})
     summary = summary.withColumn("_cs", F.coalesce(F.sum("_ts").over(earlier).cast("decimal(28,8)"), zero))
-    summary = summary.withColumn("_cm", F.min(F.col("_cs") + F.col("_tm")).over(earlier)).select(*group, "_cs", "_cm")
+    summary = summary.withColumn("_cm", F.min(F.col("_cs") + F.col("_tm")).over(earlier)).select(*group, "_cs", "_cm", *[f"_c_{n}" for n in sums])
     joined = local.withColumns({"_lm": F.min("_ls").over(upto), "_lb": F.min("_ls").over(before)}).join(summary, group, "left")
     return joined.select(
         *df.columns,
         (F.col("_cs") + F.col("_ls")).alias(total),
         F.least("_cm", F.col("_cs") + F.col("_lm")).alias(floor),
         F.least("_cm", F.col("_cs") + F.col("_lb")).alias(f"{floor}_before"),
+        *[(F.col(f"_c_{n}") + F.col(f"_l_{n}")).cast(money).alias(n) for n in sums],
     )
 
 
