@@ -35,6 +35,8 @@ SMALLEST = 8
 GROUP, LINE_BREAK = 64, "\u010a"
 #: Windows divided at a time: bounds the memory of a task and the length of a partial partition.
 BATCH_WINDOWS = 256
+#: Units whose ids a worker keeps; beyond that its cache starts anew.
+CACHED_UNITS = 1_000_000
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -96,7 +98,7 @@ def parts_of(length: int, taper: int = TAPER, smallest: int = SMALLEST) -> list[
 
 
 @lru_cache(maxsize=1)
-def encoder(vocabulary: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
+def encoder(vocabulary: str, end_id: int, cached_units: int = CACHED_UNITS) -> Callable[[list[str]], list[bytes]]:
     """Texts to packed little-endian ids with the end id; the tokenizer library encodes a unit once, then it is cached.
 
     A worker keeps its encoder and the bounded cache from task to task."""
@@ -126,7 +128,7 @@ def encoder(vocabulary: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
         found.update(zip(rest, (array("I", e.ids).tobytes() for e in library.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         return [found[u] for u in units]
 
-    cache = UnitCache(ids_of)
+    cache = UnitCache(ids_of, cached_units)
 
     def encode(texts: list[str]) -> list[bytes]:
         cut = [[pieces(s) for s in segments(t, mark)] for t in texts]
@@ -137,7 +139,7 @@ def encoder(vocabulary: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
 
 
 def pack_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, taper: int = TAPER, batch_windows: int = BATCH_WINDOWS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY, taper: int = TAPER, batch_windows: int = BATCH_WINDOWS, cached_units: int = CACHED_UNITS
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, with the checksum of its ids.
 
@@ -152,7 +154,7 @@ def pack_documents(
         raise ValueError("taper is at least 2, capacity at least 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, end_id)
+        encode = encoder(path, end_id, cached_units)
         sequence = TaskContext.get().partitionId() << 36
         waiting: list[tuple] = []
         held = 0
