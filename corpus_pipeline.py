@@ -17,6 +17,10 @@ from tickloom.llm.simhash import without_near_copies
 from tickloom.llm.text import documents, prepare, store
 
 
+#: Units whose ids a worker of the packing stage keeps: fewer than alone, since its executor still holds what earlier stages took.
+PACKING_UNITS = 100_000
+
+
 def _held(docs: DataFrame) -> DataFrame:
     """Id and text beside the whole row, so that no column of the row can clash with an operator's own."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
@@ -35,8 +39,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact and near copies the document with the smallest id stays."""
-    return without_near_copies(docs)
+    """Of each group of exact and near copies the document with the smallest id stays: fingerprints within two bits, as op2 finds them in
+    vantage-point trees, and pairs of shingle sets that fingerprints miss."""
+    return without_near_copies(docs, bits=2)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, cached_units=PACKING_UNITS)
 
 
 STAGES = [

@@ -437,3 +437,20 @@ def test_statistics_and_features_by_batch(awkward):
 
 def test_kept_text_digest_of_empty_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_copies_stage_joins_what_the_fingerprints_join(spark):
+    """What op2 puts into one class is one group for the pipeline's stage, and pairs that fingerprints miss still are."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(20)]
+    # The same three-word shingles nearly everywhere: two texts that repeat one phrase, with few five-word shingles in common.
+    loop = "a b c d e f g h i j k l ".split()
+    texts = [*base, " ".join(loop * 40), " ".join(["x", "y", "q", *loop * 40, "z"]), base[0].upper(), base[1] + " tail", "", " "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.copies_stage(spark, docs, "").collect()}
+    classes = {r["doc_id"]: r["component_id"] for r in near_classes(docs).collect()}
+    assert classes[21] == 20 and kept <= {d for d, c in classes.items() if d == c}
+    assert kept == {*range(20), 20, 24}

@@ -28,6 +28,8 @@ from tickloom.llm.text import prepare, store
 SHARD_ROWS = (128, 8192)
 #: Sampled fingerprints per shard for choosing vantage points and radii; at most SAMPLE_ROWS per tree are taken to the driver.
 SAMPLE_PER_SHARD, SAMPLE_ROWS = 32, 1 << 19
+#: Words per shingle of a fingerprint.
+SHINGLE = 3
 #: Shingles whose bits are counted at a time, which bounds the memory for a long text.
 CHUNK = 1 << 15
 
@@ -300,23 +302,25 @@ def _key(words: list[bytes]) -> int:
 
 
 def near_copy_vectors(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, ``id`` (a digest of the words), ``s1, s2`` (a shingle sketch) and ``bands`` of every row; no words, no bands."""
+    """``doc_id``, ``id`` (a digest of the words), ``fp`` (the fingerprint), ``s1, s2`` (a shingle sketch) and ``bands`` of every row; no
+    words, no bands."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sketches, bands = [], [], []
+            ids, prints, sketches, bands = [], [], [], []
             for value in batch.column(1).to_pylist():
                 words = words_of(value)
                 hashes = shingle_hashes(words, CHECK_SHINGLE) if words else np.zeros(0, np.uint64)
                 ids.append(_key(words))
+                prints.append(_signed(shingle_fingerprint(words, SHINGLE)))
                 sketches.append([_signed(_majority(_bits(h), len(h))) for h in (hashes, _mixed(hashes, 1))])
                 bands.append(band_keys(np.unique(hashes)).view(np.int64).tolist() if words else [])
             sketch = np.array(sketches, np.int64).reshape(-1, 2).T
-            columns = [batch.column(0), pa.array(ids, pa.int64()), *map(pa.array, sketch), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "s1", "s2", "bands"])
+            columns = [batch.column(0), pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), *map(pa.array, sketch), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "fp", "s1", "s2", "bands"])
 
-    schema = "doc_id long, id long, s1 long, s2 long, bands array<bigint>"
+    schema = "doc_id long, id long, fp long, s1 long, s2 long, bands array<bigint>"
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
 
 
@@ -446,13 +450,28 @@ def near_copy_links(docs: DataFrame, text: str, distinct: DataFrame) -> DataFram
     return links
 
 
-def near_copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_links(distinct: DataFrame, bits: int) -> DataFrame:
+    """Links ``a, b`` that join all ids of ``distinct`` (``id, fp``) whose fingerprints differ in at most ``bits`` bits, found in the
+    vantage-point trees; equal fingerprints are one point."""
+    points = store(distinct.groupBy("fp").agg(F.min("id").alias("_one")))
+    close = store(near_links(points.select(F.lit(0).alias("tree"), F.col("fp").alias("id"), "fp"), bits))
+    prepare(distinct.sparkSession)
+    ends = [points.select(F.col("fp").alias(f"_{c}"), F.col("_one").alias(c)) for c in "ab"]
+    apart = close.select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(ends[0], "_a").join(ends[1], "_b").select("a", "b")
+    equal = distinct.select("fp", F.col("id").alias("b")).join(points, "fp").filter(F.col("b") != F.col("_one")).select(F.col("_one").alias("a"), "b")
+    return apart.unionAll(equal)
+
+
+def near_copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """``doc_id, component_id``: groups of exact and near copies, linked by pairs whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more. Texts with the same words are one point; rows that share a ``doc_id`` are of one group."""
+    similarity of 0.8 or more and, with ``bits``, by fingerprints that differ in at most so many bits. Texts with the same words are one
+    point; rows that share a ``doc_id`` are of one group."""
     own = store(near_copy_vectors(docs, doc_id, text))
-    distinct = store(own.groupBy("id").agg(F.min("doc_id").alias("_first"), *[F.first(c).alias(c) for c in ("s1", "s2", "bands")]))
+    distinct = store(own.groupBy("id").agg(F.min("doc_id").alias("_first"), *[F.first(c).alias(c) for c in ("fp", "s1", "s2", "bands")]))
     shared = distinct.filter(F.col("_first").isNotNull()).groupBy("_first").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.collect_set("id").alias("_all"))
     shared = shared.filter(F.col("a") != F.col("b")).select("a", F.explode("_all").alias("b"))
+    if bits is not None:
+        shared = shared.unionAll(fingerprint_links(distinct.select("id", "fp"), bits))
     roots = components(store(near_copy_links(docs, text, distinct).unionAll(shared)))
     smallest = roots.join(distinct.select(F.col("id").alias("node"), "_first"), "node")
     least = smallest.groupBy("root").agg(F.min("_first").alias("_least"))
@@ -461,11 +480,11 @@ def near_copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return own.join(classes, "id").select("doc_id", "component_id")
 
 
-def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but the smallest ``doc_id`` of each group of exact and near copies.
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
+    """The rows of ``docs`` less all but the smallest ``doc_id`` of each group of exact and near copies (see ``near_copy_classes``).
 
     Rows that share a ``doc_id`` are one document and stay or go together; rows without one stay.
     """
-    classes = near_copy_classes(docs, doc_id, text)
+    classes = near_copy_classes(docs, doc_id, text, bits)
     gone = store(classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
