@@ -200,3 +200,15 @@ def test_curve_at_cost_is_closed(spark):
     points = sorted((r["run_id"], r["as_of"], int(r["cash"]), int(r["position_value"])) for r in curve.collect())
     assert [p for p in points if p[1] == at(20)] == [(1, at(20), 7, 3), (2, at(20), 11, 0)] and len(points) == 3 + 2 + 2
     assert V.equity_curve_cost(events, "10", "day", F.lit(at(9))).count() == 5
+
+
+def test_booked_quantities_spare_fifo_its_own_scan(spark):
+    """Slices from the bought quantity of the booking equal those of a scan, over bucket borders and cut sells."""
+    rng = random.Random(6)
+    rows = [("A" if rng.random() < 0.8 else "B", at(700 * i), i, rng.choice(["BUY", "BUY", "SELL"]), rng.randint(1, 9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "instrument_id string, occurred_at timestamp, order_id int, side string, q int")
+    df = df.select(F.lit(1).alias("run_id"), "instrument_id", "occurred_at", "order_id", "side", F.col("q").cast("decimal(18,8)").alias("quantity"), (F.col("q") * 7).cast("decimal(18,8)").alias("gross_amount"))
+    keys, order, day = ["run_id", "instrument_id"], ["occurred_at", "order_id"], F.date_trunc("day", "occurred_at")
+    booked = L.book(df, keys, order, day, bought="bought").cache()
+    slim, scanned = (sorted(map(str, L.fifo_match(booked, keys, order, day, 10.0, b).collect())) for b in ("bought", None))
+    assert slim == scanned and len(slim) > 30
