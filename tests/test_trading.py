@@ -214,3 +214,39 @@ def test_position_percent_cap_stops_the_order_after_the_crossing_one(spark):
     assert reasons == {i: "MAX_INSTRUMENT_POSITION_PERCENT" if i in (2, 3) else None for i in (0, 1, 2, 3, 10, 11, 12, 13)}
     empty = X.exposure_flags(orders.filter("false"), ["at", "order_id"], F.date_trunc("week", "at"), limits, X.Policy())
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_running_basis_equals_slices(spark, seed):
+    """Bounded runs are booked and matched in one piece, others over buckets; the basis of every fill is the same."""
+    _, df = _fills(spark, seed)
+    week = F.date_trunc("week", "occurred_at")
+    booked = L.book(df, KEYS, ORDER, week)
+    columns = [*KEYS, *ORDER, "executed", "held_after", "fee", "cost_basis", "realized_pnl"]
+    spread = L.with_basis(booked, L.realized_pnl(L.fifo_match(booked, KEYS, ORDER, week, 5.0), KEYS, ORDER), KEYS, ORDER).select(columns)
+    whole = L.with_running_basis(L.book(df, KEYS, ORDER, None, bought="bought", paid="paid"), KEYS, "bought", "paid").select(columns)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, spread.collect()))
+    slices = [L.fifo_match(b, KEYS, ORDER, w, q, n) for b, w, q, n in ((booked, week, 5.0, None), (L.book(df, KEYS, ORDER, None, bought="bought"), None, None, "bought"))]
+    assert sorted(map(str, slices[0].collect())) == sorted(map(str, slices[1].collect()))
+
+
+def test_runs_above_the_limit_are_spread(spark):
+    _, df = _fills(spark, 5)
+    sizes = {r["run_id"]: r["count"] for r in df.groupBy("run_id").count().collect()}
+    for limit in (0, min(sizes.values()), max(sizes.values())):
+        seen = L.by_size(df, lambda fills, whole: fills.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.lit(whole).alias("whole")), limit)
+        assert {r["run_id"]: (r["n"], r["whole"]) for r in seen.collect()} == {k: (n, n <= limit) for k, n in sizes.items()}
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "metrics_documents", "equity_check", "metrics_long", "performance_metrics", "equity_curve_cost", "position_after", "equity_points", "equity_series",
+        "ledger_events", "ledger_entries", "balance_check", "fifo_slices", "trade_stats", "realized_pnl",
+    ],
+)
+def test_rows_of_bounded_runs_are_sent_once(spark, name):
+    from tickloom.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "l_suppkey" in plan

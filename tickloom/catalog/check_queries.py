@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tickloom.catalog import sql as Q
 from tickloom.catalog.base import ORACLES, money, num, query
-from tickloom.catalog.fill_queries import BOOK, CURVE, FIFO, _booked, _cost_curve, _wide, _with_basis
+from tickloom.catalog.fill_queries import BOOK, CURVE, FIFO, _basis, _booked, _curve, _per_run, _wide
 from tickloom.catalog.inputs import FILL_KEYS, FILL_ORDER, calendar, event_bar_events, supplier_days
 from tickloom.catalog.report_queries import _COUNTERS, _DETAIL, _EVAL, _detail, _trade_records, monthly_counters
 from tickloom.functions import scalars as S
@@ -221,9 +221,9 @@ def detail_row_check(spark, folder):
 def balance_check(spark, folder):
     """A ledger in which some fees were booked one too high: exactly those transactions are out of balance."""
     ids = ["run_id", "instrument_id", "order_id", "line_no", "part_id", "occurred_at"]
-    entries = L.ledger_entries(_with_basis(spark, folder), ids)
     wrong = (F.col("account") == "FEE") & (F.col("order_id") % 50 == 0)
-    bad = V.check_balanced(entries.withColumn("amount", F.when(wrong, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,8)")), ids)
+    amount = F.when(wrong, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(24,8)")
+    bad = _per_run(spark, folder, lambda log, whole: V.check_balanced(L.ledger_entries(_basis(log, whole), ids).withColumn("amount", amount), ids))
     return bad.select(*ids[:-1], money("imbalance").alias("imbalance"))
 
 
@@ -273,9 +273,12 @@ def metric_set_check(spark, folder):
 @query("equity_check", f"WITH {FIFO}, {CURVE} SELECT run_id, as_of, 'SUM' AS finding FROM cv WHERE day(as_of) % 7 = 0")
 def equity_check(spark, folder):
     """Curve points that were raised by one are not the sum of cash and positions."""
-    _, curve = _cost_curve(spark, folder)
-    raised = curve.withColumn("equity", (F.col("equity") + F.when(F.dayofmonth("as_of") % 7 == 0, 1).otherwise(0)).cast("decimal(24,8)"))
-    return V.check_equity(cut_lineage(raised), "as_of", F.date_trunc("month", "as_of")).select("run_id", "as_of", "finding")
+
+    def findings(log, whole):
+        raised = _curve(log, whole).withColumn("equity", (F.col("equity") + F.when(F.dayofmonth("as_of") % 7 == 0, 1).otherwise(0)).cast("decimal(24,8)"))
+        return V.check_equity(raised if whole else cut_lineage(raised), "as_of", None if whole else F.date_trunc("month", "as_of"))
+
+    return _per_run(spark, folder, findings).select("run_id", "as_of", "finding")
 
 
 @query("counter_check", f"SELECT run_id, et_month FROM ({ORACLES['monthly_counters']}) WHERE run_id % 5 = 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog import sql as Q
 from tickloom.catalog.base import money, num, query
 from tickloom.catalog.check_queries import _MARKET_SQL, _bar_dataset, _store
-from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, CURVE, FIFO, ID, INITIAL_CASH, _booked, _with_basis
+from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, CURVE, FIFO, ID, INITIAL_CASH, _basis, _booked, _per_run, _with_basis
 from tickloom.catalog.inputs import FILL_KEYS, FILL_ORDER, calendar, event_bar_events, fill_log, supplier_days
 from tickloom.functions.scalars import price
 from tickloom.operators import bars as B
@@ -247,9 +247,9 @@ def daily_metrics(spark, folder):
 )
 def equity_curve_closed(spark, folder):
     """The curve at cost with its closing point, a day after the last fill of all runs."""
-    events = cut_lineage(L.ledger_events(_with_basis(spark, folder)))
+    events = cut_lineage(_per_run(spark, folder, lambda log, whole: L.ledger_events(_basis(log, whole))))
     through = events.select(F.max("as_of") + F.expr("INTERVAL 1 DAY")).scalar()
-    curve = V.equity_curve_cost(events, INITIAL_CASH, "week", through)
+    curve = L.by_size(events, lambda part, whole: V.equity_curve_cost(part, INITIAL_CASH, None if whole else "week", through))
     return curve.select("run_id", "as_of", money("cash").alias("cash"), money("position_value").alias("position_value"), money("equity").alias("equity"))
 
 

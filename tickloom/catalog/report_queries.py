@@ -182,7 +182,7 @@ def monthly_trades(spark, folder):
 
 @query("equity_points", f"WITH {FIFO}, {CURVE} SELECT run_id, 'equity' AS metric, as_of, {Q.money('equity')} AS value, 36 AS id_length FROM cv")
 def equity_points(spark, folder):
-    _, curve = _cost_curve(spark, folder)
+    curve = _cost_curve(spark, folder)
     return D.equity_points(curve).select("run_id", "metric", "as_of", money("value").alias("value"), F.length("point_id").alias("id_length"))
 
 
@@ -191,7 +191,7 @@ def equity_points(spark, folder):
     f"WITH {FIFO}, {CURVE} SELECT run_id, as_of, {Q.money('equity')} AS equity FROM cv WHERE as_of >= TIMESTAMP '1998-01-01' AND as_of < TIMESTAMP '1999-01-01'",
 )
 def equity_series(spark, folder):
-    _, curve = _cost_curve(spark, folder)
+    curve = _cost_curve(spark, folder)
     picked = curve.filter("as_of >= TIMESTAMP '1998-01-01' AND as_of < TIMESTAMP '1999-01-01'")
     return picked.select("run_id", "as_of", money("equity").alias("equity"))
 

@@ -1,14 +1,15 @@
 """Positions, lots, cash and the double-entry ledger from a fill log.
 
 Fills carry an explicit order (``order`` columns). Everything is a running value per run or per (run, instrument) and
-uses the bucketed scans, so one run that holds a large share of all fills is spread over its time buckets.
+uses the bucketed scans, so one run that holds a large share of all fills is spread over its time buckets. Runs of at most
+``WHOLE_RUN_ROWS`` fills need no buckets: ``by_size`` sends their rows once, and everything per run follows in the same task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import prorate
@@ -16,6 +17,22 @@ from tickloom.operators.scan import Running, prefix_scan, running_sum_and_floor
 from tickloom.session import cut_lineage
 
 PX = "decimal(18,8)"
+#: Fills of a run that one task may order; a run with more is spread over buckets.
+WHOLE_RUN_ROWS = 250_000
+
+
+def by_size(fills: DataFrame, work: Callable[[DataFrame, bool], DataFrame], limit: int = WHOLE_RUN_ROWS) -> DataFrame:
+    """``work(fills, whole)`` over the fills of all runs, of which each one's result depends on its own fills only.
+
+    Runs of at most ``limit`` fills come with ``whole``, their rows partitioned by ``run_id``: groups and windows whose keys begin there
+    need no further exchange. Larger runs come without it and have to be spread. There are at most rows / ``limit`` of them.
+    """
+    large = cut_lineage(fills.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("run_id"))
+    if large.isEmpty():
+        return work(fills.repartition("run_id"), True)
+    few = F.broadcast(large)
+    small = work(fills.join(few, "run_id", "left_anti").repartition("run_id"), True)
+    return small.unionByName(work(fills.join(few, "run_id", "left_semi"), False))
 
 
 def _signed() -> Column:
@@ -27,11 +44,13 @@ def seed_positions(fills: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.unionByName(fills)
 
 
-def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, refused: bool = False, bought: str | None = None) -> DataFrame:
+def book(
+    fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, refused: bool = False, bought: str | None = None, paid: str | None = None
+) -> DataFrame:
     """Cap each sell by the held quantity and add ``executed``, ``held_before``, ``held_after``.
 
-    ``bought`` names a column for the quantity bought so far, which ``fifo_match`` then need not scan for. Costs are optional: a fill log
-    may leave them to be worked out from the booked amount.
+    ``bought`` names a column for the quantity bought so far, which ``fifo_match`` then need not scan for, ``paid`` one for the gross
+    amounts of these buys. Costs are optional: a fill log may leave them to be worked out from the booked amount.
 
     held = max(held + q, 0) has the closed form S - min(0, running minimum of S) with S the running signed quantity: one
     scan instead of a loop. Amounts of a capped sell shrink with the executed quantity, its costs by the rates of its own
@@ -39,7 +58,8 @@ def book(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Co
     ``refused``: then they stay, with nothing executed (see ``sell_outcomes``).
     """
     zero = F.lit(0).cast(PX)
-    sums = {bought: F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(zero)} if bought else {}
+    named = {bought: "quantity", paid: "gross_amount"}
+    sums = {name: F.when(F.col("side") == "BUY", F.col(c)).otherwise(zero) for name, c in named.items() if name}
     floor_now = running_sum_and_floor(fills, keys, order, bucket, _signed(), "_s", "_m", sums)
     held_after = (F.col("_s") - F.least(F.col("_m"), zero)).cast(PX)
     held_before = (F.col("_s") - _signed() - F.least(F.coalesce("_m_before", zero), zero)).cast(PX)
@@ -72,14 +92,15 @@ def position_changes(booked: DataFrame) -> DataFrame:
     return changed.groupBy("run_id", "instrument_id", "at").agg(F.sum("n").alias("changes"))
 
 
-def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, width: float, bought: str | None = None) -> DataFrame:
+def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, width: float | None, bought: str | None = None) -> DataFrame:
     """Sells consume the oldest lots: one row per (sell, lot) slice with its share of the lot's basis.
 
     Lots and sells both cut the axis of cumulative quantity. The cut points of both are merged into one ordered stream;
     each stretch between two neighbouring points belongs to exactly one lot and one sell, found by a scan from above. The
     output has at most lots + sells rows and no pair is formed that is not a match. ``width`` is the bucket width on the
     quantity axis. Basis by cumulative rounding: slices of a lot add up to its basis exactly. ``bought`` is the
-    column that ``book`` gave under that name; ``booked`` has to be a stored table then.
+    column that ``book`` gave under that name; ``booked`` has to be a stored table then, unless ``width`` is None, which is for bounded
+    positions and scans each in one piece.
     """
     if bought:
         # Buys are executed whole, and what is not held any more has been sold.
@@ -98,7 +119,7 @@ def fifo_match(booked: DataFrame, keys: Sequence[str], order: Sequence[str], buc
         F.when(~buy, item).alias("sell"),
     )
     points = points if bought else cut_lineage(points)
-    label = F.floor(F.col("q") / F.lit(width))
+    label = F.floor(F.col("q") / F.lit(width)) if width else None
     # A lot ending at q covers (q - size, q]; the owner of a stretch is the first point at or above it.
     ended = F.when(F.col("lot").isNotNull(), F.struct(F.col("q").alias("end"), F.col("lot")))
     stretches = prefix_scan(
@@ -150,6 +171,30 @@ def with_basis(booked: DataFrame, pnl: DataFrame, keys: Sequence[str], order: Se
     )
 
 
+def with_running_basis(booked: DataFrame, keys: Sequence[str], bought: str, paid: str) -> DataFrame:
+    """What ``with_basis`` adds, for bounded positions and without slices or joins.
+
+    The slices of a lot add up, so what a sell consumes is the difference of two running values: the basis of everything sold up to it,
+    and up to the sell before. The former is what was paid for the lots before the one it ends in, and its share of that one.
+    ``bought`` and ``paid`` are the columns that ``book`` gave under these names.
+    """
+    buy = F.col("side") == "BUY"
+    # Where a lot and a sell end at one point, the sell ends in that lot.
+    points = booked.withColumns({"_q": F.when(buy, F.col(bought)).otherwise(F.col(bought) - F.col("held_after")).cast(PX), "_kind": F.when(buy, 1).otherwise(0)})
+    down = Window.partitionBy(*keys).orderBy(F.col("_q").desc(), F.col("_kind").desc())
+    lot = F.when(buy, F.struct(F.col("_q").alias("end"), "executed", "gross_amount", F.col(paid).alias("paid")))
+    owned = points.withColumn("_lot", F.last(lot, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    share = (F.col("_q") - (F.col("_lot.end") - F.col("_lot.executed"))).cast(PX)
+    upto = F.col("_lot.paid") - F.col("_lot.gross_amount") + prorate(F.col("_lot.gross_amount"), share, F.col("_lot.executed"))
+    owned = owned.withColumn("_sold", F.when(~buy, upto.cast("decimal(28,8)")))
+    names = ", ".join(f"`{k}`" for k in keys)
+    earlier = F.expr(f"lead(_sold, 1) IGNORE NULLS OVER (PARTITION BY {names} ORDER BY _q DESC, _kind DESC)")
+    found = owned.withColumn("_earlier", F.coalesce(earlier, F.lit(0).cast("decimal(28,8)")))
+    basis = F.when(buy, F.col("gross_amount")).otherwise((F.col("_sold") - F.col("_earlier")).cast(PX))
+    done = found.withColumn("cost_basis", basis).drop("_q", "_kind", "_lot", "_sold", "_earlier")
+    return done.withColumn("realized_pnl", F.when(buy, F.lit(0).cast(PX)).otherwise((F.col("gross_amount") - F.col("cost_basis")).cast(PX)))
+
+
 def ledger_entries(fills: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Balanced entries per fill; zero amounts are dropped.
 
@@ -186,7 +231,7 @@ def cash_after(fills: DataFrame, order: Sequence[str], bucket: Column, initial_c
     return run.withColumn("cash_after", (F.lit(initial_cash).cast("decimal(24,8)") + F.col("_c")).cast("decimal(24,8)")).drop("_c", "_d")
 
 
-def position_after(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+def position_after(fills: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None) -> DataFrame:
     """Running quantity and cost basis of each position."""
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     scanned = prefix_scan(
@@ -207,25 +252,34 @@ def position_cycles(fills: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
-def ledger_events(fills: DataFrame) -> DataFrame:
-    """Cash and basis movements merged per run and instant."""
+def ledger_events(fills: DataFrame, stats: bool = False) -> DataFrame:
+    """Cash and basis movements merged per run and instant, and with ``stats`` the ``trade_stats`` of that instant."""
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     return fills.groupBy("run_id", F.col("occurred_at").alias("as_of")).agg(
-        F.sum(cash_delta()).cast("decimal(24,8)").alias("cash_delta"), F.sum(F.col("cost_basis") * sign).cast("decimal(24,8)").alias("basis_delta")
+        F.sum(cash_delta()).cast("decimal(24,8)").alias("cash_delta"),
+        F.sum(F.col("cost_basis") * sign).cast("decimal(24,8)").alias("basis_delta"),
+        *[c.alias(name) for name, c in (_statistics() if stats else {}).items()],
     )
 
 
-def trade_stats(fills: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _statistics() -> dict[str, Column]:
     sell = F.col("side") == "SELL"
-    return fills.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("fillCount"),
-        F.count_if(sell).alias("closingTradeCount"),
-        F.count_if(sell & (F.col("realized_pnl") > 0)).alias("winningTradeCount"),
-        F.count_if(sell & (F.col("realized_pnl") < 0)).alias("losingTradeCount"),
-        F.sum("realized_pnl").alias("realizedPnl"),
-        F.sum("fee").alias("totalFees"),
-        F.sum("slippage").alias("totalSlippage"),
-    )
+    return {
+        "fillCount": F.count(F.lit(1)),
+        "closingTradeCount": F.count_if(sell),
+        "winningTradeCount": F.count_if(sell & (F.col("realized_pnl") > 0)),
+        "losingTradeCount": F.count_if(sell & (F.col("realized_pnl") < 0)),
+        "realizedPnl": F.sum("realized_pnl"),
+        "totalFees": F.sum("fee"),
+        "totalSlippage": F.sum("slippage"),
+    }
+
+
+STATISTICS = ("fillCount", "closingTradeCount", "winningTradeCount", "losingTradeCount", "realizedPnl", "totalFees", "totalSlippage")
+
+
+def trade_stats(fills: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return fills.groupBy(*keys).agg(*[c.alias(name) for name, c in _statistics().items()])
 
 
 RECORD_RANK = {"ORDER": 0, "FILL": 1, "CANCELLATION": 2, "REJECTION": 3}

@@ -210,7 +210,7 @@ def check_metric_set(metrics: DataFrame, catalogue: Sequence[tuple[str, str]]) -
     return joined.select("run_id", "metric_key", finding.alias("finding")).filter("finding IS NOT NULL")
 
 
-def check_equity(curve: DataFrame, order: str, bucket: Column) -> DataFrame:
+def check_equity(curve: DataFrame, order: str, bucket: Column | None) -> DataFrame:
     """Strictly increasing instants, equity = cash + positions, never negative."""
     scanned = prefix_scan(curve, ["run_id"], [order], bucket, {"_before": Running("prev", F.col(order))})
     finding = (

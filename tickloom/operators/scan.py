@@ -144,15 +144,21 @@ def prefix_scan(
 
 
 def running_sum_and_floor(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, total: str, floor: str, sums: Mapping[str, Column] | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, value: Column, total: str, floor: str, sums: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """Running sum and the running minimum of that sum (``floor``; ``<floor>_before`` excludes the current row), and further running
     ``sums`` of decimals with 8 places.
 
-    All carries come from one summary: a bucket contributes its sums and the lowest partial sum inside it.
+    All carries come from one summary: a bucket contributes its sums and the lowest partial sum inside it. ``bucket=None`` is for
+    bounded groups, as in ``prefix_scan``.
     """
     sums = sums or {}
     money = "decimal(28,8)"
+    if bucket is None:
+        spec = Window.partitionBy(*keys).orderBy(*order)
+        upto, before = spec.rowsBetween(Window.unboundedPreceding, 0), spec.rowsBetween(Window.unboundedPreceding, -1)
+        running = df.withColumns({total: F.sum(value).over(upto)} | {n: F.sum(c).over(upto).cast(money) for n, c in sums.items()})
+        return running.withColumns({floor: F.min(total).over(upto), f"{floor}_before": F.min(total).over(before)})
     base = df.withColumn(BUCKET, bucket).withColumn("_v", value)
     group = [*keys, BUCKET]
     rows = Window.partitionBy(*group).orderBy(*order)
