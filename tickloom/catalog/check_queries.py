@@ -11,7 +11,7 @@ from tickloom.catalog import sql as Q
 from tickloom.catalog.base import ORACLES, money, num, query
 from tickloom.catalog.fill_queries import BOOK, CURVE, FIFO, _basis, _booked, _curve, _per_run, _wide
 from tickloom.catalog.inputs import FILL_KEYS, FILL_ORDER, calendar, event_bar_events, supplier_days
-from tickloom.catalog.report_queries import _COUNTERS, _DETAIL, _EVAL, _detail, _trade_records, monthly_counters
+from tickloom.catalog.report_queries import _COUNTERS, _DETAIL, _EVAL, _detail, _trade_records, monthly_counters, part_manifest
 from tickloom.functions import scalars as S
 from tickloom.operators import calendar as cal
 from tickloom.operators import indicators as I
@@ -200,7 +200,7 @@ def feature_pin_check(spark, folder):
 @query("part_check", f"WITH {BOOK}, {_DETAIL}, w AS (SELECT run_id, record_type, week_start, max(part) AS n FROM pm GROUP BY ALL) SELECT CAST(0 AS BIGINT) AS intact, CAST(sum(n - 1) AS BIGINT) AS after_drop FROM w")
 def part_check(spark, folder):
     """Manifests of the detail parts pass; without the first part of each week every later part is misnumbered."""
-    parts = cut_lineage(D.part_manifest(_detail(spark, folder), "occurred_at", "record_id"))
+    parts = cut_lineage(part_manifest(spark, folder))
     keys = ["run_id", "record_type", "week_start"]
     block = F.floor(F.col("part") / 1_000)
     intact = V.check_parts(parts, keys, block).agg(F.count(F.lit(1)).alias("intact"))
@@ -211,10 +211,15 @@ def part_check(spark, folder):
 @query("detail_row_check", f"WITH {BOOK}, {_DETAIL} SELECT run_id, record_type, week_start, part, 'ROW_COUNT' AS finding FROM pm WHERE run_id % 5 = 0")
 def detail_row_check(spark, folder):
     """Manifests of every fifth run state a row too many."""
-    rows = cut_lineage(_detail(spark, folder).select("run_id", "record_type", "week_start", "part", "occurred_at", "record_id"))
-    parts = D.part_manifest(rows, "occurred_at", "record_id")
-    stated = parts.withColumn("row_count", F.col("row_count") + F.when(F.col("run_id") % 5 == 0, 1).otherwise(0))
-    return V.check_detail_rows(rows, stated, ["run_id", "record_type", "week_start", "part"], "occurred_at")
+
+    def findings(log, whole):
+        rows = _detail(log, whole).select("run_id", "record_type", "week_start", "part", "occurred_at", "record_id")
+        rows = rows if whole else cut_lineage(rows)
+        parts = D.part_manifest(rows, "occurred_at", "record_id")
+        stated = parts.withColumn("row_count", F.col("row_count") + F.when(F.col("run_id") % 5 == 0, 1).otherwise(0))
+        return V.check_detail_rows(rows, stated, ["run_id", "record_type", "week_start", "part"], "occurred_at")
+
+    return _per_run(spark, folder, findings)
 
 
 @query("balance_check", f"WITH {BOOK} SELECT run_id, instrument_id, order_id, line_no, part_id, '1.00000000' AS imbalance FROM bk WHERE order_id % 50 = 0 AND fee <> 0")

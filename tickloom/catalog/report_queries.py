@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog import sql as Q
 from tickloom.catalog.base import money, query
-from tickloom.catalog.fill_queries import BOOK, CURVE, FIFO, _booked, _cost_curve
+from tickloom.catalog.fill_queries import BOOK, CURVE, FIFO, _book, _cost_curve, _per_run
 from tickloom.functions import scalars as S
 from tickloom.operators import calendar as cal
 from tickloom.operators import detail as D
@@ -147,20 +147,21 @@ pm AS (SELECT run_id, record_type, week_start, part, min(occurred_at) AS period_
 """
 
 
-def _detail(spark, folder):
-    trades = D.detail_rows(_booked(spark, folder), "TRADE", "occurred_at", ["order_id", "line_no", "part_id", "instrument_id"], ["side", "executed", "gross_amount", "fee"])
-    return D.number_parts(cut_lineage(D.assign_week(trades, "occurred_at")), "occurred_at", ["record_id"], _PART_ROWS)
+def _detail(log, whole):
+    trades = D.detail_rows(_book(log, whole), "TRADE", "occurred_at", ["order_id", "line_no", "part_id", "instrument_id"], ["side", "executed", "gross_amount", "fee"])
+    weeks = D.assign_week(trades.drop("payload"), "occurred_at")
+    return D.number_parts(weeks if whole else cut_lineage(weeks), "occurred_at", ["record_id"], _PART_ROWS, whole)
 
 
 @query("detail_weeks", f"WITH {BOOK}, {_DETAIL} SELECT run_id, record_type, week_start, part, record_id, occurred_at FROM dp")
 def detail_weeks(spark, folder):
     """Trade detail rows with local week and part number."""
-    return _detail(spark, folder).select("run_id", "record_type", "week_start", "part", "record_id", "occurred_at")
+    return _per_run(spark, folder, _detail).select("run_id", "record_type", "week_start", "part", "record_id", "occurred_at")
 
 
 @query("part_manifest", f"WITH {BOOK}, {_DETAIL} SELECT * FROM pm")
 def part_manifest(spark, folder):
-    return D.part_manifest(_detail(spark, folder), "occurred_at", "record_id")
+    return _per_run(spark, folder, lambda log, whole: D.part_manifest(_detail(log, whole), "occurred_at", "record_id"))
 
 
 @query(
@@ -177,7 +178,7 @@ def detail_keys(spark, folder):
 
 @query("monthly_trades", f"WITH {BOOK}, {_DETAIL} SELECT run_id, week_start, part, record_id FROM dp WHERE {_ET_MONTH.format(ts='occurred_at')} = '1998-03'")
 def monthly_trades(spark, folder):
-    return N.monthly_trades(_detail(spark, folder), "1998-03").select("run_id", "week_start", "part", "record_id")
+    return N.monthly_trades(_per_run(spark, folder, _detail), "1998-03").select("run_id", "week_start", "part", "record_id")
 
 
 @query("equity_points", f"WITH {FIFO}, {CURVE} SELECT run_id, 'equity' AS metric, as_of, {Q.money('equity')} AS value, 36 AS id_length FROM cv")

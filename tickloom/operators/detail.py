@@ -21,9 +21,10 @@ def assign_week(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("week_start", et_week(ts))
 
 
-def number_parts(df: DataFrame, ts: str, ids: Sequence[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """1-based part number inside (run, record type, week); rows are counted by a scan over days, not in one task."""
-    placed = with_position(df, PART_KEYS, [ts, *ids], F.date_trunc("hour", F.col(ts)), "_pos")
+def number_parts(df: DataFrame, ts: str, ids: Sequence[str], rows_per_part: int = ROWS_PER_PART, whole: bool = False) -> DataFrame:
+    """1-based part number inside (run, record type, week); rows are counted by a scan over hours, not in one task, unless runs are
+    bounded (``whole``)."""
+    placed = with_position(df, PART_KEYS, [ts, *ids], None if whole else F.date_trunc("hour", F.col(ts)), "_pos")
     return placed.withColumn("part", (F.floor((F.col("_pos") - 1) / rows_per_part) + 1).cast("int")).drop("_pos")
 
 
