@@ -242,7 +242,7 @@ def test_runs_above_the_limit_are_spread(spark):
     "name",
     [
         "metrics_documents", "equity_check", "metrics_long", "performance_metrics", "equity_curve_cost", "position_after", "equity_points", "equity_series",
-        "ledger_events", "ledger_entries", "balance_check", "fifo_slices", "trade_stats", "realized_pnl", "part_manifest", "detail_keys",
+        "ledger_events", "ledger_entries", "balance_check", "fifo_slices", "trade_stats", "realized_pnl", "part_manifest", "detail_keys", "run_digests",
     ],
 )
 def test_rows_of_bounded_runs_are_sent_once(spark, name):

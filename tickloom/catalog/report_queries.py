@@ -14,6 +14,7 @@ from tickloom.operators import digests as H
 from tickloom.operators import joins as J
 from tickloom.operators import monthly as M
 from tickloom.operators import runs as N
+from tickloom.operators.ledger import by_size
 from tickloom.session import cut_lineage
 from tickloom.sources.tables import table
 
@@ -215,7 +216,7 @@ _ROW = "SELECT l_suppkey AS run_id, sha256(" + _fields("l_orderkey", "l_linenumb
 @query("run_digests", f"WITH src AS ({_ROW}), {_tree_sql('src', 'run_id')} SELECT * FROM h3")
 def run_digests(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("run_id", F.col("l_suppkey"))
-    return H.run_digest(lines, ["run_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
+    return by_size(lines, lambda rows, whole: H.run_digest(rows, ["run_id"], ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"]))
 
 
 @query(
@@ -226,8 +227,12 @@ def run_digest_diff(spark, folder):
     """Runs whose digest changes when their largest accepted lines are altered: exactly the runs that have such lines."""
     lines = table(spark, folder, "lineitem").withColumn("run_id", F.col("l_suppkey"))
     columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"]
-    changed = lines.withColumn("l_quantity", F.when((F.col("l_quantity") == 50) & (F.col("l_returnflag") == "A"), 51.0).otherwise(F.col("l_quantity")))
-    return H.diff_runs(H.run_digest(lines, ["run_id"], columns), H.run_digest(changed, ["run_id"], columns), ["run_id"]).select("run_id")
+    quantity = F.when((F.col("l_quantity") == 50) & (F.col("l_returnflag") == "A"), 51.0).otherwise(F.col("l_quantity"))
+
+    def differing(rows, whole):
+        return H.diff_runs(H.run_digest(rows, ["run_id"], columns), H.run_digest(rows.withColumn("l_quantity", quantity), ["run_id"], columns), ["run_id"])
+
+    return by_size(lines.select("run_id", *columns), differing).select("run_id")
 
 
 _OBJ = f"""
