@@ -454,3 +454,17 @@ def test_copies_stage_joins_what_the_fingerprints_join(spark):
     classes = {r["doc_id"]: r["component_id"] for r in near_classes(docs).collect()}
     assert classes[21] == 20 and kept <= {d for d, c in classes.items() if d == c}
     assert kept == {*range(20), 20, 24}
+
+
+def test_weak_labels_read_each_text_once(spark, awkward, monkeypatch):
+    """Votes and scores come from one reading of the texts, and equal those of a text by itself."""
+    tables = []
+    store = weak_labels.store_packed
+    monkeypatch.setattr(weak_labels, "store_packed", lambda df: tables.append(store(df)) or tables[-1])
+    scored = classify(awkward)
+    assert set(scored.inputFiles()) == set(tables[0].inputFiles()) and tables[0].count() == scored.count() == awkward.count()
+    stored = {r["doc_id"]: r for r in tables[0].collect()}
+    for doc_id, text in texts_of(awkward).items():
+        read = weak_labels.Texts([text or ""], weak_labels.Lexicon())
+        _, at, n = read.counts()
+        assert (stored[doc_id]["at"], stored[doc_id]["n"], stored[doc_id]["votes"]) == (at.tolist(), n.tolist(), weak_labels.votes_of(read.statistics())[0])

@@ -4,7 +4,7 @@ Heuristic labellers vote good, bad or not at all on every document. Expectation
 and how common good documents are, from the numbers of documents per combination of votes: there are at most 2^L of them, so
 the estimate is exact over all documents however many there are. The posterior of its combination labels each document, and a
 linear scorer over hashed words and word forms is trained on these labels, so that it also judges documents on which no
-labeller votes.
+labeller votes. Texts are read once: the votes and the counted features of all of them are stored, and the scorer reads these.
 
 What labellers and scorer look at are sums over words. A worker works out the facts of a word once (its lexicon) and adds them
 up for all documents of a batch together.
@@ -135,11 +135,16 @@ class Texts:
         n = np.maximum(self.sizes, 1)
         grams = np.maximum(self.sizes - 2, 0)
         whole = np.flatnonzero(self.owner[2:] == self.owner[:-2]) if len(self.owner) > 2 else np.zeros(0, np.int64)
-        # A lexicon and the words of a batch are less than 2^21 codes, so three of them fit one number.
-        of, key = self.owner[whole], self.codes[whole] << 42 | self.codes[whole + 1] << 21 | self.codes[whole + 2]
-        order = np.lexsort((key, of))
-        of, key = of[order], key[order]
-        new = np.ones(len(order), bool)
+        # A lexicon and the words of a batch are less than 2^21 codes, so three of them fit one number, and mostly the text besides.
+        bits = int(self.codes.max(initial=0)).bit_length()
+        of, key = self.owner[whole], self.codes[whole] << 2 * bits | self.codes[whole + 1] << bits | self.codes[whole + 2]
+        if len(self.sizes).bit_length() + 3 * bits < 64:
+            key = np.sort(of << 3 * bits | key)
+            of = key >> 3 * bits
+        else:
+            order = np.lexsort((key, of))
+            of, key = of[order], key[order]
+        new = np.ones(len(key), bool)
         new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
         distinct = np.bincount(of[new], minlength=len(self.sizes))
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -154,16 +159,22 @@ class Texts:
         out[self.sizes == 0] = np.nan
         return out
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, feature number and value: logarithms of how often words, word endings that are no letters, word forms and
-        repetitions occur, scaled to length one."""
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, feature number and how often: words, word endings that are no letters, word forms and repetitions."""
         columns = [*self.lexicon.features[self.codes].T, np.where(self.same, REPEATED[1], REPEATED[0])]
-        cells = np.zeros(len(self.sizes) * FEATURES, np.int64)
-        for numbers in columns:
-            cells += np.bincount(self.owner * FEATURES + numbers, minlength=len(cells))
-        keys = np.flatnonzero(cells)
-        owner, at, x = keys // FEATURES, keys % FEATURES, np.log1p(cells[keys])
-        return owner, at, x / np.sqrt(np.bincount(owner, x * x, len(self.sizes)))[owner]
+        keys, n = np.unique(np.concatenate([self.owner * FEATURES + numbers for numbers in columns]), return_counts=True)
+        return keys // FEATURES, keys % FEATURES, n
+
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, feature number and value."""
+        owner, at, n = self.counts()
+        return owner, at, scaled(owner, n, len(self.sizes))
+
+
+def scaled(owner: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+    """Logarithms of how often features occur, scaled to length one by text."""
+    x = np.log1p(n)
+    return x / np.sqrt(np.bincount(owner, x * x, texts))[owner]
 
 
 def votes_of(statistics: np.ndarray) -> list[str]:
@@ -261,18 +272,32 @@ def _train(sample: DataFrame, total: int) -> np.ndarray:
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Votes of all texts, features of the picked ones (none for others)."""
+    """Votes and counted features of all texts; those without words have no features."""
     for batch in batches:
-        texts, picked = batch.column("t").to_pylist(), batch.column("picked").to_numpy(zero_copy_only=False)
+        texts = batch.column("t").to_pylist()
         for part, read in in_parts(texts):
-            votes = votes_of(read.statistics())
-            mine = [i for i in range(part.start, part.stop) if picked[i] and read.sizes[i - part.start]]
-            chosen = Texts([texts[i] for i in mine], lexicon())
-            owner, at, x = chosen.features()
-            cuts = np.searchsorted(owner, np.arange(len(mine) + 1))
-            lists = {i: slice(*cuts[n : n + 2]) for n, i in enumerate(mine)}
-            arrays = [pa.array([values[lists[i]] if i in lists else None for i in range(part.start, part.stop)], pa.list_(kind)) for values, kind in ((at, pa.int64()), (x, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), *arrays], names=["votes", "at", "x"])
+            owner, at, n = read.counts()
+            cuts = pa.array(np.searchsorted(owner, np.arange(len(read.sizes) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(values, pa.int32())) for values in (at, n)]
+            same = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "picked")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(votes_of(read.statistics()), pa.string()), *lists], names=["doc_id", "picked", "votes", "at", "n"])
+
+
+def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features per row of a stored batch; row, feature number and value of all of them."""
+    sizes = pa.compute.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("at", "n"))
+    return sizes, owner, at, scaled(owner, n.astype(np.int64), len(sizes))
+
+
+def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stored rows with the values of their features in place of the counts."""
+    for batch in batches:
+        sizes, _, at, x = _counted(batch)
+        cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(values)) for values in (at, x)]
+        yield pa.RecordBatch.from_arrays([*lists, batch.column("y")], names=["at", "x", "y"])
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
@@ -287,29 +312,25 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     whole = F.coalesce(docs[text], F.lit(""))
     share = min(1.0, TRAIN_ROWS / max(1, docs.count()))
     picked = F.pmod(F.xxhash64(docs[doc_id].cast("long"), F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30))
-    voted = store_packed(docs.select(whole.alias("t"), picked.alias("picked")).mapInArrow(_voted, "votes string, at array<bigint>, x array<double>"))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole.alias("t"), picked.alias("picked"))
+    voted = store_packed(rows.mapInArrow(_voted, "doc_id long, picked boolean, votes string, at array<int>, n array<int>"))
     counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(counts)
     posteriors = {p: model.posterior(p) for p in counts}
     label = F.create_map(*chain.from_iterable((F.lit(p), F.lit(y)) for p, y in posteriors.items())) if posteriors else F.create_map(F.lit(""), F.lit(0.0))
-    sample = store_packed(voted.filter(F.col("at").isNotNull()).select("at", "x", label[F.col("votes")].alias("y")))
+    learnt = voted.filter(F.col("picked") & (F.size("at") > 0)).select("at", "n", label[F.col("votes")].alias("y"))
+    sample = store_packed(learnt.mapInArrow(_valued, "at array<int>, x array<double>, y double"))
     shared = spark.sparkContext.broadcast(_train(sample, sample.count()))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for part, read in in_parts(texts):
-                votes = votes_of(read.statistics())
-                owner, at, x = read.features()
-                score = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[at] * x, len(read.sizes)) + w[-1], -500, 500)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(part.start, part.stop - part.start), pa.array(votes, pa.string()),
-                        pa.array([posteriors[v] for v in votes], pa.float64()), pa.array(score), pa.array((score >= keep) & (read.sizes > 0)),
-                    ],
-                    names=["doc_id", "votes", "posterior", "score", "kept"],
-                )
-
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole.alias("t"))
-    return rows.mapInArrow(scored, "doc_id long, votes string, posterior double, score double, kept boolean")
+            sizes, owner, at, x = _counted(batch)
+            votes = batch.column("votes").to_pylist()
+            score = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[at] * x, len(sizes)) + w[-1], -500, 500)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("votes"), pa.array([posteriors[v] for v in votes], pa.float64()), pa.array(score), pa.array((score >= keep) & (sizes > 0))],
+                names=["doc_id", "votes", "posterior", "score", "kept"],
+            )
+
+    return voted.select("doc_id", "votes", "at", "n").mapInArrow(scored, "doc_id long, votes string, posterior double, score double, kept boolean")
