@@ -73,6 +73,30 @@ def test_shared_capacity_equals_a_loop(spark, seed, chunk):
     assert share_capacity(given, table.limit(0), F.col("volume"), ["eligible_at", "order_id"], F.date_trunc("hour", "eligible_at"), 10.0).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 40, 250_000])
+def test_instruments_of_bounded_size_are_served_where_they_were_sent(spark, limit):
+    """Served as a whole, spread, or both, in batches that cut instruments; the whole form sends orders and bars once."""
+    rng = random.Random(5)
+    bars = [(i, at(m), rng.choice([0, 3, 5, 8.5])) for i in "ABC" for m in range(0, 70 if i == "C" else 400, 7)]
+    orders, minute = [], 0
+    for n in range(70):
+        minute += rng.randint(0, 6)
+        orders.append((rng.choice("AAAAB") if n % 9 else "C", n, rng.choice([1.0, 2.25, 6.0, 20.0]), at(minute), at(minute + rng.choice([1, 10, 60, 5000]))))
+    given = spark.createDataFrame(orders, "instrument_id string, order_id int, quantity double, eligible_at timestamp, expires_at timestamp").withColumn("quantity", F.col("quantity").cast("decimal(18,8)"))
+    table = spark.createDataFrame([(i, t, float(c)) for i, t, c in bars], "instrument_id string, starts_at timestamp, volume double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = share_capacity(given.repartition(4), table, F.col("volume"), ["eligible_at", "order_id"], F.date_trunc("hour", "eligible_at"), 10.0, chunk=3, limit=limit)
+        got = sorted((r["instrument_id"], r["order_id"], r["starts_at"], r["filled_quantity"], r["remaining"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(capacity_by_hand(orders, bars)) and len(got) > 60
+    if limit == 250_000:
+        final = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("Exchange hashpartitioning(instrument_id") == 1
+
+
 def test_causal_order(spark):
     """A long shuffled chain, one with a gap, one with a branch, a ring, and a key whose start is missing."""
     rows = [("long", f"l{i}", i, i + 1) for i in range(200)]
