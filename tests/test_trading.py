@@ -11,6 +11,7 @@ from tickloom.operators import fills as X
 from tickloom.operators import gates as G
 from tickloom.operators import ledger as L
 from tickloom.operators import rules as R
+from tickloom.operators import valuation as V
 
 KEYS = ["run_id", "instrument_id"]
 ORDER = ["occurred_at", "order_id", "gross_amount"]
@@ -250,3 +251,28 @@ def test_rows_of_bounded_runs_are_sent_once(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "l_suppkey" in plan
+
+
+@pytest.mark.parametrize(("seed", "cash"), [(1, "1000"), (2, "100000"), (3, "5")])
+def test_curve_and_metrics_of_moves_equal_those_of_merged_events(spark, seed, cash):
+    """Several fills share an instant here, the curve rises, falls and (from little cash) is negative."""
+    _, df = _fills(spark, seed)
+    fills = L.with_running_basis(L.book(df, KEYS, ORDER, None, bought="bought", paid="paid"), KEYS, "bought", "paid").cache()
+    curve = V.equity_curve_cost(L.ledger_events(fills, True), cash, "week", carried=L.STATISTICS).cache()
+    points = ["run_id", "as_of", "cash", "position_value", "equity"]
+    moves = L.ledger_moves(fills)
+    assert sorted(map(str, V.curve_of_moves(moves, cash).select(points).collect())) == sorted(map(str, curve.select(points).collect()))
+    merged = V.carried_metrics(curve, V.EVENT_DRIVEN, L.STATISTICS, "month")
+    direct = V.metrics_of_moves(moves, cash, L.statistics()).select(merged.columns)
+    assert sorted(map(str, direct.collect())) == sorted(map(str, merged.collect()))
+    assert fills.groupBy("run_id", "occurred_at").count().filter("count > 1").count() > 0
+
+
+@pytest.mark.parametrize("name", ["metrics_documents", "metrics_long", "equity_points", "equity_check", "equity_series"])
+def test_curves_of_bounded_runs_do_not_merge_instants_first(spark, name):
+    """Fills are sorted by run and time once after the two sorts of the ledger; an aggregate over (run, instant) was between them."""
+    from tickloom.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[run_id" not in plan or "occurred_at" not in plan.split("keys=[run_id")[-1].split("]")[0]
+    assert plan.count(" Sort [") <= (4 if name == "equity_check" else 3)

@@ -76,8 +76,12 @@ def prorate(amount: Column, part: Column, whole: Column) -> Column:
     Decimal division would first round to 9 places here and a second rounding would turn those into false ties.
     """
     top, bottom = units(amount) * units(part), units(whole)
-    quotient = F.call_function("div", top, bottom)
-    twice = (top % bottom) * F.lit(2).cast("decimal(1,0)")
+    return rounded_quotient(F.call_function("div", top, bottom), top % bottom, bottom)
+
+
+def rounded_quotient(quotient: Column, rest: Column, bottom: Column) -> Column:
+    """The last step of ``prorate``: the whole quotient in units, rounded HALF_EVEN by what is left."""
+    twice = rest * F.lit(2).cast("decimal(1,0)")
     up = (twice > bottom) | ((twice == bottom) & (quotient % 2 == 1))
     return from_units(quotient + F.when(up, 1).otherwise(0))
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalars import prorate
+from tickloom.functions.scalars import prorate, rounded_quotient, units
 from tickloom.operators.scan import Running, prefix_scan, running_sum_and_floor
 from tickloom.session import cut_lineage
 
@@ -61,6 +61,9 @@ def book(
     named = {bought: "quantity", paid: "gross_amount"}
     sums = {name: F.when(F.col("side") == "BUY", F.col(c)).otherwise(zero) for name, c in named.items() if name}
     floor_now = running_sum_and_floor(fills, keys, order, bucket, _signed(), "_s", "_m", sums)
+    if bought and bucket is None:
+        # Matching takes it in this width, which is sorted as a plain number.
+        floor_now = floor_now.withColumn(bought, F.col(bought).cast(PX))
     held_after = (F.col("_s") - F.least(F.col("_m"), zero)).cast(PX)
     held_before = (F.col("_s") - _signed() - F.least(F.coalesce("_m_before", zero), zero)).cast(PX)
     booked = floor_now.withColumns({"held_after": held_after, "held_before": held_before})
@@ -185,8 +188,11 @@ def with_running_basis(booked: DataFrame, keys: Sequence[str], bought: str, paid
     lot = F.when(buy, F.struct(F.col("_q").alias("end"), "executed", "gross_amount", F.col(paid).alias("paid")))
     owned = points.withColumn("_lot", F.last(lot, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     share = (F.col("_q") - (F.col("_lot.end") - F.col("_lot.executed"))).cast(PX)
-    upto = F.col("_lot.paid") - F.col("_lot.gross_amount") + prorate(F.col("_lot.gross_amount"), share, F.col("_lot.executed"))
-    owned = owned.withColumn("_sold", F.when(~buy, upto.cast("decimal(28,8)")))
+    # prorate, one step a column: nothing is divided twice, and nothing for buys.
+    owned = owned.withColumns({"_top": F.when(~buy, units(F.col("_lot.gross_amount")) * units(share)), "_bottom": F.when(~buy, units(F.col("_lot.executed")))})
+    owned = owned.withColumns({"_quotient": F.call_function("div", F.col("_top"), F.col("_bottom")), "_rest": F.col("_top") % F.col("_bottom")})
+    upto = F.col("_lot.paid") - F.col("_lot.gross_amount") + rounded_quotient(F.col("_quotient"), F.col("_rest"), F.col("_bottom"))
+    owned = owned.withColumn("_sold", F.when(~buy, upto.cast("decimal(28,8)"))).drop("_top", "_bottom", "_quotient", "_rest")
     names = ", ".join(f"`{k}`" for k in keys)
     earlier = F.expr(f"lead(_sold, 1) IGNORE NULLS OVER (PARTITION BY {names} ORDER BY _q DESC, _kind DESC)")
     found = owned.withColumn("_earlier", F.coalesce(earlier, F.lit(0).cast("decimal(28,8)")))
@@ -258,11 +264,18 @@ def ledger_events(fills: DataFrame, stats: bool = False) -> DataFrame:
     return fills.groupBy("run_id", F.col("occurred_at").alias("as_of")).agg(
         F.sum(cash_delta()).cast("decimal(24,8)").alias("cash_delta"),
         F.sum(F.col("cost_basis") * sign).cast("decimal(24,8)").alias("basis_delta"),
-        *[c.alias(name) for name, c in (_statistics() if stats else {}).items()],
+        *[c.alias(name) for name, c in (statistics() if stats else {}).items()],
     )
 
 
-def _statistics() -> dict[str, Column]:
+def ledger_moves(fills: DataFrame) -> DataFrame:
+    """Cash and basis movement of every fill, not merged, and the columns its ``statistics`` read."""
+    sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
+    basis = (F.col("cost_basis") * sign).cast("decimal(24,8)")
+    return fills.select("run_id", F.col("occurred_at").alias("as_of"), cash_delta().alias("cash_delta"), basis.alias("basis_delta"), "side", "realized_pnl", "fee", "slippage")
+
+
+def statistics() -> dict[str, Column]:
     sell = F.col("side") == "SELL"
     return {
         "fillCount": F.count(F.lit(1)),
@@ -279,7 +292,7 @@ STATISTICS = ("fillCount", "closingTradeCount", "winningTradeCount", "losingTrad
 
 
 def trade_stats(fills: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return fills.groupBy(*keys).agg(*[c.alias(name) for name, c in _statistics().items()])
+    return fills.groupBy(*keys).agg(*[c.alias(name) for name, c in statistics().items()])
 
 
 RECORD_RANK = {"ORDER": 0, "FILL": 1, "CANCELLATION": 2, "REJECTION": 3}

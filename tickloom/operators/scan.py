@@ -158,7 +158,7 @@ def running_sum_and_floor(
         spec = Window.partitionBy(*keys).orderBy(*order)
         upto, before = spec.rowsBetween(Window.unboundedPreceding, 0), spec.rowsBetween(Window.unboundedPreceding, -1)
         running = df.withColumns({total: F.sum(value).over(upto)} | {n: F.sum(c).over(upto).cast(money) for n, c in sums.items()})
-        return running.withColumns({floor: F.min(total).over(upto), f"{floor}_before": F.min(total).over(before)})
+        return running.withColumn(f"{floor}_before", F.min(total).over(before)).withColumn(floor, F.least(total, f"{floor}_before"))
     base = df.withColumn(BUCKET, bucket).withColumn("_v", value)
     group = [*keys, BUCKET]
     rows = Window.partitionBy(*group).orderBy(*order)
