@@ -239,6 +239,16 @@ def test_runs_above_the_limit_are_spread(spark):
         assert {r["run_id"]: (r["n"], r["whole"]) for r in seen.collect()} == {k: (n, n <= limit) for k, n in sizes.items()}
 
 
+def test_tasks_of_whole_runs_follow_from_their_rows(spark):
+    _, df = _fills(spark, 5)
+    sizes = {r["run_id"]: r["count"] for r in df.groupBy("run_id").count().collect()}
+    tasks = lambda fills, whole: fills.select("run_id", F.lit(whole).alias("whole"), F.lit(fills.rdd.getNumPartitions()).alias("tasks"))
+    seen = {(r["run_id"], r["whole"], r["tasks"]) for r in L.by_size(df, tasks, task_rows=10, run_rows=20).collect()}
+    assert seen == {(k, True, -(-(sum(sizes.values()) + 40) // 10)) for k in sizes}
+    mixed = L.by_size(df, lambda fills, whole: fills.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.lit(whole).alias("whole")), min(sizes.values()), 10)
+    assert {r["run_id"]: (r["n"], r["whole"]) for r in mixed.collect()} == {k: (n, n == min(sizes.values())) for k, n in sizes.items()}
+
+
 @pytest.mark.parametrize(
     "name",
     [

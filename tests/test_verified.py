@@ -80,3 +80,60 @@ def test_a_changed_part_changes_one_path(spark):
     assert {key(r): r["digest"] for r in updated.collect()} == new and len(old) == 12 + 4 + 2
     swapped = spark.createDataFrame([(*r[:3], 3 - r[3], *r[4:]) for r in rows], shape)
     assert all(new_digest != old[k] for k, new_digest in {key(r): r["digest"] for r in D.bundle_tree(swapped).collect()}.items())
+
+
+def _bundle_fills(spark):
+    """Fills of three runs and of no run: instants that repeat, one missing, a Monday's first instant in New York, sells at cost."""
+    from tickloom.operators import ledger as L
+
+    monday = dt.datetime(2024, 1, 8, 5)
+    rows = []
+    for i in range(90):
+        when = monday + dt.timedelta(days=i // 4) if i % 11 else None
+        rows.append((None if i % 9 == 4 else i % 3, f"I{i % 2}", when, i // 2, i % 2, 7, "SELL" if i % 4 == 3 else "BUY", 2, 10 if i % 8 else 0))
+    df = spark.createDataFrame(rows, "run_id int, instrument_id string, occurred_at timestamp, order_id long, line_no int, part_id long, side string, quantity int, gross int")
+    px = "decimal(18,8)"
+    log = df.select(*df.columns[:7], F.col("quantity").cast(px).alias("quantity"), F.col("gross").cast(px).alias("gross_amount"), *[F.lit("0.5").cast(px).alias(c) for c in ("fee", "slippage", "fee_rate", "slippage_rate")])
+    keys = ["run_id", "instrument_id"]
+    booked = L.book(log, keys, ["occurred_at", "order_id", "line_no", "part_id", "gross_amount"], None, bought="bought", paid="paid")
+    return L.with_running_basis(booked, keys, "bought", "paid").drop("paid")
+
+
+@pytest.mark.parametrize(("part", "runs"), [(3, "run_id IS NOT NULL"), (50, "true")])
+def test_bundles_of_bounded_runs_equal_those_of_numbered_rows(spark, monkeypatch, part, runs):
+    """Numbering joins on the run, so that rows of no run are numbered anew each hour there: these are compared uncut."""
+    from tickloom.catalog import queue_queries as C
+
+    monkeypatch.setattr(C, "_PART", part)
+    built = _bundle_fills(spark).filter(runs)
+    fills = spark.createDataFrame(built.collect(), built.schema)
+    spread = C._bundles(fills)
+    rows = [sorted(map(str, tree.select(spread.columns).collect())) for tree in (C._bundles_of_runs(fills.repartition(3, "run_id")), spread)]
+    assert rows[0] == rows[1] and len(rows[1]) > 50
+    assert sum("level='BUNDLE'" in row for row in rows[1]) == 3 + (runs == "true")
+
+
+def test_weeks_are_cut_into_parts(spark):
+    import hashlib
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    entries = [(at(i), f"r{i}") for i in range(5)]
+    week = dt.date(2024, 1, 1)
+    rows = [(1, week, entries[3:], [], [], []), (1, week, entries[:3], [], None, [(None, "x")]), (1, None, [], [], [], [(None, "y")])]
+    kind = "array<struct<t: timestamp, i: string>>"
+    df = spark.createDataFrame(rows, f"run_id int, week_start date, {', '.join(f'{k} {kind}' for k in D.RECORD_TYPES)}")
+    got = {(r["record_type"], r["week_start"], r["level"]): (r["digest"], r["row_count"]) for r in D.bundles_of_runs(df, 2).collect()}
+    trade = sha("\n".join(f"{n}:{sha(text)}" for n, text in enumerate(["r0\nr1", "r2\nr3", "r4"], 1)))
+    x, y = (sha(f"1:{sha(text)}") for text in "xy")
+    trades, points = sha(f"2024-01-01:{trade}"), sha(f"2024-01-01:{x}")
+    assert got == {
+        ("TRADE", week, "WEEK"): (trade, 5), ("CALCULATION", week, "WEEK"): (x, 1), ("CALCULATION", None, "WEEK"): (y, 1), ("TRADE", None, "TYPE"): (trades, 5),
+        ("CALCULATION", None, "TYPE"): (points, 2), (None, None, "BUNDLE"): (sha(f"TRADE:{trades}\nCALCULATION:{points}"), 7),
+    }
+
+
+def test_details_of_bounded_runs_are_sent_once(spark):
+    from tickloom.catalog import QUERIES
+
+    plan = QUERIES["detail_bundles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "l_suppkey" in plan

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog import sql as Q
 from tickloom.catalog.base import money, num, query
 from tickloom.catalog.check_queries import _MARKET_SQL, _bar_dataset, _store
-from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, CURVE, FIFO, ID, INITIAL_CASH, _basis, _booked, _per_run, _with_basis
+from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, CURVE, FIFO, ID, INITIAL_CASH, _basis, _booked, _per_run
 from tickloom.catalog.inputs import FILL_KEYS, FILL_ORDER, calendar, event_bar_events, fill_log, supplier_days
 from tickloom.functions.scalars import price
 from tickloom.operators import bars as B
@@ -19,6 +19,7 @@ from tickloom.operators import ledger as L
 from tickloom.operators import valuation as V
 from tickloom.operators.capacity import share_capacity
 from tickloom.operators.causal import causal_order as chain
+from tickloom.operators.digests import joined_fields
 from tickloom.operators.scan import Running, prefix_scan
 from tickloom.catalog.report_queries import _WEEK, _fields
 from tickloom.schemas import BARS
@@ -275,22 +276,52 @@ t3 AS (SELECT run_id, CAST(NULL AS VARCHAR) AS record_type, CAST(NULL AS DATE) A
 @query("detail_bundles", f"WITH {FIFO}, {_TREE} SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3")
 def detail_bundles(spark, folder):
     """Trade, position, ledger and calculation rows in weekly parts of fifty, and the hash tree over them up to each run's bundle."""
-    fills = _with_basis(spark, folder)
+    return _per_run(spark, folder, lambda log, whole: (_bundles_of_runs if whole else _bundles)(_basis(log, whole)), _BUNDLE_FILLS)
+
+
+_PART = 50
+#: Fills of whole runs that one task takes; each has up to seven records.
+_BUNDLE_FILLS = 200_000
+_POSITION_IDS = ["instrument_id", "order_id", "line_no", "part_id"]
+
+
+def _bundles(fills):
+    """The tree of runs that have to be spread."""
     states = fills.withColumn("basis", F.col("cost_basis"))
     entries = L.ledger_entries(fills, [*ID, "occurred_at"])
     curve = cut_lineage(V.equity_curve_cost(cut_lineage(L.ledger_events(fills)), INITIAL_CASH, "week").select("run_id", "as_of", F.unix_micros("as_of").alias("instant"), "equity"))
     kinds = [
         D.detail_rows(fills, "TRADE", "occurred_at", _DETAIL_IDS, ["side", "executed", "gross_amount", "fee"]),
-        D.detail_rows(states, "POSITION", "occurred_at", ["instrument_id", "order_id", "line_no", "part_id"], ["held_after", "basis"]),
+        D.detail_rows(states, "POSITION", "occurred_at", _POSITION_IDS, ["held_after", "basis"]),
         D.detail_rows(entries, "LEDGER", "occurred_at", [*_DETAIL_IDS, "account", "direction"], ["amount"]),
         D.detail_rows(curve, "CALCULATION", "as_of", ["instant"], ["equity"]),
     ]
     # The tree covers identities only. The rows are read off the stored fills and curve each time, not stored once more.
     rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3]).drop("payload")
-    numbered = D.number_parts(D.assign_week(rows, "occurred_at"), "occurred_at", ["record_id"], 50)
+    numbered = D.number_parts(D.assign_week(rows, "occurred_at"), "occurred_at", ["record_id"], _PART)
     return D.bundle_tree(D.part_manifest(numbered, "occurred_at", "record_id"))
 
 
+def _bundles_of_runs(fills):
+    """The same tree of bounded runs: a fill carries its records, which are sorted and hashed where its run was sent."""
+    named = fills.select(
+        "*", F.col("occurred_at").alias("as_of"), L.cash_delta().alias("cash_delta"), L.basis_delta().alias("basis_delta"),
+        joined_fields(_DETAIL_IDS).alias("_trade"), joined_fields(_POSITION_IDS).alias("_position"), L.entry_list().alias("_entries"),
+    )
+    named = named.withColumns({f"_e{i}": F.get("_entries", F.lit(i)) for i in range(L.MOST_ENTRIES)})
+    ledger = [F.when(F.col(f"_e{i}.amount") != 0, F.concat("_trade", joined_fields([f"_e{i}.account", f"_e{i}.direction"]))).alias(f"_l{i}") for i in range(L.MOST_ENTRIES)]
+    moves = named.select("run_id", "as_of", "cash_delta", "basis_delta", "_trade", "_position", *ledger)
+    ids = ["_trade", "_position", *[f"_l{i}" for i in range(L.MOST_ENTRIES)]]
+    points = D.assign_week(V.with_points(moves, INITIAL_CASH, ids).withColumn("instant", F.unix_micros("as_of")), "as_of")
+    point = F.when(F.col("is_point"), joined_fields(["instant"]))
+
+    def records(*names):
+        return F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.col("as_of").alias("t"), c.alias("i"))) for c in names]))
+
+    kinds = {"TRADE": [F.col("_trade")], "POSITION": [F.col("_position")], "LEDGER": [F.col(c) for c in ids[2:]], "CALCULATION": [point]}
+    return D.bundles_of_runs(points.select("run_id", "week_start", *[records(*c).alias(kind) for kind, c in kinds.items()]), _PART)
+
+
 # ---------------------------------------------------------------- verified scans
 
 

@@ -89,13 +89,16 @@ def _type_rank() -> Column:
     return rank
 
 
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def _combined(rows: DataFrame, keys: Sequence[str], order: Column, label: Column, level: str) -> DataFrame:
     """One node per ``keys``: the digest of its children's labels and digests in order. Children are bounded: parts of a week, weeks of
     the calendar, types of a bundle."""
-    # A digest travels as its 32 bytes.
-    child = F.struct(order.alias("o"), label.alias("l"), F.unhex("digest").alias("d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat(x["l"], F.lit(":"), F.lower(F.hex(x["d"])))), "\n")
-    found = rows.groupBy(*keys).agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.sum("row_count").alias("row_count"))
+    child = F.struct(order.alias("o"), label.alias("l"), F.col("digest").alias("d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat(x["l"], F.lit(":"), x["d"])), "\n")
+    found = rows.groupBy(*keys).agg(_sha(joined).alias("digest"), F.sum("row_count").alias("row_count"))
     blank = {"record_type": F.lit(None).cast("string"), "week_start": F.lit(None).cast("date")}
     return found.select("run_id", *[F.col(c) if c in keys else blank[c].alias(c) for c in blank], F.lit(level).alias("level"), "digest", "row_count")
 
@@ -113,6 +116,55 @@ def bundle_tree(parts: DataFrame) -> DataFrame:
     return weeks.unionByName(types).unionByName(bundles)
 
 
+def bundles_of_runs(rows: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """What ``bundle_tree`` gives over the ``part_manifest`` of numbered rows, for bounded runs whose rows are partitioned by ``run_id``.
+
+    ``rows``: ``run_id``, ``week_start`` and for each of ``RECORD_TYPES`` a list of structs ``t, i``, the instants and identities of
+    records of that week. Records meet as the lists of a week and weeks as those of a run: none is unfolded, numbered or sent again.
+    """
+    lists = [F.sort_array(F.flatten(F.collect_list(kind))).alias(kind) for kind in RECORD_TYPES]
+    found = rows.groupBy("run_id", "week_start").agg(*lists)
+    found = found.select("run_id", "week_start", *[F.transform(kind, lambda x: x["i"]).alias(kind) for kind in RECORD_TYPES])
+
+    def week(kind: str) -> Column:
+        count = F.size(kind)
+
+        def part(n: Column) -> Column:
+            text = F.array_join(F.slice(F.col(kind), n * rows_per_part + 1, F.lit(rows_per_part)), "\n")
+            return F.concat((n + 1).cast("string"), F.lit(":"), _sha(text))
+
+        numbers = F.sequence(F.lit(0), F.floor((count - 1) / rows_per_part).cast("int"))
+        node = F.struct(F.unix_date("week_start").alias("o"), "week_start", _sha(F.array_join(F.transform(numbers, part), "\n")).alias("digest"), count.cast("long").alias("row_count"))
+        return F.when(count > 0, node)
+
+    weeks = found.select("run_id", *[week(kind).alias(kind) for kind in RECORD_TYPES])
+    runs = weeks.groupBy("run_id").agg(*[F.sort_array(F.collect_list(kind)).alias(kind) for kind in RECORD_TYPES])
+
+    def rows_of(nodes: str | Column) -> Column:
+        return F.aggregate(nodes, F.lit(0).cast("long"), lambda n, x: n + x["row_count"])
+
+    def kind_node(kind: str) -> Column:
+        text = F.array_join(F.transform(kind, lambda x: F.concat(F.date_format(x["week_start"], "yyyy-MM-dd"), F.lit(":"), x["digest"])), "\n")
+        return F.when(F.size(kind) > 0, F.struct(F.lit(kind).alias("record_type"), _sha(text).alias("digest"), rows_of(kind).alias("row_count")))
+
+    typed = runs.withColumn("_types", F.array_compact(F.array(*[kind_node(kind) for kind in RECORD_TYPES])))
+
+    def node(level: str, record_type: Column, week_start: Column, digest: Column, row_count: Column) -> Column:
+        return F.struct(record_type.alias("record_type"), week_start.alias("week_start"), F.lit(level).alias("level"), digest.alias("digest"), row_count.alias("row_count"))
+
+    def week_nodes(kind: str) -> Column:
+        return F.transform(kind, lambda x: node("WEEK", F.lit(kind), x["week_start"], x["digest"], x["row_count"]))
+
+    no_type, no_week = F.lit(None).cast("string"), F.lit(None).cast("date")
+    bundle = _sha(F.array_join(F.transform("_types", lambda x: F.concat(x["record_type"], F.lit(":"), x["digest"])), "\n"))
+    tree = F.concat(
+        *[week_nodes(kind) for kind in RECORD_TYPES],
+        F.transform("_types", lambda x: node("TYPE", x["record_type"], no_week, x["digest"], x["row_count"])),
+        F.array(node("BUNDLE", no_type, no_week, bundle, rows_of("_types"))),
+    )
+    return typed.select("run_id", F.inline(tree))
+
+
 def update_bundle_tree(tree: DataFrame, parts: DataFrame, changed: DataFrame) -> DataFrame:
     """The tree after parts have changed: ``parts`` are all parts as they are now, ``changed`` holds run, type and week of those that
     changed. Only the paths above them are worked out again; everything else is taken from ``tree``."""

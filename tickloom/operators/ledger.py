@@ -21,17 +21,29 @@ PX = "decimal(18,8)"
 WHOLE_RUN_ROWS = 250_000
 
 
-def by_size(fills: DataFrame, work: Callable[[DataFrame, bool], DataFrame], limit: int = WHOLE_RUN_ROWS) -> DataFrame:
+def by_size(
+    fills: DataFrame, work: Callable[[DataFrame, bool], DataFrame], limit: int = WHOLE_RUN_ROWS, task_rows: int | None = None, run_rows: int = 0
+) -> DataFrame:
     """``work(fills, whole)`` over the fills of all runs, of which each one's result depends on its own fills only.
 
     Runs of at most ``limit`` fills come with ``whole``, their rows partitioned by ``run_id``: groups and windows whose keys begin there
     need no further exchange. Larger runs come without it and have to be spread. There are at most rows / ``limit`` of them.
+
+    ``task_rows`` is for work that unfolds its rows: as many tasks share the whole runs as give each that many rows, so that what a task
+    sorts fits its memory at any size. A run counts as its fills and ``run_rows`` more.
     """
-    large = cut_lineage(fills.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("run_id"))
+    sizes = fills.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    if task_rows is None:
+        large, tasks = cut_lineage(sizes.filter(F.col("_n") > limit).select("run_id")), []
+    else:
+        sizes = cut_lineage(sizes)
+        large = sizes.filter(F.col("_n") > limit).select("run_id")
+        rows = sizes.filter(F.col("_n") <= limit).agg(F.sum(F.col("_n") + run_rows)).first()[0] or 0
+        tasks = [max(fills.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))]
     if large.isEmpty():
-        return work(fills.repartition("run_id"), True)
+        return work(fills.repartition(*tasks, "run_id"), True)
     few = F.broadcast(large)
-    small = work(fills.join(few, "run_id", "left_anti").repartition("run_id"), True)
+    small = work(fills.join(few, "run_id", "left_anti").repartition(*tasks, "run_id"), True)
     return small.unionByName(work(fills.join(few, "run_id", "left_semi"), False))
 
 
@@ -207,6 +219,15 @@ def ledger_entries(fills: DataFrame, ids: Sequence[str]) -> DataFrame:
     BUY: SECURITY debit gross, FEE debit, CASH credit gross + fee. SELL: CASH debit gross - fee, FEE debit, SECURITY credit
     basis, REALIZED_PNL credit of a gain or debit of a loss.
     """
+    return fills.select(*ids, F.explode(entry_list()).alias("_e")).select(*ids, "_e.*").filter("amount <> 0")
+
+
+#: Entries that one fill can have.
+MOST_ENTRIES = 4
+
+
+def entry_list() -> Column:
+    """The entries of a fill as a list, those of zero amounts included."""
 
     def entry(account: str, direction: Column | str, amount: Column) -> Column:
         d = F.lit(direction) if isinstance(direction, str) else direction
@@ -220,17 +241,17 @@ def ledger_entries(fills: DataFrame, ids: Sequence[str]) -> DataFrame:
         entry("SECURITY", "CREDIT", basis),
         entry("REALIZED_PNL", F.when(pnl >= 0, "CREDIT").otherwise("DEBIT"), F.abs(pnl)),
     )
-    return (
-        fills.select(*ids, F.explode(F.when(F.col("side") == "BUY", buy).otherwise(sell)).alias("_e"))
-        .select(*ids, "_e.*")
-        .filter("amount <> 0")
-    )
+    return F.when(F.col("side") == "BUY", buy).otherwise(sell)
 
 
 def cash_delta() -> Column:
     return F.when(F.col("side") == "BUY", -(F.col("gross_amount") + F.col("fee"))).otherwise(F.col("gross_amount") - F.col("fee")).cast("decimal(24,8)")
 
 
+def basis_delta() -> Column:
+    return (F.col("cost_basis") * F.when(F.col("side") == "BUY", 1).otherwise(-1)).cast("decimal(24,8)")
+
+
 def cash_after(fills: DataFrame, order: Sequence[str], bucket: Column, initial_cash: str) -> DataFrame:
     """Running cash of each run."""
     run = prefix_scan(fills.withColumn("_d", cash_delta()), ["run_id"], order, bucket, {"_c": Running("sum", F.col("_d"))})
@@ -270,9 +291,7 @@ def ledger_events(fills: DataFrame, stats: bool = False) -> DataFrame:
 
 def ledger_moves(fills: DataFrame) -> DataFrame:
     """Cash and basis movement of every fill, not merged, and the columns its ``statistics`` read."""
-    sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
-    basis = (F.col("cost_basis") * sign).cast("decimal(24,8)")
-    return fills.select("run_id", F.col("occurred_at").alias("as_of"), cash_delta().alias("cash_delta"), basis.alias("basis_delta"), "side", "realized_pnl", "fee", "slippage")
+    return fills.select("run_id", F.col("occurred_at").alias("as_of"), cash_delta().alias("cash_delta"), basis_delta().alias("basis_delta"), "side", "realized_pnl", "fee", "slippage")
 
 
 def statistics() -> dict[str, Column]:
