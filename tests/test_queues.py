@@ -207,6 +207,61 @@ def test_daily_grid_is_never_broadcast(spark):
     assert sorted((r["run_id"], int(r["equity"])) for r in curve.collect()) == [(1, 10 - 4 + 6), (1, 10 - 4 + 6), (1, 10 - 2 + 10), (2, 10 - 2 + 8)]
 
 
+def _daily_case(spark, seed):
+    """Booked fills of three runs and of no run, and marks that miss days, instruments and prices; some amounts leave 64 bits."""
+    rng, px = random.Random(seed), "decimal(18,8)"
+    rows = []
+    for i in range(160):
+        gross = rng.choice(["7", "1234.56789012", "9000000000.5"])
+        when = DAY + dt.timedelta(days=rng.randrange(40), minutes=i) if i % 17 else None
+        rows.append((rng.choice([1, 1, 2, 3, None]), rng.choice(["A", "A", "B", "C", None]), when, i, rng.choice(["BUY", "BUY", "SELL"]), rng.choice(["1", "3", "0.33333333"]), gross, "0.25"))
+    fills = spark.createDataFrame(rows, "run_id int, instrument_id string, occurred_at timestamp, order_id int, side string, quantity string, gross_amount string, fee string")
+    fills = fills.select("run_id", "instrument_id", "occurred_at", "order_id", "side", *[F.col(c).cast(px).alias(c) for c in ("quantity", "gross_amount", "fee")], *[F.lit("0.002").cast(px).alias(f"{c}_rate") for c in ("fee",)])
+    booked = L.book(fills, ["run_id", "instrument_id"], ["occurred_at", "order_id"], None)
+    days = booked.select(F.to_date("occurred_at").alias("day")).distinct()
+    prices = [(k, d, f"{rng.randrange(1, 10**9)}.{rng.randrange(10**8):08d}" if rng.random() < 0.95 else None) for k, skipped in (("A", 0.1), ("B", 0.6)) for d in [r["day"] for r in days.collect()] if rng.random() > skipped]
+    present = {d for _, d, _ in prices}
+    prices += [("Z", r["day"], "1") for r in days.collect() if r["day"] not in present]
+    return booked, spark.createDataFrame(prices, "instrument_id string, day date, mark string").withColumn("mark", F.col("mark").cast(px))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_daily_curve_of_bounded_runs_equals_the_spread_one(spark, seed):
+    booked, marks = _daily_case(spark, seed)
+    fills = spark.createDataFrame(booked.collect(), booked.schema)
+    args = (["occurred_at", "order_id"], marks, "1000")
+    spread = V.daily_curve(fills, *args).select("run_id", "day", "equity")
+    direct = V.daily_curve_of_runs(fills.repartition(3, "run_id"), *args)
+    assert direct.schema == spread.schema
+    rows = [sorted(map(str, curve.collect())) for curve in (direct, spread)]
+    assert rows[0] == rows[1] and len(rows[0]) > 90
+    assert sum("equity=None" in r for r in rows[0]) > 0 and sum("run_id=None" in r for r in rows[0]) > 20
+
+
+def test_a_position_in_whole_units_is_exact(spark):
+    """Quantities and marks whose product needs more digits than a double has, and sums that 64 bits do not hold."""
+    px = "decimal(18,8)"
+    rows = [(1, f"I{i}", at(0), i, "BUY", 33_333, "0", 33_333) for i in range(9)]
+    booked = spark.createDataFrame(rows, "run_id int, instrument_id string, occurred_at timestamp, order_id int, side string, executed int, gross string, held int")
+    booked = booked.select("run_id", "instrument_id", "occurred_at", "order_id", "side", F.col("gross").cast(px).alias("gross_amount"), F.lit(0).cast(px).alias("fee"), F.col("held").cast(px).alias("held_after"))
+    marks = spark.createDataFrame([(f"I{i}", DAY.date(), "1000000.00000001") for i in range(9)], "instrument_id string, day date, mark string").withColumn("mark", F.col("mark").cast(px))
+    row = V.daily_curve_of_runs(booked.repartition(2, "run_id"), ["occurred_at", "order_id"], marks, "1").first()
+    assert row["equity"] == 1 + 9 * 33_333 * Decimal("1000000.00000001") and row["equity"] * 10**8 > 2**64
+    assert V.few_marks(marks, 9) and not V.few_marks(marks, 8)
+
+
+def test_daily_metrics_of_bounded_runs_are_sent_once(spark, monkeypatch):
+    from tickloom.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    direct = QUERIES["daily_metrics"](spark, folder)
+    plan = direct._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(run_id") == 1 and "SortMergeJoin" not in plan
+    monkeypatch.setattr(V, "few_marks", lambda marks: False)
+    spread = QUERIES["daily_metrics"](spark, folder)
+    assert sorted(map(str, direct.collect())) == sorted(map(str, spread.collect()))
+
+
 def test_output_numbers_round_in_binary_as_the_sql(spark):
     import duckdb
 

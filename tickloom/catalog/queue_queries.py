@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog import sql as Q
 from tickloom.catalog.base import money, num, query
 from tickloom.catalog.check_queries import _MARKET_SQL, _bar_dataset, _store
-from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, CURVE, FIFO, ID, INITIAL_CASH, _basis, _booked, _per_run
+from tickloom.catalog.fill_queries import _EVENT_FL, _K, _ORD, BOOK, CURVE, FIFO, ID, INITIAL_CASH, _basis, _book, _booked, _per_run
 from tickloom.catalog.inputs import FILL_KEYS, FILL_ORDER, calendar, event_bar_events, fill_log, supplier_days
 from tickloom.functions.scalars import price
 from tickloom.operators import bars as B
@@ -219,6 +219,10 @@ dx AS (SELECT run_id, arg_min(equity, day) AS s, arg_max(equity, day) AS l, min(
 """
 
 
+#: Fills and points of whole runs that one task takes, and the points that a run has at the most: calendar days of seven years.
+_DAILY_ROWS, _RUN_DAYS = 750_000, 2_500
+
+
 @query(
     "daily_metrics",
     f"""WITH {BOOK}, {_DAILY} SELECT run_id, {Q.num("round_even(CAST(l - s AS DOUBLE) / CAST(s AS DOUBLE) * 100, 8)")} AS "totalReturnPct", {Q.num("round_even(least(dd, 0), 8)")} AS "maxDrawdownPct", {Q.num("round_even(m / nullif(sd, 0) * sqrt(252), 8)")} AS sharpe,
@@ -230,9 +234,17 @@ def daily_metrics(spark, folder):
     day = F.to_date("occurred_at")
     unit = F.bround(F.col("gross_amount") / F.col("quantity"), 8).cast("decimal(18,8)")
     marks = cut_lineage(V.daily_marks(log.withColumn("px", unit), FILL_ORDER, "px", day))
-    booked = _booked(spark, folder)
-    curve = V.daily_curve(booked, FILL_ORDER, marks, INITIAL_CASH)
-    wide = V.curve_metrics(cut_lineage(curve), V.DAILY, "day", "year")
+
+    few = V.few_marks(marks)
+
+    def metrics(part, whole):
+        booked = _book(part, whole)
+        if whole and few:
+            return V.curve_metrics(V.daily_curve_of_runs(booked, FILL_ORDER, marks, INITIAL_CASH), V.DAILY, "day", None)
+        curve = V.daily_curve(cut_lineage(booked) if whole else booked, FILL_ORDER, marks, INITIAL_CASH)
+        return V.curve_metrics(cut_lineage(curve), V.DAILY, "day", "year")
+
+    wide = _per_run(spark, folder, metrics, _DAILY_ROWS, _RUN_DAYS)
     return wide.select(
         "run_id", *[num(c).alias(c) for c in ("totalReturnPct", "maxDrawdownPct", "sharpe", "annualizedVolatilityPct")], money("startingEquity").alias("startingEquity"), money("endingEquity").alias("endingEquity"), "valuationPointCount"
     )

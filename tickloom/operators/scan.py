@@ -120,8 +120,8 @@ def prefix_scan(
     if bucket is None:
         done = df
         for name, run in outs.items():
-            value = _local(run, Window.partitionBy(*keys).orderBy(*_ordering(order, run.reverse != reverse)))
-            done = done.withColumn(name, value["v"] if run.kind == "prev" else value)
+            spec = Window.partitionBy(*keys).orderBy(*_ordering(order, run.reverse != reverse))
+            done = done.withColumn(name, F.lag(run.expr, 1).over(spec) if run.kind == "prev" else _local(run, spec))
         return done
 
     base = df.withColumn(BUCKET, bucket)
