@@ -400,6 +400,21 @@ def bucket_forest(sets: list[np.ndarray], roots: list[int], sides: list[int]) ->
     return links
 
 
+def _bucket_pairs(members: DataFrame) -> DataFrame:
+    """All pairs ``a, b`` of a bucket that no link joins so far, listed one by one: what ``_bucket_links``, which the pipeline runs, need not
+    do. ``members`` has bucket, n, p (id and sketch) and root.
+
+    A bucket is cut into parts of some BUCKET_ROWS members, and two parts at a time meet under one key.
+    """
+    parts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    own = F.pmod(F.xxhash64("p.id", F.lit("part")), parts).cast("int")
+    left = members.select("bucket", own.alias("i"), every.alias("j"), F.col("p").alias("x"), F.col("root").alias("_x"))
+    right = members.select("bucket", every.alias("i"), own.alias("j"), F.col("p").alias("y"), F.col("root").alias("_y"))
+    met = left.join(right, (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("x.id") < F.col("y.id")) & (F.col("_x") != F.col("_y")) & _near("x", "y"))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _bucket_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``a, b`` that join all similar pairs of a bucket that are not joined so far. ``members`` has bucket, id and root.
 
